@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import stored, table, words
 
-N_WORDS = 768  # words that are outputs of their own
+N_WORDS = 767  # words that are outputs of their own
 N_CLASSES = 256  # classes of the remaining words
 N_KNOWN = 65_536  # words whose counts each task holds; the counts of others come by a join
 DIM = 16
-NOISE = 32
-BATCH = 4096
-RATE = 0.15
+NOISE = 24
+BATCH = 2048
+RATE = 0.05
 ROUNDS = 2
 FLUSH = 300_000  # distinct words a counting task holds before it emits its partial counts
 N_OUT = N_WORDS + N_CLASSES + 1
@@ -71,22 +71,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class _Ids(dict):
-    """Word -> output id; misses get their class, and are kept up to a bound."""
-
-    def __missing__(self, word):
-        i = N_WORDS + word_class(word)
-        if len(self) < 400_000:
-            self[word] = i
-        return i
-
-
 def _row_sums(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and the sum of the rows of each."""
+    """Distinct keys, and the sum of the rows of each; 16-bit keys sort by radix."""
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
     at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return ordered[at], np.add.reduceat(rows[order], at, axis=0)
+    return ordered[at], np.add.reduceat(rows.take(order, 0), at, axis=0)
 
 
 @dataclass
@@ -113,30 +103,46 @@ class LogBilinear:
         x = x.astype(np.float32)
         return cls(x[:a].reshape(-1, DIM).copy(), x[a : 2 * a].reshape(-1, DIM).copy(), x[2 * a : 2 * a + b].reshape(-1, DIM).copy(), x[2 * a + b :].copy())
 
-    def log10_probs(self, near: np.ndarray, far: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities; the normaliser is computed once for each distinct context."""
+    def log10_probs(self, near: np.ndarray, far: np.ndarray, out: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Normalised log10 probabilities; ``norms`` keeps each distinct context's normaliser (NaN: not yet known)."""
         key = near.astype(np.int32) * (N_OUT + 1) + far
-        distinct, back = np.unique(key, return_inverse=True)
-        norm = np.empty(len(distinct), np.float32)
-        for at in range(0, len(distinct), 2048):
-            part = distinct[at : at + 2048]
+        wanted = np.zeros(len(norms), bool)
+        wanted[key] = True
+        distinct = np.flatnonzero(wanted & np.isnan(norms))
+        for at in range(0, len(distinct), 1024):
+            part = distinct[at : at + 1024]
             logits = (self.near[part // (N_OUT + 1)] + self.far[part % (N_OUT + 1)]) @ self.target.T
             logits += self.bias
             top = logits.max(1)
             logits -= top[:, None]
             np.exp(logits, out=logits)
-            norm[at : at + 2048] = np.log(logits.sum(1)) + top
-        scores = np.einsum("ij,ij->i", self.near[near] + self.far[far], self.target[out]) + self.bias[out]
-        return (scores - norm[back]).astype(np.float64) / math.log(10)
+            norms[part] = np.log(logits.sum(1)) + top
+        q = self.near.take(near, 0)
+        q += self.far.take(far, 0)
+        scores = np.einsum("ij,ij->i", q, self.target.take(out, 0)) + self.bias[out]
+        return (scores - norms[key]).astype(np.float64) / math.log(10)
+
+
+def no_norms() -> np.ndarray:
+    return np.full((N_OUT + 1) ** 2, np.nan, np.float32)
 
 
 class Trainer:
     """AdaGrad steps on the NCE objective; the noise words of a batch are shared by its positions."""
 
-    def __init__(self, model: LogBilinear, noise: np.ndarray, seed: int):
-        self.m, self.log_kp = model, np.log(NOISE * noise).astype(np.float32)
+    def __init__(self, start: np.ndarray | None, noise: np.ndarray, seed: int):
+        """``start``: what ``state`` gave in the round before, with the sums of squared gradients."""
+        sizes = np.cumsum([N_OUT + 1, N_OUT + 1, N_OUT, N_OUT])
+        at = None if start is None else len(start) - sizes[-1]
+        self.m = LogBilinear.fresh(noise) if start is None else LogBilinear.from_flat(start[:at])
+        sq = np.full(sizes[-1], 1e-2, np.float32) if start is None else start[at:].astype(np.float32)
+        self.sq = [x.reshape(-1, 1).copy() for x in np.split(sq, sizes[:-1])]
+        self.sq[3] = self.sq[3].ravel()
+        self.log_kp = np.log(NOISE * noise).astype(np.float32)
         self.cum, self.rng = np.cumsum(noise), np.random.default_rng(seed)
-        self.sq = [np.full((len(x), 1), 1e-2, np.float32) for x in (model.near, model.far, model.target)] + [np.full(len(model.bias), 1e-2, np.float32)]
+
+    def state(self) -> np.ndarray:
+        return np.concatenate([self.m.flat(), *(x.ravel() for x in self.sq)])
 
     def _move(self, which: int, param: np.ndarray, keys: np.ndarray, grads: np.ndarray) -> None:
         size = grads**2 if grads.ndim == 1 else (grads**2).mean(1, keepdims=True)
@@ -144,60 +150,70 @@ class Trainer:
         param[keys] += RATE * grads / np.sqrt(self.sq[which][keys])
 
     def step(self, near: np.ndarray, far: np.ndarray, out: np.ndarray) -> None:
-        m, n = self.m, len(out)
-        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE) * self.cum[-1]), N_OUT - 1)
-        q = m.near[near] + m.far[far]
-        r, rn = m.target[out], m.target[noise]
-        pos = np.einsum("ij,ij->i", q, r) + m.bias[out] - self.log_kp[out]
-        neg = q @ rn.T + (m.bias[noise] - self.log_kp[noise])
-        gp = 1 / (1 + np.exp(np.clip(pos, -30, 30)))  # 1 - sigmoid
-        gn = -1 / (1 + np.exp(-np.clip(neg, -30, 30)))
-        gq = gp[:, None] * r + gn @ rn
-        gt = np.concatenate([gp[:, None] * q, gn.T @ q])
-        gb = np.concatenate([gp, gn.sum(0)])
-        scale = np.float32(1 / math.sqrt(n))
-        for which, param, rows, keys in ((0, m.near, gq, near), (1, m.far, gq, far), (2, m.target, gt, np.concatenate([out, noise]))):
+        m = self.m
+        drawn = (np.arange(NOISE) + self.rng.random()) / NOISE  # systematic sampling: even shares of frequent words
+        noise = np.minimum(np.searchsorted(self.cum, drawn * self.cum[-1]), N_OUT - 1).astype(np.int16)
+        q = m.near.take(near, 0)
+        q += m.far.take(far, 0)
+        r, rn = m.target.take(out, 0), m.target.take(noise, 0)
+        gp = np.einsum("ij,ij->i", q, r)
+        gp += m.bias.take(out)
+        gp -= self.log_kp.take(out)
+        gn = q @ rn.T
+        gn += m.bias.take(noise) - self.log_kp.take(noise)
+        for g in (gp, gn):
+            np.clip(g, -30, 30, out=g)
+        gp = 1 / (1 + np.exp(gp))  # 1 - sigmoid
+        np.negative(gn, out=gn)
+        np.exp(gn, out=gn)
+        gn += 1
+        np.divide(-1, gn, out=gn)
+        r *= gp[:, None]
+        r += gn @ rn  # the gradient of the context's sum
+        scale = np.float32(1 / math.sqrt(len(out)))
+        noisy = gn.T @ q
+        q *= gp[:, None]
+        outs = np.concatenate([out, noise])
+        for which, param, rows, keys in ((0, m.near, r, near), (1, m.far, r, far), (2, m.target, np.concatenate([q, noisy]), outs), (3, m.bias, np.concatenate([gp, gn.sum(0)]), outs)):
             k, g = _row_sums(rows, keys)
             self._move(which, param, k, g * scale)
-        k, g = _row_sums(gb, np.concatenate([out, noise]))
-        self._move(3, m.bias, k, g * scale)
 
 
-def _contexts(ids: list[int]) -> tuple[list[int], list[int]]:
-    return [BOS, *ids[:-1]], [BOS, BOS, *ids[:-2]] if len(ids) > 1 else [BOS]
+def _contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a run of whole documents, each closed by END: the output before each position, and the one before that."""
+    near = np.empty_like(ids)
+    near[0], near[1:] = BOS, ids[:-1]
+    near[near == END] = BOS
+    far = np.empty_like(ids)
+    far[0], far[1:] = BOS, near[:-1]
+    far[near == BOS] = BOS
+    return near, far
+
+
+def _runs(batches, least: int):
+    """(rows, their ids end to end) over the column ``ids``, in runs of ``least`` ids or more."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index("ids"))
+        first = size = 0
+        for at, x in enumerate(column):
+            size += len(x.as_buffer())
+            if size >= 2 * least or at == len(column) - 1:
+                yield batch.slice(first, at + 1 - first), np.frombuffer(b"".join(column.slice(first, at + 1 - first).to_pylist()), "<i2")
+                first, size = at + 1, 0
 
 
-def _train_part(known: list[bytes], noise: np.ndarray, start: np.ndarray | None):
+def _train_part(noise: np.ndarray, start: np.ndarray | None):
     def run(batches):
-        model = LogBilinear.fresh(noise) if start is None else LogBilinear.from_flat(start)
-        trainer, ids = Trainer(model, noise, 1), _Ids({w: i for i, w in enumerate(known)})
-        near, far, out, seen = [], [], [], 0
-        rng = np.random.default_rng(3)
-
-        def learn():
-            a, b, o = (np.array(x, np.int64) for x in (near, far, out))
-            order = rng.permutation(len(o))
+        trainer, seen, rng = Trainer(start, noise, 1), 0, np.random.default_rng(3)
+        for _, ids in _runs(batches, 64 * BATCH):
+            near, far = _contexts(ids)
+            order = rng.permutation(len(ids))
             for at in range(0, len(order), BATCH):
                 part = order[at : at + BATCH]
-                trainer.step(a[part], b[part], o[part])
-            for x in (near, far, out):
-                x.clear()
-
-        for batch in batches:
-            for text in _texts(batch):
-                got = [ids[w] for w in words(text)]
-                got.append(END)
-                a, b = _contexts(got)
-                near += a
-                far += b
-                out += got
-                seen += len(got)
-                if len(out) > 64 * BATCH:
-                    learn()
-        if out:
-            learn()
+                trainer.step(near[part], far[part], ids[part])
+            seen += len(ids)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.flat().astype("<f4").tobytes()], pa.binary())], names=["seen", "params"])
+            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([trainer.state().astype("<f4").tobytes()], pa.binary())], names=["seen", "params"])
 
     return run
 
@@ -267,96 +283,105 @@ def vocabulary(train: DataFrame) -> Vocabulary:
     return Vocabulary(counts, top, total, distinct, ends, n, once)
 
 
-def train(train_docs: DataFrame, vocab: Vocabulary) -> LogBilinear:
-    """``ROUNDS`` rounds of parallel NCE training over disjoint parts of all training rows."""
+def train(coded: DataFrame, vocab: Vocabulary) -> LogBilinear:
+    """``ROUNDS`` rounds of parallel NCE training over disjoint parts of all rows of ``coded``."""
     noise, params = vocab.noise(), None
     for k in range(ROUNDS):
-        part = train_docs.filter(F.pmod(F.crc32(F.coalesce(F.col("text"), F.lit(""))), F.lit(ROUNDS)) == k).select("text")
-        got = _averaged(part.mapInArrow(_train_part(vocab.known, noise, params), "seen long, params binary"))
+        part = coded.filter(F.pmod(F.col("lm_row"), F.lit(ROUNDS)) == k).select("ids")
+        got = _averaged(part.mapInArrow(_train_part(noise, params), "seen long, params binary"))
         params = params if got is None else got
-    return LogBilinear.fresh(noise) if params is None else LogBilinear.from_flat(params)
+    return Trainer(params, noise, 0).m
 
 
 _HELD: dict = {}
 
 
-def _score_part(lookup, columns: list[str]):
+def _coder(top, class_n, unseen, tokens, distinct, ends):
+    """What a worker needs for coding, made once."""
+    den = math.log10(tokens + 0.1 * (distinct + 1))
+    count = np.array([c for _, c in top], np.float64)
+    outs = np.array([i if i < N_WORDS else N_WORDS + word_class(w) for i, (w, _) in enumerate(top)], np.int16)
+    inner = np.zeros(len(top))
+    if len(top) > N_WORDS:
+        cl = outs[N_WORDS:] - N_WORDS
+        inner[N_WORDS:] = np.log10((1 - unseen[cl]) * count[N_WORDS:] / class_n[cl])
+    return {w: i for i, (w, _) in enumerate(top)}, np.log10(count + 0.1) - den, inner, outs, (math.log10(ends + 0.1) - den, int(ends > 0))
+
+
+def _code_part(lookup, columns: list[str]):
+    """Texts to output ids, with what the held counts give; the words they do not hold go along with their numbers."""
+
     def run(batches):
         if _HELD.get("id") != lookup.id:
             _HELD.clear()
-            _HELD.update(id=lookup.id, value=_prepare(*lookup.value))
-        index, base, inner, outs, model, end_base = _HELD["value"]
-        part = TaskContext.get().partitionId() << 36
-        row = 0
+            _HELD.update(id=lookup.id, value=_coder(*lookup.value))
+        index, base, inner, outs, (end_base, end_known) = _HELD["value"]
+        get, row = index.get, TaskContext.get().partitionId() << 36
         for batch in batches:
-            texts = _texts(batch)
-            for at in range(0, len(texts), 512):
-                some = [words(t) for t in texts[at : at + 512]]
-                lens = np.array([len(x) for x in some])
-                flat = [w for x in some for w in x]
-                get = index.get
-                ids = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
-                out = np.empty(len(flat) + len(some), np.int64)
-                doc_of = np.repeat(np.arange(len(some)), lens + 1)
-                ends = np.cumsum(lens + 1) - 1
-                is_word = np.ones(len(out), bool)
-                is_word[ends] = False
-                known = ids >= 0
-                rare = np.flatnonzero(~known)
-                word_out = np.empty(len(flat), np.int64)
-                word_out[known] = outs[ids[known]]
-                word_out[rare] = [N_WORDS + word_class(flat[i]) for i in rare]
-                out[is_word], out[ends] = word_out, END
-                near = np.r_[BOS, out[:-1]]
-                far = np.r_[BOS, BOS, out[:-2]][: len(out)]
-                starts = np.r_[0, ends[:-1] + 1]
-                near[starts] = BOS
-                far[starts] = BOS
-                far[(starts + 1)[starts < ends]] = BOS
-                lp = model.log10_probs(near, far, out)
-                word_doc = doc_of[is_word]
-                score = np.bincount(doc_of, lp, len(some)) + np.bincount(word_doc[known], inner[ids[known]], len(some))
-                based = np.bincount(word_doc[known], base[ids[known]], len(some)) + end_base[0]
-                n_known = np.bincount(word_doc[known], minlength=len(some)) + end_base[1]
-                rares: list[list] = [[] for _ in some]
-                for i in rare.tolist():
-                    rares[word_doc[i]].append(flat[i])
-                counted = [[{"word": w, "n": n} for w, n in Counter(x).items()] for x in rares]
-                piece = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays(
-                    [*(piece.column(piece.schema.get_field_index(c)) for c in columns), pa.array(np.arange(row, row + len(some)) + part), pa.array((lens + 1).astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(based), pa.array(score), pa.array(counted, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                    names=[*columns, "lm_row", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
-                row += len(some)
+            ids, lens, n_known, based, inside, rares = [], [], [], [], [], []
+            for text in _texts(batch):
+                own = words(text)
+                at = np.fromiter((get(w, -1) for w in own), np.int32, len(own))
+                known = at >= 0
+                held = at[known]
+                out = np.empty(len(own) + 1, "<i2")
+                out[-1] = END
+                out[:-1][known] = outs[held]
+                rare = [own[i] for i in np.flatnonzero(~known).tolist()]
+                if rare:
+                    out[:-1][~known] = [N_WORDS + word_class(w) for w in rare]
+                ids.append(out.tobytes())
+                lens.append(len(out))
+                n_known.append(len(held) + end_known)
+                based.append(float(base[held].sum()) + end_base)
+                inside.append(float(inner[held].sum()))
+                rares.append(Counter(rare))
+            offsets = np.r_[0, np.cumsum([len(x) for x in rares])].astype(np.int32)
+            flat = pa.StructArray.from_arrays([pa.array([w for x in rares for w in x], pa.binary()), pa.array([n for x in rares for n in x.values()], pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(np.arange(row, row + len(ids))), pa.array(lens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(based, pa.float64()), pa.array(inside, pa.float64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                names=[*columns, "lm_row", "n_tokens", "n_known", "base_score", "inner_score", "ids", "rare"],
+            )
+            row += len(ids)
 
     return run
 
 
-def _prepare(top, model_flat, class_n, unseen, tokens, distinct, ends):
-    """What a worker needs for scoring, made once."""
-    den = math.log10(tokens + 0.1 * (distinct + 1))
-    count = np.array([c for _, c in top], np.float64)
-    outs = np.array([i if i < N_WORDS else N_WORDS + word_class(w) for i, (w, _) in enumerate(top)], np.int64)
-    inner = np.zeros(len(top))
-    if len(top) > N_WORDS:
-        cl = outs[N_WORDS:] - N_WORDS
-        inner[N_WORDS:] = np.log10((1 - unseen[cl]) * count[N_WORDS:] / class_n[cl])
-    return {w: i for i, (w, _) in enumerate(top)}, np.log10(count + 0.1) - den, inner, outs, LogBilinear.from_flat(model_flat), (math.log10(ends + 0.1) - den, int(ends > 0))
+def code(docs: DataFrame, vocab: Vocabulary, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and its texts as output ids: the table that training and scoring read."""
+    lookup = _Lookup(docs.sparkSession.sparkContext.broadcast((vocab.top, vocab.class_n, vocab.unseen(), vocab.tokens, vocab.distinct, vocab.ends)))
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
+    schema = f"{kept}lm_row long, n_tokens long, n_known long, base_score double, inner_score double, ids binary, rare array<struct<word:binary,n:bigint>>"
+    return stored(docs.select(*keep, "text").mapInArrow(_code_part(lookup, keep), schema), "lm-coded")
+
+
+def _score_part(lookup):
+    def run(batches):
+        if _HELD.get("id") != lookup.id:
+            _HELD.clear()
+            _HELD.update(id=lookup.id, value=(LogBilinear.from_flat(lookup.value), no_norms()))
+        model, norms = _HELD["value"]
+        for rows, ids in _runs(batches, 1 << 19):
+            near, far = _contexts(ids)
+            ends = np.flatnonzero(ids == END)
+            doc = np.repeat(np.arange(len(ends)), np.diff(np.r_[-1, ends]))
+            scores = np.bincount(doc, model.log10_probs(near, far, ids, norms), len(ends))
+            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(rows.num_columns) if rows.schema.names[i] != "ids"), pa.array(scores)], names=[*(n for n in rows.schema.names if n != "ids"), "outer_score"])
+
+    return run
 
 
-def score(docs: DataFrame, vocab: Vocabulary, model: LogBilinear, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with n_tokens, n_known, base_score and score of its column ``text``."""
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+def score(coded: DataFrame, vocab: Vocabulary, model: LogBilinear, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of a table made by ``code`` with n_tokens, n_known, base_score and score."""
+    spark = coded.sparkSession
     unseen = vocab.unseen()
-    lookup = sc.broadcast((vocab.top, model.flat(), vocab.class_n, unseen, vocab.tokens, vocab.distinct, vocab.ends))
-    holder = _Lookup(lookup)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    schema = f"{kept}, lm_row long, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:binary,n:bigint>>"
-    rows = stored(docs.select(*keep, "text").mapInArrow(_score_part(holder, keep), schema), "lm-rows")
-    den = math.log10(vocab.tokens + 0.1 * (vocab.distinct + 1)) if vocab.tokens else math.log10(0.1)
+    lookup = _Lookup(spark.sparkContext.broadcast(model.flat()))
+    rows = coded.select(*keep, "lm_row", "n_tokens", "n_known", "base_score", "inner_score", "ids")
+    scored = rows.mapInArrow(_score_part(lookup), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("ids").schema) + ", outer_score double")
+    den = math.log10(vocab.tokens + 0.1 * (vocab.distinct + 1))
     n = np.maximum(vocab.class_n, 1)
     shares = spark.createDataFrame([(i, float(np.log10((1 - unseen[i]) / n[i])), float(np.log10(unseen[i]))) for i in range(N_CLASSES)], "cl int, seen_share double, new_share double")
-    rare = rows.select("lm_row", F.explode("rare").alias("r")).select("lm_row", "r.word", "r.n")
+    rare = coded.select("lm_row", F.explode("rare").alias("r")).select("lm_row", "r.word", "r.n")
     joined = rare.join(vocab.counts.withColumnRenamed("n", "c"), "word", "left").withColumn("cl", _class_col(F.col("word"))).join(F.broadcast(shares), "cl")
     c = F.coalesce("c", F.lit(0))
     added = joined.groupBy("lm_row").agg(
@@ -364,8 +389,8 @@ def score(docs: DataFrame, vocab: Vocabulary, model: LogBilinear, keep: list[str
         F.sum(F.col("n") * (F.log10(c + F.lit(0.1)) - F.lit(den))).alias("more_base"),
         F.sum(F.col("n") * F.when(c > 0, F.log10(F.greatest(c, F.lit(1)).cast("double")) + F.col("seen_share")).otherwise(F.col("new_share"))).alias("more_score"),
     )
-    more = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    return rows.drop("rare").join(added, "lm_row", "left").select(*keep, "n_tokens", more("n_known", "more_known"), more("base_score", "more_base"), more("score", "more_score"))
+    more = lambda b: F.coalesce(F.col(b), F.lit(0))
+    return scored.join(added, "lm_row", "left").select(*keep, "n_tokens", (F.col("n_known") + more("more_known")).alias("n_known"), (F.col("base_score") + more("more_base")).alias("base_score"), (F.col("inner_score") + F.col("outer_score") + more("more_score")).alias("score"))
 
 
 class _Lookup:
@@ -395,7 +420,8 @@ def lm_score(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce(rest == 0, F.lit(True)).alias("held_out"), "text")
     train_docs = docs.filter(~F.col("held_out"))
     vocab = vocabulary(train_docs)
-    scored = score(docs, vocab, train(train_docs, vocab), ["doc_id", "held_out"])
+    coded = code(docs, vocab, ["doc_id", "held_out"])
+    scored = score(coded, vocab, train(coded.filter(~F.col("held_out")), vocab), ["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", F.col("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
