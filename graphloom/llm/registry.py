@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from graphloom.llm.fingerprints import op2_fingerprints
 from graphloom.llm.lm_scoring import op1_lm_scoring
+from graphloom.llm.packing import op8_packing
 
 
 def queries():
-    return {"op1_lm_scoring": op1_lm_scoring}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op8_packing)}
 
 
 def oracle_sql():
