@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from graphloom.llm.fingerprints import op2_fingerprints
 from graphloom.llm.lm_scoring import op1_lm_scoring
+from graphloom.llm.near_dedup import op3_near_dedup
 from graphloom.llm.packing import op8_packing
 
 
 def queries():
-    return {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op8_packing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op3_near_dedup, op8_packing)}
 
 
 def oracle_sql():
