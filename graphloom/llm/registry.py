@@ -5,13 +5,14 @@ from __future__ import annotations
 from graphloom.llm.fingerprints import op2_fingerprints
 from graphloom.llm.lm_scoring import op1_lm_scoring
 from graphloom.llm.mixing import op6_mixing
+from graphloom.llm.toxicity import op5_toxicity
 from graphloom.llm.pii import op9_pii
 from graphloom.llm.near_dedup import op3_near_dedup
 from graphloom.llm.packing import op8_packing
 
 
 def queries():
-    return {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op3_near_dedup, op6_mixing, op8_packing, op9_pii)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op3_near_dedup, op5_toxicity, op6_mixing, op8_packing, op9_pii)}
 
 
 def oracle_sql():
