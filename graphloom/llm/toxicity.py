@@ -26,18 +26,19 @@ LEXICONS = 24  # voters that they are dealt to
 LEAST_ROWS = 6  # toxic rows that hold a feature
 LEAST_ODDS = 2.0  # log odds ratio
 PREFIXES = (4, 5, 6, 7)
-TRUST = 0.97  # accuracy of the labels as a voter
-EPOCHS, L2 = 400, 2e-4
+TRUST = 0.99  # accuracy of the labels as a voter
+EPOCHS, L2 = 600, 2e-5
 KEPT_WORDS = 300_000
 
 # Insults that any English filter starts from.
 SEED_LEXICON = ("idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "disgusting", "worthless", "dumb", "hate", "kill", "ugly", "fool")
+# What a text must hold for a pattern to be tried, and the pattern.
 PATTERNS = (
-    re.compile(r"\b[a-z]+\*+[a-z]*\b", re.I),  # masked words
-    re.compile(r"!{3,}"),
-    re.compile(r"\b(?:[A-Z]{4,}\s+){3,}"),  # shouting
-    re.compile(r"\byou(?:'re| are)? (?:an? |so |such )", re.I),
-    re.compile(r"[@#$%&*]{4,}"),
+    ("*", re.compile(r"\b[a-z]+\*+[a-z]+\b", re.I)),  # masked words
+    ("!!!", re.compile("!!!")),
+    ("you", re.compile(r"\byou(?:'re| are)? (?:an? |so |such )", re.I)),
+    ("!", re.compile(r"(?:[A-Z]{4,}\W+){3,}!")),  # shouting
+    ("#$%", re.compile(r"[@#$%&*!]{4,}")),  # grawlix
 )
 EDGES = ".,;:!?\"'()[]{}<>*#$%&@-_|«»¿¡…"
 N_RULES = len(PATTERNS) + 1
@@ -49,10 +50,9 @@ def features(word: str) -> list[str]:
     return [f"={w}", *(w[:n] for n in PREFIXES if len(w) >= n)] if w else []
 
 
-def rules(text: str, own: set) -> list[int]:
-    """Which of the patterns, and of the seed lexicon at last, fire."""
-    fired = [i for i, p in enumerate(PATTERNS) if p.search(text)]
-    return [*fired, len(PATTERNS)] if not own.isdisjoint(SEED_LEXICON) else fired
+def rules(text: str) -> list[int]:
+    """Which of the patterns fire."""
+    return [i for i, (hint, p) in enumerate(PATTERNS) if hint in text and p.search(text)]
 
 
 def _mine_part(batches):
@@ -77,31 +77,39 @@ def _mine_part(batches):
 
 
 class Presence:
-    """Ids of the mined features that a text holds; words met before are remembered."""
+    """Ids of the mined features that a text holds, and of the rules; words met before are remembered."""
 
     def __init__(self, mined: list[str]):
         self.ids = {f: i for i, f in enumerate(mined)}
+        self.seed = len(mined) + len(PATTERNS)
         self.kept: dict = {}
 
-    def __call__(self, text: str) -> tuple[set, list[int]]:
-        own, out, kept = set(text.lower().split()), set(), self.kept
-        for w in own:
+    def _ids(self, word: str) -> tuple:
+        got = tuple(self.ids[f] for f in features(word) if f in self.ids)
+        if word.strip(EDGES) in SEED_LEXICON:
+            got = (*got, self.seed)
+        if len(self.kept) < KEPT_WORDS:
+            self.kept[word] = got
+        return got
+
+    def __call__(self, text: str) -> set:
+        kept, out = self.kept, set()
+        for w in set(text.lower().split()):
             got = kept.get(w)
             if got is None:
-                got = tuple(self.ids[f] for f in features(w) if f in self.ids)
-                if len(kept) < KEPT_WORDS:
-                    kept[w] = got
+                got = self._ids(w)
             if got:
                 out.update(got)
-        return out, rules(text, {w.strip(EDGES) for w in own if len(w) < 24} if len(own) < 64 else {w.strip(EDGES) for w in own})
+        out.update(len(self.ids) + i for i in rules(text))
+        return out
 
 
 def _present_part(mined: list[str]):
     def run(batches):
         present = Presence(mined)
         for batch in batches:
-            got = [present(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([sorted(a) for a, _ in got], pa.list_(pa.int32())), pa.array([b for _, b in got], pa.list_(pa.int32()))], names=["toxic", "held", "fired"])
+            got = [sorted(present(t or "")) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(got, pa.list_(pa.int32()))], names=["toxic", "held"])
 
     return run
 
@@ -174,29 +182,27 @@ class Classifier:
     def fit(cls, sample: DataFrame) -> Classifier:
         """From labelled rows (text, toxic), at most about ``SAMPLE``; what comes to the driver has their size times a few numbers."""
         mined = mine(sample)
-        rows = sample.select("text", "toxic").mapInArrow(_present_part(mined), "toxic int, held array<int>, fired array<int>").collect()
+        rows = sample.select("text", "toxic").mapInArrow(_present_part(mined), "toxic int, held array<int>").collect()
         n = len(mined) + N_RULES
         if not rows:
             return cls(mined, np.append(np.r_[np.zeros(n - 1), 4.0], -2.0))
         votes = np.zeros((len(rows), LEXICONS + N_RULES))
         for i, r in enumerate(rows):
-            votes[i, [h % LEXICONS for h in r["held"]]] = 1
-            votes[i, [LEXICONS + f for f in r["fired"]]] = 1
+            votes[i, [h % LEXICONS if h < len(mined) else LEXICONS + h - len(mined) for h in r["held"]]] = 1
         labels = np.array([r["toxic"] for r in rows])
         y = LabelModel.fit(votes, labels).posterior(votes, labels)
-        present = [np.array([*r["held"], *(len(mined) + f for f in r["fired"])], np.int64) for r in rows]
+        present = [np.array(r["held"], np.int64) for r in rows]
         return cls(mined, _logistic(present, n, y))
 
 
 def _score_part(model: Classifier, columns: list[str]):
     def run(batches):
         present, w = Presence(model.mined), model.weights
-        m = len(model.mined)
         for batch in batches:
             scores = []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                held, fired = present(text or "")
-                s = w[-1] + w[list(held)].sum() + w[[m + f for f in fired]].sum() if held or fired else w[-1]
+                held = present(text or "")
+                s = w[-1] + w[sorted(held)].sum() if held else w[-1]
                 scores.append(1 / (1 + np.exp(-min(max(s, -30), 30))))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(scores, pa.float64())], names=[*columns, "score"])
 
