@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graphloom.llm.ann import op10_ann
 from graphloom.llm.fingerprints import op2_fingerprints
 from graphloom.llm.lm_scoring import op1_lm_scoring
 from graphloom.llm.mixing import op6_mixing
@@ -12,7 +13,7 @@ from graphloom.llm.packing import op8_packing
 
 
 def queries():
-    return {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op3_near_dedup, op5_toxicity, op6_mixing, op8_packing, op9_pii)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op3_near_dedup, op5_toxicity, op6_mixing, op8_packing, op9_pii, op10_ann)}
 
 
 def oracle_sql():
