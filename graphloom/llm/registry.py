@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from graphloom.llm.ann import op10_ann
 from graphloom.llm.fingerprints import op2_fingerprints
+from graphloom.llm.licenses import op7_licenses
 from graphloom.llm.lm_scoring import op1_lm_scoring
 from graphloom.llm.mixing import op6_mixing
-from graphloom.llm.toxicity import op5_toxicity
-from graphloom.llm.pii import op9_pii
 from graphloom.llm.near_dedup import op3_near_dedup
 from graphloom.llm.packing import op8_packing
+from graphloom.llm.pii import op9_pii
+from graphloom.llm.toxicity import op5_toxicity
+from graphloom.llm.url_filters import op4_url_filters
+
+OPERATORS = (op1_lm_scoring, op2_fingerprints, op3_near_dedup, op4_url_filters, op5_toxicity, op6_mixing, op7_licenses, op8_packing, op9_pii, op10_ann)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op3_near_dedup, op5_toxicity, op6_mixing, op8_packing, op9_pii, op10_ann)}
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
