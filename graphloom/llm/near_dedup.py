@@ -3,10 +3,9 @@
 Documents of equal shingle sets are one class.  The classes' signatures are cut into bands; each
 bucket gets a centre, the class that meets most others, and each member is verified against the
 centre on full sets, so a bucket of n members costs n comparisons.  Members that the components
-found so far leave apart are then matched within the centre's group by a prefix filter: sets as
-similar as the threshold asks must share one of their first shingles in any common order, and
-ordering the shingles that the centre lacks first keeps those candidates few.  All links are
-verified; none that the bands find is lost.
+found so far leave apart from their centre are then matched with all of the centre's group, block by
+block, by how their sets differ from the centre's: that gives exact intersections without the texts,
+and only links come out.  All links are verified on full sets; none that the bands find is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +25,10 @@ SALTS = 256
 HELD_IDS = 2_000_000  # ids that a broadcast may hold; beyond, a shuffle join
 LEVEL_BITS = 26  # a signature value is its level and 26 random bits
 
+BLOCK, BLOCK_TOKENS = 1024, 500_000  # strays of a block, and their differences
+
 _U = np.uint64
+LACK = _U(0x5851F42D4C957F2D)  # marks a shingle that the centre has and the member lacks
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,13 +117,8 @@ def _signature_part(batches):
             )
 
 
-def _least_overlap(n: int, percent: int) -> int:
-    """The least intersection of a set of n with any other set that is similar enough."""
-    return -(-percent * n // 100)
-
-
 def _verify_part(percent: int):
-    """Over rows sorted by centre, salt and role: each member against its centre, and its prefix in the centre's order."""
+    """Over rows sorted by centre, salt and role: each member against its centre, and where the two differ."""
 
     def run(batches):
         out: list = []
@@ -140,9 +137,8 @@ def _verify_part(percent: int):
                     shared = np.isin(own, hub, assume_unique=True)
                     inter = int(shared.sum())
                     linked = 100 * inter >= percent * (len(own) + len(hub) - inter)
-                    order = np.concatenate([own[~shared], own[shared]])
-                    prefix = order[: len(own) - _least_overlap(len(own), percent) + 1]
-                    out.append((rep, c, len(own), linked, prefix.view(np.int64)))
+                    lacks = np.setdiff1d(hub, own, assume_unique=True) ^ LACK
+                    out.append((rep, c, len(own), linked, np.sort(np.concatenate([own[~shared], lacks]).view(np.int64))))
                 if len(out) >= 1000:
                     yield _verified(out)
         if out:
@@ -154,17 +150,17 @@ def _verify_part(percent: int):
 def _verified(out: list) -> pa.RecordBatch:
     cols = list(zip(*out, strict=True))
     out.clear()
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())), strict=True)], names=["rep", "center", "n", "linked", "prefix"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())), strict=True)], names=["rep", "center", "n", "linked", "diff"])
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(rep, center, n, linked, prefix) of the pairs (rep, center); a centre's members are spread over salts."""
+    """(rep, center, n, linked, diff) of the pairs (rep, center); a centre's members are spread over salts."""
     pairs = pairs.select("rep", "center", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("salt"))
     members = pairs.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("center", "salt", F.lit(1).alias("role"), "rep", "text")
     hubs = pairs.groupBy("center", "salt").agg(F.lit(0).alias("role")).join(texts.withColumnRenamed("doc_id", "center"), "center").select("center", "salt", "role", F.col("center").alias("rep"), "text")
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = members.unionByName(hubs).repartition(n, "center", "salt").sortWithinPartitions("center", "salt", "role")
-    return rows.mapInArrow(_verify_part(percent), "rep long, center long, n long, linked boolean, prefix array<long>")
+    return rows.mapInArrow(_verify_part(percent), "rep long, center long, n long, linked boolean, diff array<long>")
 
 
 def _union_part(batches):
@@ -225,8 +221,8 @@ def _links(signed: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None
     full = stored(rows.join(buckets, "key"), "nd-full")
     known = full.groupBy("rep").agg(F.sum("size").alias("known"))
     full = stored(full.join(known, "rep").select("key", "rep", "known"), "nd-known")
-    centres = full.groupBy("key").agg(F.max(F.struct(F.col("known"), -F.col("rep"))).alias("top")).select("key", (-F.col("top.col2")).alias("center"))
-    pairs = stored(full.join(centres, "key").filter("rep <> center").select("rep", "center").distinct(), "nd-pairs")
+    centres = full.groupBy("key").agg(F.max(F.struct(F.col("known"), -F.col("rep"))).alias("top")).select("key", (-F.col("top.col2")).alias("center"), F.col("top.known").alias("fame"))
+    pairs = stored(full.join(centres, "key").filter("rep <> center").select("rep", "center", "fame").distinct(), "nd-pairs")
     if pairs.isEmpty():
         return None
     ids = stored(pairs.select(F.explode(F.array("rep", "center")).alias("doc_id")).distinct(), "nd-ids")
@@ -234,23 +230,96 @@ def _links(signed: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None
     stars = stored(_verify(pairs, texts, percent), "nd-stars")
     links = stars.filter("linked").select(F.col("rep").alias("u"), F.col("center").alias("v"))
     root = stored(components(links), "nd-roots")
-    apart = _apart(stars, root, percent)
-    if apart.isEmpty():
-        return root
-    more = stored(_verify(apart, texts, percent).filter("linked").select(F.col("rep").alias("u"), F.col("center").alias("v")), "nd-more")
+    more = stored(_inner_links(stars, pairs, root, percent), "nd-more")
     return root if more.isEmpty() else components(links.unionByName(more))
 
 
-def _apart(stars: DataFrame, root: DataFrame, percent: int) -> DataFrame:
-    """Pairs (rep, center) in a centre's group, still in different components, that share a prefix shingle."""
+def _block_part(percent: int):
+    """Over rows sorted by centre, block and role: the block's strays (role 0), then each member against all of them.
+
+    Sets are known by their differences from the centre, and sets differ from each other exactly
+    where those differ.  Links that join components not yet joined in the block come out.
+    """
+
+    def run(batches):
+        at, block, index = None, [], None
+        out: list = []
+
+        def links(row):
+            rep, n, own, main, diff = row
+            tokens, ptr, owners, sizes, ns, roots, mains, reps, find, parent = index
+            pos = np.minimum(np.searchsorted(tokens, diff), len(tokens) - 1)
+            pos = pos[tokens[pos] == diff]
+            lens = ptr[pos + 1] - ptr[pos]
+            places = np.repeat(ptr[pos] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+            shared = np.bincount(owners[places], minlength=len(ns))
+            apart = sizes + len(diff) - 2 * shared
+            inter2 = ns + n - apart  # twice the intersection
+            ok = 100 * inter2 >= percent * (2 * (ns + n) - inter2)
+            ok &= (roots != own) & ((mains != main) | (mains == at[0]))
+            for i in np.flatnonzero(ok).tolist():
+                x, y = find(own), find(int(roots[i]))
+                if x != y:
+                    parent[x] = y
+                    out.append((rep, int(reps[i])))
+
+        def indexed():
+            sizes = np.array([len(r[4]) for r in block])
+            flat, owner = np.concatenate([r[4] for r in block]), np.repeat(np.arange(len(block)), sizes)
+            order = np.argsort(flat, kind="stable")
+            tokens, first = np.unique(flat[order], return_index=True)
+            parent: dict = {}
+
+            def find(x):
+                while parent.setdefault(x, x) != x:
+                    x = parent[x]
+                return x
+
+            ints = lambda k: np.array([r[k] for r in block], np.int64)
+            return tokens, np.append(first, len(flat)), owner[order], sizes, ints(1), ints(2), ints(3), ints(0), find, parent
+
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns[:-1]]
+            for c, b, role, rep, n, own, main, diff in zip(*cols, batch.columns[-1], strict=True):
+                row = (rep, n, own, main, diff.values.to_numpy())
+                if at != (c, b):
+                    at, block, index = (c, b), [], None
+                if role == 0:
+                    block.append(row)
+                elif block:
+                    index = index or indexed()
+                    links(row)
+                if len(out) > 10_000:
+                    yield _pairs_batch(out)
+        if out:
+            yield _pairs_batch(out)
+
+    return run
+
+
+def _pairs_batch(out: list) -> pa.RecordBatch:
+    u, v = zip(*out, strict=True)
+    out.clear()
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _inner_links(stars: DataFrame, pairs: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members of a centre's group that the components ``root`` leave apart.
+
+    Strays, the members outside their centre's component, are the queries, in blocks of bounded
+    size, against all members.  Of the groups that hold both ends, their main centre's looks at a pair.
+    """
     rooted = lambda df, c, name: df.join(root.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
-    members = stored(rooted(rooted(stars.select("rep", "center", "n", "prefix"), "rep", "own"), "center", "hub"), "nd-members")
-    strays = members.filter("own <> hub")
-    tokens = lambda df: df.select("center", F.explode("prefix").alias("token"), "rep", "n", "own")
-    a = tokens(strays)
-    b = tokens(members.join(strays.select("center").distinct(), "center", "left_semi")).select("center", "token", F.col("rep").alias("other"), F.col("n").alias("n2"), F.col("own").alias("own2"))
-    near = a.join(b, ["center", "token"]).filter(f"own <> own2 and 100 * n >= {percent} * n2 and 100 * n2 >= {percent} * n")
-    return stored(near.select(F.greatest("rep", "other").alias("rep"), F.least("rep", "other").alias("center")).distinct(), "nd-apart")
+    main = pairs.groupBy("rep").agg((-F.max(F.struct("fame", -F.col("center")))["col2"]).alias("main"))
+    members = stored(rooted(rooted(stars.select("rep", "center", "n", "diff").join(main, "rep"), "rep", "own"), "center", "hub"), "nd-members")
+    blocks = members.filter("own <> hub").groupBy("center").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("diff")) / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    members = members.join(blocks, "center")
+    tail = ("rep", "n", "own", "main", "diff")
+    strays = members.filter("own <> hub").select("center", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), *tail)
+    all_ = members.select("center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), *tail)
+    n = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = strays.unionByName(all_).repartition(n, "center", "block").sortWithinPartitions("center", "block", "role")
+    return rows.mapInArrow(_block_part(percent), "u long, v long")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
