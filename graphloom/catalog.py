@@ -2,17 +2,489 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
-def entry(spark, sf_dir):
-    """The flagship query."""
-    raise NotImplementedError
+from graphloom.functions import text as tx
+from graphloom.operators import chunking, evaluation, graph, quality, retrieval
+from graphloom.operators import pages as paging
+from graphloom.plans import answers, fixtures
+from graphloom.plans.fixtures import read
+
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that checks it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries():
     """Name -> callable (spark, sf_dir) -> DataFrame."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
     """Name -> DuckDB SQL."""
-    return {}
+    return dict(SQL)
+
+
+BODY = r"regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+CHUNKS = rf"""
+WITH b AS (SELECT doc_id, lang, source, {BODY} AS body FROM documents),
+ n AS (SELECT *, length(body) AS len, CASE WHEN length(body) = 0 THEN 0 WHEN length(body) <= 2600 THEN 1 ELSE CAST(ceil((length(body) - 2600) / 2350.0) AS INT) + 1 END AS n FROM b),
+ c AS (SELECT doc_id, lang, source, i::INT AS idx, substring(body, ((i - 1) * 2350 + 1)::INT, 2600) AS chunk FROM n, LATERAL (SELECT unnest(generate_series(1, n.n)) AS i))
+"""
+
+
+@query(CHUNKS + "SELECT doc_id, idx AS \"index\", length(chunk)::BIGINT AS n_chars, md5(chunk) AS digest, source || '#page=unknown#chunk=' || idx AS source_ref FROM c")
+def chunk_documents(spark, sf):
+    rows = chunking.split_text(read(spark, sf, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", "index", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"), "source_ref")
+
+
+@query(CHUNKS + "SELECT lang, count(*)::BIGINT AS chunks, sum(length(chunk))::BIGINT AS chars FROM c GROUP BY lang")
+def chunk_counts_by_lang(spark, sf):
+    return chunking.split_text(read(spark, sf, "documents").select("lang", "text", "source")).groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+
+
+PAGES = "WITH p AS (SELECT conv_id AS doc, (turn + 1)::INT AS page, text FROM conversations WHERE (conv_id + turn) % 5 <> 0), i AS (SELECT *, page - row_number() OVER (PARTITION BY doc ORDER BY page) AS island FROM p), s AS (SELECT *, row_number() OVER (PARTITION BY doc, island ORDER BY page) AS pos, count(*) OVER (PARTITION BY doc, island) AS n FROM i)"
+WINDOWED = "SELECT doc, win::INT AS win, island, min(page)::INT AS first, max(page)::INT AS last, count(*)::BIGINT AS pages FROM (SELECT s.*, unnest(generate_series(0, {wins} - 1)) AS win FROM s) WHERE pos - 1 >= win * 2 AND pos - 1 < win * 2 + 3 GROUP BY doc, island, win"
+WINS = "(CASE WHEN n <= 3 THEN 1 ELSE CAST(ceil((n - 3) / 2.0) AS INT) + 1 END)"
+
+
+@query(PAGES + "SELECT doc, island, min(page)::INT AS first, max(page)::INT AS last, count(*)::BIGINT AS pages FROM s GROUP BY doc, island")
+def page_groups(spark, sf):
+    return paging.islands(fixtures.pages(spark, sf), "doc").groupBy("doc", "island").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.count(F.lit(1)).alias("pages"))
+
+
+def _windows(spark, sf, buffered):
+    spread = paging.windows(fixtures.pages(spark, sf), "doc", 3, 1, buffered=buffered)
+    return spread.groupBy("doc", "island", "win").agg(F.min("page").alias("first"), F.max("page").alias("last"), F.count(F.lit(1)).alias("pages"))
+
+
+@query(PAGES + WINDOWED.format(wins=WINS))
+def page_windows_batch(spark, sf):
+    return _windows(spark, sf, False)
+
+
+@query(PAGES + WINDOWED.format(wins=f"({WINS} + CASE WHEN n >= 3 AND (n - 3) % 2 = 0 THEN 1 ELSE 0 END)"))
+def page_windows_buffered(spark, sf):
+    return _windows(spark, sf, True)
+
+
+@query(PAGES + "SELECT doc, island, win::INT AS win, printf('%d_pages_%04d_%04d.txt', doc, min(page), max(page)) AS filename, md5(string_agg('===== PAGE ' || page || ' =====' || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY page)) AS digest FROM (SELECT s.*, unnest(generate_series(0, " + WINS + " - 1)) AS win FROM s) WHERE pos - 1 >= win * 2 AND pos - 1 < win * 2 + 3 GROUP BY doc, island, win HAVING min(page) < max(page)")
+def window_files(spark, sf):
+    rows = paging.window_texts(paging.windows(fixtures.pages(spark, sf), "doc", 3, 1), "doc")
+    return rows.filter("first < last").select("doc", "island", "win", "filename", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+SPANS = "WITH t AS (SELECT conv_id AS doc, turn + 1 AS page, length('===== PAGE ' || (turn + 1) || ' =====' || chr(10) || text) AS len FROM conversations), s AS (SELECT doc, page::INT AS page, (sum(len + 2) OVER (PARTITION BY doc ORDER BY page) - len - 2)::INT AS start, len, max(page) OVER (PARTITION BY doc) AS last FROM t)"
+
+
+@query(SPANS + "SELECT doc, page, CASE WHEN page = 1 THEN start ELSE start - 1 END::INT AS start, CASE WHEN page = last THEN start + len ELSE start + len + 1 END::INT AS \"end\" FROM s")
+def page_marker_spans(spark, sf):
+    return fixtures.paged_text(spark, sf).select("doc", F.explode(tx.page_spans(F.col("text"))).alias("s")).select("doc", "s.page", "s.start", "s.end")
+
+
+@query(SPANS + ", e AS (SELECT doc, page, CASE WHEN page = 1 THEN start ELSE start - 1 END AS a, start + len + (page < last)::INT AS z FROM s), d AS (SELECT doc, max(z) AS len FROM e GROUP BY doc), c AS (SELECT doc, len, i FROM d, LATERAL (SELECT unnest(generate_series(1, CASE WHEN d.len <= 400 THEN 1 ELSE CAST(ceil((d.len - 400) / 350.0) AS INT) + 1 END)) AS i)) SELECT c.doc, i::INT AS \"index\", min(page)::INT AS page_start, max(page)::INT AS page_end FROM c JOIN e ON e.doc = c.doc AND a < least((i - 1) * 350 + 400, len) AND z > (i - 1) * 350 GROUP BY c.doc, i")
+def chunk_page_ranges(spark, sf):
+    rows = fixtures.paged_text(spark, sf).withColumn("source", F.concat(F.lit("conv"), F.col("doc").cast("string")))
+    return chunking.split_text(rows, size=400, overlap=50).select("doc", "index", "page_start", "page_end")
+
+
+COMPACT = r"regexp_replace({}, '\s+', '', 'g')"
+AUDIT = (
+    PAGES
+    + rf""", b AS (SELECT doc, page, lead(page) OVER w AS next_page, {COMPACT.format('text')} AS t, lead({COMPACT.format('text')}) OVER w AS h, regexp_matches(regexp_replace(text, '\s+$', ''), '[。！？!?；;：:.]$') AS closed FROM p WINDOW w AS (PARTITION BY doc ORDER BY page)),
+ c AS (SELECT doc, min(page) AS page_start, max(page) AS page_end, {COMPACT.format("string_agg(text, ' ' ORDER BY page)")} AS t FROM (SELECT s.*, unnest(generate_series(0, {WINS} - 1)) AS win FROM s) WHERE pos - 1 >= win * 2 AND pos - 1 < win * 2 + 3 GROUP BY doc, island, win),
+ a AS (SELECT b.doc, b.page, b.next_page, b.closed, count(c.t) AS covering, coalesce(sum((contains(c.t, right(right(b.t, 80), 24)) AND contains(c.t, left(left(b.h, 80), 24)))::INT), 0) AS holding FROM b LEFT JOIN c ON c.doc = b.doc AND c.page_start <= b.page AND c.page_end >= b.next_page WHERE b.next_page = b.page + 1 GROUP BY ALL),
+ r AS (SELECT *, CASE WHEN holding > 0 THEN 'ok' WHEN covering > 0 THEN 'warning' ELSE 'fail' END AS status FROM a) """
+)
+
+
+def _audit(spark, sf):
+    rows = fixtures.pages(spark, sf)
+    spread = paging.windows(rows, "doc", 3, 1)
+    own = F.array_sort(F.collect_list(F.struct("page", "text")))
+    chunks = spread.groupBy("doc", "island", "win").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.array_join(F.transform(own, lambda p: p["text"]), " ").alias("text"))
+    return paging.audit_boundaries(paging.boundaries(rows, "doc"), chunks, "doc")
+
+
+@query(AUDIT + "SELECT doc, page, next_page::INT AS next_page, covering::BIGINT AS covering, holding::BIGINT AS holding, status, NOT closed AS likely_sentence_split FROM r")
+def boundary_audit(spark, sf):
+    return _audit(spark, sf)
+
+
+@query(AUDIT + "SELECT count(*)::BIGINT AS boundaries, count(*) FILTER (status = 'ok')::BIGINT AS ok, count(*) FILTER (status = 'warning')::BIGINT AS warning, count(*) FILTER (status = 'fail')::BIGINT AS fail, round(count(*) FILTER (status = 'ok') / nullif(count(*), 0)::DOUBLE, 6) AS bridge_rate, round(count(*) FILTER (status <> 'ok') / nullif(count(*), 0)::DOUBLE, 6) AS risk_rate FROM r")
+def boundary_summary(spark, sf):
+    return paging.boundary_summary(_audit(spark, sf))
+
+
+EDGE_CHARS = r"[\s:：,，.;；\-—_()（）\[\]【】\x22\x27“”]+"
+KEY_CHARS = r"[\s\-_./\\:：,，.;；()（）\[\]【】{}<>《》\x22\x27“”‘’]+"
+CLEAN = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(name, '\s+', ' ', 'g')), '^{EDGE_CHARS}', ''), '{EDGE_CHARS}$', ''), '(?i)^(the|a|an)\s+', ''), '(的)?(主要|最重要的|重要的)?(组分|成分|质量|控制|工艺|操作)$', '')"
+NAMES = (("the Large, Pump.", "Equipment"), ("  An  Offer ", "raw_material"), ("《催化剂》的主要组分", "原料"), ("（装置）", "Unit"), ("12.5", "device"), ("x", "Gadget"), ("A--b_c/d", "machine"), ("产品质量", "Product"), ("设备", "仪表"), ("risk", "risk"), ("Theatre", "step"), ("", "Company"))
+NAME_ROWS = "WITH v(name, label) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in NAMES) + "), n AS (SELECT name, label FROM v UNION ALL SELECT DISTINCT p_name, p_type FROM part UNION ALL SELECT n_name, 'Plant' FROM nation)"
+
+
+def _names(spark, sf):
+    v = spark.createDataFrame(NAMES, "name string, label string")
+    return v.unionByName(read(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("label")).distinct()).unionByName(read(spark, sf, "nation").select(F.col("n_name").alias("name"), F.lit("Plant").alias("label")))
+
+
+@query(NAME_ROWS + f", c AS (SELECT name, {CLEAN} AS clean FROM n) SELECT name, clean, regexp_replace(lower(clean), '{KEY_CHARS}', '', 'g') AS canonical_key, regexp_replace(lower(name), '{KEY_CHARS}', '', 'g') AS match_key FROM c")
+def normalized_keys(spark, sf):
+    n = _names(spark, sf)
+    return n.select("name", tx.clean_name(F.col("name")).alias("clean"), tx.canonical_key(F.col("name")).alias("canonical_key"), tx.match_key(F.col("name")).alias("match_key"))
+
+
+@query(NAME_ROWS + f", c AS (SELECT name, {CLEAN} AS clean FROM n), k AS (SELECT *, regexp_replace(lower(clean), '{KEY_CHARS}', '', 'g') AS k FROM c) SELECT name, (k = '' OR clean IN ({', '.join(repr(g) for g in tx.GENERIC_NAMES)}) OR k IN ({', '.join(repr(g) for g in tx.GENERIC_NAMES)}) OR length(clean) > 60 OR length(k) < 2 OR regexp_full_match(k, '[\\d.]+')) AS bad FROM k")
+def bad_entity_names(spark, sf):
+    return _names(spark, sf).select("name", tx.bad_name(tx.clean_name(F.col("name"))).alias("bad"))
+
+
+@query("SELECT * FROM (VALUES ('Equipment', 'Equipment'), ('raw_material', 'Material'), ('原料', 'Material'), ('Raw Material', NULL), ('仪表', 'Equipment'), ('STEP', 'Operation'), ('Gadget', NULL), ('the Unit', 'Unit')) AS v(label, mapped)")
+def label_map(spark, sf):
+    rows = spark.createDataFrame([(x,) for x in ("Equipment", "raw_material", "原料", "Raw Material", "仪表", "STEP", "Gadget", "the Unit")], "label string")
+    return rows.select("label", tx.map_label(F.col("label")).alias("mapped"))
+
+
+@query("SELECT * FROM (VALUES ('has unit', 'HAS_UNIT'), ('Produces', 'PRODUCES'), ('composed_of', 'HAS_COMPONENT'), ('生产', 'PRODUCES'), ('likes', NULL), ('part-of', 'PART_OF'), ('contains', 'HAS_COMPONENT')) AS v(type, mapped)")
+def type_map(spark, sf):
+    rows = spark.createDataFrame([(x,) for x in ("has unit", "Produces", "composed_of", "生产", "likes", "part-of", "contains")], "type string")
+    return rows.select("type", tx.map_type(F.col("type")).alias("mapped"))
+
+
+@query("SELECT * FROM (VALUES ('Guide_2nd_page_12.txt', 'Guide 2nd', 'Guide 2nd page 12', 12), ('Guide_pages_0001_0020.TXT', 'Guide', 'Guide pages 0001 0020', NULL), ('My_Book (Z-Library) x.pdf', 'My Book (', 'My Book (', NULL), ('Notes (3).md', 'Notes', 'Notes', NULL), ('', 'document', '', NULL), ('src7', 'src7', 'src7', NULL)) AS v(source, document, cited, page)")
+def document_names(spark, sf):
+    rows = spark.createDataFrame([(x,) for x in ("Guide_2nd_page_12.txt", "Guide_pages_0001_0020.TXT", "My_Book (Z-Library) x.pdf", "Notes (3).md", "", "src7")], "source string")
+    s = F.col("source")
+    return rows.select("source", tx.document_name(s).alias("document"), tx.source_name(s).alias("cited"), tx.page_of_source(s).alias("page"))
+
+
+@query("SELECT page_id, CASE WHEN p % 4 = 0 THEN NULL WHEN p % 3 = 0 THEN p || '-' || (p + 2) ELSE p::VARCHAR END AS label, 'doc#page=' || coalesce(CASE WHEN p % 4 = 0 THEN NULL WHEN p % 3 = 0 THEN p || '-' || (p + 2) ELSE p::VARCHAR END, 'unknown') || '#chunk=' || page_id AS source_ref FROM (SELECT page_id, page_id % 12 + 1 AS p FROM pages)")
+def page_labels(spark, sf):
+    p = F.col("page_id") % 12 + 1
+    rows = read(spark, sf, "pages").select("page_id", F.when(p % 4 != 0, p).alias("a"), F.when(p % 4 != 0, p + F.when(p % 3 == 0, 2).otherwise(0)).alias("b"))
+    return rows.select("page_id", tx.page_label(F.col("a"), F.col("b")).alias("label"), tx.source_ref(F.lit("doc"), F.col("a"), F.col("b"), F.col("page_id")).alias("source_ref"))
+
+
+@query("SELECT * FROM (VALUES ('1,5,20-30', 22, '1,5,20,21,22'), ('all', 3, '1,2,3'), ('', 2, '1,2'), ('9-7,2', 10, '2'), ('*', 1, '1'), ('0,4', 3, '')) AS v(spec, pages, picked)")
+def page_list_parse(spark, sf):
+    rows = spark.createDataFrame([("1,5,20-30", 22), ("all", 3), ("", 2), ("9-7,2", 10), ("*", 1), ("0,4", 3)], "spec string, pages int")
+    return rows.select("spec", "pages", F.array_join(tx.select_pages(F.col("spec"), F.col("pages")), ",").alias("picked"))
+
+
+@query("SELECT * FROM (VALUES ('3-5, 9，10', '3,4,5,9,10'), ('0041', '41'), ('iv,2', 'iv,2'), ('8-6', ''), ('a-b', 'a-b'), ('', '')) AS v(pages, expanded)")
+def page_expand(spark, sf):
+    rows = spark.createDataFrame([(x,) for x in ("3-5, 9，10", "0041", "iv,2", "8-6", "a-b", "")], "pages string")
+    return rows.select("pages", F.array_join(tx.expand_pages(F.col("pages")), ",").alias("expanded"))
+
+
+@query("SELECT * FROM (VALUES ('A b -> uses -> C', 'ab', 'USES', 'c'), ('a --REL--> b', NULL, NULL, NULL), ('x->r->y', 'x', 'R', 'y')) AS v(triple, source, type, target)")
+def triple_parse(spark, sf):
+    rows = spark.createDataFrame([(x,) for x in ("A b -> uses -> C", "a --REL--> b", "x->r->y")], "triple string").withColumn("t", tx.triple_of(F.col("triple")))
+    return rows.select("triple", "t.source", "t.type", "t.target")
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def json_salvage(spark, sf):
+    wrapped = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" as asked"))).otherwise(F.col("props"))
+    return read(spark, sf, "events").select("event_id", F.get_json_object(tx.extract_json(wrapped), "$.k").cast("long").alias("k"))
+
+
+@query("SELECT lang, count(*)::BIGINT AS tokens, count(DISTINCT t)::BIGINT AS vocabulary FROM (SELECT lang, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS t FROM documents) GROUP BY lang")
+def token_bag(spark, sf):
+    rows = read(spark, sf, "documents").select("lang", F.explode(tx.question_tokens(F.col("text"))).alias("t"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("t").alias("vocabulary"))
+
+
+@query(r"SELECT doc_id, count(*)::BIGINT AS sentences, max(length(s))::INT AS longest FROM (SELECT doc_id, regexp_replace(unnest(regexp_split_to_array(text, '[\n。！？!?；;]')), '^\s+|\s+$', '', 'g') AS s FROM documents) WHERE s <> '' GROUP BY doc_id")
+def sentence_split(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("s"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.max(F.length("s")).alias("longest"))
+
+
+RULE_TEXT = "催化剂的主要组分是氧化铝、分子筛和少量稀土。干气质量指标是硫含量。无关的一句"
+
+
+@query("SELECT * FROM (VALUES ('催化剂', 'HAS_COMPONENT', '氧化铝', 0), ('催化剂', 'HAS_COMPONENT', '分子筛', 1), ('干气', 'HAS_QUALITY_INDEX', '硫含量', 2)) AS v(source, type, target, pos)")
+def rule_extract(spark, sf):
+    rows = spark.createDataFrame([(RULE_TEXT,)], "text string").select(F.posexplode(quality.rule_candidates(F.col("text"))).alias("pos", "r"))
+    return rows.select("r.source", "r.type", "r.target", "pos")
+
+
+EDGE_ROWS = """WITH e AS (SELECT 's' || l_suppkey AS src_key, 'p' || l_partkey AS dst_key, row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS seq, 'order ' || l_orderkey AS evidence, round(1 - l_discount * 3, 3) AS confidence, 'doc' || (l_orderkey % 7) AS document, (l_orderkey % 50 + 1)::VARCHAR AS page, l_returnflag AS flag, 'src' || (l_orderkey % 7) AS source FROM lineitem)"""
+
+
+@query(EDGE_ROWS + "SELECT src_key, dst_key, arg_max(evidence, row(confidence, seq)) AS evidence, max(confidence) AS confidence, arg_max(page, row(confidence, seq)) AS page, arg_max(flag, seq) AS flag, arg_min(source, seq) AS source, count(*)::BIGINT AS support_count, count(DISTINCT document)::INT AS n_documents, count(DISTINCT page)::INT AS n_pages FROM e GROUP BY src_key, dst_key")
+def edge_upsert(spark, sf):
+    rows = fixtures.edges(spark, sf)
+    return rows.select("src_key", "dst_key", "evidence", "confidence", "page", F.element_at("quality_flags", 1).alias("flag"), "source", "support_count", F.size("documents").alias("n_documents"), F.size("pages").alias("n_pages"))
+
+
+@query("SELECT label, count(*)::BIGINT AS nodes, sum(support_count)::BIGINT AS support, count(*) FILTER (description <> '')::BIGINT AS told FROM (SELECT 'Unit' AS label, 's' || s_suppkey AS k, 1 AS support_count, '' AS description FROM supplier UNION ALL SELECT 'Product', 'p' || p_partkey, 1, p_type FROM part UNION ALL SELECT 'Plant', 'n' || n_nationkey, 1, 'nation' FROM nation) GROUP BY label")
+def graph_nodes(spark, sf):
+    nodes = graph.upsert_nodes(fixtures.node_rows(spark, sf))
+    return nodes.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("support_count").alias("support"), F.sum((F.coalesce("description", F.lit("")) != "").cast("long")).alias("told"))
+
+
+@query(EDGE_ROWS + ", g AS (SELECT src_key, dst_key, max(confidence) AS confidence, count(*) AS support_count FROM e GROUP BY ALL) SELECT s_name AS source_name, p_name AS target_name, confidence, support_count::BIGINT AS support_count FROM g JOIN supplier ON src_key = 's' || s_suppkey JOIN part ON dst_key = 'p' || p_partkey WHERE coalesce(confidence, 1.0) >= 0.9")
+def edge_scan(spark, sf):
+    return graph.scan(fixtures.edges(spark, sf), graph.upsert_nodes(fixtures.node_rows(spark, sf)), 0.9).select("source_name", "target_name", "confidence", "support_count")
+
+
+@query(EDGE_ROWS + "SELECT src_key, dst_key, max(confidence) AS confidence, count(*)::BIGINT AS support_count FROM e GROUP BY src_key, dst_key ORDER BY support_count DESC, confidence DESC, src_key, dst_key LIMIT 100")
+def edge_rank(spark, sf):
+    return fixtures.edges(spark, sf).orderBy(*graph.scan_order()).limit(100).select("src_key", "dst_key", "confidence", "support_count")
+
+
+@query(EDGE_ROWS + "SELECT count(*)::BIGINT AS edges FROM (SELECT DISTINCT src_key, dst_key FROM e) WHERE src_key IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0) AND dst_key IN (SELECT 'p' || p_partkey FROM part)")
+def edge_attach(spark, sf):
+    s = read(spark, sf, "supplier").filter("s_acctbal > 0").select(F.lit("Unit").alias("label"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("canonical_key"))
+    p = read(spark, sf, "part").select(F.lit("Product").alias("label"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("canonical_key"))
+    rows = fixtures.edge_rows(spark, sf).select(*graph.EDGE_KEY).distinct()
+    return graph.attached(rows, s.unionByName(p)).agg(F.count(F.lit(1)).alias("edges"))
+
+
+MERGE = "WITH e AS (SELECT l_orderkey % 500 AS chunk, l_suppkey % 5 AS source_key, l_partkey % 5 AS target_key, round(1 - l_discount * 3, 3) AS confidence, row_number() OVER (PARTITION BY l_orderkey % 500, l_suppkey % 5, l_partkey % 5 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS pos, l_orderkey FROM lineitem), b AS (SELECT *, max(confidence) OVER (PARTITION BY chunk, source_key, target_key) AS best, count(*) OVER (PARTITION BY chunk, source_key, target_key) AS n FROM e), f AS (SELECT chunk, source_key, target_key, best, n, min(pos) AS at FROM b WHERE confidence = best GROUP BY ALL)"
+
+
+@query(MERGE + "SELECT f.chunk, f.source_key::VARCHAR AS source_key, f.target_key::VARCHAR AS target_key, f.best AS confidence, (f.n - f.at + 1)::INT AS support_count, 'order ' || e.l_orderkey AS evidence FROM f JOIN e ON e.chunk = f.chunk AND e.source_key = f.source_key AND e.target_key = f.target_key AND e.pos = f.at")
+def edge_merge_chunk(spark, sf):
+    s = lambda c: F.col(c).cast("string")
+    rows = read(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("chunk"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("seq"), (F.col("l_suppkey") % 5).cast("string").alias("sk"), (F.col("l_partkey") % 5).cast("string").alias("tk"), F.round(1 - F.col("l_discount") * 3, 3).alias("confidence"))
+    edge = F.struct(s("sk").alias("source"), s("sk").alias("source_key"), F.lit("Unit").alias("source_label"), F.lit("PRODUCES").alias("type"), s("tk").alias("target"), s("tk").alias("target_key"), F.lit("Product").alias("target_label"), F.concat(F.lit("order "), F.col("seq.l_orderkey").cast("string")).alias("evidence"), "confidence", F.array().cast("array<string>").alias("quality_flags"), F.lit(1).alias("support_count"))
+    # the chunk's own relationships of one key only, so that arrays stay short
+    own = rows.groupBy("chunk", "sk", "tk").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", edge.alias("e")))), lambda x: x["e"]).alias("edges"))
+    return own.select("chunk", F.explode(quality.merged_edges(F.col("edges"))).alias("e")).select("chunk", "e.source_key", "e.target_key", "e.confidence", "e.support_count", "e.evidence")
+
+
+GATE_TEXT = "Pump P-101 feeds reactor R-201. The reactor produces light naphtha at high temperature. 催化剂的主要组分是氧化铝。"
+
+
+def _gated(spark):
+    nodes = [("The Pump P-101", "device", "a pump", ["P101"]), ("pump p-101", "Equipment", "", None), ("Reactor R-201", "Unit", "", None), ("light naphtha", "finished_product", "", None), ("boiler", "Equipment", "", None), ("risk", "Risk", "", None), ("reactor", "Thing", "", None)]
+    edges = [("reactor R-201", "produces", "light naphtha", "The reactor produces light naphtha at high temperature"), ("Pump P-101", "uses material", "light naphtha", "Pump P-101 feeds reactor R-201"), ("Pump P-101", "loves", "light naphtha", "x"), ("light naphtha", "PRODUCES", "light naphtha", "reactor produces light naphtha"), ("reactor", "has_parameter", "high temperature", "The reactor produces light naphtha at high temperature"), ("reactor", "has_parameter", "high temperature", ""), ("boiler", "PRODUCES", "steam", "boiler")]
+    schema = "source string, chunk int, text string, nodes array<struct<name:string,label:string,description:string,aliases:array<string>>>, relationships array<struct<source:string,type:string,target:string,evidence:string>>"
+    return quality.gate(spark.createDataFrame([("manual", 1, GATE_TEXT, nodes, edges)], schema))
+
+
+@query("SELECT * FROM (VALUES ('Pump P-101', 'Equipment', 2), ('Reactor R-201', 'Unit', 1), ('light naphtha', 'Product', 1), ('high temperature', 'Parameter', 1), ('reactor', 'Equipment', 1), ('催化剂', 'Product', 1), ('氧化铝', 'Material', 1)) AS v(name, label, support_count)")
+def gate_nodes(spark, sf):
+    return _gated(spark).select(F.explode("nodes").alias("n")).select("n.name", "n.label", "n.support_count")
+
+
+@query("SELECT * FROM (VALUES ('Reactor R-201', 'PRODUCES', 'light naphtha', 0.9, ''), ('reactor', 'HAS_PARAMETER', 'high temperature', 1.0, ''), ('催化剂', 'HAS_COMPONENT', '氧化铝', 0.92, 'rule_based')) AS v(source, type, target, confidence, flags)")
+def gate_edges(spark, sf):
+    return _gated(spark).select(F.explode("relationships").alias("e")).select("e.source", "e.type", "e.target", "e.confidence", F.array_join("e.quality_flags", ",").alias("flags"))
+
+
+@query("SELECT * FROM (VALUES ('node', 'name_not_found_in_chunk', 1), ('node', 'bad_name', 1), ('node', 'unknown_label', 1), ('relationship', 'double_schema_mismatch', 1), ('relationship', 'unknown_type', 1), ('relationship', 'self_loop', 1), ('relationship', 'missing_evidence', 1), ('relationship', 'endpoint_not_found_in_chunk', 1)) AS v(kind, reason, n)")
+def gate_drop_reasons(spark, sf):
+    return evaluation.reason_counts(_gated(spark))
+
+
+@query("SELECT 1 AS chunks, 7 AS input_nodes, 7 AS accepted_nodes, 7 AS input_relationships, 3 AS accepted_relationships, 8 AS dropped_count")
+def quality_counters(spark, sf):
+    return evaluation.quality_totals(_gated(spark))
+
+
+@query("SELECT k AS canonical_key, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS names FROM (SELECT p_brand, substring(lower(p_brand), 1, 7) AS k FROM part) GROUP BY k HAVING count(DISTINCT p_brand) > 1")
+def alias_groups(spark, sf):
+    rows = read(spark, sf, "part").select("p_brand", F.substring(F.lower("p_brand"), 1, 7).alias("canonical_key"))
+    return evaluation.alias_groups(rows, "canonical_key", "p_brand").select("canonical_key", F.array_join("names", ",").alias("names"))
+
+
+FACTS = """WITH f AS (SELECT n_name AS s, r_name AS t, CASE WHEN n_nationkey % 3 <> 0 THEN n_name || ' in ' || r_name END AS ev, CASE WHEN n_nationkey % 4 <> 0 THEN 0.7 + n_nationkey / 100.0 END::DOUBLE AS conf, n_nationkey % 7 + 1 AS sup, 'n' || n_nationkey AS sk, 'r' || r_regionkey AS tk, 'doc' || (n_nationkey % 3) AS document, CASE WHEN n_nationkey % 5 <> 0 THEN (n_nationkey % 5)::VARCHAR END AS page FROM nation JOIN region ON n_regionkey = r_regionkey),
+ q AS (SELECT n_nationkey AS qid, 'Is ' || n_name || ' located_in ' || lower(r_name) || ' or elsewhere?' AS question FROM nation JOIN region ON r_regionkey = n_nationkey % 5),
+ x AS (SELECT qid, question, f.*, lower(s || ' LOCATED_IN ' || t || CASE WHEN ev IS NULL THEN ' ' ELSE ' ' || ev END) AS hay, list_distinct(regexp_extract_all(lower(question), '[a-z0-9_]+')) AS toks FROM q, f),
+ y AS (SELECT *, round((CASE WHEN contains(question, s) OR contains(question, t) THEN 8.0 ELSE 0.0 END + list_sum(list_transform(toks, lambda k: CASE WHEN contains(hay, k) THEN CASE WHEN length(k) >= 3 THEN 3.0 ELSE 1.0 END ELSE 0.0 END)) + CASE WHEN ev IS NOT NULL THEN 1.5 ELSE 0.0 END)::DOUBLE * greatest(0.1, least(coalesce(conf, 0.75), 1.0))::DOUBLE + least(sup, 5) * 0.4::DOUBLE, 6) AS score FROM x),
+ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sup DESC, coalesce(conf, 1.0) DESC, sk, tk) AS rank FROM y) """
+
+
+@query(FACTS + "SELECT qid::INT AS qid, s AS source_name, t AS target_name, score, rank::INT AS rank FROM r WHERE rank <= 12")
+def fact_topk(spark, sf):
+    return retrieval.top_facts(fixtures.questions(spark, sf), fixtures.facts(spark, sf)).select("qid", "source_name", "target_name", "score", "rank")
+
+
+def _vectors(spark, sf):
+    e = read(spark, sf, "embeddings")
+    questions = e.filter("vec_id < 50").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").alias("qlabel"))
+    return questions, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+NEAR = "WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q, label AS ql FROM embeddings WHERE vec_id < 50), d AS (SELECT qid, ql, vec_id AS id, label, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS score FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM d)"
+
+
+@query(NEAR + "SELECT qid, id, score, rank::INT AS rank FROM r WHERE rank <= 4")
+def vector_topk(spark, sf):
+    return retrieval.top_chunks(*_vectors(spark, sf)).select("qid", "id", "score", "rank")
+
+
+GAINS = NEAR + ", g AS (SELECT qid, id, 1.0::DOUBLE AS gain FROM d WHERE ql = label AND qid <> id), n AS (SELECT qid, count(*) AS e FROM g GROUP BY qid), h AS (SELECT r.qid, r.rank, g.id AS hit FROM r LEFT JOIN g ON g.qid = r.qid AND g.id = r.id WHERE rank <= 10), ks AS (SELECT unnest([3, 5, 10]) AS k), m AS (SELECT n.qid, k, e, count(hit) FILTER (rank <= k) AS got, min(rank) FILTER (rank <= k AND hit IS NOT NULL) AS first, coalesce(sum(1.0 / log2(rank + 1)) FILTER (rank <= k AND hit IS NOT NULL), 0) AS dcg, (SELECT sum(1.0 / log2(i + 1)) FROM range(1, k + 1) t(i) WHERE i <= e) AS best FROM n JOIN h ON h.qid = n.qid, ks GROUP BY n.qid, k, e), l AS (SELECT qid, k, unnest(['page_recall', 'page_hit', 'mrr_page', 'ndcg_page']) AS metric, unnest([round(got / e::DOUBLE, 6), (got > 0)::INT::DOUBLE, round(coalesce(1.0 / first, 0)::DOUBLE, 6), round(dcg / best, 6)]) AS value FROM m)"
+
+
+def _metrics(spark, sf):
+    q, c = _vectors(spark, sf)
+    gains = c.join(F.broadcast(q.select("qid", "qlabel")), (F.col("label") == F.col("qlabel")) & (F.col("id") != F.col("qid"))).select("qid", F.col("id").alias("item"), F.lit(1.0).alias("gain"))
+    hits = retrieval.top_chunks(q, c, 10).select("qid", "rank", F.col("id").alias("item"))
+    return evaluation.ranked_metrics(hits, gains)
+
+
+@query(GAINS + "SELECT qid, k::INT AS k, metric, value FROM l")
+def retrieval_metrics(spark, sf):
+    return _metrics(spark, sf)
+
+
+@query(GAINS + "SELECT k::INT AS k, metric, round(avg(value), 6) AS mean, count(value)::BIGINT AS n FROM l GROUP BY k, metric")
+def metric_summary(spark, sf):
+    return evaluation.summary(_metrics(spark, sf))
+
+
+@query(FACTS + ", w AS (SELECT 'n' || n_nationkey AS sk, 'r' || (n_nationkey % 5) AS tk, n_nationkey AS qid FROM nation), h AS (SELECT r.*, (w.qid IS NOT NULL)::INT AS hit FROM r LEFT JOIN w ON w.qid = r.qid AND w.sk = r.sk AND w.tk = r.tk), m AS (SELECT qid, k, count(*) FILTER (rank <= k) AS n, sum(hit) FILTER (rank <= k) AS hits, sum((ev IS NOT NULL AND page IS NOT NULL)::INT) FILTER (rank <= k) AS covered FROM h, (SELECT unnest([3, 5, 10]) AS k) GROUP BY qid, k) SELECT qid::INT AS qid, k::INT AS k, unnest(['triple_recall', 'relation_precision', 'noise_edge_rate', 'relation_evidence_coverage']) AS metric, unnest([hits::DOUBLE, round(hits / n::DOUBLE, 6), round(1 - round(hits / n::DOUBLE, 6), 6), round(covered / n::DOUBLE, 6)]) AS value FROM m")
+def edge_metrics(spark, sf):
+    facts = retrieval.top_facts(fixtures.questions(spark, sf), fixtures.facts(spark, sf)).select("qid", "rank", F.col("src_key").alias("source"), "type", F.col("dst_key").alias("target"), "evidence", "page")
+    n = F.col("n_nationkey")
+    want = read(spark, sf, "nation").select(n.cast("int").alias("qid"), F.concat(F.lit("n"), n.cast("string")).alias("source"), F.lit("LOCATED_IN").alias("type"), F.concat(F.lit("r"), (n % 5).cast("string")).alias("target"))
+    return evaluation.edge_metrics(facts, want)
+
+
+def _hits(spark, sf):
+    f = retrieval.top_facts(fixtures.questions(spark, sf), fixtures.facts(spark, sf))
+    return f.select("qid", F.lit(1).alias("kind"), "rank", F.col("document").alias("source"), "page")
+
+
+@query(FACTS + ", c AS (SELECT qid, document, coalesce(page, '') AS page, min(rank) AS rank FROM r WHERE rank <= 12 GROUP BY ALL), p AS (SELECT *, max((page <> '')::INT) OVER (PARTITION BY qid) AS paged FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, document, page) AS place FROM p WHERE paged = 0 OR page <> '') SELECT qid::INT AS qid, place::INT AS place, document AS source, page, CASE WHEN page <> '' THEN document || '，第 ' || page || ' 页' ELSE document END AS label FROM o WHERE place <= 8")
+def citations(spark, sf):
+    return retrieval.citations(_hits(spark, sf))
+
+
+@query(FACTS + "SELECT qid::INT AS qid, count(*)::INT AS n_parts, string_agg(s || ' --LOCATED_IN--> ' || t || CASE WHEN ev IS NOT NULL THEN '。证据：' || ev ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 12 GROUP BY qid")
+def context_build(spark, sf):
+    f = retrieval.top_facts(fixtures.questions(spark, sf), fixtures.facts(spark, sf))
+    return retrieval.context(f.select("qid", F.lit(1).alias("kind"), "rank", retrieval.fact_text(F.col("source_name"), F.col("type"), F.col("target_name"), F.col("evidence")).alias("text")))
+
+
+MODES = [("vector", "recall", 0.5), ("graph", "recall", 0.4), ("hybrid", "recall", 0.6), ("vector", "noise_edge_rate", 1.0), ("graph", "noise_edge_rate", 0.3), ("hybrid", "noise_edge_rate", 0.4), ("vector", "mrr", 0.7), ("hybrid", "mrr", 0.7)]
+
+
+def _compared(spark):
+    return evaluation.compare(spark.createDataFrame(MODES, "mode string, metric string, value double"))
+
+
+@query("SELECT * FROM (VALUES ('recall', 0.5, 0.4, 0.6, 0.1, 0.2, 'better', 'better'), ('noise_edge_rate', 1.0, 0.3, 0.4, -0.6, 0.1, 'better', 'worse'), ('mrr', 0.7, NULL, 0.7, 0.0, NULL, 'same', 'unknown')) AS v(metric, vector, graph, hybrid, delta_vector, delta_graph, versus_vector, versus_graph)")
+def mode_compare(spark, sf):
+    return _compared(spark)
+
+
+@query("SELECT 2 AS positive, 0 AS negative, 0 AS risk_worse, 'helpful' AS decision")
+def mode_decision(spark, sf):
+    return evaluation.decide(_compared(spark))
+
+
+@query("WITH p AS (SELECT doc_id FROM documents WHERE n_chars > 1000), g AS (SELECT doc_id FROM labels WHERE quality = 1), s AS (SELECT (SELECT count(*) FROM p WHERE doc_id IN (FROM g)) AS tp, (SELECT count(*) FROM p WHERE doc_id NOT IN (FROM g)) AS fp, (SELECT count(*) FROM g WHERE doc_id NOT IN (FROM p)) AS fn), r AS (SELECT *, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall FROM s) SELECT *, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM r")
+def gold_prf(spark, sf):
+    return evaluation.gold_scores(read(spark, sf, "documents").filter("n_chars > 1000"), read(spark, sf, "labels").filter("quality = 1"), "doc_id")
+
+
+@query("SELECT item_id, round(len(list_filter(['the', 'of', 'zz'], lambda w: contains(regexp_replace(lower(text), '\\s+', '', 'g'), w))) / 3.0, 6)::DOUBLE AS supported, round(1 - round(len(list_filter(['the', 'of', 'zz'], lambda w: contains(regexp_replace(lower(text), '\\s+', '', 'g'), w))) / 3.0, 6), 6)::DOUBLE AS missing, round(contains(regexp_replace(lower(text), '\\s+', '', 'g'), 'and')::INT / 1.0, 6)::DOUBLE AS hallucination FROM benchmark")
+def keyword_rates(spark, sf):
+    supported, missing, bad = evaluation.keyword_rates(tx.eval_key(F.col("text")), F.array(*map(F.lit, ("the", "of", "zz"))), F.array(F.lit("and")))
+    return read(spark, sf, "benchmark").select("item_id", supported.alias("supported"), missing.alias("missing"), bad.alias("hallucination"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_anti(spark, sf):
+    return read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT 'both' AS part, count(*)::BIGINT AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'left', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'any', count(*) FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)")
+def set_ops(spark, sf):
+    a, b = read(spark, sf, "documents").select("doc_id"), read(spark, sf, "labels").select("doc_id")
+    count = lambda name, rows: rows.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"))
+    return count("both", a.intersect(b)).unionByName(count("left", a.subtract(b))).unionByName(count("any", a.union(b).distinct()))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def key_violations(spark, sf):
+    return graph.violations(read(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT user_id, arg_max(event_type, row(ts, event_id)) AS event_type, arg_max(value, row(ts, event_id)) AS value FROM events GROUP BY user_id")
+def last_write_wins(spark, sf):
+    rows = read(spark, sf, "events").select("user_id", F.struct("ts", "event_id").alias("seq"), "event_type", "value")
+    return graph.upsert_last(rows, "user_id").select("user_id", "event_type", "value")
+
+
+@query("SELECT 'p' || p_partkey AS canonical_key FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+def orphan_nodes(spark, sf):
+    nodes = read(spark, sf, "part").select(F.lit("Product").alias("label"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("canonical_key"))
+    return graph.orphans(nodes, fixtures.edge_rows(spark, sf).select(*graph.EDGE_KEY)).select("canonical_key")
+
+
+@query("SELECT conv_id AS source, sum(CASE WHEN turn < 5 THEN length(trim(text)) ELSE 0 END) >= 80 AS has_text FROM conversations GROUP BY conv_id")
+def pdf_has_text(spark, sf):
+    from graphloom.sources.files import has_text
+
+    return has_text(fixtures.pages(spark, sf, False).withColumnRenamed("doc", "source"))
+
+
+@query("SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)")
+def benchmark_containment(spark, sf):
+    b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
+    return read(spark, sf, "documents").join(F.broadcast(b), F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+
+
+@query("SELECT '| ' || r_regionkey || ' | ' || r_name || ' | ' || printf('%.4f', r_regionkey / 3.0) || ' | - |' AS line FROM region")
+def markdown_table(spark, sf):
+    from graphloom.sources.files import markdown
+
+    return markdown(read(spark, sf, "region").select("r_regionkey", "r_name", (F.col("r_regionkey") / 3.0).alias("third"), F.lit(None).cast("double").alias("none")))
+
+
+@query()
+def hash_embedding(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", retrieval.embed("text").alias("vector"))
+
+
+@query()
+def fuzzy_evidence(spark, sf):
+    b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
+    pairs = read(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).join(F.broadcast(b), "item_id")
+    return pairs.select("doc_id", "item_id", quality.located(tx.clean_evidence(F.col("item")), F.col("text")).alias("located"))
+
+
+@query()
+def ask_questions(spark, sf):
+    return entry(spark, sf)
+
+
+@query(CHUNKS + "SELECT doc_id, count(*)::BIGINT AS chunks FROM c GROUP BY doc_id")
+def stream_ingest(spark, sf):
+    """Documents read as a stream of files, chunked batch by batch, and read back: as the batch plan gives."""
+    import tempfile
+    import uuid
+
+    from graphloom.streaming import ingest
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    out = f"{shared}/stream-{uuid.uuid4().hex}"
+    docs = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").option("pathGlobFilter", "documents.parquet").parquet(sf)
+    ingest.ingest_stream(docs, f"{out}/chunks", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def entry(spark, sf):
+    """Questions answered from the documents' chunks, by hashing embeddings, and the graph's facts."""
+    chunks = chunking.split_text(read(spark, sf, "documents").select("doc_id", "text", "source"))
+    chunks = chunks.select(F.concat_ws("::", F.col("doc_id").cast("string"), F.col("index").cast("string")).alias("id"), retrieval.embed("text").alias("vector"), "text", "document", F.col("page"))
+    questions = fixtures.questions(spark, sf).withColumn("vector", retrieval.embed("question"))
+    return answers.ask(questions, chunks, fixtures.facts(spark, sf))
