@@ -54,7 +54,7 @@ def chunk_counts_by_lang(spark, sf):
     return chunking.split_text(read(spark, sf, "documents").select("lang", "text", "source")).groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
-PAGES = "WITH p AS (SELECT conv_id AS doc, (turn + 1)::INT AS page, text FROM conversations WHERE (conv_id + turn) % 5 <> 0), i AS (SELECT *, page - row_number() OVER (PARTITION BY doc ORDER BY page) AS island FROM p), s AS (SELECT *, row_number() OVER (PARTITION BY doc, island ORDER BY page) AS pos, count(*) OVER (PARTITION BY doc, island) AS n FROM i)"
+PAGES = "WITH p AS (SELECT conv_id AS doc, (turn + 1)::INT AS page, text FROM conversations WHERE (conv_id + turn) % 5 <> 0), i AS (SELECT *, (page - row_number() OVER (PARTITION BY doc ORDER BY page))::INT AS island FROM p), s AS (SELECT *, row_number() OVER (PARTITION BY doc, island ORDER BY page) AS pos, count(*) OVER (PARTITION BY doc, island) AS n FROM i)"
 WINDOWED = "SELECT doc, win::INT AS win, island, min(page)::INT AS first, max(page)::INT AS last, count(*)::BIGINT AS pages FROM (SELECT s.*, unnest(generate_series(0, {wins} - 1)) AS win FROM s) WHERE pos - 1 >= win * 2 AND pos - 1 < win * 2 + 3 GROUP BY doc, island, win"
 WINS = "(CASE WHEN n <= 3 THEN 1 ELSE CAST(ceil((n - 3) / 2.0) AS INT) + 1 END)"
 
@@ -282,17 +282,17 @@ def gate_nodes(spark, sf):
     return _gated(spark).select(F.explode("nodes").alias("n")).select("n.name", "n.label", "n.support_count")
 
 
-@query("SELECT * FROM (VALUES ('Reactor R-201', 'PRODUCES', 'light naphtha', 0.9, ''), ('reactor', 'HAS_PARAMETER', 'high temperature', 1.0, ''), ('催化剂', 'HAS_COMPONENT', '氧化铝', 0.92, 'rule_based')) AS v(source, type, target, confidence, flags)")
+@query("SELECT source, type, target, confidence::DOUBLE AS confidence, flags FROM (VALUES ('Reactor R-201', 'PRODUCES', 'light naphtha', 0.9, ''), ('reactor', 'HAS_PARAMETER', 'high temperature', 1.0, ''), ('催化剂', 'HAS_COMPONENT', '氧化铝', 0.92, 'rule_based')) AS v(source, type, target, confidence, flags)")
 def gate_edges(spark, sf):
     return _gated(spark).select(F.explode("relationships").alias("e")).select("e.source", "e.type", "e.target", "e.confidence", F.array_join("e.quality_flags", ",").alias("flags"))
 
 
-@query("SELECT * FROM (VALUES ('node', 'name_not_found_in_chunk', 1), ('node', 'bad_name', 1), ('node', 'unknown_label', 1), ('relationship', 'double_schema_mismatch', 1), ('relationship', 'unknown_type', 1), ('relationship', 'self_loop', 1), ('relationship', 'missing_evidence', 1), ('relationship', 'endpoint_not_found_in_chunk', 1)) AS v(kind, reason, n)")
+@query("SELECT kind, reason, n::BIGINT AS n FROM (VALUES ('node', 'name_not_found_in_chunk', 1), ('node', 'bad_name', 1), ('node', 'unknown_label', 1), ('relationship', 'double_schema_mismatch', 1), ('relationship', 'unknown_type', 1), ('relationship', 'self_loop', 1), ('relationship', 'missing_evidence', 1), ('relationship', 'endpoint_not_found_in_chunk', 1)) AS v(kind, reason, n)")
 def gate_drop_reasons(spark, sf):
     return evaluation.reason_counts(_gated(spark))
 
 
-@query("SELECT 1 AS chunks, 7 AS input_nodes, 7 AS accepted_nodes, 7 AS input_relationships, 3 AS accepted_relationships, 8 AS dropped_count")
+@query("SELECT 1::BIGINT AS chunks, 7::BIGINT AS input_nodes, 7::BIGINT AS accepted_nodes, 7::BIGINT AS input_relationships, 3::BIGINT AS accepted_relationships, 8::BIGINT AS dropped_count")
 def quality_counters(spark, sf):
     return evaluation.quality_totals(_gated(spark))
 
@@ -380,12 +380,12 @@ def _compared(spark):
     return evaluation.compare(spark.createDataFrame(MODES, "mode string, metric string, value double"))
 
 
-@query("SELECT * FROM (VALUES ('recall', 0.5, 0.4, 0.6, 0.1, 0.2, 'better', 'better'), ('noise_edge_rate', 1.0, 0.3, 0.4, -0.6, 0.1, 'better', 'worse'), ('mrr', 0.7, NULL, 0.7, 0.0, NULL, 'same', 'unknown')) AS v(metric, vector, graph, hybrid, delta_vector, delta_graph, versus_vector, versus_graph)")
+@query("SELECT metric, vector::DOUBLE AS vector, graph::DOUBLE AS graph, hybrid::DOUBLE AS hybrid, delta_vector::DOUBLE AS delta_vector, delta_graph::DOUBLE AS delta_graph, versus_vector, versus_graph FROM (VALUES ('recall', 0.5, 0.4, 0.6, 0.1, 0.2, 'better', 'better'), ('noise_edge_rate', 1.0, 0.3, 0.4, -0.6, 0.1, 'better', 'worse'), ('mrr', 0.7, NULL, 0.7, 0.0, NULL, 'same', 'unknown')) AS v(metric, vector, graph, hybrid, delta_vector, delta_graph, versus_vector, versus_graph)")
 def mode_compare(spark, sf):
     return _compared(spark)
 
 
-@query("SELECT 2 AS positive, 0 AS negative, 0 AS risk_worse, 'helpful' AS decision")
+@query("SELECT 2::BIGINT AS positive, 0::BIGINT AS negative, 0::BIGINT AS risk_worse, 'helpful' AS decision")
 def mode_decision(spark, sf):
     return evaluation.decide(_compared(spark))
 
