@@ -28,6 +28,7 @@ LEAST_ODDS = 2.0  # log odds ratio
 PREFIXES = (4, 5, 6, 7)
 TRUST = 0.99  # accuracy of the labels as a voter
 EPOCHS, L2 = 600, 2e-5
+CLEAN_PRIOR = 20  # imagined clean rows without features: a handful of labels must not reject everything
 KEPT_WORDS = 300_000
 
 # Insults that any English filter starts from.
@@ -191,8 +192,8 @@ class Classifier:
             votes[i, [h % LEXICONS if h < len(mined) else LEXICONS + h - len(mined) for h in r["held"]]] = 1
         labels = np.array([r["toxic"] for r in rows])
         y = LabelModel.fit(votes, labels).posterior(votes, labels)
-        present = [np.array(r["held"], np.int64) for r in rows]
-        return cls(mined, _logistic(present, n, y))
+        present = [np.array(r["held"], np.int64) for r in rows] + [np.empty(0, np.int64)] * CLEAN_PRIOR
+        return cls(mined, _logistic(present, n, np.append(y, np.zeros(CLEAN_PRIOR))))
 
 
 def _score_part(model: Classifier, columns: list[str]):
