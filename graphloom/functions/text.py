@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from graphloom.functions.vocabulary import GENERIC_NAMES, LABEL_ALIASES, LABELS, TYPE_ALIASES, TYPES, lookup
 
+# What keys drop, what names lose at their edges, sentence ends, page markers, lengths
+# and the likeness that count as the same evidence.
 BLANK = r"(?U)\s"
 NAME_EDGE = r"\s:：,，.;；\-—_()（）\[\]【】\"'“”"
 KEY_DROPS = r"[\s\-_./\\:：,，.;；()（）\[\]【】{}<>《》\"'“”‘’]+"

@@ -54,6 +54,7 @@ def merged_edges(edges: Column) -> Column:
 
 def rule_candidates(text: Column) -> Column:
     """array<struct<source,type,target,evidence,target_label>> that the two sentence rules find."""
+    # The wording that the rules look for.
     word = r"[一-鿿A-Za-z0-9（）()]"
     part = rf"({word}{{2,30}}?)(?:的)?(?:主要组分|组分|主要成分|成分)是([^。；;\n]{{2,120}})"
     index = rf"({word}{{2,30}}?)(?:最重要的)?(?:质量指标|控制指标|指标)是([一-鿿A-Za-z0-9（）()/+]{{2,40}})"
