@@ -25,7 +25,7 @@ SALTS = 256
 HELD_IDS = 2_000_000  # ids that a broadcast may hold; beyond, a shuffle join
 LEVEL_BITS = 26  # a signature value is its level and 26 random bits
 
-BLOCK, BLOCK_TOKENS = 1024, 500_000  # strays of a block, and their differences
+BLOCK, BLOCK_TOKENS = 1024, 500_000  # strays of a block or members of a slice, and their differences
 
 _U = np.uint64
 LACK = _U(0x5851F42D4C957F2D)  # marks a shingle that the centre has and the member lacks
@@ -307,16 +307,21 @@ def _inner_links(stars: DataFrame, pairs: DataFrame, root: DataFrame, percent: i
     """Links (u, v) between members of a centre's group that the components ``root`` leave apart.
 
     Strays, the members outside their centre's component, are the queries, in blocks of bounded
-    size, against all members.  Of the groups that hold both ends, their main centre's looks at a pair.
+    size, against all members, in slices of bounded size.  Of the groups that hold both ends, their main centre's looks at a pair.
     """
     rooted = lambda df, c, name: df.join(root.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
     main = pairs.groupBy("rep").agg((-F.max(F.struct("fame", -F.col("center")))["col2"]).alias("main"))
     members = stored(rooted(rooted(stars.select("rep", "center", "n", "diff").join(main, "rep"), "rep", "own"), "center", "hub"), "nd-members")
-    blocks = members.filter("own <> hub").groupBy("center").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("diff")) / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    members = members.join(blocks, "center")
+    stray = F.col("own") != F.col("hub")
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_TOKENS)).cast("int")
+    grid = members.groupBy("center").agg(parts(F.count(F.when(stray, 1)), F.sum(F.when(stray, F.size("diff")))).alias("blocks"), parts(F.count(F.lit(1)), F.sum(F.size("diff"))).alias("slices"))
+    members = members.join(grid.filter("blocks > 0"), "center")
     tail = ("rep", "n", "own", "main", "diff")
-    strays = members.filter("own <> hub").select("center", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), *tail)
-    all_ = members.select("center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), *tail)
+    own = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    # each block of strays meets each slice of members in a task of its own
+    strays = members.filter(stray).withColumn("slice", every("slices")).select("center", (own("blocks") * F.col("slices") + F.col("slice")).alias("block"), F.lit(0).alias("role"), *tail)
+    all_ = members.withColumn("b", every("blocks")).select("center", (F.col("b") * F.col("slices") + own("slices")).alias("block"), F.lit(1).alias("role"), *tail)
     n = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = strays.unionByName(all_).repartition(n, "center", "block").sortWithinPartitions("center", "block", "role")
     return rows.mapInArrow(_block_part(percent), "u long, v long")
