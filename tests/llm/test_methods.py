@@ -267,3 +267,13 @@ def test_pipeline_is_its_parts(spark, tmp_path):
     stage3 = corpus_pipeline.private(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in kept.items()], "doc_id long, text string, lang string, source string, n_chars long"), SF)
     for r in stage3.collect():
         assert r["n_chars"] == len(r["text"]) and not base_spans(r["text"]).startswith(("email", "ip"))
+
+
+def test_near_dedup_is_its_sql(spark):
+    from graphloom.llm.registry import oracle_sql
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = sorted(con.execute(oracle_sql()["op3_near_dedup"]).fetchall())
+    got = queries()["op3_near_dedup"](spark, SF).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(tuple(r) for r in got) == want
