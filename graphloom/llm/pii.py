@@ -1,15 +1,15 @@
 """PII: base patterns, and information-theoretic sanitisation of the terms around them; DataFrame operations alone.
 
-Every value that a base pattern finds is a protected entity.  The words near an entity are its
-context terms.  With n(t, e) distinct contexts of entity e that hold term t, n(e) contexts of e,
-n(t) documents that hold t and D documents, a term's disclosure is its pointwise mutual information
-with e over the entity's own information content, both from counts over the whole corpus:
+Every value that a base pattern finds is a protected entity.  All words of a text outside its base
+spans are context terms of the entities that the text holds.  With n(t, e) texts that hold term t
+and entity e, n(e) and n(t) texts that hold each and D texts, a term's disclosure is its pointwise
+mutual information with e over the entity's own information content, over the whole corpus:
 
     log2(n(t, e) * D / (n(t) * n(e))) / -log2(n(e) / D)
 
-It is 1 where the term names the entity for certain.  Terms of ``LEAST_CONTEXTS`` distinct contexts
-and a disclosure of ``DISCLOSURE`` or more become spans of kind ``term``: generalised when text is
-written out.  Copies of one context count once, so copied documents make no evidence.
+It is 1 where the term names the entity for certain.  Terms of ``LEAST_CONTEXTS`` texts that disclose
+any entity by ``DISCLOSURE`` or more become spans of kind ``term`` wherever they stand, in any text: generalised
+when text is written out.  All counts are of distinct texts, so copied documents make no evidence.
 """
 
 from __future__ import annotations
@@ -21,11 +21,10 @@ from graphloom.llm.common import stored, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 TAGS = {k: f"<{k.upper()}>" for k in KINDS}
-WINDOW = 60  # code points on each side of an entity that are its context
 LEAST_TERM = 4  # letters
 LEAST_CONTEXTS = 3
 DISCLOSURE = 0.8
-HELD_TERMS = 200_000  # candidate terms that a broadcast may hold; beyond, a shuffle join
+HELD_TERMS = 200_000  # chosen terms, rows with any or copied texts that a broadcast may hold; beyond, a shuffle join
 
 # The base patterns.  Possessive quantifiers and the looks behind change no match: they keep long
 # runs from being scanned from every position, and loops off the stack.
@@ -96,74 +95,69 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), s["start"], s["end"])))
 
 
-_TERM = "struct<term:string,start:int,end:int>"
+def _terms(text: Column, spans: Column) -> Column:
+    """The distinct words of letters outside the spans, lower-cased."""
+    outside = F.when(F.size(spans) == 0, text).otherwise(_replaced(text, spans, lambda s: F.lit(" ")))
+    return F.array_distinct(F.transform(F.regexp_extract_all(outside, F.lit(rf"\p{{L}}{{{LEAST_TERM},}}+"), F.lit(0)), F.lower))
 
 
-def _terms(text: Column, start: Column, end: Column) -> Column:
-    """Words of letters in [start, end) of the text, with their places."""
-    part = F.substring(text, start + 1, end - start)
-    parts = F.regexp_extract_all(part, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
-    first = F.struct(start.alias("at"), F.array().cast(f"array<{_TERM}>").alias("out"))
+def _places(text: Column, spans: Column, terms: Column) -> Column:
+    """Spans of all words that are among ``terms``, but for those that meet one of ``spans``."""
+    parts = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
     def step(acc, w):
         e = acc["at"] + F.length(w)
-        is_term = w.rlike(r"^\p{L}") & (F.length(w) >= LEAST_TERM)
-        more = F.when(is_term, F.array(F.struct(F.lower(w).alias("term"), acc["at"].alias("start"), e.alias("end")))).otherwise(F.array().cast(f"array<{_TERM}>"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], more).alias("out"))
+        more = F.array(F.struct(acc["at"].alias("start"), F.lit(4).alias("kind"), e.alias("end"), F.lower(w).alias("value")))
+        # a word that is no term leaves the list as it is, uncopied
+        return F.struct(e.alias("at"), F.when(F.array_contains(terms, F.lower(w)), F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, first, step)["out"]
+    return F.filter(F.aggregate(parts, first, step)["out"], lambda t: ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (text, any others) with row_id and ``spans``, stored."""
+    """``docs`` (text, any others) with row_id, ``h`` of the text and ``spans``, stored; null text is empty."""
     spans = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("spans", base_spans(F.col("text")))
-    near = F.filter(
-        F.flatten(F.transform("spans", lambda s: _with_entity(s))),
-        lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])),
-    )
-    return stored(spans.withColumn("near", F.when(F.size("spans") > 0, near)).drop("text").withColumn("row_id", F.monotonically_increasing_id()), "pii-found")
-
-
-def _with_entity(s: Column) -> Column:
-    text = F.col("text")
-    left, right = F.greatest(s["start"] - WINDOW, F.lit(0)), s["end"] + WINDOW
-    context = F.xxhash64(F.substring(text, left + 1, right - left))
-    terms = F.concat(_terms(text, left, s["start"]), _terms(text, s["end"], F.least(right, F.length(text))))
-    return F.transform(terms, lambda t: F.struct(s["value"].alias("entity"), context.alias("context"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))
-
-
-def disclosing_terms(near: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the terms to sanitise; counts are over all of ``docs``."""
-    total = docs.count()
-    contexts = near.select("entity", "term", "context").distinct()
-    n_te = contexts.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= LEAST_CONTEXTS)
-    n_te = stored(n_te, "pii-pairs")
-    candidates = stored(n_te.select("term").distinct(), "pii-terms")
-    held = candidates.count()
-    empty = near.sparkSession.createDataFrame([], "entity string, term string, disclosure double")
-    if not held:
-        return empty
-    n_e = contexts.groupBy("entity").agg(F.count_distinct("context").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\P{L}+"))).alias("term"))
-    # counted first: the join then sees a term once
-    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n_t = n_t.join(F.broadcast(candidates) if held <= HELD_TERMS else candidates, "term")
-    scored = n_te.join(n_e, "entity").join(n_t, "term")
-    pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    own = -F.log2(F.col("n_e") / F.lit(float(max(total, 1))))
-    scored = scored.withColumn("disclosure", F.when(own > 0, pmi / own).otherwise(0.0))
-    return scored.filter(F.col("disclosure") >= DISCLOSURE).select("entity", "term", "disclosure")
+    return stored(spans.withColumn("h", F.xxhash64("text")).withColumn("row_id", F.monotonically_increasing_id()), "pii-found")
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= HELD_TERMS else df
+
+
+def disclosing_terms(found: DataFrame) -> DataFrame:
+    """(term) of the terms to sanitise; counts are over all distinct texts of ``found``."""
+    texts = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("copies")), "pii-texts")
+    total = float(texts.count())
+    held = found.filter(F.size("spans") > 0)
+    members = stored(held.select("h", F.explode("spans.value").alias("entity")).distinct(), "pii-members")
+    # entities of the same texts have the same counts with every term: one of them stands for all
+    alike = members.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.expr("bit_xor(h)").alias("x"), F.expr("bit_xor(xxhash64(h, 1))").alias("y"))
+    alike = stored(members.join(alike, "entity").select("n_e", "x", "y", "h").distinct(), "pii-alike")
+    largest = alike.agg(F.max("n_e")).first()[0]
+    if largest is None:
+        return found.sparkSession.createDataFrame([], "term string")
+    # P(e | t) is at most n(e) / n(t), so a term in more texts than this discloses nothing
+    most = lambda n: F.pow(n, F.lit(DISCLOSURE)) * total ** (1 - DISCLOSURE) * (1 + 1e-9)
+    copied = texts.filter("copies > 1").select("h", F.col("h").alias("copy"))
+    words = found.join(_bounded(copied), "h", "left").select("copy", F.explode(_terms(F.col("text"), F.col("spans"))).alias("term"))
+    n_t = words.groupBy("term", "copy").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
+    near = held.select("h", F.explode(_terms(F.col("text"), F.col("spans"))).alias("term")).distinct()
+    near = near.join(n_t.filter(F.col("n_t") <= most(F.lit(float(largest)))), "term")
+    pairs = near.join(alike, "h").filter(F.col("n_t") <= most(F.col("n_e"))).groupBy("n_e", "x", "y", "term", "n_t").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= LEAST_CONTEXTS)
+    own = F.log2(F.lit(total) / F.col("n_e"))
+    pairs = pairs.withColumn("disclosure", F.when(own > 0, 1 + F.log2(F.col("n_te") / F.col("n_t")) / own).otherwise(0.0))
+    return pairs.filter(F.col("disclosure") >= DISCLOSURE).select("term").distinct()
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` without text, with row_id, the base ``spans`` and ``every``: those and the term spans."""
+    """``docs`` with row_id, the base ``spans`` and ``every``: those and the term spans."""
     found = found_spans(docs)
-    near = found.filter("near is not null").select("row_id", F.explode("near").alias("n")).select("row_id", "n.*")
-    chosen = stored(disclosing_terms(near, docs.select("text")), "pii-chosen")
-    span = F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value"))
-    added = near.join(chosen, ["entity", "term"]).groupBy("row_id").agg(F.collect_set(span).alias("added"))
-    every = F.when(F.col("added").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", F.col("added").cast(f"array<{_SPAN}>"))))
-    return found.drop("near").join(added, "row_id", "left").withColumn("every", every).drop("added")
+    chosen = stored(disclosing_terms(found), "pii-chosen")
+    words = found.select("row_id", F.explode(_terms(F.col("text"), F.col("spans"))).alias("term"))
+    marks = stored(words.join(_bounded(chosen), "term").groupBy("row_id").agg(F.collect_list("term").alias("terms")), "pii-marks")
+    every = F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", _places(F.col("text"), F.col("spans"), F.col("terms")))))
+    return found.join(_bounded(marks), "row_id", "left").withColumn("every", every).drop("terms", "h")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -177,23 +171,28 @@ def find(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])), F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("every")).alias("spans"))
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span generalised to its kind; overlapping spans become one, named after the first."""
-    tag = F.array(*(F.lit(TAGS[k]) for k in KINDS))
+def _replaced(text: Column, spans: Column, tag) -> Column:
+    """The text with ``tag`` of each span in its place; overlapping spans become one, the first."""
 
     def step(acc, s):
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(tag, s["kind"] + 1))
+        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), tag(s))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each span generalised to its kind."""
+    tag = F.array(*(F.lit(TAGS[k]) for k in KINDS))
+    return _replaced(text, spans, lambda s: F.element_at(tag, s["kind"] + 1))
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` (text, any others) with the personal data in its texts generalised; null texts stay null."""
     keep = docs.columns
-    rows = all_spans(docs.withColumn("whole", F.col("text")))
-    return rows.withColumn("text", redacted(F.col("whole"), F.col("every"))).select(*keep)
+    rows = all_spans(docs.withColumn("no_text", F.col("text").isNull()))
+    return rows.withColumn("text", F.when(~F.col("no_text"), redacted(F.col("text"), F.col("every")))).select(*keep)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,15 @@ def test_a_term_that_names_an_entity_goes(spark):
     assert not got[103] and text.index("patient") not in {int(s.split(":")[1]) for s in got[3].split(",")}
 
 
+def test_terms_go_wherever_they_stand(spark):
+    far = "and so on and on and so on and on and so on and on and so on and on and so on and on "
+    docs = [(i, f"mail {i} quorra@mail.org {far}regards Tronheim") for i in range(8)]
+    docs += [(50, "mail Tronheim alone")] + [(100 + i, f"mail item {i} and so on, regards") for i in range(400)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    at = docs[3][1].index("Tronheim")
+    assert got[50] == "term:5:13" and got[3] == f"email:7:22,term:{at}:{at + 8}" and not got[103]
+
+
 def test_ann_recall(spark):
     rows = table(spark, SF, "embeddings")
     data = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.collect()}
