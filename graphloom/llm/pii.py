@@ -2,13 +2,14 @@
 
 Every value that a base pattern finds is a protected entity.  All words of a text outside its base
 spans are context terms of the entities that the text holds.  With n(t, e) texts that hold term t
-and entity e, n(e) and n(t) texts that hold each and D texts, a term's disclosure is its pointwise
-mutual information with e over the entity's own information content, over the whole corpus:
+and entity e, n(e) and n(t) texts that hold each and D texts, P(e | t) is taken as the lower
+confidence bound (Wilson) of n(t, e) / n(t), and a term's disclosure is its pointwise mutual
+information with e over the entity's own information content, over the whole corpus:
 
-    log2(n(t, e) * D / (n(t) * n(e))) / -log2(n(e) / D)
+    log2(P(e | t) * D / n(e)) / -log2(n(e) / D)
 
-It is 1 where the term names the entity for certain.  Terms of ``LEAST_CONTEXTS`` texts that disclose
-any entity by ``DISCLOSURE`` or more become spans of kind ``term`` wherever they stand, in any text: generalised
+It nears 1 where the term names the entity for certain.  Terms that disclose any entity by
+``DISCLOSURE`` or more become spans of kind ``term`` wherever they stand, in any text: generalised
 when text is written out.  All counts are of distinct texts, so copied documents make no evidence.
 """
 
@@ -22,7 +23,7 @@ from graphloom.llm.common import stored, table
 KINDS = ("email", "ip", "card", "phone", "term")
 TAGS = {k: f"<{k.upper()}>" for k in KINDS}
 LEAST_TERM = 4  # letters
-LEAST_CONTEXTS = 3
+Z = 1.96  # of the confidence bound
 DISCLOSURE = 0.8
 HELD_TERMS = 200_000  # chosen terms, rows with any or copied texts that a broadcast may hold; beyond, a shuffle join
 
@@ -144,12 +145,18 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     n_t = words.groupBy("term", "copy").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
     near = held.select("h", F.explode(_terms(F.col("text"), F.col("spans"))).alias("term")).distinct()
     near = near.join(n_t.filter(F.col("n_t") <= most(F.lit(float(largest)))), "term")
-    pairs = near.join(alike, "h").filter(F.col("n_t") <= most(F.col("n_e"))).groupBy("n_e", "x", "y", "term", "n_t").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= LEAST_CONTEXTS)
+    pairs = near.join(alike, "h").filter(F.col("n_t") <= most(F.col("n_e"))).groupBy("n_e", "x", "y", "term", "n_t").agg(F.count(F.lit(1)).alias("n_te"))
     own = F.log2(F.lit(total) / F.col("n_e"))
-    pairs = pairs.withColumn("disclosure", F.when(own > 0, 1 + F.log2(F.col("n_te") / F.col("n_t")) / own).otherwise(0.0))
+    pairs = pairs.withColumn("disclosure", F.when(own > 0, 1 + F.log2(surely("n_te", "n_t")) / own).otherwise(0.0))
     return pairs.filter(F.col("disclosure") >= DISCLOSURE).select("term").distinct()
 
 
+def surely(k: str, n: str) -> Column:
+    """Lower confidence bound of the share k of n."""
+    k, n, z2 = F.col(k).cast("double"), F.col(n).cast("double"), Z * Z
+    return (k + z2 / 2 - Z * F.sqrt(k * (n - k) / n + z2 / 4)) / (n + z2)
+
+
 def all_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with row_id, the base ``spans`` and ``every``: those and the term spans."""
     found = found_spans(docs)

@@ -245,6 +245,14 @@ def test_terms_go_wherever_they_stand(spark):
     assert got[50] == "term:5:13" and got[3] == f"email:7:22,term:{at}:{at + 8}" and not got[103]
 
 
+def test_an_entity_met_once_is_scored_and_copies_are_no_evidence(spark):
+    docs = [(i, f"plain common text item {i}") for i in range(4000)]
+    docs += [(9000, "plain Zorblatt wrote a@b.org")] + [(10_000 + i, "common vexilla c@d.org text") for i in range(300)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert "term:6:14" in got[9000].split(",") and "term:0:5" not in got[9000].split(",")
+    assert "term:7:14" in got[10_007].split(",") and not got[7]
+
+
 def test_ann_recall(spark):
     rows = table(spark, SF, "embeddings")
     data = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.collect()}
