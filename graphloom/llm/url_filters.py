@@ -49,24 +49,29 @@ def judge(host: Column, path: Column, rules) -> Column:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """At most eight tokens of a url: what FP-growth combines."""
+    """All tokens of a url, which FP-growth combines: whole labels and segments wherever they stand, and their hyphenated parts."""
     labels = F.split(host, r"\.")
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     keys = F.array_join(F.array_sort(F.array_distinct(F.transform(F.split(query, "&"), lambda k: F.regexp_extract(k, r"^[^=]*", 0)))), "+")
     shape = lambda s: F.regexp_replace(s, "[0-9]+", "#")
     given = lambda tag, c: F.when(F.length(c) > 0, F.concat(F.lit(tag), c))
-    some = (
+    each = lambda tag, cs: F.transform(cs, lambda c: given(tag, c))
+    names = F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0)))
+    segments = F.transform(parts, shape)
+    hyphened = lambda cs: F.flatten(F.transform(F.filter(cs, lambda c: c.contains("-")), lambda c: F.split(c, "-")))
+    some = F.array(
         given("scheme:", F.regexp_extract(url, r"^([^:/?#]*)://", 1)),
         given("tld:", F.element_at(labels, -1)),
         given("domain:", F.when(F.size(labels) >= 2, F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1)))),
-        given("sub:", F.when(F.size(labels) >= 3, F.element_at(labels, 1))),
-        given("first:", F.when(F.size(parts) >= 1, shape(F.element_at(parts, 1)))),
-        given("last:", F.when(F.size(parts) >= 2, shape(F.element_at(parts, -1)))),
+        given("first:", F.when(F.size(parts) >= 1, F.element_at(segments, 1))),
+        given("last:", F.when(F.size(parts) >= 2, F.element_at(segments, -1))),
         given("query:", keys),
         F.when(url.contains("#"), F.lit("fragment")),
     )
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*some))))
+    # one tag for a whole name and a hyphenated part, so that equal names are equal items
+    every = F.concat(some, each("label:", names), each("label:", hyphened(names)), each("segment:", segments), each("segment:", hyphened(segments)))
+    return F.array_sort(F.array_distinct(F.array_compact(every)))
 
 
 def mine(labelled: DataFrame) -> DataFrame:

@@ -128,6 +128,15 @@ def test_mined_rules_are_those_of_brute_force(spark):
     assert (got[101]["verdict"] == "block") == (sure >= url_filters.MIN_CONFIDENCE)
 
 
+def test_mining_sees_every_label_and_segment(spark):
+    hosts = [f"{'m.' * (i % 2)}casino-win{i}.example.com" for i in range(30)] + [f"{'m.' * (i % 2)}news{i}.example.com" for i in range(30)]
+    urls = [(i, f"http://{h}/en/x{i}/{('pills', 'paper')[i // 30]}/y") for i, h in enumerate(hosts)]
+    urls += [(100, "ftp://a.m.casino.other.info/q"), (101, "ftp://a.m.poker.other.info/q"), (102, "ftp://other.info/a/b/pills/c"), (103, "ftp://other.info/a/b/paper/c")]
+    rules = [(h, "/", "block" if "casino" in h else "allow") for h in hosts]
+    got = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    assert [got[i] for i in (100, 101, 102, 103)] == ["block", "allow", "block", "allow"]
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(1)
     prose = [f"word{i}" for i in range(300)]
