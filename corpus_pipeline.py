@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from graphloom.llm import mixing, near_dedup, packing, pii, toxicity
 from graphloom.llm.common import shared_dir, stored, table
 
+PERCENT = 80  # the near-dedup stage's least similarity; op3_near_dedup has its own
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -20,8 +22,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one of the smallest doc_id; of equal doc_ids one row."""
-    groups = near_dedup.near_dedup(docs)
+    """One document of each near-duplicate group (Jaccard of ``PERCENT`` or more) stays, the one of the smallest doc_id; of equal doc_ids one row."""
+    groups = near_dedup.near_dedup(docs, PERCENT)
     gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
     stay = docs.join(gone, "doc_id", "left_anti")
     return stay.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.filter("doc_id is null")).select(*COLUMNS)

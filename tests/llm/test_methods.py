@@ -295,6 +295,17 @@ def test_pipeline_is_its_parts(spark, tmp_path):
         assert r["n_chars"] == len(r["text"]) and not base_spans(r["text"]).startswith(("email", "ip"))
 
 
+def test_the_pipeline_joins_pairs_of_four_fifths(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(104)]  # 100 shingles, of which the other holds 91 of its 100
+    rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(base[9:] + [f"z{i}" for i in range(9)]), "en", "s", 1)]
+    one, two = (shingle_set(r[1]) for r in rows)
+    assert 0.80 <= len(one & two) / len(one | two) < 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, "").collect()] == [1]
+
+
 def test_near_dedup_is_its_sql(spark):
     from graphloom.llm.registry import oracle_sql
 
