@@ -33,13 +33,13 @@ KEPT_WORDS = 300_000
 
 # Insults that any English filter starts from.
 SEED_LEXICON = ("idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "disgusting", "worthless", "dumb", "hate", "kill", "ugly", "fool")
-# What a text must hold for a pattern to be tried, and the pattern.
+# What a lower-cased text holds wherever the pattern fires, and the pattern.
 PATTERNS = (
     ("*", re.compile(r"\b[a-z]+\*+[a-z]+\b", re.I)),  # masked words
     ("!!!", re.compile("!!!")),
     ("you", re.compile(r"\byou(?:'re| are)? (?:an? |so |such )", re.I)),
-    ("!", re.compile(r"(?:[A-Z]{4,}\W+){3,}!")),  # shouting
-    ("#$%", re.compile(r"[@#$%&*!]{4,}")),  # grawlix
+    ("", re.compile(r"(?:[A-Z]{4,}\W+){2}[A-Z]{4,}")),  # shouting
+    ("", re.compile(r"[@#$%&*!]{4,}")),  # grawlix
 )
 EDGES = ".,;:!?\"'()[]{}<>*#$%&@-_|«»¿¡…"
 N_RULES = len(PATTERNS) + 1
@@ -53,7 +53,8 @@ def features(word: str) -> list[str]:
 
 def rules(text: str) -> list[int]:
     """Which of the patterns fire."""
-    return [i for i, (hint, p) in enumerate(PATTERNS) if hint in text and p.search(text)]
+    low = text.lower()
+    return [i for i, (hint, p) in enumerate(PATTERNS) if hint in low and p.search(text)]
 
 
 def _mine_part(batches):

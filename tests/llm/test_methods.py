@@ -152,6 +152,12 @@ def test_toxicity_on_held_out_rows(spark):
     assert right >= 0.95 * len(got)
 
 
+def test_toxicity_patterns_fire_where_they_match():
+    for text, rule in (("You are a fish", 2), ("YOU ARE SO fish", 2), ("GREAT LOUD WORDS here", 3), ("well ****", 4), ("@$%& it", 4), ("&*!@ it", 4)):
+        assert rule in toxicity.rules(text), text
+    assert not toxicity.rules("You were told. IBM and USA at 5% & more!")
+
+
 def test_mixing_targets(spark):
     sizes = {"a": 100, "b": 1000, "c": 10, None: 500}
     rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
