@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_OPEN: list[list[DataFrame]] = []  # the scratch blocks that are open, each with its tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where the session names none (tests)."""
+    """The folder all executors see.  In local mode a temporary one does where the session names none."""
     where = spark.conf.get(CHECKPOINT_DIR, None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
         where = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-")
         shared_dir.own = where
     return where.rstrip("/")
@@ -26,9 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.stored_path = path
+    if _OPEN:
+        _OPEN[-1].append(back)
     return back
 
 
@@ -39,6 +46,41 @@ def drop_stored(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch():
+    """Tables stored inside go when the block ends, but for those passed to the function it gives.
+
+    A kept table belongs to the block around, if there is one, and goes with that.
+    """
+    _OPEN.append([])
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for df in _OPEN.pop():
+            if not any(df is k for k in kept):
+                drop_stored(df)
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int = 32) -> DataFrame:
+    """``many`` with the row of ``one`` that has its ``key`` (one a key); a hot key's rows are spread by a hash of ``by``."""
+    many = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    one = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.join(one, [key, "__salt"]).drop("__salt")
+
+
+def crc_mod(doc_id: str, n: int) -> Column:
+    """crc32 of the id as text, mod ``n``; null for a null id."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(n))
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8; bytes.split() knows just those blanks."""
     return text.encode("utf-8", "replace").lower().split() if text else []
