@@ -16,12 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import drop_stored, stored, table, words
+from graphloom.llm.common import drop_stored, salted_join, scratch, stored, table, words
 
 WIDTH = 5  # words of a shingle
 PERCENT = 85  # least 100 * intersection / union
 M, BANDS = 64, 16  # signature length; a band has M / BANDS values
-SALTS = 256
+SALTS = 256  # tasks that the members of one centre spread over
+KEY_SALTS = 8  # and the members of one bucket, where they are joined with its centre
 HELD_IDS = 2_000_000  # ids that a broadcast may hold; beyond, a shuffle join
 LEVEL_BITS = 26  # a signature value is its level and 26 random bits
 
@@ -213,8 +214,16 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(now)
 
 
-def _links(signed: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
-    """(node, root) over class representatives, or None if no bucket holds two."""
+def _ties(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (u, v) between the classes of rows that share a doc_id: such rows are one document."""
+    repeated = signed.filter("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
+    own = signed.filter("digest is not null").join(repeated, "doc_id").select("doc_id", "digest", "n_shingles").distinct().join(classes, ["digest", "n_shingles"]).select("doc_id", "rep")
+    return own.join(own.groupBy("doc_id").agg(F.min("rep").alias("v")), "doc_id").filter("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+
+
+def _links(signed: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
+    """(node, root) over class representatives, or None if nothing links two."""
+    ties = stored(_ties(signed, classes), "nd-ties")
     reps = stored(signed.filter("digest is not null and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).select("rep", "keys"), "nd-reps")
     rows = reps.select("rep", F.explode("keys").alias("key")).distinct()
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -222,13 +231,13 @@ def _links(signed: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None
     known = full.groupBy("rep").agg(F.sum("size").alias("known"))
     full = stored(full.join(known, "rep").select("key", "rep", "known"), "nd-known")
     centres = full.groupBy("key").agg(F.max(F.struct(F.col("known"), -F.col("rep"))).alias("top")).select("key", (-F.col("top.col2")).alias("center"), F.col("top.known").alias("fame"))
-    pairs = stored(full.join(centres, "key").filter("rep <> center").select("rep", "center", "fame").distinct(), "nd-pairs")
+    pairs = stored(salted_join(full, centres, "key", "rep", KEY_SALTS).filter("rep <> center").select("rep", "center", "fame").distinct(), "nd-pairs")
     if pairs.isEmpty():
-        return None
+        return None if ties.isEmpty() else components(ties)
     ids = stored(pairs.select(F.explode(F.array("rep", "center")).alias("doc_id")).distinct(), "nd-ids")
     texts = stored(docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= HELD_IDS else ids, "doc_id"), "nd-texts")
     stars = stored(_verify(pairs, texts, percent), "nd-stars")
-    links = stars.filter("linked").select(F.col("rep").alias("u"), F.col("center").alias("v"))
+    links = stars.filter("linked").select(F.col("rep").alias("u"), F.col("center").alias("v")).unionByName(ties)
     root = stored(components(links), "nd-roots")
     more = stored(_inner_links(stars, pairs, root, percent), "nd-more")
     return root if more.isEmpty() else components(links.unionByName(more))
@@ -311,11 +320,13 @@ def _inner_links(stars: DataFrame, pairs: DataFrame, root: DataFrame, percent: i
     """
     rooted = lambda df, c, name: df.join(root.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
     main = pairs.groupBy("rep").agg((-F.max(F.struct("fame", -F.col("center")))["col2"]).alias("main"))
-    members = stored(rooted(rooted(stars.select("rep", "center", "n", "diff").join(main, "rep"), "rep", "own"), "center", "hub"), "nd-members")
+    hubs = rooted(stars.select("center").distinct(), "center", "hub")
+    members = rooted(stars.select("rep", "center", "n", "diff").join(main, "rep"), "rep", "own")
+    members = stored(salted_join(members, hubs, "center", "rep", SALTS), "nd-members")
     stray = F.col("own") != F.col("hub")
     parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_TOKENS)).cast("int")
     grid = members.groupBy("center").agg(parts(F.count(F.when(stray, 1)), F.sum(F.when(stray, F.size("diff")))).alias("blocks"), parts(F.count(F.lit(1)), F.sum(F.size("diff"))).alias("slices"))
-    members = members.join(grid.filter("blocks > 0"), "center")
+    members = salted_join(members, grid.filter("blocks > 0"), "center", "rep", SALTS)
     tail = ("rep", "n", "own", "main", "diff")
     own = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
@@ -328,23 +339,26 @@ def _inner_links(stars: DataFrame, pairs: DataFrame, root: DataFrame, percent: i
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, any others): doc_id, n_shingles, component_id, kept.
+    """Per row of ``docs`` (doc_id, text, any others): doc_id, n_shingles, component_id, kept; stored.
 
-    Texts without words have an empty set and link with nothing.  Rows of one doc_id count as one
-    document with the links of each of them.  Rows without doc_id stand alone: component_id null,
-    kept true.  An empty table gives an empty result.
+    Texts without words have an empty set and link with nothing.  Texts of any length are taken
+    whole.  Rows of one doc_id count as one document with the links of each of them: all get its
+    component.  Equal texts are one class, so copies cost nothing.  Rows without doc_id stand alone:
+    component_id null, kept true.  An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(docs.mapInArrow(_signature_part, "doc_id long, n_shingles long, digest binary, keys array<long>"), "nd-signed")
-    own = signed.select("doc_id", "n_shingles", "digest")
-    classes = signed.filter("digest is not null and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    root = _links(signed, docs, percent)
-    if root is not None:
-        classes = classes.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    else:
-        classes = classes.select("digest", "n_shingles", F.col("rep").alias("root"))
-    found = own.join(classes, ["digest", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    with scratch() as keep:
+        signed = stored(docs.mapInArrow(_signature_part, "doc_id long, n_shingles long, digest binary, keys array<long>"), "nd-signed")
+        classes = signed.filter("digest is not null and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
+        root = _links(signed, docs, classes, percent)
+        if root is not None:
+            classes = classes.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("rep", F.coalesce("root", "rep")).drop("root")
+        rows = signed.select("doc_id", "n_shingles", "digest").join(classes, ["digest", "n_shingles"], "left")
+        # a row without words has no class; its doc_id may have one by another row
+        empty = rows.filter("digest is null and doc_id is not null").select("doc_id").distinct()
+        other = rows.filter("digest is not null").select("doc_id", "rep").join(empty, "doc_id").groupBy("doc_id").agg(F.min("rep").alias("other"))
+        found = rows.join(other, "doc_id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "other", "doc_id")))
+        return keep(stored(found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near-dedup"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
