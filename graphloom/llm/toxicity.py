@@ -18,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored, table
+from graphloom.llm.common import crc_mod, scratch, stored, table
 
 SAMPLE = 20_000  # labelled rows that the model is fitted on, chosen by a hash of doc_id
-FEATURES = 4096  # mined features, at most
-LEXICONS = 24  # voters that they are dealt to
+LEXICONS = 24  # voters that the mined features are dealt to
 LEAST_ROWS = 6  # toxic rows that hold a feature
 LEAST_ODDS = 2.0  # log odds ratio
 PREFIXES = (4, 5, 6, 7)
@@ -35,11 +34,11 @@ KEPT_WORDS = 300_000
 SEED_LEXICON = ("idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "disgusting", "worthless", "dumb", "hate", "kill", "ugly", "fool")
 # What a lower-cased text holds wherever the pattern fires, and the pattern.
 PATTERNS = (
-    ("*", re.compile(r"\b[a-z]+\*+[a-z]+\b", re.I)),  # masked words
+    ("*", re.compile(r"\b[a-z]++\*++[a-z]++\b", re.I)),  # masked words
     ("!!!", re.compile("!!!")),
     ("you", re.compile(r"\byou(?:'re| are)? (?:an? |so |such )", re.I)),
-    ("", re.compile(r"(?:[A-Z]{4,}\W+){2}[A-Z]{4,}")),  # shouting
-    ("", re.compile(r"[@#$%&*!]{4,}")),  # grawlix
+    ("", re.compile(r"(?<![A-Z])[A-Z]{4,}+\W++[A-Z]{4,}+\W++[A-Z]{4}")),  # shouting
+    ("", re.compile(r"[@#$%&*!]{4}")),  # grawlix
 )
 EDGES = ".,;:!?\"'()[]{}<>*#$%&@-_|«»¿¡…"
 N_RULES = len(PATTERNS) + 1
@@ -165,14 +164,14 @@ def _logistic(rows: list[np.ndarray], n: int, y: np.ndarray) -> np.ndarray:
 
 
 def mine(sample: DataFrame) -> list[str]:
-    """The features (text, toxic) rows tell toxic rows by, most telling first."""
+    """The features (text, toxic) rows tell toxic rows by, most telling first; all that pass, as ``SAMPLE`` bounds the rows."""
     n1, n0 = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     counts = sample.select("text", "toxic").mapInArrow(_mine_part, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     odds = F.log((F.col("n1") + 0.5) / (n1 - F.col("n1") + 0.5)) - F.log((F.col("n0") + 0.5) / (n0 - F.col("n0") + 0.5))
     # in standard errors of the log odds ratio
     told = odds / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5) + F.lit(1 / (n1 + 0.5) + 1 / (n0 + 0.5)))
     top = counts.filter(F.col("n1") >= LEAST_ROWS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).withColumn("told", told)
-    return [r["feature"] for r in top.filter("told > 4").orderBy(F.desc("told"), "feature").limit(FEATURES).collect()]
+    return [r["feature"] for r in top.filter("told > 4").orderBy(F.desc("told"), "feature").collect()]
 
 
 @dataclass
@@ -214,15 +213,16 @@ def _score_part(model: Classifier, columns: list[str]):
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Learns from the labels of rows that are not held out (crc32 of doc_id, mod 5)."""
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~_held_out("doc_id")).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    marks = stored(marks, "tox-marks")
-    share = min(1.0, SAMPLE / max(marks.count(), 1))
-    chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "tox-sample")
-    return Classifier.fit(sample)
+    with scratch():
+        marks = stored(marks, "tox-marks")
+        share = min(1.0, SAMPLE / max(marks.count(), 1))
+        chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "tox-sample")
+        return Classifier.fit(sample)
 
 
 def _held_out(column: str):
-    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(5)) == 0, F.lit(True))
+    return F.coalesce(crc_mod(column, 5) == 0, F.lit(True))
 
 
 def score(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
@@ -235,7 +235,8 @@ def score(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, any others): doc_id, held_out, score, predicted.
 
-    Null and empty texts get the score of a text without features.  Rows without doc_id are held
+    Null and empty texts get the score of a text without features.  Texts of any length are read
+    whole: words once each, and patterns that never go back over a run.  Repeated rows are scored each.  Rows without doc_id are held
     out.  Of several labels of one doc_id the majority counts, and toxic at a tie; without any
     labels the seed lexicon decides.  An empty table gives an empty result.
     """
