@@ -21,17 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored, table, words
+from graphloom.llm.common import crc_mod, scratch, stored, table, words
 
 N_WORDS = 767  # words that are outputs of their own
 N_CLASSES = 256  # classes of the remaining words
-N_KNOWN = 65_536  # words whose counts each task holds; the counts of others come by a join
+N_KNOWN, KNOWN_BYTES = 65_536, 4_000_000  # words whose counts each task holds, and their bytes, at most; the counts of others come by a join
 DIM = 16
 NOISE = 24
 BATCH = 2048
 RATE = 0.05
 ROUNDS = 2
-FLUSH = 300_000  # distinct words a counting task holds before it emits its partial counts
+FLUSH, FLUSH_BYTES = 300_000, 64_000_000  # distinct words, and their bytes, a counting task holds before it emits partial counts
+STEPS = 8  # steps of the histogram of counts, per doubling
 N_OUT = N_WORDS + N_CLASSES + 1
 END, BOS = N_OUT - 1, N_OUT
 FAN_IN = 16
@@ -55,12 +56,15 @@ def _count_words(batches):
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([counts[k] for k in keys], pa.int64())], names=["word", "n"])
 
     counts: Counter = Counter()
+    size = 0
     for batch in batches:
         for text in _texts(batch):
             counts.update(words(text))
-            if len(counts) > FLUSH:
+            size += len(text or "")
+            if len(counts) > FLUSH or size > FLUSH_BYTES and sum(map(len, counts)) > FLUSH_BYTES:
                 yield emit(counts)
                 counts.clear()
+                size = 0
     if counts:
         yield emit(counts)
 
@@ -248,8 +252,9 @@ class Vocabulary:
     tokens: int  # N: words and ends
     distinct: int  # V: words, and the end where there is one
     ends: int
-    class_n: np.ndarray  # tokens, types and single types of each class, without words that are outputs
-    class_once: np.ndarray
+    class_n: np.ndarray  # tokens of each class, without words that are outputs
+    class_once: np.ndarray  # its words met once, and twice
+    class_twice: np.ndarray
 
     @property
     def known(self) -> list[bytes]:
@@ -264,23 +269,45 @@ class Vocabulary:
         return (n + 0.5) / (n + 0.5).sum()
 
     def unseen(self) -> np.ndarray:
-        """Good-Turing share of each class that words never seen get."""
+        """Good-Turing share of each class that words never seen get together."""
         return (self.class_once + 0.5) / (self.class_n + 1)
 
+    def unseen_types(self) -> np.ndarray:
+        """How many such words each class has, by Chao's estimate: they share alike."""
+        return np.maximum(1.0, self.class_once * (self.class_once - 1) / (2 * (self.class_twice + 1)))
+
+
+def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The words of a count or more, by falling count; the least count at which they are within ``N_KNOWN`` and ``KNOWN_BYTES``."""
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word")).alias("bytes")).collect()
+    n = size = 0
+    least = None
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        n, size = n + r["words"], size + r["bytes"]
+        if n > N_KNOWN or size > KNOWN_BYTES:
+            break
+        least = r["step"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["n"]) for r in counts.filter(step >= least).collect()), key=lambda x: (-x[1], x[0]))
+
 
 def vocabulary(train: DataFrame) -> Vocabulary:
     counts = stored(word_counts(train), "lm-counts")
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(N_KNOWN).collect()]
-    classes = counts.groupBy(_class_col(F.col("word")).alias("cl")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()
+    top = most_frequent(counts)
+    met = lambda k: F.sum((F.col("n") == k).cast("long"))
+    classes = counts.groupBy(_class_col(F.col("word")).alias("cl")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"), met(1).alias("once"), met(2).alias("twice")).collect()
     ends = train.count()
-    n, once = np.zeros(N_CLASSES), np.zeros(N_CLASSES)
+    n, once, twice = np.zeros(N_CLASSES), np.zeros(N_CLASSES), np.zeros(N_CLASSES)
     for r in classes:
-        n[r["cl"]], once[r["cl"]] = r["n"], r["once"]
+        n[r["cl"]], once[r["cl"]], twice[r["cl"]] = r["n"], r["once"], r["twice"]
     total, distinct = int(n.sum()) + ends, sum(r["types"] for r in classes) + (ends > 0)
     for w, c in top[:N_WORDS]:
         n[word_class(w)] -= c
         once[word_class(w)] -= c == 1
-    return Vocabulary(counts, top, total, distinct, ends, n, once)
+        twice[word_class(w)] -= c == 2
+    return Vocabulary(counts, top, total, distinct, ends, n, once, twice)
 
 
 def train(coded: DataFrame, vocab: Vocabulary) -> LogBilinear:
@@ -374,13 +401,13 @@ def _score_part(lookup):
 def score(coded: DataFrame, vocab: Vocabulary, model: LogBilinear, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of a table made by ``code`` with n_tokens, n_known, base_score and score."""
     spark = coded.sparkSession
-    unseen = vocab.unseen()
+    unseen, kinds = vocab.unseen(), vocab.unseen_types()
     lookup = _Lookup(spark.sparkContext.broadcast(model.flat()))
     rows = coded.select(*keep, "lm_row", "n_tokens", "n_known", "base_score", "inner_score", "ids")
     scored = rows.mapInArrow(_score_part(lookup), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("ids").schema) + ", outer_score double")
     den = math.log10(vocab.tokens + 0.1 * (vocab.distinct + 1))
     n = np.maximum(vocab.class_n, 1)
-    shares = spark.createDataFrame([(i, float(np.log10((1 - unseen[i]) / n[i])), float(np.log10(unseen[i]))) for i in range(N_CLASSES)], "cl int, seen_share double, new_share double")
+    shares = spark.createDataFrame([(i, float(np.log10((1 - unseen[i]) / n[i])), float(np.log10(unseen[i] / kinds[i]))) for i in range(N_CLASSES)], "cl int, seen_share double, new_share double")
     rare = coded.select("lm_row", F.explode("rare").alias("r")).select("lm_row", "r.word", "r.n")
     joined = rare.join(vocab.counts.withColumnRenamed("n", "c"), "word", "left").withColumn("cl", _class_col(F.col("word"))).join(F.broadcast(shares), "cl")
     c = F.coalesce("c", F.lit(0))
@@ -413,16 +440,21 @@ class _Lookup:
 def lm_score(docs: DataFrame) -> DataFrame:
     """Scores every row of ``docs`` (doc_id, text, any other columns), learning from rows that are not held out.
 
-    Null text counts as empty: one end token.  A null doc_id counts as held out (no checksum).
-    Repeated rows are scored each.  An empty table gives an empty result.
+    ``score`` is the log10 probability of the text's tokens, each given the two before it.  A word
+    seen in training is an event of its own; the words of a class never seen are taken to be as many
+    as Chao's estimate says, alike in probability, so that all events sum to one.
+
+    Null text counts as empty: one end token.  A null doc_id counts as held out (no checksum).  Texts
+    of any length are scored whole.  Repeated rows are scored each.  An empty table gives an empty
+    result.  The result is stored.
     """
-    rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10))
-    docs = docs.select("doc_id", F.coalesce(rest == 0, F.lit(True)).alias("held_out"), "text")
-    train_docs = docs.filter(~F.col("held_out"))
-    vocab = vocabulary(train_docs)
-    coded = code(docs, vocab, ["doc_id", "held_out"])
-    scored = score(coded, vocab, train(coded.filter(~F.col("held_out")), vocab), ["doc_id", "held_out"])
-    return scored.select("doc_id", "held_out", F.col("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    docs = docs.select("doc_id", F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(True)).alias("held_out"), "text")
+    with scratch() as keep:
+        vocab = vocabulary(docs.filter(~F.col("held_out")))
+        coded = code(docs, vocab, ["doc_id", "held_out"])
+        scored = score(coded, vocab, train(coded.filter(~F.col("held_out")), vocab), ["doc_id", "held_out"])
+        scored = scored.select("doc_id", "held_out", F.col("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        return keep(stored(scored, "lm-scores"))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
