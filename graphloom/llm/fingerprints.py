@@ -17,9 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import drop_stored, stored, table
+from graphloom.llm.common import drop_stored, scratch, stored, table
 
-HELD_DIGESTS = 4_000_000  # repeated digests that are sent to all tasks (8 bytes each); more are joined
+HELD_DIGESTS = 1_000_000  # repeated digests that are sent to all tasks (8 bytes each); more are joined
 RANGES_A_PARTITION = 3
 
 
@@ -75,7 +75,7 @@ def _dealt(bounds, carry_to: dict):
     return run
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, clash boolean"
 
 
 def _edit_part(hashed):
@@ -91,12 +91,13 @@ def _edit_part(hashed):
             edited = text[: n - k] + text_after[:k]
             own, new, then = (_folded(x) for x in (text, edited, text_after))
             a, b, c = hashed(own), hashed(new), hashed(then)
-            return (doc, n, hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), a, b, likeness(a, b), likeness(a, c))
+            clash = (a == b) != (own == new) or (a == c) != (own == then)
+            return (doc, n, hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), a, b, likeness(a, b), likeness(a, c), clash)
 
         def flush():
             cols = list(zip(*out, strict=True))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
 
         last, done = None, None
         for b in batches:
@@ -121,7 +122,7 @@ def _edit_part(hashed):
 
 
 def _repeated_part(hashed, held):
-    """(digest, folded) of the rows whose digest's first 64 bits are in the sorted array ``held``; all rows if None."""
+    """(digest, folded) of the rows whose digest's first 60 bits are in the sorted array ``held``; all rows if None."""
 
     def run(batches):
         for b in batches:
@@ -130,7 +131,7 @@ def _repeated_part(hashed, held):
                 folded = _folded(text)
                 d = hashed(folded)
                 if held is not None:
-                    key = np.uint64(int(d[:16], 16))
+                    key = int(d[:15], 16)
                     at = np.searchsorted(held.value, key)
                     if at == len(held.value) or held.value[at] != key:
                         continue
@@ -165,8 +166,8 @@ def _conflict(docs: DataFrame, prints: DataFrame, hashed) -> bool:
     if not n:
         return False
     if n <= HELD_DIGESTS:
-        keys = repeated.select(F.substring("fingerprint", 1, 16).alias("k")).toPandas()["k"]
-        held = spark.sparkContext.broadcast(np.unique(np.array([int(k, 16) for k in keys], np.uint64)))
+        keys = repeated.select(F.conv(F.substring("fingerprint", 1, 15), 16, 10).cast("long").alias("k")).toArrow()["k"].to_numpy()
+        held = spark.sparkContext.broadcast(np.unique(keys))
         rows = docs.select("text").mapInArrow(_repeated_part(hashed, held), "fingerprint string, folded binary")
     else:
         rows = docs.select("text").mapInArrow(_repeated_part(hashed, None), "fingerprint string, folded binary").join(repeated, "fingerprint", "left_semi")
@@ -177,19 +178,20 @@ def _conflict(docs: DataFrame, prints: DataFrame, hashed) -> bool:
 def fingerprints(docs: DataFrame, hash_with=digest) -> DataFrame:
     """Fingerprint of every text and of its edited text (its last third replaced by the next document's start).
 
-    Null text counts as empty.  The next document is the one with the next smaller doc_id (null
-    doc_ids last, rows of one doc_id in the order of a hash of their texts, then of the texts);
-    after the last comes the first, so a single document follows itself.  An empty table gives an
-    empty result.
+    Null text counts as empty; texts of any length are taken whole.  The next document is the one
+    with the next smaller doc_id (null doc_ids last, rows of one doc_id in the order of a hash of
+    their texts, then of the texts); after the last comes the first, so a single document follows
+    itself.  An empty table gives an empty result.  The result is stored.
     """
     docs, lanes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), 1
-    while True:
-        hashed = _with_lanes(hash_with, lanes)
-        out = stored(_edits(docs, hashed), "fp-rows")
-        if not _conflict(docs, out.select("fingerprint"), hashed):
-            return out
-        drop_stored(out)
-        lanes += 1
+    with scratch() as keep:
+        while True:
+            hashed = _with_lanes(hash_with, lanes)
+            out = stored(_edits(docs, hashed), "fp-rows")
+            if out.filter("clash").isEmpty() and not _conflict(docs, out.select("fingerprint"), hashed):
+                return keep(out).drop("clash")
+            drop_stored(out)
+            lanes += 1
 
 
 def _with_lanes(hash_with, lanes):
