@@ -1,7 +1,8 @@
 """Packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups of documents.
 
-Rows are dealt round-robin, so each task holds a random part of the documents, and it packs them
-group by group (a group is closed by a token budget, so memory does not grow with the input).
+Rows are dealt to tasks and ordered within them by a seeded hash, so a task holds a random part of
+the documents and a rerun the same one.  It packs them group by group (a group is closed by a token
+budget, so memory does not grow with the input).
 Within a group, stretches of ``LENGTH`` ids become sequences of their own and the rests are packed
 first-fit decreasing.  The emptiest bins are then cut up to fill the gaps of the others; what is
 left over goes into the task's next group, and at the task's end into sequences whose sizes are
@@ -20,12 +21,14 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import scratch, stored, table
 
 LENGTH = 4096
 END_ID = 2
 GROUP_TOKENS = 4_000_000  # ids of a group; bounds a task's memory
+SEED = 23
 KEPT_CHUNKS = 200_000  # encoded chunks a worker remembers; others are encoded again
 KEPT_PARTS = 600_000  # encoded words a worker remembers
 TOKENIZER = "word_bpe_49k.json"
@@ -220,13 +223,19 @@ def _pack_part(path: str):
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text, any others) in sequences of at most ``LENGTH`` ids.
+    """Pieces of ``docs`` (doc_id, text, any others) in sequences of at most ``LENGTH`` ids; stored.
 
-    Null and empty texts are the end id alone.  Repeated rows are packed each.  A null doc_id stays
-    null.  ``tokenizer``: path of the vocabulary file, the same on every machine.
+    Null and empty texts are the end id alone.  Texts of any length are encoded whole and cut.
+    Repeated rows are packed each, and as they are alike their order does not matter.  A null doc_id
+    stays null.  An empty table gives an empty result.  Packing depends on the number of shuffle
+    partitions, not on which machine runs a task.  ``tokenizer``: path of the vocabulary file, the
+    same on every machine.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    return docs.select("doc_id", "text").hint("rebalance").mapInArrow(_pack_part(path), SCHEMA)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("doc_id", "text", F.xxhash64(F.lit(SEED), "doc_id", "text").alias("deal")).repartition(n, "deal").sortWithinPartitions("deal", "doc_id")
+    with scratch() as keep:
+        return keep(stored(dealt.select("doc_id", "text").mapInArrow(_pack_part(path), SCHEMA), "packed"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
