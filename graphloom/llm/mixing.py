@@ -2,8 +2,9 @@
 
 A source's words are shared out by weight, with a ceiling of ``MOST`` times its own size.  Whole
 epochs of the source come first; the fraction that remains takes documents in the order of
-exponential keys, -ln(u) / quality, until the word budget is met.  Keys fall into slices of equal
-expected size, so only the one slice in which the budget ends is sorted and summed row by row.
+exponential keys, -ln(u) / quality, until the word budget is met.  Keys fall into slices, as many as
+the square root of the source's documents, so sums over slices find the one in which the budget ends,
+and that one alone is sorted and summed row by row: no task reads more than about that square root.
 """
 
 from __future__ import annotations
@@ -11,11 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored, table
+from graphloom.llm.common import scratch, stored, table
 
 WEIGHTS = (5, 2, 1)  # of the sources in order, repeating
 MOST = 3  # epochs of a source at most
-SLICES = 4096
 SEED = 17
 
 
@@ -32,7 +32,7 @@ def quality(n_chars: Column, size: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """Per source (source, source_size): its target, by water-filling under the ceilings.
+    """Per source (source, source_size, any others): its target, by water-filling under the ceilings.
 
     Sources fill up in the order of ceiling over weight; the level at which the rest stay below
     their ceilings comes from running sums.  One row per source is all that this sorts.
@@ -48,58 +48,64 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     level = level.withColumn("share", F.col("left") / F.col("weight_left")).withColumn("full", F.col("ceiling") / F.col("w") <= F.col("share"))
     # those not full share what the full ones leave: the first of them in filling order has that level
     level = level.withColumn("level", F.min(F.when(~F.col("full"), F.struct(F.col("ceiling") / F.col("w"), F.col("share")))).over(everything)["share"])
-    return level.select("source", "source_size", F.when(F.col("full"), F.col("ceiling")).otherwise(F.col("w") * F.col("level")).alias("target"))
+    return level.select(*sizes.columns, F.when(F.col("full"), F.col("ceiling")).otherwise(F.col("w") * F.col("level")).alias("target"))
 
 
-def _uniform(*cols: Column) -> Column:
-    """In (0, 1), from a hash."""
-    return (F.pmod(F.xxhash64(*cols, F.lit(SEED)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+def _uniform(row_id: Column) -> Column:
+    """In (0, 1), from the first 52 bits of a digest."""
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), row_id)), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def mix_plan(rows: DataFrame) -> DataFrame:
-    """``rows`` (row_id, source, size, q, any others) with source_size, target and copies, a whole number up to ``MOST``."""
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = stored(source_targets(sizes), "mix-targets")
+    """``rows`` (row_id, source, size, q, any others) with source_size, target and copies, a whole number up to ``MOST``.
+
+    Rows of one row_id share a key and their fate.
+    """
     same = lambda a, b: a.join(b.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its")), "left").drop("its")
-    u = _uniform(F.col("row_id"))
-    key = -F.log(u) / F.col("q")
+    targets = stored(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))), "mix-targets")
+    epochs = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("int")
+    targets = targets.withColumn("epochs", epochs).withColumn("budget", F.coalesce(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))).withColumn("slices", F.ceil(F.sqrt("n")))
     # the survival of a key at weight 1 is uniform; weights only bend the slices' sizes
-    keyed = rows.withColumn("key", key).withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * SLICES), F.lit(SLICES - 1)).cast("int"))
-    sliced = keyed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    keyed = same(rows, targets).withColumn("key", -F.log(_uniform(F.col("row_id"))) / F.col("q"))
+    keyed = keyed.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("slices")), F.col("slices") - 1).cast("long"))
+    sliced = keyed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"), F.first("budget").alias("budget"))
     run = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sliced = sliced.withColumn("slice_before", F.coalesce(F.sum("slice_size").over(run), F.lit(0)))
-    plan = same(sliced, targets)
-    plan = plan.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("int")).withColumn("budget", F.coalesce(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))
-    ends = plan.filter((F.col("slice_before") < F.col("budget")) & (F.col("slice_before") + F.col("slice_size") >= F.col("budget")))
-    ends = stored(ends.select("source", "source_size", "target", "epochs", "budget", F.col("slice").alias("end"), "slice_before"), "mix-ends")
+    ends = sliced.filter((F.col("slice_before") < F.col("budget")) & (F.col("slice_before") + F.col("slice_size") >= F.col("budget")))
+    ends = stored(ends.select("source", F.col("slice").alias("end"), "slice_before"), "mix-ends")
     # a source without an end takes no fraction
-    per_source = same(targets, ends.select("source", "end", "slice_before", "budget")).withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("int"))
-    rest = same(keyed, per_source)
+    rest = same(keyed, ends)
     edge = rest.filter(F.col("slice") == F.col("end"))
-    in_order = Window.partitionBy("source", "slice").orderBy("key", "row_id").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("before", F.col("slice_before") + F.coalesce(F.sum("size").over(in_order), F.lit(0)))
+    own = Window.partitionBy("source", "slice")
+    upto = F.sum("size").over(own.orderBy("key", "row_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = edge.withColumn("before", F.col("slice_before") + upto - F.sum("size").over(Window.partitionBy("source", "slice", "key", "row_id")))
     edge = edge.withColumn("more", (F.col("before") + F.col("size") / 2 <= F.col("budget")).cast("int")).drop("before")
     others = rest.filter(F.col("end").isNull() | (F.col("slice") != F.col("end"))).withColumn("more", F.coalesce(F.col("slice") < F.col("end"), F.lit(False)).cast("int"))
     both = others.unionByName(edge)
-    return both.withColumn("copies", F.least(F.col("epochs") + F.col("more"), F.lit(MOST))).drop("key", "slice", "slice_before", "budget", "epochs", "end", "more")
+    return both.withColumn("copies", F.least(F.col("epochs") + F.col("more"), F.lit(MOST))).drop("key", "slice", "slices", "slice_before", "budget", "epochs", "end", "more", "n")
+
+
+def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What tells a document's draw from others': its id and a digest of its text."""
+    return F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """(row_id, doc_id, source, size, q): what the plan needs of each document; no text moves."""
-    size = word_count(F.col("text"))
-    sized = docs.select("doc_id", "source", size.alias("size"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.xxhash64("text").alias("h"))
-    return sized.select(F.struct("doc_id", "h").alias("row_id"), "doc_id", "source", "size", quality(F.col("chars"), F.col("size")).alias("q"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), row_id().alias("row_id"))
+    return sized.select("row_id", "doc_id", "source", "size", quality(F.col("chars"), F.col("size")).alias("q"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, source, text, any others): doc_id, size, source_size, target, taken.
+    """Per row of ``docs`` (doc_id, source, text, any others): doc_id, size, source_size, target, taken; stored.
 
-    Null texts have size 0 and take 0.  Rows without source are one source, last in order.  Rows
-    alike in doc_id and text share a key, so ties in it go together in no fixed order of equal rows.
-    Sources of size 0 have target 0.  An empty table gives an empty result.
+    Null texts have size 0 and take 0.  Texts of any length count whole and are taken whole.  Rows
+    without source are one source, last in order.  Rows alike in doc_id and text share a key and are
+    taken equally often.  Sources of size 0 have target 0.  An empty table gives an empty result.
     """
-    plan = mix_plan(stored(measured(docs), "mix-rows"))
-    return plan.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    with scratch() as keep:
+        plan = mix_plan(stored(measured(docs), "mix-rows"))
+        return keep(stored(plan.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("copies")).cast("long").alias("taken")), "mixed"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

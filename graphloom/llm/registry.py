@@ -30,10 +30,25 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+# the plan without slices: every source sorted whole, and the same digest as the draw
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+ w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, source_size * 3.0::DOUBLE AS ceiling FROM s),
+ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(ceiling) OVER f, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS share FROM w WINDOW f AS (ORDER BY ceiling / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ g AS (SELECT *, ceiling / w <= share AS is_full, (SELECT arg_min(share, ceiling / w) FROM l WHERE NOT ceiling / w <= share) AS level FROM l),
+ t AS (SELECT source, source_size, CASE WHEN is_full THEN ceiling ELSE w * level END AS target FROM g),
+ k AS (SELECT d.*, source_size, target, coalesce(floor(target / nullif(source_size, 0)), 0) AS epochs, coalesce(doc_id::VARCHAR, '') || ':' || md5(t) AS row_id,
+   CASE WHEN length(t) / greatest(size, 1)::DOUBLE BETWEEN 3 AND 12 THEN 1.0 ELSE 0.5 END * CASE WHEN size >= 20 THEN 1.0 ELSE 0.5 END AS q FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+ o AS (SELECT *, target - epochs * source_size AS budget, -ln((('0x' || substr(md5('17:' || row_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / q::DOUBLE AS key FROM k),
+ b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+SELECT doc_id, size, source_size, target, (size * least(epochs + (before < budget AND before + size / 2::DOUBLE <= budget)::INT, 3))::BIGINT AS taken FROM b
+"""
+
 
 def queries():
     return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {"op3_near_dedup": NEAR_DEDUP_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op3_near_dedup": NEAR_DEDUP_SQL, "op6_mixing": MIXING_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
