@@ -1,9 +1,12 @@
 """URL filters: host and path rules, and association rules that FP-growth mines for the rest.
 
-Explicit rules judge the urls they fit.  Those verdicts are the labels from which FP-growth mines
-combinations of url tokens that imply ``block``; rules of enough support and confidence stay unless
-a shorter one does as well.  A url that no explicit rule fits is blocked if its tokens hold all
-those of a mined rule, found through an inverted index on each rule's rarest token.
+Explicit rules judge the urls they fit; those verdicts are the labels.  FP-growth mines combinations
+of url tokens that imply ``block`` over all urls, of which those without a label count against a
+combination: its confidence is the share of all urls holding it that are labelled ``block``, so a
+combination that only says where the explicit rules look is none.  Rules of enough support (rows and
+share) and confidence stay unless a shorter one does as well.  A url that no explicit rule fits is
+blocked if its tokens hold all those of a mined rule, found through an inverted index on each rule's
+rarest token.
 """
 
 from __future__ import annotations
@@ -12,10 +15,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored, table
+from graphloom.llm.common import scratch, stored, table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-MIN_SUPPORT = 0.002
+MIN_SUPPORT = 0.002  # share of urls that hold a rule's tokens and are blocked
+LEAST_ROWS = 20  # and their number, at least
 MIN_CONFIDENCE = 0.8
 HELD = 200_000  # mined rules, or distinct token sets, that a broadcast may hold; beyond, a shuffle join
 VERDICT = "verdict="
@@ -74,19 +78,28 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(every)))
 
 
-def mine(labelled: DataFrame) -> DataFrame:
-    """(rule_id, items, key, confidence) that imply block, from rows (tokens, verdict); ``key`` is the rarest item."""
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(VERDICT), F.col("verdict")))).alias("items"))
-    partitions = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE, numPartitions=partitions).fit(items)
+def mine(urls: DataFrame) -> DataFrame:
+    """(items, key, confidence) that imply block, from rows (tokens, verdict or null); ``key`` is the rarest item."""
+    n = urls.count()
+    least = max(LEAST_ROWS, -(-MIN_SUPPORT * n // 1))
+    # no rule of enough support holds an item that is blocked less often
+    often = stored(urls.select(F.explode("tokens").alias("item"), (F.coalesce("verdict", F.lit("")) == "block").cast("int").alias("b")).groupBy("item").agg(F.count(F.lit(1)).alias("freq"), F.sum("b").alias("blocked")).filter(F.col("blocked") >= least), "url-items")
+    none = urls.sparkSession.createDataFrame([], "items array<string>, confidence double, key string")
+    if least > n or often.isEmpty():
+        return none
+    known = often.agg(F.collect_set("item").alias("known"))  # at most 1 / MIN_SUPPORT times the items of a url
+    marked = F.when(F.col("verdict") == "block", F.array(F.lit(VERDICT + "block"))).otherwise(F.array().cast("array<string>"))
+    items = urls.crossJoin(F.broadcast(known)).select(F.concat(F.array_intersect("tokens", "known"), marked).alias("items")).filter(F.size("items") > 0)
+    partitions = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = items.count()
+    model = FPGrowth(minSupport=min(1.0, (least - 0.5) / max(rows, 1)), minConfidence=MIN_CONFIDENCE, numPartitions=partitions).fit(items)
     found = model.associationRules.filter((F.size("consequent") == 1) & (F.element_at("consequent", 1) == VERDICT + "block") & (F.col("lift") > 1))
     found = stored(found.select(F.array_sort("antecedent").alias("items"), "confidence"), "url-rules")
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("item"), "freq")
     # a rule falls if dropping one of its items leaves a rule that is as sure
-    shorter = found.select("items", "confidence", F.posexplode("items").alias("at", "item")).select("items", "confidence", F.array_remove("items", F.col("item")).alias("part"))
+    shorter = found.select("items", "confidence", F.explode("items").alias("item")).select("items", "confidence", F.array_remove("items", F.col("item")).alias("part"))
     beaten = shorter.join(found.select(F.col("items").alias("part"), F.col("confidence").alias("as_sure")), "part").filter("as_sure >= confidence").select("items").distinct()
     kept = found.join(beaten, "items", "left_anti")
-    keyed = kept.select("items", "confidence", F.explode("items").alias("item")).join(single, "item")
+    keyed = kept.select("items", "confidence", F.explode("items").alias("item")).join(often, "item")
     return stored(keyed.groupBy("items", "confidence").agg(F.min(F.struct("freq", "item"))["item"].alias("key")), "url-kept")
 
 
@@ -97,26 +110,38 @@ def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return near.filter(F.forall("items", lambda i: F.array_contains("tokens", i))).select("tokens").distinct()
 
 
+def _judged(pages: DataFrame, rules) -> DataFrame:
+    """(page_id, host, path, rule, verdict, tokens), stored; rule and verdict null where no explicit rule fits."""
+    host, path = host_and_path(F.col("url"))
+    judged = pages.select("page_id", "url").withColumns({"host": host, "path": path})
+    judged = judged.withColumn("own", judge(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(F.coalesce("url", F.lit("")), F.col("host"), F.col("path")))
+    return stored(judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.col("own.verdict").alias("verdict"), "tokens"), "url-judged")
+
+
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
-    """Per row of ``pages`` (page_id, url, any others): page_id, host, path, rule, verdict.
+    """Per row of ``pages`` (page_id, url, any others): page_id, host, path, rule, verdict; stored.
 
     Null urls and those without ``://`` have empty host and path, fit no rule and are allowed unless
-    mined rules say otherwise.  Repeated rows are judged each and count each in mining.  If no rule
-    fits any url nothing is mined and the rest is allowed.  An empty table gives an empty result.
+    mined rules say otherwise.  Urls of any length are read whole.  Of rules of equal length the one
+    later by code point counts (one host has no two such rules that fit).  Repeated rows are judged
+    each and count each in mining.  If no rule fits any url nothing is mined and the rest is allowed.
+    An empty table gives an empty result.
     """
-    host, path = host_and_path(F.col("url"))
-    judged = pages.select("page_id", "url").withColumns({"host": host, "path": path})
-    judged = judged.withColumn("own", judge(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens(F.coalesce("url", F.lit("")), F.col("host"), F.col("path")))
-    judged = stored(judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.col("own.verdict").alias("verdict"), "tokens"), "url-judged")
-    labelled = judged.filter("verdict is not null")
-    rest = judged.filter("verdict is null")
-    if labelled.isEmpty():
-        blocked = rest.select("tokens").limit(0)
-    else:
-        blocked = stored(matched(rest.select("tokens").distinct(), mine(labelled)), "url-blocked")
-    blocked = blocked.withColumn("mined", F.lit("block"))
-    blocked = F.broadcast(blocked) if blocked.count() <= HELD else blocked
-    return judged.join(blocked, "tokens", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "mined", F.lit("allow")).alias("verdict"))
+    with scratch() as keep:
+        judged = _judged(pages, rules)
+        blocked = stored(matched(judged.filter("verdict is null").select("tokens").distinct(), mine(judged)), "url-blocked").withColumn("mined", F.lit("block"))
+        blocked = F.broadcast(blocked) if blocked.count() <= HELD else blocked
+        return keep(stored(judged.join(blocked, "tokens", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "mined", F.lit("allow")).alias("verdict")), "urls"))
+
+
+def precision(pages: DataFrame, rules=RULES) -> tuple[int, int]:
+    """(rows, of them blocked by their explicit rule): labelled urls that mined rules match though their labels, a fifth by a hash of the url's tokens, were not mined."""
+    with scratch():
+        judged = _judged(pages, rules)
+        aside = F.pmod(F.xxhash64("tokens"), F.lit(5)) == 0
+        hits = matched(judged.filter(aside & F.col("verdict").isNotNull()).select("tokens").distinct(), mine(judged.filter(~aside)))
+        right = judged.filter(aside & F.col("verdict").isNotNull()).join(hits, "tokens", "left_semi").agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("verdict") == "block").cast("int")), F.lit(0))).first()
+        return int(right[0]), int(right[1])
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
