@@ -1,11 +1,15 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard.
 
-Rows are dealt round-robin into shards of bounded size.  A shard's graph is flat arrays: the
-distinct vectors, for each layer its nodes and their neighbours, and the ids of equal vectors.  It
-is built in waves: a wave of nodes searches the layer in lockstep, each node picks diverse
-neighbours among what it found and its wave mates, and reverse links are pruned the same way.
-Graphs are stored; the query set is sent to them in blocks of bounded size, each shard gives its
-best with exact distances, and the shards' results are merged.
+Rows are dealt into shards.  A shard's graph is flat arrays: the distinct vectors, for each layer its
+nodes and their neighbours, and the ids of equal vectors.  It is built in waves: a wave of nodes
+searches the layer in lockstep, each node picks diverse neighbours among what it found and its wave
+mates, and reverse links are pruned the same way.  Graphs are stored; the query set is sent to them
+in blocks of bounded size, one block after the other, each shard gives its best with exact distances,
+and the shards' results are merged.
+
+Every query visits every shard: sending queries to the nearest cells of a k-means partition only was
+tried and finds too little where vectors do not cluster.  So shards grow with the table, to the size
+that a task's memory allows, before they grow in number.
 """
 
 from __future__ import annotations
@@ -17,14 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored, table
+from graphloom.llm.common import scratch, stored, table
 
-SHARD = 8192  # vectors of a shard
+SHARD, SHARDS = 8192, 128  # vectors of a shard, until there are so many shards; then shards grow
+SHARD_VALUES = 16_000_000  # numbers of a shard's vectors at most; then shards grow in number again
 LINKS = 16  # neighbours in upper layers; the lowest has twice as many
-EF_BUILD, EF = 64, 128  # beams
+EF_BUILD, EF = 64, 128  # beams; the one of a search widens with the root of a shard's size beyond ``SHARD``
 WAVE = 256
 STEP = 4  # nodes that a beam expands at a time
-BLOCK_VALUES = 8_000_000  # numbers in a block of queries that is broadcast
+BLOCK_VALUES = 16_000_000  # numbers in a block of queries that is broadcast
 EVERY = 100
 K = 10
 
@@ -188,9 +193,10 @@ class Graph:
 
     def nearest(self, query_ids: np.ndarray, q: np.ndarray, k: int):
         """(query_id, vec_id, exact distance) of each query's ``k`` best here, without the query's own id."""
+        ef = int(EF * max(1.0, len(self.x) / SHARD) ** 0.5)
         for at in range(0, len(q), WAVE):
             part = q[at : at + WAVE]
-            for query, own, found in zip(query_ids[at : at + WAVE].tolist(), part, self.search(part, EF), strict=True):
+            for query, own, found in zip(query_ids[at : at + WAVE].tolist(), part, self.search(part, ef), strict=True):
                 found = found[found >= 0]
                 d = np.sqrt(((self.x[found].astype(np.float64) - own.astype(np.float64)) ** 2).sum(1))
                 out = []
@@ -204,23 +210,26 @@ class Graph:
                 yield from ((query, v, dist) for v, dist in out[:k])
 
 
-def _build_part(batches):
-    waiting: dict[int, list] = {}
+def _build_part(size: int):
+    def run(batches):
+        waiting: dict[int, list] = {}
 
-    def shard(dim):
-        rows = waiting.pop(dim)
-        graph = Graph.build(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float32))
-        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([graph.dump()], pa.binary())], names=["dim", "graph"])
+        def shard(dim):
+            rows = waiting.pop(dim)
+            graph = Graph.build(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float32))
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([graph.dump()], pa.binary())], names=["dim", "graph"])
 
-    for batch in batches:
-        for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            v = v.values.to_numpy(zero_copy_only=False)
-            rows = waiting.setdefault(len(v), [])
-            rows.append((i, v))
-            if len(rows) >= SHARD:
-                yield shard(len(v))
-    for dim in list(waiting):
-        yield shard(dim)
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                v = v.values.to_numpy(zero_copy_only=False)
+                rows = waiting.setdefault(len(v), [])
+                rows.append((i, v))
+                if len(rows) >= size:
+                    yield shard(len(v))
+        for dim in list(waiting):
+            yield shard(dim)
+
+    return run
 
 
 def _search_part(queries, k):
@@ -244,41 +253,54 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("embedding").isNotNull() & F.coalesce(ok, F.lit(False)) & F.col("vec_id").isNotNull())
 
 
+def _vectors(rows: DataFrame) -> DataFrame:
+    return usable(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")))
+
+
+def shard_size(n: int, dim: int) -> int:
+    return max(min(SHARD, SHARD_VALUES // dim), min(-(-n // SHARDS), SHARD_VALUES // dim), 1)
+
+
 def index(rows: DataFrame) -> DataFrame:
     """The stored graphs (dim, graph) of all usable rows."""
-    rows = usable(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")))
-    shards = max(1, -(-rows.count() // SHARD))
-    return stored(rows.repartition(shards).mapInArrow(_build_part, "dim int, graph binary"), "ann")
+    rows = _vectors(rows)
+    n, dim = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    size = shard_size(n, dim)
+    dealt = rows.repartition(max(1, -(-n // size)), F.xxhash64("vec_id", "embedding")).sortWithinPartitions("vec_id")
+    return stored(dealt.mapInArrow(_build_part(2 * size), "dim int, graph binary"), "ann-graphs")
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found, ties to the smaller vec_id."""
     spark = queries.sparkSession
-    queries = usable(queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")))
-    n, dim = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
-    blocks = max(1, -(-n * dim // BLOCK_VALUES))
-    found = None
+    asked = stored(_vectors(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "ann-queries")
+    n, dim = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    blocks, found = max(1, -(-n * dim // BLOCK_VALUES)), None
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     for b in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
         by_dim: dict[int, list] = {}
-        for i, v in {r["vec_id"]: r["embedding"] for r in rows}.items():
-            by_dim.setdefault(len(v), []).append((i, v))
+        for r in asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect():
+            by_dim.setdefault(len(r["embedding"]), []).append((r["vec_id"], r["embedding"]))
         block = spark.sparkContext.broadcast({d: (np.array([i for i, _ in x], np.int64), np.array([v for _, v in x], np.float32)) for d, x in by_dim.items()})
-        part = graphs.mapInArrow(_search_part(block, k), "query_id long, vec_id long, score double")
+        hits = graphs.mapInArrow(_search_part(block, k), "query_id long, vec_id long, score double")
+        ranked = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        part = stored(ranked, "ann-block")
+        block.destroy()
         found = part if found is None else found.unionByName(part)
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found
 
 
 def nearest(rows: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
-    """Nearest neighbours of the rows (vec_id, embedding, any others) whose vec_id ``every`` divides.
+    """Nearest neighbours of the rows (vec_id, embedding, any others) whose vec_id ``every`` divides; stored.
 
     Rows with a null vec_id or a null, empty or zero vector, or one that holds nulls or numbers that
-    are not finite, take no part.  Vectors are compared with those of their own length.  Rows that
-    share the query's vec_id are its own; of a query id on several rows one row asks.  An empty
-    table gives an empty result.
+    are not finite, take no part.  Vectors are compared with those of their own length, long ones
+    whole.  Rows that share the query's vec_id are its own; of a query id on several rows the least
+    vector asks.  An empty table gives an empty result.
     """
-    return search(index(rows), rows.filter(F.col("vec_id") % every == 0), k)
+    with scratch() as keep:
+        found = search(index(rows), rows.filter(F.col("vec_id") % every == 0), k)
+        return keep(found if hasattr(found, "stored_path") else stored(found, "ann"))
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
