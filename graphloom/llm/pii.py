@@ -18,11 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored, table
+from graphloom.llm.common import scratch, stored, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 TAGS = {k: f"<{k.upper()}>" for k in KINDS}
-LEAST_TERM = 4  # letters
 Z = 1.96  # of the confidence bound
 DISCLOSURE = 0.8
 HELD_TERMS = 200_000  # chosen terms, rows with any or copied texts that a broadcast may hold; beyond, a shuffle join
@@ -44,6 +43,7 @@ HINTS = {
     "phone": lambda t: t.contains("+"),
 }
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"  # in sorting order
+RUN = 256  # numbers that are summed one by one; runs are then shifted as wholes
 
 
 def _digits(value: Column) -> Column:
@@ -67,20 +67,37 @@ CHECKS = {
 }
 
 
+def running(sizes: Column) -> Column:
+    """Running sums of an array of int.
+
+    An array that grows by one at each step is copied at each step, so only runs of ``RUN`` grow that
+    way, and then the runs' totals: the work stays in proportion to the array.
+    """
+    none = F.array().cast("array<int>")
+
+    def summed(xs):
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out")))["out"]
+
+    def whole(xs):
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda i: summed(F.slice(xs, i * RUN + 1, F.lit(RUN))))
+        totals = summed(F.transform(runs, lambda r: F.element_at(r, -1)))
+        return F.flatten(F.zip_with(runs, totals, lambda r, t: F.transform(r, lambda x: x + t - F.element_at(r, -1))))
+
+    return F.when(F.size(sizes) == 0, none).otherwise(F.transform(F.array(sizes), whole)[0])
+
+
 def _located(text: Column, pattern: str, kind: int) -> Column:
     """Spans of the matches: the pieces between them give their places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern), F.length)
-    zipped = F.arrays_zip(between.alias("gap"), found.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    # the piece after the last match has no match beside it
+    pieces = F.filter(F.arrays_zip(F.split(text, pattern).alias("gap"), found.alias("value")), lambda x: x["value"].isNotNull())
 
-    def step(acc, x):
-        s = acc["at"] + x["gap"]
-        e = s + F.length(x["value"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), F.lit(kind).alias("kind"), e.alias("end"), x["value"].alias("value")))).alias("out"))
+    def placed(ps):
+        ends = running(F.transform(ps, lambda p: F.length(p["gap"]) + F.length(p["value"])))
+        return F.zip_with(ps, ends, lambda p, e: F.struct((e - F.length(p["value"])).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), p["value"].alias("value")))
 
-    # the piece after the last match has no match beside it
-    return F.aggregate(F.filter(zipped, lambda x: x["value"].isNotNull()), start, step)["out"]
+    return F.transform(F.array(pieces), placed)[0]
 
 
 def base_spans(text: Column) -> Column:
@@ -96,24 +113,24 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), s["start"], s["end"])))
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """The text with blanks in the place of its spans."""
+    return F.when(F.size(spans) == 0, text).otherwise(_replaced(text, spans, lambda s, n: F.repeat(F.lit(" "), n)))
+
+
 def _terms(text: Column, spans: Column) -> Column:
     """The distinct words of letters outside the spans, lower-cased."""
-    outside = F.when(F.size(spans) == 0, text).otherwise(_replaced(text, spans, lambda s: F.lit(" ")))
-    return F.array_distinct(F.transform(F.regexp_extract_all(outside, F.lit(rf"\p{{L}}{{{LEAST_TERM},}}+"), F.lit(0)), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(masked(text, spans), F.lit(r"\p{L}+"), F.lit(0)), F.lower))
 
 
 def _places(text: Column, spans: Column, terms: Column) -> Column:
-    """Spans of all words that are among ``terms``, but for those that meet one of ``spans``."""
-    parts = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    """Spans of all words outside ``spans`` that are among ``terms``."""
 
-    def step(acc, w):
-        e = acc["at"] + F.length(w)
-        more = F.array(F.struct(acc["at"].alias("start"), F.lit(4).alias("kind"), e.alias("end"), F.lower(w).alias("value")))
-        # a word that is no term leaves the list as it is, uncopied
-        return F.struct(e.alias("at"), F.when(F.array_contains(terms, F.lower(w)), F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
+    def placed(parts):
+        whole = F.zip_with(parts, running(F.transform(parts, F.length)), lambda w, e: F.struct((e - F.length(w)).alias("start"), F.lit(4).alias("kind"), e.alias("end"), F.lower(w).alias("value")))
+        return F.filter(whole, lambda s: F.array_contains(terms, s["value"]))
 
-    return F.filter(F.aggregate(parts, first, step)["out"], lambda t: ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])))
+    return F.transform(F.array(F.regexp_extract_all(masked(text, spans), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))), placed)[0]
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
@@ -168,31 +185,52 @@ def all_spans(docs: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, any others): counts and places of its personal data.
+    """Per row of ``docs`` (doc_id, text, any others): counts and places of its personal data; stored.
 
-    Null text counts as empty: no spans, the hash of the empty string.  Repeated rows are searched
-    each.  An empty table gives an empty result.
+    Null text counts as empty: no spans, the hash of the empty string.  Texts of any length are
+    searched whole, in time that grows with their length and matches.  Repeated rows are searched
+    each and are one piece of evidence.  Spans that start together are in the order of kinds.  An
+    empty table gives an empty result.
     """
-    rows = all_spans(docs.select("doc_id", "text"))
-    count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
-    return rows.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])), F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("every")).alias("spans"))
+    with scratch() as keep:
+        rows = all_spans(docs.select("doc_id", "text"))
+        count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+        return keep(stored(rows.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])), F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("every")).alias("spans")), "pii"))
+
+
+def apart(spans: Column) -> Column:
+    """Spans (sorted by start) without those that begin before an earlier one ends."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out"))
+    near = F.exists(F.zip_with(spans, F.slice(spans, 2, F.greatest(F.size(spans), F.lit(1))), lambda a, b: F.coalesce(b["start"] < a["end"], F.lit(False))), lambda x: x)
+    return F.when(near, F.aggregate(spans, start, step)["out"]).otherwise(spans)
 
 
 def _replaced(text: Column, spans: Column, tag) -> Column:
-    """The text with ``tag`` of each span in its place; overlapping spans become one, the first."""
+    """The text with ``tag(span, length)`` in the place of each span; of overlapping spans the first stands, and all they cover goes.
+
+    Pieces are cut from UTF-32, where a place is found without reading what is before it.
+    """
+    none = F.lit(None).cast(_SPAN)
 
-    def step(acc, s):
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), tag(s))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def written(x):
+        kept, wide, all_ = x["kept"], x["wide"], x["all"]
+        cut = lambda a, n: F.decode(F.substring(wide, a * 4 + 1, n * 4), "UTF-32")
+        size = F.floor(F.octet_length(wide) / 4).cast("int")
+        # a span covers what those up to the next kept one cover
+        reach = lambda s, after: F.when(F.size(kept) == F.size(all_), s["end"]).otherwise(F.array_max(F.transform(F.filter(all_, lambda o: (o["start"] >= s["start"]) & (after.isNull() | (o["start"] < after))), lambda o: o["end"])))
+        ends = F.zip_with(kept, F.concat(F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1))), F.array(none)), lambda s, t: F.struct(s.alias("s"), reach(s, t["start"]).alias("end"), F.coalesce(t["start"], size).alias("next")))
+        pieces = F.transform(ends, lambda e: F.concat(tag(e["s"], e["end"] - e["s"]["start"]), cut(e["end"], e["next"] - e["end"])))
+        return F.concat(cut(F.lit(0), kept[0]["start"]), F.array_join(pieces, ""))
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    whole = F.struct(apart(spans).alias("kept"), F.encode(text, "UTF-32").alias("wide"), spans.alias("all"))
+    return F.when(F.size(spans) == 0, text).otherwise(F.transform(F.array(whole), written)[0])
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span generalised to its kind."""
     tag = F.array(*(F.lit(TAGS[k]) for k in KINDS))
-    return _replaced(text, spans, lambda s: F.element_at(tag, s["kind"] + 1))
+    return _replaced(text, spans, lambda s, n: F.element_at(tag, s["kind"] + 1))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
