@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import time
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +69,24 @@ def test_near_values(docs):
     assert got[5]["n_shingles"] == 3
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    rows = spark.createDataFrame([(3, b), (5, a), (5, b), (9, a), (9, ""), (12, "other words that stand alone in here")], "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(rows).collect()]
+    assert sorted(got) == [(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (9, 3, False), (12, 12, True)]
+
+
+def test_long_runs_take_no_square_time(spark):
+    began = time.time()
+    assert not toxicity.rules("A" * 150_000 + " !") and toxicity.rules("a" * 150_000 + "*" * 150_000) == [4]
+    assert time.time() - began < 2
+    many = spark.createDataFrame([(1, " ".join(f"a{i}@b.c w{i}" for i in range(20_000)))], "doc_id long, text string")
+    began = time.time()
+    assert pii.find(many).first()["n_email"] == 20_000
+    assert pii.sanitise(many).first()["text"].count("<EMAIL>") == 20_000
+    assert time.time() - began < 90
+
+
 def test_pii_values(docs):
     got = {r["doc_id"]: r for r in pii.find(docs).collect()}
     assert (got[9]["n_email"], got[9]["n_ip"], got[9]["n_card"], got[9]["n_phone"]) == (1, 1, 1, 1)
@@ -117,6 +137,8 @@ def test_stages(stage, spark, docs, none, labels, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     if stage == "near_dedup":
         assert sorted(r["doc_id"] or 0 for r in back.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 9, 10]
+        shared = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n"), (1, "a b c d e f g"), (None, "x"), (None, "x"), (None, "y")], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "1L n_chars")
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in run(spark, shared, str(tmp_path)).collect()) == [(0, "x"), (0, "y"), (1, "a b c d e f g"), (1, "h i j k l m n")]
     if stage in ("toxicity", "pii"):
         assert back.count() == 12
     assert run(spark, none, str(tmp_path)).count() == 0
