@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, near_dedup, packing, pii, toxicity
-from graphloom.llm.common import shared_dir, stored, table
+from graphloom.llm.common import scratch, shared_dir, stored, table
 
 PERCENT = 80  # the near-dedup stage's least similarity; op3_near_dedup has its own
 
@@ -22,11 +22,21 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (Jaccard of ``PERCENT`` or more) stays, the one of the smallest doc_id; of equal doc_ids one row."""
+    """One document of each near-duplicate group (Jaccard of ``PERCENT`` or more) stays, the one of the smallest doc_id.
+
+    Rows of one doc_id are one document, of which each text stays once.  Rows without doc_id belong
+    to no group; of equal texts among them one stays.
+    """
     groups = near_dedup.near_dedup(docs, PERCENT)
     gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti")
-    return stay.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.filter("doc_id is null")).select(*COLUMNS)
+    stay = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # rows that share their doc_id, or have none, are few: only they are compared by text
+    shared = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 or doc_id is null").select(F.col("doc_id").alias("its"), F.lit(True).alias("shared"))
+    marked = stay.join(shared, F.col("doc_id").eqNullSafe(F.col("its")), "left").drop("its")
+    alike = marked.filter("shared").drop("shared")
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = alike.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("r")).select("doc_id", "text", *(F.col(f"r.{c}") for c in others))
+    return marked.filter("shared is null").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +47,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it."""
-    size = mixing.word_count(F.col("text"))
-    rows = docs.select(*COLUMNS, size.alias("size"))
-    plan = mixing.mix_plan(stored(mixing.measured(docs), "pipe-measured")).filter("copies > 0").select("row_id", "copies")
-    plan = plan.dropDuplicates(["row_id"])
-    keyed = rows.withColumn("row_id", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    taken = keyed.join(plan, F.col("doc_id").eqNullSafe(plan["row_id"]["doc_id"]) & (keyed["row_id"]["h"] == plan["row_id"]["h"]))
+    plan = mixing.mix_plan(stored(mixing.measured(docs), "pipe-measured")).filter("copies > 0").select("row_id", "copies").dropDuplicates(["row_id"])  # rows of one row_id have the same copies
+    taken = docs.select(*COLUMNS).withColumn("row_id", mixing.row_id()).join(plan, "row_id")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
@@ -58,10 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; what a stage stored on its way goes when its result is written."""
     docs, where = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{where}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
