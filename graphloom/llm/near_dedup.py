@@ -22,7 +22,7 @@ WIDTH = 5  # words of a shingle
 PERCENT = 85  # least 100 * intersection / union
 M, BANDS = 64, 16  # signature length; a band has M / BANDS values
 SALTS = 256  # tasks that the members of one centre spread over
-KEY_SALTS = 8  # and the members of one bucket, where they are joined with its centre
+KEY_SALTS = 16  # and the members of one bucket or class, where they are joined with its centre or number
 HELD_IDS = 2_000_000  # ids that a broadcast may hold; beyond, a shuffle join
 LEVEL_BITS = 26  # a signature value is its level and 26 random bits
 
@@ -353,10 +353,14 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         root = _links(signed, docs, classes, percent)
         if root is not None:
             classes = classes.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("rep", F.coalesce("root", "rep")).drop("root")
-        rows = signed.select("doc_id", "n_shingles", "digest").join(classes, ["digest", "n_shingles"], "left")
+        # a set that many documents share is one class with one row here, and many on the other side
+        one = classes.select(F.struct("digest", "n_shingles").alias("class"), "rep")
+        rows = signed.select("doc_id", "n_shingles", F.when(F.col("digest").isNotNull() & F.col("doc_id").isNotNull(), F.struct("digest", "n_shingles")).alias("class"))
+        none = rows.filter("class is null").withColumn("rep", F.lit(None).cast("long"))
+        rows = salted_join(rows.filter("class is not null"), one, "class", "doc_id", KEY_SALTS).unionByName(none)
         # a row without words has no class; its doc_id may have one by another row
-        empty = rows.filter("digest is null and doc_id is not null").select("doc_id").distinct()
-        other = rows.filter("digest is not null").select("doc_id", "rep").join(empty, "doc_id").groupBy("doc_id").agg(F.min("rep").alias("other"))
+        empty = none.filter("doc_id is not null").select("doc_id").distinct()
+        other = rows.filter("class is not null").select("doc_id", "rep").join(empty, "doc_id").groupBy("doc_id").agg(F.min("rep").alias("other"))
         found = rows.join(other, "doc_id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "other", "doc_id")))
         return keep(stored(found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near-dedup"))
 
