@@ -24,7 +24,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 TAGS = {k: f"<{k.upper()}>" for k in KINDS}
 Z = 1.96  # of the confidence bound
 DISCLOSURE = 0.8
-HELD_TERMS = 200_000  # chosen terms, rows with any or copied texts that a broadcast may hold; beyond, a shuffle join
+HELD_TERMS = 500_000  # terms, or copied texts, that a broadcast may hold; beyond, a shuffle join
 
 # The base patterns.  Possessive quantifiers and the looks behind change no match: they keep long
 # runs from being scanned from every position, and loops off the stack.
@@ -43,7 +43,8 @@ HINTS = {
     "phone": lambda t: t.contains("+"),
 }
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"  # in sorting order
-RUN = 256  # numbers that are summed one by one; runs are then shifted as wholes
+RUN = 64  # numbers that are summed one by one; runs are then shifted as wholes
+WORDS = 1024  # pieces of a text that are placed one by one
 
 
 def _digits(value: Column) -> Column:
@@ -124,13 +125,26 @@ def _terms(text: Column, spans: Column) -> Column:
 
 
 def _places(text: Column, spans: Column, terms: Column) -> Column:
-    """Spans of all words outside ``spans`` that are among ``terms``."""
+    """Spans of all words outside ``spans`` that are among ``terms``; a text's pieces are walked in runs, so that no list grows long."""
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    def walked(run, at):
+        def step(acc, w):
+            e = acc["at"] + F.length(w)
+            more = F.array(F.struct(acc["at"].alias("start"), F.lit(4).alias("kind"), e.alias("end"), F.lower(w).alias("value")))
+            # a word that is no term leaves the list as it is, uncopied
+            return F.struct(e.alias("at"), F.when(F.array_contains(terms, F.lower(w)), F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(run, F.struct(at.alias("at"), none.alias("out")), step)["out"]
 
     def placed(parts):
-        whole = F.zip_with(parts, running(F.transform(parts, F.length)), lambda w, e: F.struct((e - F.length(w)).alias("start"), F.lit(4).alias("kind"), e.alias("end"), F.lower(w).alias("value")))
-        return F.filter(whole, lambda s: F.array_contains(terms, s["value"]))
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / WORDS).cast("int")), lambda i: F.slice(parts, i * WORDS + 1, F.lit(WORDS)))
+        sizes = F.transform(runs, lambda r: F.length(F.array_join(r, "")))
+        starts = F.zip_with(running(sizes), sizes, lambda e, n: e - n)
+        return F.flatten(F.zip_with(runs, starts, walked))
 
-    return F.transform(F.array(F.regexp_extract_all(masked(text, spans), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))), placed)[0]
+    pieces = F.regexp_extract_all(masked(text, spans), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.transform(F.array(pieces), lambda p: F.when(F.size(p) > 0, placed(p)).otherwise(none))[0]
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
@@ -139,8 +153,9 @@ def found_spans(docs: DataFrame) -> DataFrame:
     return stored(spans.withColumn("h", F.xxhash64("text")).withColumn("row_id", F.monotonically_increasing_id()), "pii-found")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= HELD_TERMS else df
+def _bounded(df: DataFrame, size: Column | None = None) -> DataFrame:
+    n = df.count() if size is None else df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= HELD_TERMS else df
 
 
 def disclosing_terms(found: DataFrame) -> DataFrame:
@@ -181,7 +196,7 @@ def all_spans(docs: DataFrame) -> DataFrame:
     words = found.select("row_id", F.explode(_terms(F.col("text"), F.col("spans"))).alias("term"))
     marks = stored(words.join(_bounded(chosen), "term").groupBy("row_id").agg(F.collect_list("term").alias("terms")), "pii-marks")
     every = F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", _places(F.col("text"), F.col("spans"), F.col("terms")))))
-    return found.join(_bounded(marks), "row_id", "left").withColumn("every", every).drop("terms", "h")
+    return found.join(_bounded(marks, F.size("terms")), "row_id", "left").withColumn("every", every).drop("terms", "h")
 
 
 def find(docs: DataFrame) -> DataFrame:
