@@ -9,20 +9,10 @@ from graphloom.operators import chunking, evaluation, graph, quality, retrieval
 from graphloom.operators import pages as paging
 from graphloom.plans import answers, fixtures
 from graphloom.plans.fixtures import read
-
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with the SQL that checks it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+from graphloom.queries import evaluating, gate, ingesting, texts  # noqa: F401 - they register their queries
+from graphloom.queries.sql import CHUNKS, CLEAN, KEY_CHARS
+from graphloom.registry import QUERIES, SQL, query
+from graphloom.streaming import ingest
 
 
 def queries():
@@ -35,14 +25,6 @@ def oracle_sql():
     return dict(SQL)
 
 
-BODY = r"regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
-CHUNKS = rf"""
-WITH b AS (SELECT doc_id, lang, source, {BODY} AS body FROM documents),
- n AS (SELECT *, length(body) AS len, CASE WHEN length(body) = 0 THEN 0 WHEN length(body) <= 2600 THEN 1 ELSE CAST(ceil((length(body) - 2600) / 2350.0) AS INT) + 1 END AS n FROM b),
- c AS (SELECT doc_id, lang, source, i::INT AS idx, substring(body, ((i - 1) * 2350 + 1)::INT, 2600) AS chunk FROM n, LATERAL (SELECT unnest(generate_series(1, n.n)) AS i))
-"""
-
-
 @query(CHUNKS + "SELECT doc_id, idx AS \"index\", length(chunk)::BIGINT AS n_chars, md5(chunk) AS digest, source || '#page=unknown#chunk=' || idx AS source_ref FROM c")
 def chunk_documents(spark, sf):
     rows = chunking.split_text(read(spark, sf, "documents").select("doc_id", "text", "source"))
@@ -54,7 +36,7 @@ def chunk_counts_by_lang(spark, sf):
     return chunking.split_text(read(spark, sf, "documents").select("lang", "text", "source")).groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
-PAGES = "WITH p AS (SELECT conv_id AS doc, (turn + 1)::INT AS page, text FROM conversations WHERE (conv_id + turn) % 5 <> 0), i AS (SELECT *, (page - row_number() OVER (PARTITION BY doc ORDER BY page))::INT AS island FROM p), s AS (SELECT *, row_number() OVER (PARTITION BY doc, island ORDER BY page) AS pos, count(*) OVER (PARTITION BY doc, island) AS n FROM i)"
+PAGES = "WITH p AS (SELECT conv_id AS doc, (turn + 1 + (conv_id % 5 + turn) // 3 * 2)::INT AS page, text FROM conversations), i AS (SELECT *, (page - row_number() OVER (PARTITION BY doc ORDER BY page))::INT AS island FROM p), s AS (SELECT *, row_number() OVER (PARTITION BY doc, island ORDER BY page) AS pos, count(*) OVER (PARTITION BY doc, island) AS n FROM i)"
 WINDOWED = "SELECT doc, win::INT AS win, island, min(page)::INT AS first, max(page)::INT AS last, count(*)::BIGINT AS pages FROM (SELECT s.*, unnest(generate_series(0, {wins} - 1)) AS win FROM s) WHERE pos - 1 >= win * 2 AND pos - 1 < win * 2 + 3 GROUP BY doc, island, win"
 WINS = "(CASE WHEN n <= 3 THEN 1 ELSE CAST(ceil((n - 3) / 2.0) AS INT) + 1 END)"
 
@@ -127,25 +109,25 @@ def boundary_summary(spark, sf):
     return paging.boundary_summary(_audit(spark, sf))
 
 
-EDGE_CHARS = r"[\s:：,，.;；\-—_()（）\[\]【】\x22\x27“”]+"
-KEY_CHARS = r"[\s\-_./\\:：,，.;；()（）\[\]【】{}<>《》\x22\x27“”‘’]+"
-CLEAN = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(name, '\s+', ' ', 'g')), '^{EDGE_CHARS}', ''), '{EDGE_CHARS}$', ''), '(?i)^(the|a|an)\s+', ''), '(的)?(主要|最重要的|重要的)?(组分|成分|质量|控制|工艺|操作)$', '')"
-NAMES = (("the Large, Pump.", "Equipment"), ("  An  Offer ", "raw_material"), ("《催化剂》的主要组分", "原料"), ("（装置）", "Unit"), ("12.5", "device"), ("x", "Gadget"), ("A--b_c/d", "machine"), ("产品质量", "Product"), ("设备", "仪表"), ("risk", "risk"), ("Theatre", "step"), ("", "Company"))
-NAME_ROWS = "WITH v(name, label) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in NAMES) + "), n AS (SELECT name, label FROM v UNION ALL SELECT DISTINCT p_name, p_type FROM part UNION ALL SELECT n_name, 'Plant' FROM nation)"
+NAMES = (
+    ("the Large, Pump.", "Equipment", "the Large, Pump."), ("  An  Offer ", "raw_material", "  An  Offer "), ("《催化剂》的主要组分", "原料", "《催化剂》的主要组分"), ("（装置）", "Unit", "(装置)"), ("12.5", "device", "12.5"), ("x", "Gadget", "x"), ("A--b_c/d", "machine", "A--b_c/d"), ("产品质量", "Product", "产品质量"), ("设备", "仪表", "设备"), ("risk", "risk", "risk"), ("Theatre", "step", "Theatre"), ("", "Company", ""),
+    ("ＡＢＣ　Ｐｕｍｐ，", "Equipment", "ABC Pump,"), ("ﬁne ﬁlter", "Equipment", "fine filter"), ("ﾎﾟﾝﾌﾟ", "Equipment", "ポンプ"), ("H₂O②", "Material", "H2O2"), ("ｔｈｅ　ｒｉｓｋ", "Risk", "the risk"), ("１２．５", "Unit", "12.5"), ("Å unit", "Unit", "Å unit"),
+)
+NAME_ROWS = "WITH v(raw, label, name) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in NAMES) + "), n AS (SELECT raw, name, label FROM v UNION ALL SELECT DISTINCT p_name, p_name, p_type FROM part UNION ALL SELECT n_name, n_name, 'Plant' FROM nation)"
 
 
 def _names(spark, sf):
-    v = spark.createDataFrame(NAMES, "name string, label string")
+    v = spark.createDataFrame([n[:2] for n in NAMES], "name string, label string")
     return v.unionByName(read(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("label")).distinct()).unionByName(read(spark, sf, "nation").select(F.col("n_name").alias("name"), F.lit("Plant").alias("label")))
 
 
-@query(NAME_ROWS + f", c AS (SELECT name, {CLEAN} AS clean FROM n) SELECT name, clean, regexp_replace(lower(clean), '{KEY_CHARS}', '', 'g') AS canonical_key, regexp_replace(lower(name), '{KEY_CHARS}', '', 'g') AS match_key FROM c")
+@query(NAME_ROWS + f", c AS (SELECT raw, name, {CLEAN} AS clean FROM n) SELECT raw AS name, clean, regexp_replace(lower(clean), '{KEY_CHARS}', '', 'g') AS canonical_key, regexp_replace(lower(name), '{KEY_CHARS}', '', 'g') AS match_key FROM c")
 def normalized_keys(spark, sf):
     n = _names(spark, sf)
     return n.select("name", tx.clean_name(F.col("name")).alias("clean"), tx.canonical_key(F.col("name")).alias("canonical_key"), tx.match_key(F.col("name")).alias("match_key"))
 
 
-@query(NAME_ROWS + f", c AS (SELECT name, {CLEAN} AS clean FROM n), k AS (SELECT *, regexp_replace(lower(clean), '{KEY_CHARS}', '', 'g') AS k FROM c) SELECT name, (k = '' OR clean IN ({', '.join(repr(g) for g in tx.GENERIC_NAMES)}) OR k IN ({', '.join(repr(g) for g in tx.GENERIC_NAMES)}) OR length(clean) > 60 OR length(k) < 2 OR regexp_full_match(k, '[\\d.]+')) AS bad FROM k")
+@query(NAME_ROWS + f", c AS (SELECT raw, {CLEAN} AS clean FROM n), k AS (SELECT *, regexp_replace(lower(clean), '{KEY_CHARS}', '', 'g') AS k FROM c) SELECT raw AS name, (k = '' OR clean IN ({', '.join(repr(g) for g in tx.GENERIC_NAMES)}) OR k IN ({', '.join(repr(g) for g in tx.GENERIC_NAMES)}) OR length(clean) > 60 OR length(k) < 2 OR regexp_full_match(k, '[\\d.]+')) AS bad FROM k")
 def bad_entity_names(spark, sf):
     return _names(spark, sf).select("name", tx.bad_name(tx.clean_name(F.col("name"))).alias("bad"))
 
@@ -188,9 +170,9 @@ def page_expand(spark, sf):
     return rows.select("pages", F.array_join(tx.expand_pages(F.col("pages")), ",").alias("expanded"))
 
 
-@query("SELECT * FROM (VALUES ('A b -> uses -> C', 'ab', 'USES', 'c'), ('a --REL--> b', NULL, NULL, NULL), ('x->r->y', 'x', 'R', 'y')) AS v(triple, source, type, target)")
+@query("SELECT * FROM (VALUES ('A b -> uses -> C', 'ab', 'USES', 'c'), ('a --REL--> b', NULL, NULL, NULL), ('x->r->y', 'x', 'R', 'y'), ('a --> owns ==> b c', 'a', 'OWNS', 'bc'), (' ->r->y', NULL, NULL, NULL)) AS v(triple, source, type, target)")
 def triple_parse(spark, sf):
-    rows = spark.createDataFrame([(x,) for x in ("A b -> uses -> C", "a --REL--> b", "x->r->y")], "triple string").withColumn("t", tx.triple_of(F.col("triple")))
+    rows = spark.createDataFrame([(x,) for x in ("A b -> uses -> C", "a --REL--> b", "x->r->y", "a --> owns ==> b c", " ->r->y")], "triple string").withColumn("t", tx.triple_of(F.col("triple")))
     return rows.select("triple", "t.source", "t.type", "t.target")
 
 
@@ -226,14 +208,14 @@ EDGE_ROWS = """WITH e AS (SELECT 's' || l_suppkey AS src_key, 'p' || l_partkey A
 
 @query(EDGE_ROWS + "SELECT src_key, dst_key, arg_max(evidence, row(confidence, seq)) AS evidence, max(confidence) AS confidence, arg_max(page, row(confidence, seq)) AS page, arg_max(flag, seq) AS flag, arg_min(source, seq) AS source, count(*)::BIGINT AS support_count, count(DISTINCT document)::INT AS n_documents, count(DISTINCT page)::INT AS n_pages FROM e GROUP BY src_key, dst_key")
 def edge_upsert(spark, sf):
-    rows = fixtures.edges(spark, sf)
+    rows = graph.upsert_edges(fixtures.edge_rows(spark, sf))
     return rows.select("src_key", "dst_key", "evidence", "confidence", "page", F.element_at("quality_flags", 1).alias("flag"), "source", "support_count", F.size("documents").alias("n_documents"), F.size("pages").alias("n_pages"))
 
 
-@query("SELECT label, count(*)::BIGINT AS nodes, sum(support_count)::BIGINT AS support, count(*) FILTER (description <> '')::BIGINT AS told FROM (SELECT 'Unit' AS label, 's' || s_suppkey AS k, 1 AS support_count, '' AS description FROM supplier UNION ALL SELECT 'Product', 'p' || p_partkey, 1, p_type FROM part UNION ALL SELECT 'Plant', 'n' || n_nationkey, 1, 'nation' FROM nation) GROUP BY label")
-def graph_nodes(spark, sf):
-    nodes = graph.upsert_nodes(fixtures.node_rows(spark, sf))
-    return nodes.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("support_count").alias("support"), F.sum((F.coalesce("description", F.lit("")) != "").cast("long")).alias("told"))
+@query("SELECT 'c' || o_custkey AS canonical_key, 'Customer ' || arg_min(o_orderpriority, o_orderkey) AS name, coalesce(arg_min(o_orderstatus, o_orderkey) FILTER (o_orderstatus <> 'O'), '') AS description, 'src' || (min(o_orderkey) % 7) AS source, arg_min(o_orderkey % 50, o_orderkey) FILTER (o_orderkey % 3 <> 0)::VARCHAR AS first_page, count(*)::BIGINT AS support_count, string_agg(p, ',' ORDER BY spot) AS aliases FROM (SELECT *, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS nth, o_orderkey AS spot FROM orders) GROUP BY o_custkey".replace("string_agg(p, ',' ORDER BY spot)", "string_agg(p, ',' ORDER BY spot) FILTER (nth = 1)"))
+def node_upsert(spark, sf):
+    nodes = graph.upsert_nodes(fixtures.customer_rows(spark, sf))
+    return nodes.select("canonical_key", "name", F.coalesce("description", F.lit("")).alias("description"), "source", "first_page", "support_count", F.array_join("aliases", ",").alias("aliases"))
 
 
 @query(EDGE_ROWS + ", g AS (SELECT src_key, dst_key, max(confidence) AS confidence, count(*) AS support_count FROM e GROUP BY ALL) SELECT s_name AS source_name, p_name AS target_name, confidence, support_count::BIGINT AS support_count FROM g JOIN supplier ON src_key = 's' || s_suppkey JOIN part ON dst_key = 'p' || p_partkey WHERE coalesce(confidence, 1.0) >= 0.9")
@@ -259,12 +241,8 @@ MERGE = "WITH e AS (SELECT l_orderkey % 500 AS chunk, l_suppkey % 5 AS source_ke
 
 @query(MERGE + "SELECT f.chunk, f.source_key::VARCHAR AS source_key, f.target_key::VARCHAR AS target_key, f.best AS confidence, (f.n - f.at + 1)::INT AS support_count, 'order ' || e.l_orderkey AS evidence FROM f JOIN e ON e.chunk = f.chunk AND e.source_key = f.source_key AND e.target_key = f.target_key AND e.pos = f.at")
 def edge_merge_chunk(spark, sf):
-    s = lambda c: F.col(c).cast("string")
-    rows = read(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("chunk"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("seq"), (F.col("l_suppkey") % 5).cast("string").alias("sk"), (F.col("l_partkey") % 5).cast("string").alias("tk"), F.round(1 - F.col("l_discount") * 3, 3).alias("confidence"))
-    edge = F.struct(s("sk").alias("source"), s("sk").alias("source_key"), F.lit("Unit").alias("source_label"), F.lit("PRODUCES").alias("type"), s("tk").alias("target"), s("tk").alias("target_key"), F.lit("Product").alias("target_label"), F.concat(F.lit("order "), F.col("seq.l_orderkey").cast("string")).alias("evidence"), "confidence", F.array().cast("array<string>").alias("quality_flags"), F.lit(1).alias("support_count"))
-    # the chunk's own relationships of one key only, so that arrays stay short
-    own = rows.groupBy("chunk", "sk", "tk").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", edge.alias("e")))), lambda x: x["e"]).alias("edges"))
-    return own.select("chunk", F.explode(quality.merged_edges(F.col("edges"))).alias("e")).select("chunk", "e.source_key", "e.target_key", "e.confidence", "e.support_count", "e.evidence")
+    rows = read(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("chunk"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("pos"), (F.col("l_suppkey") % 5).cast("string").alias("source_key"), F.lit("PRODUCES").alias("type"), (F.col("l_partkey") % 5).cast("string").alias("target_key"), F.round(1 - F.col("l_discount") * 3, 3).alias("confidence"), F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("evidence"))
+    return quality.merged_edges(rows, "chunk").select("chunk", "source_key", "target_key", "confidence", "support_count", "evidence")
 
 
 GATE_TEXT = "Pump P-101 feeds reactor R-201. The reactor produces light naphtha at high temperature. 催化剂的主要组分是氧化铝。"
@@ -277,26 +255,11 @@ def _gated(spark):
     return quality.gate(spark.createDataFrame([("manual", 1, GATE_TEXT, nodes, edges)], schema))
 
 
-@query("SELECT * FROM (VALUES ('Pump P-101', 'Equipment', 2), ('Reactor R-201', 'Unit', 1), ('light naphtha', 'Product', 1), ('high temperature', 'Parameter', 1), ('reactor', 'Equipment', 1), ('催化剂', 'Product', 1), ('氧化铝', 'Material', 1)) AS v(name, label, support_count)")
-def gate_nodes(spark, sf):
-    return _gated(spark).select(F.explode("nodes").alias("n")).select("n.name", "n.label", "n.support_count")
-
-
 @query("SELECT source, type, target, confidence::DOUBLE AS confidence, flags FROM (VALUES ('Reactor R-201', 'PRODUCES', 'light naphtha', 0.9, ''), ('reactor', 'HAS_PARAMETER', 'high temperature', 1.0, ''), ('催化剂', 'HAS_COMPONENT', '氧化铝', 0.92, 'rule_based')) AS v(source, type, target, confidence, flags)")
-def gate_edges(spark, sf):
+def gate_by_hand(spark, sf):
     return _gated(spark).select(F.explode("relationships").alias("e")).select("e.source", "e.type", "e.target", "e.confidence", F.array_join("e.quality_flags", ",").alias("flags"))
 
 
-@query("SELECT kind, reason, n::BIGINT AS n FROM (VALUES ('node', 'name_not_found_in_chunk', 1), ('node', 'bad_name', 1), ('node', 'unknown_label', 1), ('relationship', 'double_schema_mismatch', 1), ('relationship', 'unknown_type', 1), ('relationship', 'self_loop', 1), ('relationship', 'missing_evidence', 1), ('relationship', 'endpoint_not_found_in_chunk', 1)) AS v(kind, reason, n)")
-def gate_drop_reasons(spark, sf):
-    return evaluation.reason_counts(_gated(spark))
-
-
-@query("SELECT 1::BIGINT AS chunks, 7::BIGINT AS input_nodes, 7::BIGINT AS accepted_nodes, 7::BIGINT AS input_relationships, 3::BIGINT AS accepted_relationships, 8::BIGINT AS dropped_count")
-def quality_counters(spark, sf):
-    return evaluation.quality_totals(_gated(spark))
-
-
 @query("SELECT k AS canonical_key, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS names FROM (SELECT p_brand, substring(lower(p_brand), 1, 7) AS k FROM part) GROUP BY k HAVING count(DISTINCT p_brand) > 1")
 def alias_groups(spark, sf):
     rows = read(spark, sf, "part").select("p_brand", F.substring(F.lower("p_brand"), 1, 7).alias("canonical_key"))
@@ -305,8 +268,8 @@ def alias_groups(spark, sf):
 
 FACTS = """WITH f AS (SELECT n_name AS s, r_name AS t, CASE WHEN n_nationkey % 3 <> 0 THEN n_name || ' in ' || r_name END AS ev, CASE WHEN n_nationkey % 4 <> 0 THEN 0.7 + n_nationkey / 100.0 END::DOUBLE AS conf, n_nationkey % 7 + 1 AS sup, 'n' || n_nationkey AS sk, 'r' || r_regionkey AS tk, 'doc' || (n_nationkey % 3) AS document, CASE WHEN n_nationkey % 5 <> 0 THEN (n_nationkey % 5)::VARCHAR END AS page FROM nation JOIN region ON n_regionkey = r_regionkey),
  q AS (SELECT n_nationkey AS qid, 'Is ' || n_name || ' located_in ' || lower(r_name) || ' or elsewhere?' AS question FROM nation JOIN region ON r_regionkey = n_nationkey % 5),
- x AS (SELECT qid, question, f.*, lower(s || ' LOCATED_IN ' || t || CASE WHEN ev IS NULL THEN ' ' ELSE ' ' || ev END) AS hay, list_distinct(regexp_extract_all(lower(question), '[a-z0-9_]+')) AS toks FROM q, f),
- y AS (SELECT *, round((CASE WHEN contains(question, s) OR contains(question, t) THEN 8.0 ELSE 0.0 END + list_sum(list_transform(toks, lambda k: CASE WHEN contains(hay, k) THEN CASE WHEN length(k) >= 3 THEN 3.0 ELSE 1.0 END ELSE 0.0 END)) + CASE WHEN ev IS NOT NULL THEN 1.5 ELSE 0.0 END)::DOUBLE * greatest(0.1, least(coalesce(conf, 0.75), 1.0))::DOUBLE + least(sup, 5) * 0.4::DOUBLE, 6) AS score FROM x),
+ x AS (SELECT qid, question, f.*, lower(s || ' ' || t || ' LOCATED_IN ' || CASE WHEN ev IS NULL THEN '' ELSE ev END) AS hay, list_distinct(list_concat(regexp_extract_all(lower(question), '[a-z0-9_]+'), (SELECT list(x) FROM (SELECT n_name AS x FROM nation UNION SELECT r_name FROM region) WHERE contains(question, x)))) AS toks FROM q, f),
+ y AS (SELECT *, round((CASE WHEN contains(question, s) OR contains(question, t) THEN 8.0 ELSE 0.0 END + list_sum(list_transform(toks, lambda k: CASE WHEN contains(hay, lower(k)) THEN CASE WHEN length(k) >= 3 THEN 3.0 ELSE 1.0 END ELSE 0.0 END)) + CASE WHEN ev IS NOT NULL THEN 1.5 ELSE 0.0 END)::DOUBLE * greatest(0.1, least(coalesce(conf, 0.75), 1.0))::DOUBLE + least(sup, 5) * 0.4::DOUBLE, 6) AS score FROM x),
  r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sup DESC, coalesce(conf, 1.0) DESC, sk, tk) AS rank FROM y) """
 
 
@@ -317,11 +280,11 @@ def fact_topk(spark, sf):
 
 def _vectors(spark, sf):
     e = read(spark, sf, "embeddings")
-    questions = e.filter("vec_id < 50").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").alias("qlabel"))
+    questions = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").alias("qlabel"))
     return questions, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-NEAR = "WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q, label AS ql FROM embeddings WHERE vec_id < 50), d AS (SELECT qid, ql, vec_id AS id, label, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS score FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM d)"
+NEAR = "WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q, label AS ql FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT qid, ql, vec_id AS id, label, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS score FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM d)"
 
 
 @query(NEAR + "SELECT qid, id, score, rank::INT AS rank FROM r WHERE rank <= 4")
@@ -334,7 +297,7 @@ GAINS = NEAR + ", g AS (SELECT qid, id, 1.0::DOUBLE AS gain FROM d WHERE ql = la
 
 def _metrics(spark, sf):
     q, c = _vectors(spark, sf)
-    gains = c.join(F.broadcast(q.select("qid", "qlabel")), (F.col("label") == F.col("qlabel")) & (F.col("id") != F.col("qid"))).select("qid", F.col("id").alias("item"), F.lit(1.0).alias("gain"))
+    gains = c.join(q.select("qid", "qlabel"), (F.col("label") == F.col("qlabel")) & (F.col("id") != F.col("qid"))).select("qid", F.col("id").alias("item"), F.lit(1.0).alias("gain"))
     hits = retrieval.top_chunks(q, c, 10).select("qid", "rank", F.col("id").alias("item"))
     return evaluation.ranked_metrics(hits, gains)
 
@@ -373,24 +336,7 @@ def context_build(spark, sf):
     return retrieval.context(f.select("qid", F.lit(1).alias("kind"), "rank", retrieval.fact_text(F.col("source_name"), F.col("type"), F.col("target_name"), F.col("evidence")).alias("text")))
 
 
-MODES = [("vector", "recall", 0.5), ("graph", "recall", 0.4), ("hybrid", "recall", 0.6), ("vector", "noise_edge_rate", 1.0), ("graph", "noise_edge_rate", 0.3), ("hybrid", "noise_edge_rate", 0.4), ("vector", "mrr", 0.7), ("hybrid", "mrr", 0.7)]
-
-
-def _compared(spark):
-    return evaluation.compare(spark.createDataFrame(MODES, "mode string, metric string, value double"))
-
-
-@query("SELECT metric, vector::DOUBLE AS vector, graph::DOUBLE AS graph, hybrid::DOUBLE AS hybrid, delta_vector::DOUBLE AS delta_vector, delta_graph::DOUBLE AS delta_graph, versus_vector, versus_graph FROM (VALUES ('recall', 0.5, 0.4, 0.6, 0.1, 0.2, 'better', 'better'), ('noise_edge_rate', 1.0, 0.3, 0.4, -0.6, 0.1, 'better', 'worse'), ('mrr', 0.7, NULL, 0.7, 0.0, NULL, 'same', 'unknown')) AS v(metric, vector, graph, hybrid, delta_vector, delta_graph, versus_vector, versus_graph)")
-def mode_compare(spark, sf):
-    return _compared(spark)
-
-
-@query("SELECT 2::BIGINT AS positive, 0::BIGINT AS negative, 0::BIGINT AS risk_worse, 'helpful' AS decision")
-def mode_decision(spark, sf):
-    return evaluation.decide(_compared(spark))
-
-
-@query("WITH p AS (SELECT doc_id FROM documents WHERE n_chars > 1000), g AS (SELECT doc_id FROM labels WHERE quality = 1), s AS (SELECT (SELECT count(*) FROM p WHERE doc_id IN (FROM g)) AS tp, (SELECT count(*) FROM p WHERE doc_id NOT IN (FROM g)) AS fp, (SELECT count(*) FROM g WHERE doc_id NOT IN (FROM p)) AS fn), r AS (SELECT *, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall FROM s) SELECT *, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM r")
+@query("WITH p AS (SELECT doc_id FROM documents WHERE n_chars > 1000), g AS (SELECT doc_id FROM labels WHERE quality = 1), s AS (SELECT (SELECT count(*) FROM p WHERE doc_id IN (FROM g)) AS tp, (SELECT count(*) FROM p WHERE doc_id NOT IN (FROM g)) AS fp, (SELECT count(*) FROM g WHERE doc_id NOT IN (FROM p)) AS fn), r AS (SELECT *, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall FROM s) SELECT *, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM r")
 def gold_prf(spark, sf):
     return evaluation.gold_scores(read(spark, sf, "documents").filter("n_chars > 1000"), read(spark, sf, "labels").filter("quality = 1"), "doc_id")
 
@@ -440,7 +386,7 @@ def pdf_has_text(spark, sf):
 @query("SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)")
 def benchmark_containment(spark, sf):
     b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    return read(spark, sf, "documents").join(F.broadcast(b), F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+    return retrieval.containing(read(spark, sf, "documents").select("doc_id", "text"), b).select("item_id", "doc_id")
 
 
 @query("SELECT '| ' || r_regionkey || ' | ' || r_name || ' | ' || printf('%.4f', r_regionkey / 3.0) || ' | - |' AS line FROM region")
@@ -452,13 +398,14 @@ def markdown_table(spark, sf):
 
 @query()
 def hash_embedding(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", retrieval.embed("text").alias("vector"))
+    return read(spark, sf, "documents").select("doc_id", retrieval.embedding(F.col("text")).alias("vector"))
 
 
 @query()
 def fuzzy_evidence(spark, sf):
+    """Which documents hold each benchmark item as evidence, literally or alike, of those that share five words in a row with it."""
     b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    pairs = read(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).join(F.broadcast(b), "item_id")
+    pairs = retrieval.sharing(read(spark, sf, "documents").select("doc_id", "text"), b)
     return pairs.select("doc_id", "item_id", quality.located(tx.clean_evidence(F.col("item")), F.col("text")).alias("located"))
 
 
@@ -470,13 +417,7 @@ def ask_questions(spark, sf):
 @query(CHUNKS + "SELECT doc_id, count(*)::BIGINT AS chunks FROM c GROUP BY doc_id")
 def stream_ingest(spark, sf):
     """Documents read as a stream of files, chunked batch by batch, and read back: as the batch plan gives."""
-    import tempfile
-    import uuid
-
-    from graphloom.streaming import ingest
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    out = f"{shared}/stream-{uuid.uuid4().hex}"
+    out = fixtures.scratch(spark, "stream")
     docs = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").option("pathGlobFilter", "documents.parquet").parquet(sf)
     ingest.ingest_stream(docs, f"{out}/chunks", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
@@ -485,6 +426,6 @@ def stream_ingest(spark, sf):
 def entry(spark, sf):
     """Questions answered from the documents' chunks, by hashing embeddings, and the graph's facts."""
     chunks = chunking.split_text(read(spark, sf, "documents").select("doc_id", "text", "source"))
-    chunks = chunks.select(F.concat_ws("::", F.col("doc_id").cast("string"), F.col("index").cast("string")).alias("id"), retrieval.embed("text").alias("vector"), "text", "document", F.col("page"))
-    questions = fixtures.questions(spark, sf).withColumn("vector", retrieval.embed("question"))
+    chunks = chunks.select(F.concat_ws("::", F.col("doc_id").cast("string"), F.col("index").cast("string")).alias("id"), retrieval.embedding(F.col("text")).alias("vector"), "text", "document", F.col("page"))
+    questions = fixtures.questions(spark, sf).withColumn("vector", retrieval.embedding(F.col("question")))
     return answers.ask(questions, chunks, fixtures.facts(spark, sf))

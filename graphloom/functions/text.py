@@ -1,7 +1,9 @@
 """Text as columns: keys, names, evidence, pages and references.
 
-Python's blanks are Unicode blanks, so the patterns say (?U).  There is no built-in NFKC; the one
-Arrow UDF here applies it, and ``nfkc=False`` leaves it out where text is known to be normal.
+Python's blanks are Unicode blanks, so the patterns say (?U).  Spark has no NFKC: one Arrow UDF
+applies it, to which ASCII texts go as nulls.  Functions on raw text (``clean_name``, ``match_key``
+and so on) normalise first; those with a leading underscore expect text in that form, and are what
+lambdas use, where no UDF may stand.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.functions.arrays import Cutter, let, running
 from graphloom.functions.vocabulary import GENERIC_NAMES, LABEL_ALIASES, LABELS, TYPE_ALIASES, TYPES, lookup
 
 # What keys drop, what names lose at their edges, sentence ends, page markers, lengths
@@ -27,10 +30,27 @@ MOST_NAME, MOST_EVIDENCE, MOST_DESCRIPTION = 60, 180, 240
 ALIKE = 0.84
 
 
+ASCII = r"^[\x00-\x7F]*$"
+
+
 @F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """NFKC; ASCII text is left as it is."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_each(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda ts: None if ts is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in ts])
+
+
+def nfkc(c: Column) -> Column:
+    """NFKC of a text; null stays null."""
+    return F.coalesce(_nfkc(F.when(~c.rlike(ASCII), c)), c)
+
+
+def nfkc_each(c: Column) -> Column:
+    """NFKC of each text of an array."""
+    return F.coalesce(_nfkc_each(F.when(F.exists(c, lambda t: ~t.rlike(ASCII)), c)), c)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -47,56 +67,74 @@ def alike(evidence_keys: pd.Series, segment_keys: pd.Series) -> pd.Series:
     return pd.Series([one(k, s) for k, s in zip(evidence_keys, segment_keys, strict=True)], dtype=bool)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, whatever the body's number of uses."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _strip(c: Column, chars: str) -> Column:
     return F.regexp_replace(c, rf"(?U)^[{chars}]+|[{chars}]+$", "")
 
 
-def normal_space(c: Column) -> Column:
+def _space(c: Column) -> Column:
     return _strip(F.regexp_replace(F.coalesce(c, F.lit("")), BLANK + "+", " "), r"\s")
 
 
+def _name(c: Column) -> Column:
+    bare = F.regexp_replace(_strip(_space(c), NAME_EDGE), r"(?iU)^(?:the|a|an)\s+", "")
+    return F.regexp_replace(bare, "(?:的)?(?:主要|最重要的|重要的)?(?:组分|成分|质量|控制|工艺|操作)$", "")
+
+
+def _key(c: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "(?U)" + KEY_DROPS, "")
+
+
+def _canonical(c: Column) -> Column:
+    return _key(_name(c))
+
+
+def _bad(name: Column) -> Column:
+    def judged(v):
+        name, key = v["name"], v["key"]
+        general = name.isin(*GENERIC_NAMES) | key.isin(*GENERIC_NAMES)
+        return (key == "") | general | (F.length(name) > MOST_NAME) | (F.length(key) < 2) | key.rlike(r"(?U)^[\d.]+$")
+
+    return let(F.struct(name.alias("name"), _key(name).alias("key")), judged)
+
+
+def normal_space(c: Column) -> Column:
+    return _space(nfkc(c))
+
+
 def clean_name(c: Column) -> Column:
     """Edges, a leading article and one trailing qualifier go, in this order."""
-    bare = F.regexp_replace(_strip(normal_space(c), NAME_EDGE), r"(?iU)^(?:the|a|an)\s+", "")
-    return F.regexp_replace(bare, "(?:的)?(?:主要|最重要的|重要的)?(?:组分|成分|质量|控制|工艺|操作)$", "")
+    return _name(nfkc(c))
+
+
+def _evidence(c: Column) -> Column:
+    return let(_strip(_space(c), r"`\s"), lambda text: F.when(F.length(text) > MOST_EVIDENCE, F.concat(F.regexp_replace(F.substring(text, 1, MOST_EVIDENCE), BLANK + "+$", ""), F.lit("..."))).otherwise(text))
 
 
 def clean_evidence(c: Column) -> Column:
-    text = _strip(normal_space(c), r"`\s")
-    return F.when(F.length(text) > MOST_EVIDENCE, F.concat(F.regexp_replace(F.substring(text, 1, MOST_EVIDENCE), BLANK + "+$", ""), F.lit("..."))).otherwise(text)
+    return _evidence(nfkc(c))
 
 
 def match_key(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "(?U)" + KEY_DROPS, "")
+    return _key(nfkc(c))
 
 
 def canonical_key(c: Column) -> Column:
-    return match_key(clean_name(c))
+    return _canonical(nfkc(c))
 
 
 def bad_name(name: Column) -> Column:
     """Too general, too long, too short or only digits."""
-
-    def judged(v):
-        name, key = v["name"], v["key"]
-        general = name.isin(*GENERIC_NAMES) | key.isin(*GENERIC_NAMES)
-        return (key == "") | general | (F.length(name) > MOST_NAME) | (F.length(key) < 2) | key.rlike(r"(?U)^[\d.]+$")
-
-    return let(F.struct(name.alias("name"), match_key(name).alias("key")), judged)
+    return _bad(nfkc(name))
 
 
 def holds_name(text_key: Column, name: Column) -> Column:
-    return let(canonical_key(name), lambda key: (key != "") & text_key.contains(key))
+    """Whether a text, by its key, holds a name."""
+    return let(F.struct(text_key.alias("t"), canonical_key(name).alias("k")), lambda v: (v["k"] != "") & v["t"].contains(v["k"]))
 
 
 def _aliased(raw: Column, aliases: dict) -> Column:
     table = lookup(aliases)
-    return F.coalesce(*(F.try_element_at(table, k) for k in (match_key(raw), F.lower(raw), raw)))
+    return F.coalesce(*(F.try_element_at(table, k) for k in (_key(raw), F.lower(raw), raw)))
 
 
 def map_label(c: Column) -> Column:
@@ -110,8 +148,16 @@ def map_type(c: Column) -> Column:
     def mapped(v):
         return F.when(v["upper"].isin(*TYPES), v["upper"]).otherwise(_aliased(v["raw"], TYPE_ALIASES))
 
-    upper = lambda raw: F.upper(F.regexp_replace(F.regexp_replace(raw, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
-    return let(let(normal_space(c), lambda raw: F.struct(raw.alias("raw"), upper(raw).alias("upper"))), mapped)
+    return let(let(normal_space(c), lambda raw: F.struct(raw.alias("raw"), _type_form(raw).alias("upper"))), mapped)
+
+
+def _type_form(c: Column) -> Column:
+    return F.upper(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
+
+
+def safe_identifier(c: Column, allowed) -> Column:
+    """The identifier if it is one of the allowed ones; anything else fails the query."""
+    return F.when(c.isin(*allowed), c).otherwise(F.raise_error(F.concat(F.lit("not allowed: "), F.coalesce(c, F.lit("null")))))
 
 
 def sentences(text: Column) -> Column:
@@ -139,6 +185,20 @@ def document_name(source: Column) -> Column:
     return F.coalesce(F.nullif(_tidy(_base(given)), F.lit("")), F.nullif(given, F.lit("")), F.lit("document"))
 
 
+def document_of(document: Column, source: Column) -> Column:
+    """A hit's document for citations: its own, else its source without the page part."""
+    pages = r"^(.+)_page_(\d+)\.txt$"
+    named = F.when(source.rlike(pages), source_name(F.regexp_extract(source, pages, 1))).otherwise(source_name(source))
+    return F.coalesce(F.nullif(_strip(F.coalesce(document, F.lit("")), r"\s"), F.lit("")), named)
+
+
+def page_of(document: Column, page: Column, source: Column) -> Column:
+    """A hit's page for citations: its own where it has a document, else the one in its source's name."""
+    own = F.nullif(_strip(F.coalesce(page.cast("string"), F.lit("")), r"\s"), F.lit(""))
+    given = F.coalesce(_strip(document, r"\s"), F.lit("")) != ""
+    return F.when(given, own).otherwise(F.nullif(F.regexp_extract(F.coalesce(source, F.lit("")), r"^.+_page_(\d+)\.txt$", 1), F.lit("")).cast("int").cast("string"))
+
+
 def source_name(source: Column) -> Column:
     """The citation's form: page parts stay, and so does an empty name."""
     return _tidy(F.regexp_replace(F.coalesce(source, F.lit("")), r"(?i)\.(?:txt|md|pdf)$", ""))
@@ -162,18 +222,33 @@ def neighbour_ref(document: Column, page: Column, side: str) -> Column:
     return F.concat(document, F.lit("#page="), F.coalesce(page.cast("string"), F.lit("unknown")), F.lit(f"#boundary={side}"))
 
 
+def _markers(text: Column) -> Column:
+    """array<struct<page,start,body,end>>: where each page marker starts and ends, and the next one starts."""
+    none = F.array().cast("array<struct<page:int,start:int,body:int,end:int>>")
+    found = F.regexp_extract_all(text, F.lit(PAGE_MARKER), F.lit(0))
+
+    def placed(v):
+        gaps, marks = F.transform(v["pieces"], F.length), F.transform(v["found"], F.length)
+        # the end of each piece, if every piece is followed by its marker
+        after = running(F.zip_with(F.slice(gaps, 1, F.size(marks)), marks, lambda g, m: g + m))
+        total = F.aggregate(gaps, F.lit(0), lambda a, x: a + x) + F.aggregate(marks, F.lit(0), lambda a, x: a + x)
+        starts = F.zip_with(after, marks, lambda e, m: e - m)
+        ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(total))
+        return F.zip_with(F.arrays_zip(v["found"].alias("m"), starts.alias("s"), after.alias("b")), ends, lambda x, e: F.struct(F.regexp_extract(x["m"], PAGE_MARKER, 1).cast("int").alias("page"), x["s"].alias("start"), x["b"].alias("body"), e.alias("end")))
+
+    whole = let(F.struct(F.split(text, PAGE_MARKER).alias("pieces"), found.alias("found")), lambda v: F.when(F.size(v["found"]) == 0, none).otherwise(placed(v)))
+    return F.when(text.contains("===== PAGE") | text.contains("[Page"), whole).otherwise(none)
+
+
 def page_spans(text: Column) -> Column:
     """array<struct<page,start,end>>: from each page marker to the next or the end."""
-    parts = F.split(F.regexp_replace(text, PAGE_MARKER, "\u0001$0"), "\u0001")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<page:int,start:int,end:int>>").alias("out"))
+    return F.transform(_markers(text), lambda m: F.struct(m["page"].alias("page"), m["start"].alias("start"), m["end"].alias("end")))
 
-    def step(acc, part):
-        end = acc["at"] + F.length(part)
-        page = F.nullif(F.regexp_extract(part, PAGE_MARKER, 1), F.lit("")).cast("int")
-        span = F.when(page.isNotNull() & (acc["at"] >= 0), F.array(F.struct(page.alias("page"), acc["at"].alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<page:int,start:int,end:int>>"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], span).alias("out"))
 
-    return F.aggregate(parts, start, step)["out"]
+def page_segments(text: Column) -> Column:
+    """array<struct<page,text>>: what stands after each page marker, up to the next."""
+    cut = Cutter(Cutter.widened(text))
+    return F.transform(_markers(text), lambda m: F.struct(m["page"].alias("page"), cut(m["body"], m["end"] - m["body"]).alias("text")))
 
 
 def without_markers(text: Column) -> Column:
@@ -235,15 +310,21 @@ def eval_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), BLANK + "+", "")
 
 
+TRIPLE = r"(?sU)^\s*(.*?)\s*[-=]+>\s*(.*?)\s*[-=]+>\s*(.*?)\s*$"
+
+
 def triple_of(text: Column) -> Column:
-    """``a -> REL -> b`` as a struct (source, type, target) of keys, else null."""
-    pattern = r"^(.*?)->(.*?)->(.*)$"
-    part = lambda i: F.regexp_extract(text, pattern, i)
-    return F.when(text.rlike(pattern), F.struct(eval_key(part(1)).alias("source"), F.upper(_strip(part(2), r"\s")).alias("type"), eval_key(part(3)).alias("target")))
+    """``a -> REL -> b`` (arrows of ``-`` or ``=``) as a struct (source, type, target) of keys, else null."""
+    part = lambda i: F.regexp_extract(text, TRIPLE, i)
+    whole = text.rlike(TRIPLE) & (part(1) != "") & (part(2) != "") & (part(3) != "")
+    return F.when(whole, F.struct(eval_key(part(1)).alias("source"), F.upper(_strip(part(2), r"\s")).alias("type"), eval_key(part(3)).alias("target")))
 
 
 def question_tokens(text: Column) -> Column:
-    """ASCII words of the lowered text and runs of two or more CJK characters, each once."""
+    """ASCII words of the lowered text and runs of two or more CJK characters, each once.
+
+    Names of the graph's nodes that the text holds are tokens too: ``retrieval.with_tokens`` adds them.
+    """
     lowered = F.lower(text)
     return F.array_union(F.regexp_extract_all(lowered, F.lit("[a-z0-9_]+"), F.lit(0)), F.regexp_extract_all(lowered, F.lit("[一-鿿]{2,}"), F.lit(0)))
 
@@ -253,6 +334,6 @@ def compact(text: Column) -> Column:
 
 
 def extract_json(content: Column) -> Column:
-    """The JSON object in an answer: fences go, and what stands around the outermost braces."""
+    """The JSON object in an answer: fences go, and what stands around the outermost braces; null if what is left is no JSON."""
     bare = _strip(F.regexp_replace(F.regexp_replace(_strip(content, r"\s"), r"^```(?:json)?", ""), "```$", ""), r"\s")
-    return F.when(F.try_parse_json(bare).isNotNull(), bare).otherwise(F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit("")))
+    return let(bare, lambda b: F.when(F.try_parse_json(b).isNotNull(), b).otherwise(let(F.regexp_extract(b, r"(?s)\{.*\}", 0), lambda o: F.when(F.try_parse_json(o).isNotNull(), o))))

@@ -2,91 +2,178 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as tx
+
 TOLERANCE = 1e-9
-LOWER_IS_BETTER = ("noise_edge_rate", "hallucination_rate", "missing_evidence_rate")
-RISKS = ("noise_edge_rate", "hallucination_rate")
+KS = (3, 5, 10)
+MODES = ("vector", "graph", "hybrid")
+# Which metrics are better when lower, which are shown, and which decide on the graph's use.
+LOWER_IS_BETTER = ("noise_edge_rate@5", "noise_edge_rate@10", "judge_missing_evidence_rate", "judge_hallucination_rate", "missing_evidence_rate", "hallucination_rate")
+DISPLAYED = ("page_recall@5", "citation_accuracy@5", "entity_recall@5", "triple_recall@5", "relation_precision@5", "noise_edge_rate@5", "judge_answer_supported_rate", "judge_citation_accuracy", "judge_missing_evidence_rate", "judge_hallucination_rate")
+GAINS = ("judge_answer_supported_rate", "judge_citation_accuracy", "citation_accuracy@5", "triple_recall@5", "relation_precision@5")
+RISKS = ("judge_hallucination_rate", "judge_missing_evidence_rate", "noise_edge_rate@5")
+VERDICTS = {"better": "提升", "worse": "下降", "same": "持平", "unknown": "无法比较"}
+
+
+def six(c: Column) -> Column:
+    """To six places, a tie to the even neighbour."""
+    return F.bround(c, 6)
 
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b to six places, null where b is 0."""
-    return F.round(F.try_divide(a.cast("double"), b.cast("double")), 6)
+    return six(F.try_divide(a.cast("double"), b.cast("double")))
+
+
+def _long(rows: DataFrame, keys: list[str], k: int | None, values: dict) -> DataFrame:
+    """(keys, metric, k, value) of columns of values."""
+    pairs = (x for m, v in values.items() for x in (F.lit(m), v.cast("double")))
+    return rows.select(*keys, F.lit(k).cast("int").alias("k"), F.explode(F.create_map(*pairs)).alias("metric", "value"))
 
 
-def ranked_metrics(hits: DataFrame, gains: DataFrame, ks=(3, 5, 10), name: str = "page") -> DataFrame:
-    """Long table (qid, metric, k, value) of recall, hit, mrr and ndcg.
+def ranked_metrics(hits: DataFrame, gains: DataFrame, ks=KS, name: str = "page", per: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """Long table (per, metric, k, value) of recall, hit, mrr and ndcg.
 
-    ``hits`` (qid, rank, item), ``gains`` (qid, item, gain): what is relevant; questions without any
-    relevant item have no rows, as their metrics are null.  Repeated hits score each in ndcg.
+    ``hits`` (per, rank, item): a rank may have several items, of which the best counts in ndcg, so
+    an item met at several ranks scores at each.  ``gains`` (per, item, gain, expected): what is
+    relevant, and what is expected of it; metrics are null without anything expected or relevant.
+    Only the best ``max(ks)`` gains of a question are kept as its ideal.
     """
-    own = gains.groupBy("qid").agg(F.count_distinct("item").alias("expected"), F.array_sort(F.collect_list("gain"), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)).alias("ideal"))
-    found = hits.join(gains, ["qid", "item"])
+    per, most = list(per), max(ks)
+    gains = gains if "expected" in gains.columns else gains.withColumn("expected", F.lit(True))
+    placed = gains.withColumn("__n", F.row_number().over(Window.partitionBy(*per).orderBy(F.desc("gain"), "item")))
+    ideal = lambda k: F.sum(F.when(F.col("__n") <= k, F.col("gain") / F.log2(F.col("__n") + 1.0))).alias(f"ideal{k}")
+    own = placed.groupBy(*per).agg(F.count_distinct(F.when(F.col("expected"), F.col("item"))).alias("wanted"), *(ideal(k) for k in ks))
+    found = hits.filter(F.col("rank") <= most).join(gains, [*per, "item"])
+    ranks = found.groupBy(*per, "rank").agg(F.max("gain").alias("gain"), F.max(F.col("expected").cast("int")).alias("hit"))
+    dcg = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("gain") / F.log2(F.col("rank") + 1.0))).alias(f"dcg{k}")
+    first = lambda k: F.min(F.when((F.col("rank") <= k) & (F.col("hit") == 1), F.col("rank"))).alias(f"first{k}")
+    got = lambda k: F.count_distinct(F.when((F.col("rank") <= k) & F.col("expected"), F.col("item"))).alias(f"got{k}")
+    rows = own.join(ranks.groupBy(*per).agg(*(dcg(k) for k in ks), *(first(k) for k in ks)), per, "left").join(found.groupBy(*per).agg(*(got(k) for k in ks)), per, "left")
     out = None
     for k in ks:
-        top = found.filter(F.col("rank") <= k).groupBy("qid").agg(F.count_distinct("item").alias("got"), F.min("rank").alias("first"), F.sum(F.col("gain") / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-        rows = own.join(top, "qid", "left")
-        best = F.aggregate(F.transform(F.slice("ideal", 1, k), lambda g, i: g / F.log2(i + F.lit(2.0))), F.lit(0.0), lambda s, v: s + v)
-        got = F.coalesce("got", F.lit(0))
-        values = {f"{name}_recall": ratio(got, F.col("expected")), f"{name}_hit": (got > 0).cast("double"), f"mrr_{name}": F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6), f"ndcg_{name}": ratio(F.coalesce("dcg", F.lit(0.0)), best)}
-        part = rows.select("qid", F.lit(k).alias("k"), F.explode(F.create_map(*(x for m, v in values.items() for x in (F.lit(m), v)))).alias("metric", "value"))
+        c = lambda n, k=k: F.coalesce(F.col(f"{n}{k}"), F.lit(0))
+        asked = F.col("wanted") > 0
+        values = {
+            f"{name}_recall": ratio(c("got"), F.col("wanted")),
+            f"{name}_hit": F.when(asked, (ratio(c("got"), F.col("wanted")) > 0).cast("double")),
+            f"mrr_{name}": F.when(asked, six(F.coalesce(1.0 / F.col(f"first{k}"), F.lit(0.0)))),
+            f"ndcg_{name}": ratio(c("dcg"), F.col(f"ideal{k}")),
+        }
+        part = _long(rows, per, k, values)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def edge_metrics(facts: DataFrame, expected: DataFrame, ks=(3, 5, 10)) -> DataFrame:
+def edge_metrics(facts: DataFrame, expected: DataFrame, ks=KS, per: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Long table of triple_recall, relation_precision, noise_edge_rate and relation_evidence_coverage.
 
-    ``facts`` (qid, rank, source, type, target, evidence, page), ``expected`` (qid, source, type, target).
+    ``facts`` (per, rank, source, type, target, evidence, page), ``expected`` (per, source, type,
+    target).  Precision counts each retrieved edge, recall each expected triple once.
     """
+    per = list(per)
     want = expected.distinct().withColumn("hit", F.lit(1))
-    own = want.groupBy("qid").agg(F.count(F.lit(1)).alias("expected"))
-    rows = facts.join(want, ["qid", "source", "type", "target"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    out = None
+    own = want.groupBy(*per).agg(F.count(F.lit(1)).alias("expected"))
+    rows = facts.join(want, [*per, "source", "type", "target"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    covered = ((F.coalesce("evidence", F.lit("")) != "") & (F.coalesce("page", F.lit("")) != "")).cast("int")
+    told = F.col("source").isNotNull() & F.col("type").isNotNull() & F.col("target").isNotNull()
+    within = lambda k, c: F.when(F.col("rank") <= k, c)
+    sums = [x for k in ks for x in (F.count(within(k, F.lit(1))).alias(f"n{k}"), F.count(within(k, F.when(told, 1))).alias(f"told{k}"), F.sum(within(k, F.col("hit"))).alias(f"hits{k}"), F.count_distinct(within(k, F.when(F.col("hit") == 1, F.struct("source", "type", "target")))).alias(f"triples{k}"), F.sum(within(k, covered)).alias(f"covered{k}"))]
+    both, out = own.join(rows.groupBy(*per).agg(*sums), per, "full_outer"), None
     for k in ks:
-        covered = ((F.coalesce("evidence", F.lit("")) != "") & (F.coalesce("page", F.lit("")) != "")).cast("int")
-        top = rows.filter(F.col("rank") <= k).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.count_distinct(F.when(F.col("hit") == 1, F.struct("source", "type", "target"))).alias("triples"), F.sum(covered).alias("covered"))
-        both = own.join(top, "qid", "full_outer")
-        precision = F.when(F.col("expected").isNotNull(), F.coalesce(ratio(F.col("hits"), F.col("n")), F.lit(0.0)))
-        values = {"triple_recall": ratio(F.when(F.col("expected").isNotNull(), F.coalesce("triples", F.lit(0))), F.col("expected")), "relation_precision": precision, "noise_edge_rate": F.round(1 - precision, 6), "relation_evidence_coverage": ratio(F.col("covered"), F.col("n"))}
-        part = both.select("qid", F.lit(k).alias("k"), F.explode(F.create_map(*(x for m, v in values.items() for x in (F.lit(m), v)))).alias("metric", "value"))
+        given = F.col("expected").isNotNull()
+        exact = F.when(given, F.coalesce(F.try_divide(F.col(f"hits{k}").cast("double"), F.col(f"told{k}").cast("double")), F.lit(0.0)))
+        values = {"triple_recall": ratio(F.when(given, F.coalesce(F.col(f"triples{k}"), F.lit(0))), F.col("expected")), "relation_precision": six(exact), "noise_edge_rate": six(1 - exact), "relation_evidence_coverage": ratio(F.col(f"covered{k}"), F.col(f"n{k}"))}
+        part = _long(both, per, k, values)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def keyword_rates(answer_key: Column, expected: Column, forbidden: Column) -> tuple[Column, Column, Column]:
+def set_recall(items: DataFrame, expected: DataFrame, metric: str, ks=KS, per: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """Long table of the share of expected items (per, item) among items (per, rank, item) up to each k."""
+    per = list(per)
+    want = expected.distinct()
+    first = items.groupBy(*per, "item").agg(F.min("rank").alias("rank")).join(want, [*per, "item"])
+    rows = want.groupBy(*per).agg(F.count(F.lit(1)).alias("wanted")).join(first.groupBy(*per).agg(*(F.count(F.when(F.col("rank") <= k, 1)).alias(f"got{k}") for k in ks)), per, "left")
+    return reduce(DataFrame.unionByName, (_long(rows, per, k, {metric: ratio(F.coalesce(F.col(f"got{k}"), F.lit(0)), F.col("wanted"))}) for k in ks))
+
+
+def citation_metrics(cited: DataFrame, expected: DataFrame, ks=KS, per: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """Long table of citation_hit and citation_accuracy: of the pages that the first k chunks and facts cite, those expected.
+
+    ``cited`` (per, rank, page): one row a page of a citation; ``expected`` (per, page).  Both metrics
+    are 0 where nothing is cited and null where nothing is expected.
+    """
+    per = list(per)
+    want = expected.distinct().withColumn("hit", F.lit(1))
+    pages = cited.filter(F.coalesce("page", F.lit("")) != "").groupBy(*per, "page").agg(F.min("rank").alias("rank")).join(want, [*per, "page"], "left")
+    sums = pages.groupBy(*per).agg(*(x for k in ks for x in (F.count(F.when(F.col("rank") <= k, 1)).alias(f"n{k}"), F.count(F.when((F.col("rank") <= k) & (F.col("hit") == 1), 1)).alias(f"hits{k}"))))
+    rows = want.select(*per).distinct().join(sums, per, "left")
+    value = lambda k: F.coalesce(ratio(F.col(f"hits{k}"), F.col(f"n{k}")), F.lit(0.0))
+    return reduce(DataFrame.unionByName, (_long(rows, per, k, {"citation_hit": (F.coalesce(F.col(f"hits{k}"), F.lit(0)) > 0).cast("double"), "citation_accuracy": value(k)}) for k in ks))
+
+
+def keyword_rates(answer: Column, expected: Column, forbidden: Column) -> tuple[Column, Column, Column]:
     """(answer_supported_rate, missing_evidence_rate, hallucination_rate); null without keywords."""
-    share = lambda words: ratio(F.size(F.filter(words, lambda w: answer_key.contains(w))), F.size(words))
-    supported = share(expected)
-    return supported, F.round(1 - supported, 6), share(forbidden)
+    exact = lambda words: F.try_divide(F.size(F.filter(words, lambda w: (w != "") & answer.contains(w))).cast("double"), F.size(words).cast("double"))
+    return six(exact(expected)), six(1 - exact(expected)), six(exact(forbidden))
+
+
+def judged_rates(verdict: Column) -> dict[str, Column]:
+    """The four rates of a judge's JSON verdict; null where there is none, 0 for a field it lacks."""
+    v = F.try_parse_json(tx.extract_json(verdict))
+    rate = lambda field: F.when(v.isNotNull() & (F.schema_of_variant(v) != "OBJECT<>"), F.coalesce(F.try_variant_get(v, f"$.{field}", "double"), F.lit(0.0)))
+    return {"judge_answer_supported_rate": rate("answer_supported"), "judge_citation_accuracy": rate("citation_accurate"), "judge_missing_evidence_rate": rate("missing_evidence"), "judge_hallucination_rate": rate("hallucination")}
+
+
+def metric_name() -> Column:
+    """``name@k``, or the name alone."""
+    return F.concat_ws("@", "metric", F.col("k").cast("string"))
 
 
-def summary(metrics: DataFrame) -> DataFrame:
-    """(metric, k, mean, n) over the values that are not null."""
-    return metrics.groupBy("metric", "k").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("n"))
+def summary(metrics: DataFrame, *per: str) -> DataFrame:
+    """(per, metric, k, mean, n) over the values that are not null."""
+    return metrics.filter("value is not null").groupBy(*per, "metric", "k").agg(six(F.avg("value")).alias("mean"), F.count("value").alias("n"))
 
 
 def compare(means: DataFrame) -> DataFrame:
-    """Means (mode, metric, value) side by side, with hybrid's verdict against each other mode."""
-    wide = means.groupBy("metric").pivot("mode", ["vector", "graph", "hybrid"]).agg(F.first("value"))
+    """Means (mode, metric, value) side by side, with hybrid's delta and verdict against each other mode; metrics as ``name@k``."""
+    wide = means.groupBy("metric").pivot("mode", list(MODES)).agg(F.first("value"))
     lower = F.col("metric").isin(*LOWER_IS_BETTER)
+    wide = wide.withColumn("direction", F.when(lower, "lower").otherwise("higher"))
     for other in ("vector", "graph"):
-        delta = F.round(F.col("hybrid") - F.col(other), 6)
+        delta = six(F.col("hybrid") - F.col(other))
         better = F.when(lower, -delta).otherwise(delta)
-        verdict = F.when(delta.isNull(), "unknown").when(better > TOLERANCE, "better").when(better < -TOLERANCE, "worse").otherwise("same")
+        verdict = F.when(delta.isNull(), VERDICTS["unknown"]).when(better > TOLERANCE, VERDICTS["better"]).when(better < -TOLERANCE, VERDICTS["worse"]).otherwise(VERDICTS["same"])
         wide = wide.withColumn(f"delta_{other}", delta).withColumn(f"versus_{other}", verdict)
     return wide
 
 
-def decide(compared: DataFrame, against: str = "vector") -> DataFrame:
-    """One row (positive, negative, risk_worse, decision) on whether hybrid helps."""
-    v = F.col(f"versus_{against}")
-    of = lambda c, name: F.coalesce(F.sum(c.cast("int")), F.lit(0)).alias(name)
-    sums = compared.agg(of(v == "better", "positive"), of(v == "worse", "negative"), of((v == "worse") & F.col("metric").isin(*RISKS), "risk_worse"), of(v != "unknown", "known"))
+def displayed(compared: DataFrame, requested: str | None = None) -> DataFrame:
+    """Rows of the metrics asked for (comma-separated; ``DISPLAYED`` by default), with their place; all of them by name if none of those is there."""
+    wanted = [m.strip() for m in requested.split(",") if m.strip()] if requested else list(DISPLAYED)
+    place = F.array_position(F.array(*map(F.lit, wanted)), F.col("metric"))
+    any_ = F.max((place > 0).cast("int")).over(Window.partitionBy())
+    rows = compared.withColumn("at", place).withColumn("any", any_).filter("any = 0 or at > 0")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("at", "metric"))).drop("at", "any")
+
+
+def decide(means: DataFrame) -> DataFrame:
+    """One row (positive, negative, risk_worse, decision) on whether hybrid helps against vector, by ``GAINS`` and ``RISKS``; means are (mode, metric, value)."""
+    wide = means.groupBy("metric").pivot("mode", list(MODES)).agg(F.first("value"))
+    delta = six(F.col("hybrid") - F.col("vector"))
+    better = F.when(F.col("metric").isin(*LOWER_IS_BETTER), -delta).otherwise(delta)
+    of = lambda c, name: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("int")), F.lit(0)).alias(name)
+    gain, risk = F.col("metric").isin(*GAINS), F.col("metric").isin(*RISKS)
+    sums = wide.agg(of(gain & (better > TOLERANCE), "positive"), of(gain & (better < -TOLERANCE), "negative"), of(risk & (better < -TOLERANCE), "risk_worse"), of(F.col("vector").isNotNull(), "v"), of(F.col("hybrid").isNotNull(), "h"))
     p, n, r = F.col("positive"), F.col("negative"), F.col("risk_worse")
-    decision = F.when(F.col("known") == 0, "unknown").when((p > 0) & (r == 0) & (n <= p), "helpful").when(p > 0, "mixed_helpful").when(r > 0, "risky").otherwise("neutral")
-    return sums.withColumn("decision", decision).drop("known")
+    decision = F.when((F.col("v") == 0) | (F.col("h") == 0), "unknown").when((p > 0) & (r == 0) & (n == 0), "helpful").when((p > 0) & (r == 0), "mixed_helpful").when(r == 0, "neutral").otherwise("risky")
+    return sums.withColumn("decision", decision).drop("v", "h")
 
 
 def gold_scores(predicted: DataFrame, gold: DataFrame, *key: str) -> DataFrame:
@@ -95,8 +182,24 @@ def gold_scores(predicted: DataFrame, gold: DataFrame, *key: str) -> DataFrame:
     flags = p.join(g, list(key), "full_outer")
     n = lambda c, name: F.coalesce(F.sum(c.cast("int")), F.lit(0)).alias(name)
     sums = flags.agg(n(F.col("p").isNotNull() & F.col("g").isNotNull(), "tp"), n(F.col("g").isNull(), "fp"), n(F.col("p").isNull(), "fn"))
-    precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    return sums.withColumn("precision", precision).withColumn("recall", recall).withColumn("f1", F.round(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), 6))
+    div = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    precision, recall = div(F.col("tp"), F.col("tp") + F.col("fp")), div(F.col("tp"), F.col("tp") + F.col("fn"))
+    return sums.withColumns({"precision": six(precision), "recall": six(recall), "f1": six(F.try_divide(2 * precision * recall, precision + recall))})
+
+
+def gold_examples(predicted: DataFrame, gold: DataFrame, key: str, most: int = 20) -> DataFrame:
+    """(kind, place, item): the first ``most`` by name of what was predicted wrongly (fp) and of what was missed (fn)."""
+    p, g = predicted.select(key).distinct(), gold.select(key).distinct()
+    wrong = p.join(g, key, "left_anti").select(F.lit("fp").alias("kind"), F.col(key).cast("string").alias("item"))
+    missed = g.join(p, key, "left_anti").select(F.lit("fn").alias("kind"), F.col(key).cast("string").alias("item"))
+    return wrong.unionByName(missed).withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("item"))).filter(F.col("place") <= most)
+
+
+def evidence_rates(edges: DataFrame) -> DataFrame:
+    """One row (count, has_evidence_rate, evidence_support_rate) over edges (evidence, located): located is null where the text is not known."""
+    has = (F.coalesce("evidence", F.lit("")) != "").cast("int")
+    n = F.count(F.lit(1))
+    return edges.agg(n.alias("count"), ratio(F.sum(has), n).alias("has_evidence_rate"), ratio(F.sum(F.col("located").cast("int")), F.count("located")).alias("evidence_support_rate"))
 
 
 def alias_groups(names: DataFrame, key: str, name: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """The property graph as two tables: nodes by (label, canonical_key), edges by both ends and type.
 
-An upsert is one aggregation over what is stored and what comes; every piece is first, last, best or
-sum by ``seq``, so batches may be folded in one by one or all at once.
+An upsert is one aggregation over what is stored and what comes.  Its state is first, last, best and
+sum by ``seq``, which any grouping of batches gives alike: ``*_state`` makes it of rows, ``merged``
+joins two of them, and ``nodes_of`` and ``edges_of`` read it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,37 +18,93 @@ EDGE_KEY = ("src_label", "src_key", "type", "dst_label", "dst_key")
 PAYLOAD = ("evidence", "confidence", "document", "page_start", "page_end", "page", "chunk_index", "source_ref")
 
 
-def _first(c: str, seq: str = "seq", blank: bool = False) -> Column:
-    """The first value by ``seq`` that is given (and not empty)."""
+Lists = tuple[str, ...]
+
+
+@dataclass
+class State:
+    """One row per key, and for the list columns one per key and distinct value with the ``seq`` it came first at."""
+
+    rows: DataFrame
+    lists: DataFrame
+
+
+def _first(c: str, blank: bool = False) -> Column:
+    """The first value by ``seq`` that is given (and not empty), with its ``seq``."""
     given = F.col(c).isNotNull() & ((F.col(c) != "") if blank else F.lit(True))
-    return F.min_by(F.when(given, F.col(c)), F.when(given, F.col(seq))).alias(c)
+    return F.min(F.when(given, F.struct("seq", F.col(c).alias("v"))))
 
 
-def _in_order(c: str, seq: str = "seq") -> Column:
-    """Distinct values in the order in which they came first."""
-    rows = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(seq), F.col(c).alias("v")))))
-    return F.array_distinct(F.transform(rows, lambda r: r["v"]))
+def _values(rows: DataFrame, key: Lists, columns: Lists) -> DataFrame:
+    """(key, which, v, at): each column's distinct values; a key with any number of mentions costs as many rows as it has values."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("which"), F.col(c).cast("string").alias("v")) for c in columns))).alias("p")
+    rows = rows.select(*key, "seq", pairs).filter(F.col("p.v").isNotNull())
+    return rows.groupBy(*key, F.col("p.which").alias("which"), F.col("p.v").alias("v")).agg(F.min("seq").alias("at"))
 
 
-def upsert_nodes(rows: DataFrame) -> DataFrame:
-    """Rows (label, canonical_key, seq, name, description, aliases, support_count, source, document, page) to nodes."""
+def _in_order(state: State, key: Lists, columns: dict[str, str]) -> DataFrame:
+    """The state's rows with each list's values in the order in which they came."""
+    listed = lambda which, name: F.transform(F.array_sort(F.collect_list(F.when(F.col("which") == which, F.struct("at", "v")))), lambda r: r["v"]).alias(name)
+    lists = state.lists.groupBy(*key).agg(*(listed(w, n) for w, n in columns.items()))
+    none = F.array().cast("array<string>")
+    return state.rows.join(lists, list(key), "left").withColumns({n: F.coalesce(n, none) for n in columns.values()})
+
+
+def merged(a: State, b: State, key: Lists) -> State:
+    """Two states as one: least firsts, greatest bests, added support."""
+    how = lambda c: F.sum(c) if c == "support_count" else F.max(c) if c in ("best", "flags") else F.min(c)
+    rows = a.rows.unionByName(b.rows)
+    lists = a.lists.unionByName(b.lists).groupBy(*key, "which", "v").agg(F.min("at").alias("at"))
+    return State(rows.groupBy(*key).agg(*(how(c).alias(c) for c in rows.columns if c not in key)), lists)
+
+
+def node_state(rows: DataFrame) -> State:
+    """Of rows (label, canonical_key, seq, name, description, aliases, support_count, source, document, page); those without label or name go."""
     rows = rows.filter((F.coalesce("label", F.lit("")) != "") & (F.coalesce("name", F.lit("")) != ""))
-    lists = F.array_sort(F.collect_list(F.struct("seq", "aliases")))
-    return rows.groupBy(*NODE_KEY).agg(
-        _first("name"), _first("description", blank=True), _first("source"), _first("document"), _first("page").alias("first_page"),
-        F.array_distinct(F.flatten(F.transform(lists, lambda r: F.coalesce(r["aliases"], F.array().cast("array<string>"))))).alias("aliases"),
-        F.sum(F.coalesce("support_count", F.lit(1))).alias("support_count"),
-    )
+    support = F.sum(F.coalesce("support_count", F.lit(1)).cast("long")).alias("support_count")
+    folded = rows.groupBy(*NODE_KEY).agg(_first("name").alias("name"), _first("description", blank=True).alias("description"), _first("source").alias("source"), _first("document").alias("document"), _first("page").alias("first_page"), support)
+    named = rows.select(*NODE_KEY, F.col("seq").alias("of"), F.posexplode(F.coalesce("aliases", F.array().cast("array<string>"))).alias("place", "aliases"))
+    return State(folded, _values(named.withColumn("seq", F.struct("of", "place")), NODE_KEY, ("aliases",)))
 
 
-def upsert_edges(rows: DataFrame) -> DataFrame:
-    """Rows of edge keys, ``seq``, the payload, quality_flags, support_count and source to edges.
+def nodes_of(state: State) -> DataFrame:
+    whole = _in_order(state, NODE_KEY, {"aliases": "aliases"})
+    return whole.select(*NODE_KEY, *(F.col(f"{c}.v").alias(c) for c in ("name", "description", "source", "document", "first_page")), "aliases", "support_count")
+
+
+def upsert_nodes(rows: DataFrame) -> DataFrame:
+    """Node mentions to nodes; aliases are distinct, in the order of their first mention by ``seq`` and place."""
+    return nodes_of(node_state(rows))
+
+
+def edge_state(rows: DataFrame, lists: Lists = ("document", "page", "source_ref")) -> State:
+    """Of rows of edge keys, ``seq``, the payload, quality_flags, support_count and source.
 
     The payload is that of the highest confidence, the latest of equals; flags are the latest.
     """
-    best = F.max_by(F.struct(*PAYLOAD), F.struct("confidence", "seq")).alias("best")
-    whole = rows.groupBy(*EDGE_KEY).agg(best, F.max_by("quality_flags", "seq").alias("quality_flags"), _first("source"), F.sum(F.coalesce("support_count", F.lit(1))).alias("support_count"), _in_order("document").alias("documents"), _in_order("page").alias("pages"), _in_order("source_ref").alias("source_refs"))
-    return whole.select(*EDGE_KEY, *(f"best.{c}" for c in PAYLOAD), "quality_flags", "source", "support_count", "documents", "pages", "source_refs")
+    best = F.max(F.struct("confidence", "seq", *(c for c in PAYLOAD if c != "confidence"))).alias("best")
+    support = F.sum(F.coalesce("support_count", F.lit(1)).cast("long")).alias("support_count")
+    folded = rows.groupBy(*EDGE_KEY).agg(best, F.max(F.struct("seq", "quality_flags")).alias("flags"), _first("source").alias("source"), support)
+    return State(folded, _values(rows, EDGE_KEY, lists))
+
+
+def _edges(rows: DataFrame, *lists: str) -> DataFrame:
+    return rows.select(*EDGE_KEY, *(f"best.{c}" for c in PAYLOAD), "flags.quality_flags", F.col("source.v").alias("source"), "support_count", *lists)
+
+
+def edges_of(state: State) -> DataFrame:
+    columns = {"document": "documents", "page": "pages", "source_ref": "source_refs"}
+    return _edges(_in_order(state, EDGE_KEY, columns), *columns.values())
+
+
+def folded_edges(rows: DataFrame) -> DataFrame:
+    """Edge mentions to edges without the lists of their documents, pages and source_refs."""
+    return _edges(edge_state(rows).rows)
+
+
+def upsert_edges(rows: DataFrame) -> DataFrame:
+    """Edge mentions to edges, with the distinct documents, pages and source_refs of each in order."""
+    return edges_of(edge_state(rows))
 
 
 def attached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -55,6 +115,20 @@ def attached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges
 
 
+def written(rows: DataFrame, *ends: str) -> DataFrame:
+    """(attempted, written): rows that come, and those whose ``ends`` (label, name, type) are all given, which alone are written."""
+    given = reduce(lambda a, c: a & (F.coalesce(c, F.lit("")) != ""), ends, F.lit(True))
+    return rows.agg(F.count(F.lit(1)).alias("attempted"), F.coalesce(F.sum(given.cast("long")), F.lit(0)).alias("written"))
+
+
+def chunk_tables(chunks: DataFrame, *order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, documents, links): chunk rows by id (``source::index``), the last by ``order`` counts; documents by id; which chunk is of which."""
+    rows = chunks.withColumn("id", F.concat_ws("::", "source", F.col("index").cast("string"))).withColumn("seq", F.struct(*order))
+    kept = upsert_last(rows, "id").drop(*(c for c in order if c not in chunks.columns))
+    docs = upsert_last(rows.select(F.col("document").alias("id"), F.col("document").alias("name"), "source", "seq"), "id")
+    return kept, docs, kept.select(F.col("id").alias("chunk"), F.col("document"))
+
+
 def upsert_last(rows: DataFrame, *key: str) -> DataFrame:
     """The last row by ``seq`` of each key: chunks and documents are simply set."""
     rest = [c for c in rows.columns if c not in key]

@@ -7,7 +7,7 @@ scored relationships, whose accepted ones label ends for those after them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
@@ -23,10 +23,16 @@ DROP = "struct<kind:string,name:string,reason:string>"
 
 def located(evidence: Column, text: Column) -> Column:
     """Whether evidence stands in the text: its key does, or a sentence is alike."""
-    key = tx.match_key(evidence)
-    segments = F.filter(F.transform(F.split(text, tx.SENTENCE_END), tx.match_key), lambda s: F.length(s) >= 8)
-    fuzzy = tx.alike(F.when(F.length(key) >= 12, key).otherwise(""), F.when((F.length(key) >= 12) & ~tx.match_key(text).contains(key), segments).otherwise(F.array().cast("array<string>")))
-    return (key != "") & (tx.match_key(text).contains(key) | fuzzy)
+    return _located(tx._key(tx.nfkc(evidence)), tx._key(tx.nfkc(text)), tx.nfkc(text))
+
+
+def _located(key: Column, text_key: Column, text: Column) -> Column:
+    """Of keys, and a text in normal form; only what is not literally there goes to Python."""
+    segments = F.filter(F.transform(F.split(text, tx.SENTENCE_END), tx._key), lambda s: F.length(s) >= 8)
+    there = (key != "") & text_key.contains(key)
+    tried = (F.length(key) >= 12) & ~there
+    fuzzy = tx.alike(F.when(tried, key).otherwise(""), F.when(tried, segments).otherwise(F.array().cast("array<string>")))
+    return there | (tried & fuzzy)
 
 
 def evidence_score(is_located: Column, evidence: Column, evidence_key: Column, text_key: Column, source_key: Column, target_key: Column) -> tuple[Column, Column]:
@@ -40,24 +46,28 @@ def evidence_score(is_located: Column, evidence: Column, evidence_key: Column, t
     return total, F.array_compact(F.array(*flags))
 
 
-def merged_edges(edges: Column) -> Column:
-    """One relationship per (source_key, type, target_key): the first of the highest confidence; support counts from it on."""
+def _merge_marked(edges: DataFrame, *by: str) -> DataFrame:
+    """``edges`` with ``kept``, whether a row stands for its (source_key, type, target_key), the key's support and its first place."""
+    own = Window.partitionBy(*by, "source_key", "type", "target_key")
+    rows = edges.withColumns({"best": F.min_by("pos", F.struct(-F.col("confidence"), "pos")).over(own), "first": F.min("pos").over(own)})
+    support = F.sum((F.col("pos") >= F.col("best")).cast("int")).over(own).cast("int")
+    return rows.withColumns({"support_count": support, "kept": F.col("pos") == F.col("best")}).drop("best")
+
 
-    def one(key):
-        own = F.filter(edges, lambda e: F.struct(e["source_key"], e["type"], e["target_key"]) == key)
-        best = F.array_max(F.transform(own, lambda e: e["confidence"]))
-        at = F.array_position(F.transform(own, lambda e: e["confidence"]), best)
-        return F.element_at(own, at.cast("int")).withField("support_count", (F.size(own) - at + 1).cast("int"))
+def merged_edges(edges: DataFrame, *by: str) -> DataFrame:
+    """One row per chunk (``by``) and (source_key, type, target_key): the first by ``pos`` of the highest confidence.
 
-    return F.transform(F.array_distinct(F.transform(edges, lambda e: F.struct(e["source_key"], e["type"], e["target_key"]))), one)
+    ``support_count`` counts that row and each of the key that comes after it.  One window over rows
+    dealt by key, whatever a key's number of rows.
+    """
+    return _merge_marked(edges, *by).filter("kept").drop("kept", "first")
 
 
 def rule_candidates(text: Column) -> Column:
     """array<struct<source,type,target,evidence,target_label>> that the two sentence rules find."""
     # The wording that the rules look for.
-    word = r"[一-鿿A-Za-z0-9（）()]"
-    part = rf"({word}{{2,30}}?)(?:的)?(?:主要组分|组分|主要成分|成分)是([^。；;\n]{{2,120}})"
-    index = rf"({word}{{2,30}}?)(?:最重要的)?(?:质量指标|控制指标|指标)是([一-鿿A-Za-z0-9（）()/+]{{2,40}})"
+    part = r"([一-鿿A-Za-z0-9（）()]{2,30}?)(?:的)?(?:主要组分|组分|主要成分|成分)是([^。；;\n]{2,120})"
+    index = r"([一-鿿A-Za-z0-9（）()]{2,30}?)(?:最重要的)?(?:质量指标|控制指标|指标)是([一-鿿A-Za-z0-9（）()/+]{2,40})"
     row = lambda s, t, o, e, label: F.struct(s.alias("source"), F.lit(t).alias("type"), o.alias("target"), e.alias("evidence"), F.lit(label).alias("target_label"))
     none = F.array().cast("array<struct<source:string,type:string,target:string,evidence:string,target_label:string>>")
 
@@ -76,7 +86,6 @@ def rule_candidates(text: Column) -> Column:
 ID = ("source", "chunk")
 _RAW_NODES = "array<struct<name:string,label:string,description:string,aliases:array<string>>>"
 _RAW_EDGES = "array<struct<source:string,type:string,target:string,evidence:string>>"
-GATED = f"source string, chunk int, nodes array<{NODE}>, relationships array<{EDGE}>, dropped array<{DROP}>, dropped_count int, input_nodes int, input_relationships int, accepted_nodes int, accepted_relationships int"
 
 
 def _holds(text_key: Column, key: Column) -> Column:
@@ -85,9 +94,11 @@ def _holds(text_key: Column, key: Column) -> Column:
 
 def candidate_nodes(extractions: DataFrame) -> DataFrame:
     """(source, chunk, pos, name, label, canonical_key, description, aliases, reason): one row a candidate, the first reason counts."""
-    rows = extractions.select(*ID, tx.match_key(F.col("text")).alias("text_key"), F.posexplode(F.coalesce(F.col("nodes"), F.array().cast(_RAW_NODES))).alias("pos", "n"))
-    rows = rows.select(*ID, "pos", "text_key", tx.clean_name(F.col("n.name")).alias("name"), tx.map_label(F.col("n.label")).alias("label"), F.substring(tx.normal_space(F.col("n.description")), 1, tx.MOST_DESCRIPTION).alias("description"), F.filter(F.transform(F.coalesce("n.aliases", F.array().cast("array<string>")), tx.clean_name), lambda a: a != "").alias("aliases"))
-    rows = rows.withColumn("canonical_key", tx.canonical_key(F.col("name"))).withColumn("bad", tx.bad_name(F.col("name")))
+    none = F.array().cast("array<string>")
+    rows = extractions.select(*ID, tx.match_key(F.col("text")).alias("text_key"), F.posexplode(F.coalesce(F.col("nodes"), F.array().cast(_RAW_NODES))).alias("pos", "n")).filter("n is not null")
+    rows = rows.select(*ID, "pos", "text_key", tx.nfkc(F.col("n.name")).alias("name"), tx.map_label(F.col("n.label")).alias("label"), F.substring(tx.normal_space(F.col("n.description")), 1, tx.MOST_DESCRIPTION).alias("description"), tx.nfkc_each(F.coalesce("n.aliases", none)).alias("aliases"))
+    rows = rows.withColumns({"name": tx._name(F.col("name")), "aliases": F.filter(F.transform("aliases", tx._name), lambda a: a != "")})
+    rows = rows.withColumn("canonical_key", tx._canonical(F.col("name"))).withColumn("bad", tx._bad(F.col("name")))
     reason = F.when(F.col("label").isNull(), "unknown_label").when(F.col("bad"), "bad_name").when(~_holds(F.col("text_key"), F.col("canonical_key")), "name_not_found_in_chunk")
     return rows.withColumn("reason", reason).drop("text_key", "bad")
 
@@ -97,15 +108,19 @@ def merged_nodes(candidates: DataFrame) -> DataFrame:
     ok = candidates.filter("reason is null")
     names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("aliases", F.array("name"))))))
     whole = ok.groupBy(*ID, "canonical_key").agg(F.min("pos").alias("pos"), F.min_by(F.struct("name", "label", "aliases"), "pos").alias("f"), F.min_by("description", F.when(F.col("description") != "", F.col("pos"))).alias("told"), names.alias("names"), F.count(F.lit(1)).cast("int").alias("support_count"))
+    # aliases of the first only while it is alone; another's name is no alias of it
     aliases = F.when(F.col("support_count") > 1, F.array_remove("names", F.col("f.name"))).otherwise(F.col("f.aliases"))
     return whole.select(*ID, "pos", F.col("f.name").alias("name"), F.col("f.label").alias("label"), "canonical_key", F.coalesce("told", F.lit("")).alias("description"), aliases.alias("aliases"), "support_count")
 
 
 def candidate_edges(extractions: DataFrame) -> DataFrame:
     """One row a candidate relationship, with its score but for the labels, and why it is dropped."""
-    rows = extractions.select(*ID, "text", tx.match_key(F.col("text")).alias("text_key"), F.posexplode(F.coalesce(F.col("relationships"), F.array().cast(_RAW_EDGES))).alias("pos", "r"))
-    rows = rows.select(*ID, "pos", "text", "text_key", tx.clean_name(F.col("r.source")).alias("from"), tx.clean_name(F.col("r.target")).alias("to"), tx.map_type(F.col("r.type")).alias("type"), tx.clean_evidence(F.col("r.evidence")).alias("evidence"))
-    rows = rows.withColumns({"from_key": tx.canonical_key(F.col("from")), "to_key": tx.canonical_key(F.col("to")), "evidence_key": tx.match_key(F.col("evidence")), "bad": tx.bad_name(F.col("from")) | tx.bad_name(F.col("to")), "located": located(F.col("evidence"), F.col("text"))})
+    texts = extractions.select(*ID, tx.nfkc(F.col("text")).alias("text"), F.coalesce(F.col("relationships"), F.array().cast(_RAW_EDGES)).alias("relationships")).withColumn("text_key", tx._key(F.col("text")))
+    rows = texts.select(*ID, "text", "text_key", F.posexplode("relationships").alias("pos", "r")).filter("r is not null")
+    rows = rows.select(*ID, "pos", "text", "text_key", tx.nfkc(F.col("r.source")).alias("from"), tx.nfkc(F.col("r.target")).alias("to"), tx.map_type(F.col("r.type")).alias("type"), tx.nfkc(F.col("r.evidence")).alias("evidence"))
+    rows = rows.withColumns({"from": tx._name(F.col("from")), "to": tx._name(F.col("to")), "evidence": tx._evidence(F.col("evidence"))})
+    rows = rows.withColumns({"from_key": tx._canonical(F.col("from")), "to_key": tx._canonical(F.col("to")), "evidence_key": tx._key(F.col("evidence")), "bad": tx._bad(F.col("from")) | tx._bad(F.col("to"))})
+    rows = rows.withColumn("located", _located(F.col("evidence_key"), F.col("text_key"), F.col("text")))
     reason = (
         F.when(F.col("type").isNull(), "unknown_type")
         .when(F.col("bad"), "bad_endpoint")
@@ -119,10 +134,10 @@ def candidate_edges(extractions: DataFrame) -> DataFrame:
 
 
 def candidate_rules(extractions: DataFrame) -> DataFrame:
-    """One row a relationship that the sentence rules find, in order."""
+    """One row a relationship that the sentence rules find in the text as it is, in order."""
     rows = extractions.select(*ID, F.posexplode(rule_candidates(F.col("text"))).alias("pos", "r"))
     rows = rows.select(*ID, "pos", tx.clean_name(F.col("r.source")).alias("from"), F.col("r.type").alias("type"), tx.clean_name(F.col("r.target")).alias("to"), tx.clean_evidence(F.col("r.evidence")).alias("evidence"), F.col("r.target_label").alias("to_label"))
-    return rows.withColumns({"from_key": tx.canonical_key(F.col("from")), "to_key": tx.canonical_key(F.col("to")), "from_bad": tx.bad_name(F.col("from")), "to_bad": tx.bad_name(F.col("to"))})
+    return rows.withColumns({"from_key": tx._canonical(F.col("from")), "to_key": tx._canonical(F.col("to")), "from_bad": tx._bad(F.col("from")), "to_bad": tx._bad(F.col("to"))})
 
 
 class ChunkFold:
@@ -133,12 +148,13 @@ class ChunkFold:
 
     def __init__(self, nodes: list):
         self.nodes = {n["canonical_key"]: n for n in nodes}
-        self.edges: dict = {}
+        self.edges: list = []
+        self.rules: list = []
         self.drops: list = []
 
     def _label(self, key: str, kind: str, role: int) -> str:
         node = self.nodes.get(key)
-        return node["label"] if node else min((x for x in TYPE_ENDS[kind][role] if x in LABELS), default="Unit")
+        return node["label"] if node else INFERRED[kind][role]
 
     def _node(self, name: str, label: str, key: str) -> dict:
         return self.nodes.setdefault(key, {"name": name, "label": label, "canonical_key": key, "description": "", "aliases": [], "support_count": 1})
@@ -156,17 +172,14 @@ class ChunkFold:
         if confidence < LEAST_CONFIDENCE:
             return self._drop(named, f"low_confidence:{confidence:.2f}")
         flags = [*c["flags"], *(f"{side}_schema_mismatch" for side, x in zip(("source", "target"), odd, strict=True) if x)]
-        return self._add(self._edge(c, self._node(c["from"], labels[0], c["from_key"]), self._node(c["to"], labels[1], c["to_key"]), round(confidence, 3), flags))
+        ends = self._node(c["from"], labels[0], c["from_key"]), self._node(c["to"], labels[1], c["to_key"])
+        return self.edges.append(self._edge(c, *ends, round(confidence, 3), flags))
 
     def rule(self, r) -> None:
-        """A rule's ends become nodes even where its relationship falls; one there is already gains support."""
+        """A rule's ends become nodes even where its relationship falls."""
         ends = [None if r[f"{e}_bad"] else self._node(r[e], label, r[f"{e}_key"]) for e, label in (("from", "Product"), ("to", r["to_label"]))]
         if all(ends) and ends[0] is not ends[1]:
-            key = (r["from_key"], r["type"], r["to_key"])
-            if key in self.edges:
-                self.edges[key]["support_count"] += 1
-            else:
-                self.edges[key] = self._edge(r, *ends, RULE_CONFIDENCE, ["rule_based"])
+            self.rules.append(self._edge(r, *ends, RULE_CONFIDENCE, ["rule_based"]))
 
     def _drop(self, name: str, reason: str) -> None:
         self.drops.append({"kind": "relationship", "name": name, "reason": reason})
@@ -175,19 +188,18 @@ class ChunkFold:
     def _edge(c, s, t, confidence, flags) -> dict:
         return {"source": s["name"], "source_key": s["canonical_key"], "source_label": s["label"], "type": c["type"], "target": t["name"], "target_key": t["canonical_key"], "target_label": t["label"], "evidence": c["evidence"], "confidence": confidence, "quality_flags": flags, "support_count": 1}
 
-    def _add(self, edge: dict) -> None:
-        """Support counts from the first relationship of the highest confidence on."""
-        key = (edge["source_key"], edge["type"], edge["target_key"])
-        old = self.edges.get(key)
-        if old is None or edge["confidence"] > old["confidence"]:
-            self.edges[key] = edge
-        else:
-            old["support_count"] += 1
+
+FOLDED = f"source string, chunk int, nodes array<{NODE}>, edges array<{EDGE}>, rules array<{EDGE}>, dropped array<{DROP}>, dropped_count int, input_nodes int, input_relationships int, accepted_nodes int"
 
 
 def _fold_part(batches):
     import pyarrow as pa
 
+    text, texts = pa.string(), pa.list_(pa.string())
+    node = pa.struct([("name", text), ("label", text), ("canonical_key", text), ("description", text), ("aliases", texts), ("support_count", pa.int32())])
+    edge = pa.struct([*((k, text) for k in ("source", "source_key", "source_label", "type", "target", "target_key", "target_label", "evidence")), ("confidence", pa.float64()), ("quality_flags", texts), ("support_count", pa.int32())])
+    drop = pa.struct([("kind", text), ("name", text), ("reason", text)])
+    schema = pa.schema([("source", text), ("chunk", pa.int32()), ("nodes", pa.list_(node)), ("edges", pa.list_(edge)), ("rules", pa.list_(edge)), ("dropped", pa.list_(drop)), *((k, pa.int32()) for k in ("dropped_count", "input_nodes", "input_relationships", "accepted_nodes"))])
     for batch in batches:
         out = []
         for row in batch.to_pylist():
@@ -198,20 +210,20 @@ def _fold_part(batches):
                 fold.rule(r)
             drops, nodes = [*(row["lost"] or []), *fold.drops], sorted(fold.nodes.values(), key=lambda n: (n["label"], n["name"]))
             nodes = [{k: n[k] for k in ("name", "label", "canonical_key", "description", "aliases", "support_count")} for n in nodes]
-            out.append({"source": row["source"], "chunk": row["chunk"], "nodes": nodes, "relationships": list(fold.edges.values()), "dropped": drops[:MOST_DROPS], "dropped_count": len(drops), "input_nodes": row["input_nodes"], "input_relationships": row["input_relationships"], "accepted_nodes": len(nodes), "accepted_relationships": len(fold.edges)})
-        text, texts = pa.string(), pa.list_(pa.string())
-        node = pa.struct([("name", text), ("label", text), ("canonical_key", text), ("description", text), ("aliases", texts), ("support_count", pa.int32())])
-        edge = pa.struct([*((k, text) for k in ("source", "source_key", "source_label", "type", "target", "target_key", "target_label", "evidence")), ("confidence", pa.float64()), ("quality_flags", texts), ("support_count", pa.int32())])
-        drop = pa.struct([("kind", text), ("name", text), ("reason", text)])
-        schema = pa.schema([("source", text), ("chunk", pa.int32()), ("nodes", pa.list_(node)), ("relationships", pa.list_(edge)), ("dropped", pa.list_(drop)), *((k, pa.int32()) for k in ("dropped_count", "input_nodes", "input_relationships", "accepted_nodes", "accepted_relationships"))])
+            out.append({"source": row["source"], "chunk": row["chunk"], "nodes": nodes, "edges": fold.edges, "rules": fold.rules, "dropped": drops[:MOST_DROPS], "dropped_count": len(drops), "input_nodes": row["input_nodes"], "input_relationships": row["input_relationships"], "accepted_nodes": len(nodes)})
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
+CHUNK = ("chunk_source", "chunk_chunk")
+_EDGE_FIELDS = ("source", "source_key", "source_label", "type", "target", "target_key", "target_label", "evidence", "confidence", "quality_flags", "support_count")
+INFERRED = {kind: tuple(min((x for x in ends if x in LABELS), default="Unit") for ends in both) for kind, both in TYPE_ENDS.items()}
+
+
 def gate(extractions: DataFrame) -> DataFrame:
     """Per chunk (source, chunk, text, nodes, relationships): accepted nodes by label and name, relationships, drops and counters.
 
     Text work is column expressions over one row a candidate; a chunk's candidates then meet in one
-    row for ``ChunkFold``.  (source, chunk) is the key, so the three groupings share a partitioning.
+    row for ``ChunkFold``.  (source, chunk) is the key, so the groupings share a partitioning.
     """
     listed = lambda rows, cols, name: rows.groupBy(*ID).agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias(name))
     tried = candidate_nodes(extractions)
@@ -223,4 +235,21 @@ def gate(extractions: DataFrame) -> DataFrame:
     rows = extractions.select(*ID, size("nodes").alias("input_nodes"), size("relationships").alias("input_relationships"))
     for part in (nodes, lost, edges, rules):
         rows = rows.join(part, list(ID), "left")
-    return rows.mapInArrow(_fold_part, GATED)
+    return _merged(rows.mapInArrow(_fold_part, FOLDED))
+
+
+def _merged(folded: DataFrame) -> DataFrame:
+    """Chunks with their accepted relationships merged by key; a rule adds support to a key there is, and is else one more.
+
+    A chunk's edges leave its row, the first with the rest of the row, and meet again in it.
+    """
+    rest = ("nodes", "dropped", "dropped_count", "input_nodes", "input_relationships", "accepted_nodes")
+    tagged = F.concat(*(F.transform(c, lambda e, i=i: F.struct(F.lit(i).alias("ruled"), e.alias("e"))) for i, c in enumerate(("edges", "rules"))))
+    rows = folded.select(*(F.col(k).alias(c) for k, c in zip(ID, CHUNK, strict=True)), F.struct(*rest).alias("rest"), F.posexplode_outer(tagged).alias("pos", "x"))
+    rows = rows.select(*CHUNK, F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("rest")).alias("rest"), "pos", "x.ruled", "x.e.*")
+    own = Window.partitionBy(*CHUNK, "source_key", "type", "target_key")
+    rows = _merge_marked(rows, *CHUNK, "ruled").withColumns({"lead": F.min("ruled").over(own), "support_count": F.sum(F.when(F.col("kept"), F.col("support_count"))).over(own).cast("int")})
+    edge = F.when(F.col("kept") & (F.col("ruled") == F.col("lead")), F.struct("ruled", "first", F.struct(*_EDGE_FIELDS).alias("e")))
+    whole = rows.groupBy(*CHUNK).agg(F.first("rest", True).alias("rest"), F.sort_array(F.collect_list(edge)).alias("own"))
+    edges = F.transform("own", lambda x: x["e"]).cast(f"array<{EDGE}>")
+    return whole.select(*(F.col(c).alias(k) for k, c in zip(ID, CHUNK, strict=True)), "rest.nodes", edges.alias("relationships"), *(f"rest.{c}" for c in rest[1:]), F.size("own").alias("accepted_relationships"))

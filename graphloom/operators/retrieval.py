@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,8 @@ from graphloom.functions import text as tx
 
 CHUNKS, FACTS, CITATIONS, PARTS = 4, 12, 8, 16
 DIMENSIONS = 384
+KEPT_TOKENS = 500_000  # tokens whose places a worker remembers
+HELD_GRAMS = 1_000_000  # n-grams of items that a broadcast may hold; beyond, a shuffle join
 HELD_QUESTIONS = 100_000  # questions that are sent to all tasks; more are scored in rounds by the caller
 
 
@@ -31,21 +35,55 @@ def hash_tokens(text: str) -> list[str]:
     return out
 
 
-def hash_vector(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """A unit vector of signed token counts; zero without tokens."""
+def place(token: str, dimensions: int) -> tuple[int, float]:
+    """A token's bucket and sign."""
+    h = hashlib.blake2b(token.encode(), digest_size=8).digest()
+    return int.from_bytes(h[:4], "little") % dimensions, 1.0 if h[4] % 2 == 0 else -1.0
+
+
+def hash_vector(text: str, dimensions: int = DIMENSIONS, known: dict | None = None) -> np.ndarray:
+    """A unit vector of signed token counts; zero without tokens.  ``known`` remembers tokens' places."""
+    known = {} if known is None else known
     v = np.zeros(dimensions)
     for token in hash_tokens(text):
-        h = hashlib.blake2b(token.encode(), digest_size=8).digest()
-        v[int.from_bytes(h[:4], "little") % dimensions] += 1.0 if h[4] % 2 == 0 else -1.0
+        at = known.get(token)
+        if at is None:
+            at = place(token, dimensions)
+            if len(known) < KEPT_TOKENS:
+                known[token] = at
+        v[at[0]] += at[1]
     n = np.sqrt((v * v).sum())
     return v / n if n else v
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Hashing embeddings of texts."""
-    for texts in batches:
-        yield texts.map(lambda t: hash_vector(t or "").astype(np.float32))
+class Embedder(Protocol):
+    """A model that turns texts into unit vectors, a batch at a time; models and their weights are the caller's."""
+
+    dimensions: int
+
+    def __call__(self, texts: list[str]) -> np.ndarray: ...
+
+
+class HashingEmbedder:
+    """Needs no model: signed counts of hashed tokens."""
+
+    def __init__(self, dimensions: int = DIMENSIONS):
+        self.dimensions, self.known = dimensions, {}
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        return np.array([hash_vector(t, self.dimensions, self.known) for t in texts]).reshape(len(texts), self.dimensions)
+
+
+def embedding(text: Column, embedder: Embedder | None = None) -> Column:
+    """Vectors of a text column, by hashing or by a model; null counts as empty."""
+    embedder = embedder or HashingEmbedder()
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(list(embedder(texts.fillna("").tolist()).astype(np.float32)), index=texts.index)
+
+    return run(text)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -55,43 +93,132 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _held(questions: DataFrame, columns: list[str]) -> Broadcast:
+    """The questions' columns, by ``qid``, as a broadcast; the query set is stated, and beyond a number it comes in rounds."""
+    rows = questions.select("qid", *columns).orderBy("qid").limit(HELD_QUESTIONS + 1).toPandas()
+    if len(rows) > HELD_QUESTIONS:
+        raise ValueError("score the questions in rounds")
+    return questions.sparkSession.sparkContext.broadcast(rows)
+
+
+def _unit(vectors) -> np.ndarray:
+    """Rows of unit length; zero vectors stay zero."""
+    x = np.asarray(vectors, np.float64)
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _near_part(held: Broadcast, k: int):
+    def run(batches):
+        asked = held.value
+        q, out = _unit(list(asked["vector"])), [[] for _ in range(len(asked))]
+        for frame in batches:
+            ids, x = frame["id"].to_numpy(), _unit(list(frame["vector"]))
+            for at in range(0, len(q), 1024):
+                scores = np.round(q[at : at + 1024] @ x.T, 6)
+                for i, row in enumerate(scores, at):
+                    some = np.arange(len(ids)) if len(ids) <= 4 * k else np.flatnonzero(row >= np.partition(row, -k)[-k])
+                    out[i] = sorted([*out[i], *((-float(row[j]), ids[j]) for j in some)])[:k]
+        rows = [(asked["qid"].iloc[i], v, -s) for i, best in enumerate(out) for s, v in best]
+        yield pd.DataFrame(rows, columns=["qid", "id", "score"])
+
+    return run
+
+
 def top_chunks(questions: DataFrame, chunks: DataFrame, k: int = CHUNKS) -> DataFrame:
-    """(qid, id, score, rank): each question's ``k`` nearest chunks.
+    """(qid, id, score, rank): each question's ``k`` nearest chunks by cosine to six places, ties by id.
 
-    ``questions`` (qid, vector) are the query set and are held by every task, up to
-    ``HELD_QUESTIONS``; chunks (id, vector) stream past them, and only the best of each task move.
+    ``questions`` (qid, vector) are the query set and are held by every task; chunks (id, vector)
+    stream past them as matrix products, and only each task's best move.
     """
-    if questions.count() > HELD_QUESTIONS:
-        raise ValueError("score the questions in rounds")
-    pairs = chunks.select("id", "vector").crossJoin(F.broadcast(questions.select("qid", F.col("vector").alias("q"))))
-    scored = pairs.select("qid", "id", F.round(cosine(F.col("q"), F.col("vector")), 6).alias("score"))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    if questions.isEmpty():
+        return questions.sparkSession.createDataFrame([], f"qid {kind(questions, 'qid')}, id {kind(chunks, 'id')}, score double, rank int")
+    found = chunks.filter("vector is not null").select("id", "vector").mapInPandas(_near_part(_held(questions, ["vector"]), k), f"qid {kind(questions, 'qid')}, id {kind(chunks, 'id')}, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _grams(words: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(n)), " ")))
+
+
+def _met(docs: DataFrame, items: DataFrame, grams: DataFrame, n: int) -> DataFrame:
+    """(doc_id, item_id): documents that hold one of the items' n-grams (gram, item_id); items are the smaller side."""
+    own = docs.select("doc_id", F.explode(F.when(F.size(_words(F.col("text"))) >= n, F.array_distinct(_grams(_words(F.col("text")), n))).otherwise(F.array().cast("array<bigint>"))).alias("gram"))
+    held = grams.count() <= HELD_GRAMS
+    return own.join(F.broadcast(grams) if held else grams, "gram").select("doc_id", "item_id").distinct()
+
+
+def sharing(docs: DataFrame, items: DataFrame, n: int = 5) -> DataFrame:
+    """Pairs of documents (doc_id, text) and items (item_id, item) that share ``n`` words in a row."""
+    words = _words(F.col("item"))
+    grams = items.filter(F.size(words) >= n).select("item_id", F.explode(F.array_distinct(_grams(words, n))).alias("gram"))
+    return _met(docs, items, grams, n).join(docs, "doc_id").join(items, "item_id")
+
+
+def containing(docs: DataFrame, items: DataFrame, n: int = 3) -> DataFrame:
+    """Pairs of documents (doc_id, text) and items (item_id, item) whose text holds the item's, letter by letter.
+
+    The words inside an item, without its first and last, which may be parts of longer words, are
+    whole words of the document: an item is looked for where its first ``n`` of them stand.  Items of
+    fewer words are looked for in every document; ``HELD_GRAMS`` bounds how many there may be.
+    """
+    words = _words(F.col("item"))
+    long = items.filter(F.size(words) >= n + 2).select("item_id", F.xxhash64(F.array_join(F.slice(words, 2, F.lit(n)), " ")).alias("gram"))
+    short = items.filter(F.size(words) < n + 2)
+    if short.count() > HELD_GRAMS:
+        raise ValueError("look for the short items in rounds")
+    near = _met(docs, items, long, n).join(docs, "doc_id").join(items, "item_id").filter(F.col("text").contains(F.col("item")))
+    return near.unionByName(docs.crossJoin(F.broadcast(short)).filter(F.col("text").contains(F.col("item"))).select(*near.columns))
 
 
 def haystack() -> Column:
-    return F.lower(F.concat_ws(" ", "source_name", "type", "target_name", F.coalesce("evidence", F.lit(""))))
+    return F.lower(F.concat_ws(" ", "source_name", "target_name", "type", F.coalesce("evidence", F.lit(""))))
 
 
-def fact_score(question: Column, hay: Column) -> Column:
+def with_tokens(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``questions`` (qid, question, any others) with ``tokens``: its words, and names of ``nodes`` (name) that it holds.
+
+    A name is looked up by its first character pair: questions are short, so their pairs are few.
+    """
+    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
+    q = questions.select("qid", "question", F.explode(F.array_distinct(F.array_union(pairs(F.col("question")), F.split("question", "")))).alias("head"))
+    n = nodes.filter(F.coalesce("name", F.lit("")) != "").select("name", F.substring("name", 1, 2).alias("head")).distinct()
+    held = q.join(n, "head").filter(F.col("question").contains(F.col("name"))).groupBy("qid").agg(F.collect_set("name").alias("names"))
+    none = F.array().cast("array<string>")
+    return questions.join(held, "qid", "left").withColumn("tokens", F.array_union(tx.question_tokens(F.col("question")), F.array_sort(F.coalesce("names", none)))).drop("names")
+
+
+def fact_score(question: Column, tokens: Column, hay: Column) -> Column:
     """How well an edge (source_name, target_name, evidence, confidence, support_count) fits a question."""
-    tokens = tx.question_tokens(question)
     named = question.contains(F.col("source_name")) | question.contains(F.col("target_name"))
-    words = F.aggregate(tokens, F.lit(0.0), lambda s, t: s + F.when(hay.contains(t), F.when(F.length(t) >= 3, 3.0).otherwise(1.0)).otherwise(0.0))
+    words = F.aggregate(tokens, F.lit(0.0), lambda s, t: s + F.when(hay.contains(F.lower(t)), F.when(F.length(t) >= 3, 3.0).otherwise(1.0)).otherwise(0.0))
     characters = F.array_distinct(F.regexp_extract_all(question, F.lit("[一-鿿]"), F.lit(0)))
     # 0.2 is added one by one: multiplying rounds differently
     total = F.aggregate(characters, F.when(named, 8.0).otherwise(0.0) + words, lambda s, c: s + F.when(hay.contains(c), 0.2).otherwise(0.0))
     total = total + F.when(F.coalesce("evidence", F.lit("")) != "", 1.5).otherwise(0.0)
     sure = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(0.75))
-    return total * F.greatest(F.lit(0.1), F.least(sure, F.lit(1.0))) + F.least(F.coalesce("support_count", F.lit(1)), F.lit(5)) * 0.4
+    return total * F.greatest(F.lit(0.1), F.least(sure, F.lit(1.0))) + F.least(F.coalesce(F.nullif(F.col("support_count"), F.lit(0)), F.lit(1)), F.lit(5)) * 0.4
+
 
+def top_facts(questions: DataFrame, edges: DataFrame, k: int = FACTS, nodes: DataFrame | None = None) -> DataFrame:
+    """(qid, the edge's columns, score, rank): each question's best edges.
 
-def top_facts(questions: DataFrame, edges: DataFrame, k: int = FACTS) -> DataFrame:
-    """(qid, the edge's columns, score, rank): each question's best edges; questions (qid, question) are held by every task."""
-    if questions.count() > HELD_QUESTIONS:
+    ``questions`` (qid, question) are the stated query set: every task holds them, at most
+    ``HELD_QUESTIONS``, and each edge is scored for each, as every edge has some score.  ``nodes``
+    (name) are those whose names count as tokens; the edges' ends if not given.
+    """
+    names = nodes if nodes is not None else edges.select(F.col("source_name").alias("name")).union(edges.select("target_name"))
+    asked = with_tokens(questions.select("qid", "question"), names)
+    if asked.count() > HELD_QUESTIONS:
         raise ValueError("score the questions in rounds")
-    pairs = edges.withColumn("hay", haystack()).crossJoin(F.broadcast(questions.select("qid", "question")))
-    scored = pairs.withColumn("score", F.round(fact_score(F.col("question"), F.col("hay")), 6)).drop("hay", "question")
+    pairs = edges.withColumn("hay", haystack()).crossJoin(F.broadcast(asked))
+    scored = pairs.withColumn("score", F.round(fact_score(F.col("question"), F.col("tokens"), F.col("hay")), 6)).drop("hay", "question", "tokens")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("support_count"), F.desc(F.coalesce("confidence", F.lit(1.0))), "src_key", "type", "dst_key")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -124,8 +251,31 @@ def citations(hits: DataFrame, most: int = CITATIONS) -> DataFrame:
     return placed.select("qid", "place", "source", "page", citation_label(F.col("source"), F.col("page")).alias("label"))
 
 
-def context(parts: DataFrame, most: int = PARTS) -> DataFrame:
-    """Parts (qid, kind, rank, text) to (qid, n_parts, context): the first ``most``, parted by blank lines."""
-    placed = parts.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("kind", "rank", "text"))).filter(F.col("place") <= most)
+def eval_citations(hits: DataFrame) -> DataFrame:
+    """Hits (qid, kind, rank, document, page, source_ref, any others in ``qid``'s place) to those cited in evaluation.
+
+    Chunks (kind 0) come before facts (kind 1); a document, page and source_ref are cited once, nulls
+    alike; nothing is left out.
+    """
+    w = Window.partitionBy("qid", "document", "page", "source_ref").orderBy("kind", "rank")
+    first = hits.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("kind", "rank")))
+
+
+def chunk_part(document: Column, page: Column, text: Column) -> Column:
+    """A chunk as a part of an answer's context."""
+    head = F.when(F.coalesce(page, F.lit("")) != "", F.concat(document, F.lit(" 第 "), page, F.lit(" 页"))).otherwise(document)
+    return F.concat(F.lit("[文档] "), head, F.lit("\n"), F.coalesce(text, F.lit("")))
+
+
+def fact_part(source: Column, kind: Column, target: Column, evidence: Column) -> Column:
+    """An edge as a part of an answer's context."""
+    return F.concat(F.lit("[图谱] "), fact_text(source, kind, target, evidence))
+
+
+def context(parts: DataFrame, most: int | None = PARTS) -> DataFrame:
+    """Parts (qid, kind, rank, text) to (qid, n_parts, context): the first ``most`` (None: all), parted by blank lines."""
+    placed = parts.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("kind", "rank", "text")))
+    placed = placed if most is None else placed.filter(F.col("place") <= most)
     whole = placed.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("own"))
     return whole.select("qid", F.size("own").alias("n_parts"), F.array_join(F.transform("own", lambda p: p["text"]), "\n\n").alias("context"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +15,20 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own that the driver and all executors see."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp()
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def pages(spark: SparkSession, sf: str, gaps: bool = True) -> DataFrame:
-    """Conversations as paged documents (doc, page, text); some turns are left out to make islands."""
-    rows = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), (F.col("turn") + 1).cast("int").alias("page"), "text")
-    return rows.filter((F.col("doc") + F.col("page") - 1) % 5 != 0) if gaps else rows
+    """Conversations as paged documents (doc, page, text); with ``gaps`` page numbers leap, so that documents have islands."""
+    leap = F.floor((F.col("conv_id") % 5 + F.col("turn")) / 3) * 2 if gaps else F.lit(0)
+    return read(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), (F.col("turn") + 1 + leap).cast("int").alias("page"), "text")
 
 
 def paged_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,14 +59,24 @@ def node_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def customer_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as mentions of their customers."""
+    key = F.col("o_orderkey")
+    return read(spark, sf, "orders").select(
+        F.lit("Company").alias("label"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("canonical_key"), key.alias("seq"), F.concat(F.lit("Customer "), F.col("o_orderpriority")).alias("name"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).otherwise("").alias("description"), F.array("o_orderpriority").alias("aliases"), F.lit(1).alias("support_count"),
+        F.concat(F.lit("src"), (key % 7).cast("string")).alias("source"), F.lit("orders").alias("document"), F.when(key % 3 != 0, (key % 50).cast("string")).alias("page"),
+    )
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.upsert_edges(edge_rows(spark, sf))
+    """Edges without the lists that scans do not read."""
+    return graph.folded_edges(edge_rows(spark, sf))
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """Nations that lie in regions, as scanned edges."""
     n, r = read(spark, sf, "nation"), read(spark, sf, "region")
-    return n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select(
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
         F.col("n_name").alias("source_name"), F.lit("LOCATED_IN").alias("type"), F.col("r_name").alias("target_name"), F.when(F.col("n_nationkey") % 3 != 0, F.concat(F.col("n_name"), F.lit(" in "), F.col("r_name"))).alias("evidence"), F.when(F.col("n_nationkey") % 4 != 0, F.lit(0.7) + F.col("n_nationkey") / 100).alias("confidence"), (F.col("n_nationkey") % 7 + 1).alias("support_count"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src_key"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("dst_key"), F.concat(F.lit("doc"), (F.col("n_nationkey") % 3).cast("string")).alias("document"), F.when(F.col("n_nationkey") % 5 != 0, (F.col("n_nationkey") % 5).cast("string")).alias("page"),
     )
 
@@ -61,4 +84,4 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """(qid, question): each nation asked about with the region of another."""
     n, r = read(spark, sf, "nation"), read(spark, sf, "region")
-    return n.join(F.broadcast(r), F.col("r_regionkey") == F.col("n_nationkey") % 5).select(F.col("n_nationkey").cast("int").alias("qid"), F.concat(F.lit("Is "), F.col("n_name"), F.lit(" located_in "), F.lower("r_name"), F.lit(" or elsewhere?")).alias("question"))
+    return n.join(r, F.col("r_regionkey") == F.col("n_nationkey") % 5).select(F.col("n_nationkey").cast("int").alias("qid"), F.concat(F.lit("Is "), F.col("n_name"), F.lit(" located_in "), F.lower("r_name"), F.lit(" or elsewhere?")).alias("question"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from graphloom.operators import graph
 from graphloom.operators.chunking import split_text
+from graphloom.plans import ingest
 
 WINDOW_SCHEMA = "doc string, first int, last int, text string"
 
@@ -53,21 +56,54 @@ def buffered_windows(pages: DataFrame, size: int = 20, overlap: int = 1) -> Data
     return pages.groupBy("doc").applyInPandasWithState(run, WINDOW_SCHEMA, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
-def not_yet(chunks: DataFrame, log: DataFrame) -> DataFrame:
-    """Chunks whose (source, index) the log does not have."""
-    return chunks.join(log.select("source", F.col("chunk").alias("index")), ["source", "index"], "left_anti")
-
-
-def fold_edges(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The edge evidence kept so far with a batch's, each (key, source, chunk) once, so replays count once."""
-    rows = batch if stored is None else stored.unionByName(batch)
-    return rows.dropDuplicates([*graph.EDGE_KEY, "source", "chunk_index"])
+def _once(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def ingest_stream(docs: DataFrame, out: str, checkpoint: str) -> None:
     """Chunks of the arriving documents (source, text), appended by batch; a batch that runs again replaces its own files."""
+    _once(docs, checkpoint, lambda batch, i: split_text(batch).write.mode("overwrite").parquet(f"{out}/batch={i}"))
+
+
+def window_stream(pages: DataFrame, out: str, checkpoint: str, size: int = 20, overlap: int = 1) -> None:
+    """Windows of the arriving pages, by batch."""
+    _once(buffered_windows(pages, size, overlap), checkpoint, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"))
+
 
-    def one(batch: DataFrame, batch_id: int) -> None:
-        split_text(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+KEYS = {"nodes": graph.NODE_KEY, "edges": graph.EDGE_KEY}
+
+
+def _read(spark: SparkSession, path: str, kind: str) -> graph.State:
+    return graph.State(spark.read.parquet(f"{path}/{kind}-rows"), spark.read.parquet(f"{path}/{kind}-lists"))
+
+
+def graph_stream(chunks: DataFrame, out: str, checkpoint: str, extracted: Callable[[DataFrame], DataFrame]) -> None:
+    """Folds arriving chunks (source, index, text, document, pages) into the graph kept under ``out``.
+
+    ``extracted`` turns chunks into extractions.  A batch takes the chunks that no earlier batch's log
+    has, each once, and writes its own log and the graph's state after it; so a batch that runs again
+    starts from the state before and replaces what it wrote, and a chunk that comes again counts once.
+    """
 
-    docs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    def fold(batch: DataFrame, i: int) -> None:
+        spark, at = batch.sparkSession, f"{out}/state/{i}"
+        batch = batch.dropDuplicates(["source", "index"])
+        if i:
+            batch = ingest.not_yet(batch, spark.read.option("basePath", f"{out}/log").parquet(*(f"{out}/log/batch={j}" for j in range(i))))
+        ingest.log_of(extracted(batch)).write.mode("overwrite").parquet(f"{out}/log/batch={i}")
+        rows = dict(zip(KEYS, ingest.graph_rows(spark.read.parquet(f"{out}/log/batch={i}")), strict=True))
+        for kind, make in (("nodes", graph.node_state), ("edges", graph.edge_state)):
+            state = make(rows[kind])
+            if i:
+                state = graph.merged(_read(spark, f"{out}/state/{i - 1}", kind), state, KEYS[kind])
+            state.rows.write.mode("overwrite").parquet(f"{at}/{kind}-rows")
+            state.lists.write.mode("overwrite").parquet(f"{at}/{kind}-lists")
+
+    _once(chunks, checkpoint, fold)
+
+
+def stream_graph(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after the last batch."""
+    last = spark.read.parquet(f"{out}/log").agg(F.max("batch")).first()[0]
+    nodes = graph.nodes_of(_read(spark, f"{out}/state/{last}", "nodes"))
+    return nodes, graph.attached(graph.edges_of(_read(spark, f"{out}/state/{last}", "edges")), nodes)
