@@ -69,11 +69,22 @@ def scratch():
             _OPEN[-1].extend(kept)
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int = 32) -> DataFrame:
-    """``many`` with the row of ``one`` that has its ``key`` (one a key); a hot key's rows are spread by a hash of ``by``."""
-    many = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    one = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return many.join(one, [key, "__salt"]).drop("__salt")
+HOT = 1000  # a key is hot that holds more than one in so many rows, so that there are at most so many
+
+
+def hot_join(many: DataFrame, one: DataFrame, key: str, rows: str) -> DataFrame:
+    """``many``, a stored table, with the row of ``one`` that has its ``key``; ``one`` counts in ``rows`` the key's rows in ``many``.
+
+    Hot keys, at most ``HOT`` of them, are joined where their rows are, by a broadcast of that size;
+    the others by a shuffle, in which no key is hot.
+    """
+    one = stored(one, "hot-join")
+    limit = max(HOT, many.count() // HOT)
+    hot = one.filter(F.col(rows) > limit)
+    if hot.isEmpty():
+        return many.join(one.drop(rows), key)
+    cold = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.filter(F.col(rows) <= limit), key)
+    return many.join(F.broadcast(hot), key).unionByName(cold).drop(rows)
 
 
 def crc_mod(doc_id: str, n: int) -> Column:

@@ -16,13 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import drop_stored, salted_join, scratch, stored, table, words
+from graphloom.llm.common import drop_stored, hot_join, scratch, stored, table, words
 
 WIDTH = 5  # words of a shingle
 PERCENT = 85  # least 100 * intersection / union
 M, BANDS = 64, 16  # signature length; a band has M / BANDS values
 SALTS = 256  # tasks that the members of one centre spread over
-KEY_SALTS = 16  # and the members of one bucket or class, where they are joined with its centre or number
 HELD_IDS = 2_000_000  # ids that a broadcast may hold; beyond, a shuffle join
 LEVEL_BITS = 26  # a signature value is its level and 26 random bits
 
@@ -230,8 +229,8 @@ def _links(signed: DataFrame, docs: DataFrame, classes: DataFrame, percent: int)
     full = stored(rows.join(buckets, "key"), "nd-full")
     known = full.groupBy("rep").agg(F.sum("size").alias("known"))
     full = stored(full.join(known, "rep").select("key", "rep", "known"), "nd-known")
-    centres = full.groupBy("key").agg(F.max(F.struct(F.col("known"), -F.col("rep"))).alias("top")).select("key", (-F.col("top.col2")).alias("center"), F.col("top.known").alias("fame"))
-    pairs = stored(salted_join(full, centres, "key", "rep", KEY_SALTS).filter("rep <> center").select("rep", "center", "fame").distinct(), "nd-pairs")
+    centres = full.groupBy("key").agg(F.max(F.struct(F.col("known"), -F.col("rep"))).alias("top"), F.count(F.lit(1)).alias("size")).select("key", (-F.col("top.col2")).alias("center"), F.col("top.known").alias("fame"), "size")
+    pairs = stored(hot_join(full, centres, "key", "size").filter("rep <> center").select("rep", "center", "fame").distinct(), "nd-pairs")
     if pairs.isEmpty():
         return None if ties.isEmpty() else components(ties)
     ids = stored(pairs.select(F.explode(F.array("rep", "center")).alias("doc_id")).distinct(), "nd-ids")
@@ -320,13 +319,13 @@ def _inner_links(stars: DataFrame, pairs: DataFrame, root: DataFrame, percent: i
     """
     rooted = lambda df, c, name: df.join(root.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
     main = pairs.groupBy("rep").agg((-F.max(F.struct("fame", -F.col("center")))["col2"]).alias("main"))
-    hubs = rooted(stars.select("center").distinct(), "center", "hub")
-    members = rooted(stars.select("rep", "center", "n", "diff").join(main, "rep"), "rep", "own")
-    members = stored(salted_join(members, hubs, "center", "rep", SALTS), "nd-members")
+    hubs = rooted(stars.groupBy("center").agg(F.count(F.lit(1)).alias("size")), "center", "hub")
+    members = stored(rooted(stars.select("rep", "center", "n", "diff").join(main, "rep"), "rep", "own"), "nd-own")
+    members = stored(hot_join(members, hubs, "center", "size"), "nd-members")
     stray = F.col("own") != F.col("hub")
     parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_TOKENS)).cast("int")
-    grid = members.groupBy("center").agg(parts(F.count(F.when(stray, 1)), F.sum(F.when(stray, F.size("diff")))).alias("blocks"), parts(F.count(F.lit(1)), F.sum(F.size("diff"))).alias("slices"))
-    members = salted_join(members, grid.filter("blocks > 0"), "center", "rep", SALTS)
+    grid = members.groupBy("center").agg(parts(F.count(F.when(stray, 1)), F.sum(F.when(stray, F.size("diff")))).alias("blocks"), parts(F.count(F.lit(1)), F.sum(F.size("diff"))).alias("slices"), F.count(F.lit(1)).alias("size"))
+    members = hot_join(members, grid.filter("blocks > 0"), "center", "size")
     tail = ("rep", "n", "own", "main", "diff")
     own = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
@@ -349,15 +348,15 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with scratch() as keep:
         signed = stored(docs.mapInArrow(_signature_part, "doc_id long, n_shingles long, digest binary, keys array<long>"), "nd-signed")
-        classes = signed.filter("digest is not null and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
+        classes = signed.filter("digest is not null and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
         root = _links(signed, docs, classes, percent)
         if root is not None:
             classes = classes.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("rep", F.coalesce("root", "rep")).drop("root")
         # a set that many documents share is one class with one row here, and many on the other side
-        one = classes.select(F.struct("digest", "n_shingles").alias("class"), "rep")
+        one = classes.select(F.struct("digest", "n_shingles").alias("class"), "rep", "size")
         rows = signed.select("doc_id", "n_shingles", F.when(F.col("digest").isNotNull() & F.col("doc_id").isNotNull(), F.struct("digest", "n_shingles")).alias("class"))
         none = rows.filter("class is null").withColumn("rep", F.lit(None).cast("long"))
-        rows = salted_join(rows.filter("class is not null"), one, "class", "doc_id", KEY_SALTS).unionByName(none)
+        rows = hot_join(rows.filter("class is not null"), one, "class", "size").unionByName(none)
         # a row without words has no class; its doc_id may have one by another row
         empty = none.filter("doc_id is not null").select("doc_id").distinct()
         other = rows.filter("class is not null").select("doc_id", "rep").join(empty, "doc_id").groupBy("doc_id").agg(F.min("rep").alias("other"))
