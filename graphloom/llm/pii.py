@@ -24,7 +24,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 TAGS = {k: f"<{k.upper()}>" for k in KINDS}
 Z = 1.96  # of the confidence bound
 DISCLOSURE = 0.8
-HELD_TERMS = 500_000  # terms, or copied texts, that a broadcast may hold; beyond, a shuffle join
+HELD_TERMS = 200_000  # terms, or copied texts, that a broadcast may hold; beyond, a shuffle join
 
 # The base patterns.  Possessive quantifiers and the looks behind change no match: they keep long
 # runs from being scanned from every position, and loops off the stack.
