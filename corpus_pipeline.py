@@ -29,16 +29,23 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = near_dedup.near_dedup(docs, PERCENT)
     gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    stay = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    # rows that share their doc_id, or have none, are few: only they are compared by text
-    shared = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 or doc_id is null").select(F.col("doc_id").alias("its"), F.lit(True).alias("shared"))
-    marked = stay.join(shared, F.col("doc_id").eqNullSafe(F.col("its")), "left").drop("its")
+    stay = docs.select(*COLUMNS).join(_held(gone), "doc_id", "left_anti").select(*COLUMNS)
+    # rows that share their doc_id, or have none, are few if any: only they are compared by text
+    shared = stored(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 or doc_id is null").select(F.col("doc_id").alias("its"), F.lit(True).alias("shared")), "pipe-shared")
+    if shared.isEmpty():
+        return stay
+    marked = stay.join(_held(shared), F.col("doc_id").eqNullSafe(F.col("its")), "left").drop("its")
     alike = marked.filter("shared").drop("shared")
     others = [c for c in COLUMNS if c not in ("doc_id", "text")]
     one = alike.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("r")).select("doc_id", "text", *(F.col(f"r.{c}") for c in others))
     return marked.filter("shared is null").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
+def _held(ids: DataFrame) -> DataFrame:
+    """A broadcast if there are few enough ids; else a shuffle join moves the texts once."""
+    return F.broadcast(ids) if ids.count() <= near_dedup.HELD_IDS else ids
+
+
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is generalised."""
     done = pii.sanitise(docs.select(*COLUMNS))
