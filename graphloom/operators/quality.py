@@ -244,7 +244,8 @@ def _merged(folded: DataFrame) -> DataFrame:
     A chunk's edges leave its row, the first with the rest of the row, and meet again in it.
     """
     rest = ("nodes", "dropped", "dropped_count", "input_nodes", "input_relationships", "accepted_nodes")
-    tagged = F.concat(*(F.transform(c, lambda e, i=i: F.struct(F.lit(i).alias("ruled"), e.alias("e"))) for i, c in enumerate(("edges", "rules"))))
+    tag = lambda c, ruled: F.transform(c, lambda e: F.struct(F.lit(ruled).alias("ruled"), e.alias("e")))
+    tagged = F.concat(tag("edges", 0), tag("rules", 1))
     rows = folded.select(*(F.col(k).alias(c) for k, c in zip(ID, CHUNK, strict=True)), F.struct(*rest).alias("rest"), F.posexplode_outer(tagged).alias("pos", "x"))
     rows = rows.select(*CHUNK, F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("rest")).alias("rest"), "pos", "x.ruled", "x.e.*")
     own = Window.partitionBy(*CHUNK, "source_key", "type", "target_key")
