@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, fingerprints, licenses, lm_scoring, mixing, near_dedup, packing, pii, toxicity, url_filters
+from graphloom.llm import ann, common, fingerprints, licenses, lm_scoring, mixing, near_dedup, packing, pii, toxicity, url_filters
 from graphloom.llm.common import table, words
 from graphloom.llm.registry import queries
 
@@ -158,6 +158,14 @@ def test_a_large_group_in_many_blocks(spark, monkeypatch):
     assert got == jaccard_components({i: shingle_set(t) for i, t in made.items()})
 
 
+def test_hot_keys_are_joined_as_others_are(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 3)
+    many = common.stored(spark.createDataFrame([(i % 7 if i % 2 else 99, i) for i in range(60)], "k int, v int"), "many")
+    one = many.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
+    got = common.hot_join(many, one, "k", "n")
+    assert sorted(map(tuple, got.select("k", "v", "top").collect())) == sorted(map(tuple, many.join(one, "k").select("k", "v", "top").collect())) and got.count() == 60
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.default_rng(0)
     errors = []
