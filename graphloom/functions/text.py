@@ -43,6 +43,12 @@ def _nfkc_each(lists: pd.Series) -> pd.Series:
     return lists.map(lambda ts: None if ts is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in ts])
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _nfkc_nested(lists: pd.Series) -> pd.Series:
+    each = lambda ts: None if ts is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in ts]
+    return lists.map(lambda ls: None if ls is None else [each(ts) for ts in ls])
+
+
 def nfkc(c: Column) -> Column:
     """NFKC of a text; null stays null."""
     return F.coalesce(_nfkc(F.when(~c.rlike(ASCII), c)), c)
@@ -53,18 +59,51 @@ def nfkc_each(c: Column) -> Column:
     return F.coalesce(_nfkc_each(F.when(F.exists(c, lambda t: ~t.rlike(ASCII)), c)), c)
 
 
+def nfkc_nested(c: Column) -> Column:
+    """NFKC of each text of an array of arrays."""
+    return F.coalesce(_nfkc_nested(F.when(F.exists(c, lambda ts: F.exists(ts, lambda t: ~t.rlike(ASCII))), c)), c)
+
+
+def is_alike(key: str, segments: list[str]) -> bool:
+    """Whether a segment is as good as the evidence (Ratcliff-Obershelp ratio), which levenshtein cannot tell."""
+    for s in segments:
+        m = SequenceMatcher(None, key, s)
+        if m.real_quick_ratio() >= ALIKE and m.quick_ratio() >= ALIKE and m.ratio() >= ALIKE:
+            return True
+    return False
+
+
 @F.pandas_udf(T.BooleanType())
 def alike(evidence_keys: pd.Series, segment_keys: pd.Series) -> pd.Series:
-    """Whether a segment is as good as the evidence (Ratcliff-Obershelp ratio), which levenshtein cannot tell."""
+    return pd.Series([is_alike(k, s) for k, s in zip(evidence_keys, segment_keys, strict=True)], dtype=bool)
 
-    def one(key, segments):
-        for s in segments:
-            m = SequenceMatcher(None, key, s)
-            if m.real_quick_ratio() >= ALIKE and m.quick_ratio() >= ALIKE and m.ratio() >= ALIKE:
-                return True
-        return False
 
-    return pd.Series([one(k, s) for k, s in zip(evidence_keys, segment_keys, strict=True)], dtype=bool)
+def _pairs(c: Column) -> Column:
+    """The places of a text's character pairs, as those pairs; of a text of one character none."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
+
+
+def may_be_alike(key: Column, segment: Column) -> Column:
+    """What a ratio of ``ALIKE`` implies, in the JVM: false only where it cannot be reached.
+
+    With m matched characters of two texts of lengths a and b the ratio is 2m / (a + b), and m is at
+    most the shorter length.  The matches are at most a + b - 2m + 1 blocks, and the pairs inside
+    blocks, m less their number, are pairs of both texts: at least 3m - (a + b) - 1 places of the key.
+    """
+    both = F.length(key) + F.length(segment)
+    long_enough = 2 * F.least(F.length(key), F.length(segment)) >= ALIKE * both
+    shared = let(F.array_distinct(_pairs(segment)), lambda own: F.size(F.filter(_pairs(key), lambda p: F.array_contains(own, p))))
+    return long_enough & (shared >= (1.5 * ALIKE - 1) * both - 1)
+
+
+def near_segments(key: Column, segments: Column) -> Column:
+    """Of ``segments`` those that may be like the evidence, by their keys."""
+    return F.filter(segments, lambda s: may_be_alike(key, s))
+
+
+def segment_keys(text: Column) -> Column:
+    """Keys of the sentences of a text in normal form that are long enough to be evidence."""
+    return F.filter(F.transform(F.split(text, SENTENCE_END), _key), lambda s: F.length(s) >= 8)
 
 
 def _strip(c: Column, chars: str) -> Column:
@@ -137,18 +176,25 @@ def _aliased(raw: Column, aliases: dict) -> Column:
     return F.coalesce(*(F.try_element_at(table, k) for k in (_key(raw), F.lower(raw), raw)))
 
 
+def _label(c: Column) -> Column:
+    return let(_name(c), lambda raw: F.when(raw.isin(*LABELS), raw).otherwise(_aliased(raw, LABEL_ALIASES)))
+
+
 def map_label(c: Column) -> Column:
     """The closed label a label stands for, else null."""
-    return let(clean_name(c), lambda raw: F.when(raw.isin(*LABELS), raw).otherwise(_aliased(raw, LABEL_ALIASES)))
+    return _label(nfkc(c))
 
 
 def map_type(c: Column) -> Column:
     """The closed relationship type a type stands for, else null."""
+    return _type(nfkc(c))
+
 
+def _type(c: Column) -> Column:
     def mapped(v):
         return F.when(v["upper"].isin(*TYPES), v["upper"]).otherwise(_aliased(v["raw"], TYPE_ALIASES))
 
-    return let(let(normal_space(c), lambda raw: F.struct(raw.alias("raw"), _type_form(raw).alias("upper"))), mapped)
+    return let(let(_space(c), lambda raw: F.struct(raw.alias("raw"), _type_form(raw).alias("upper"))), mapped)
 
 
 def _type_form(c: Column) -> Column:

@@ -1,8 +1,9 @@
 """The quality gate: candidate nodes and relationships of a chunk are cleaned, checked, scored and merged.
 
-Candidates are rows and their text work is column expressions.  Two steps are Python in Arrow
-batches: the likeness of evidence that is not literally in the chunk, and a fold over each chunk's
-scored relationships, whose accepted ones label ends for those after them.
+A chunk stays one row.  Text work is expressions over its arrays of candidates; two steps are Python
+in Arrow batches: normal forms of texts that are not ASCII, and a fold over the chunk's candidates,
+whose accepted relationships label ends for those after them, with the likeness of the evidence that
+is not literally in the chunk and within the bounds of it.
 """
 
 from __future__ import annotations
@@ -11,28 +12,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
+from graphloom.functions.arrays import let
 from graphloom.functions.vocabulary import LABELS, TYPE_ENDS
 
 LEAST_CONFIDENCE = 0.70
 MOST_DROPS = 30
 RULE_CONFIDENCE = 0.92
+LEAST_ALIKE = 12  # characters of a key from which evidence may be alike
 NODE = "struct<name:string,label:string,canonical_key:string,description:string,aliases:array<string>,support_count:int>"
 EDGE = "struct<source:string,source_key:string,source_label:string,type:string,target:string,target_key:string,target_label:string,evidence:string,confidence:double,quality_flags:array<string>,support_count:int>"
 DROP = "struct<kind:string,name:string,reason:string>"
 
 
 def located(evidence: Column, text: Column) -> Column:
-    """Whether evidence stands in the text: its key does, or a sentence is alike."""
-    return _located(tx._key(tx.nfkc(evidence)), tx._key(tx.nfkc(text)), tx.nfkc(text))
+    """Whether evidence stands in the text: its key does, or a sentence is alike.
 
-
-def _located(key: Column, text_key: Column, text: Column) -> Column:
-    """Of keys, and a text in normal form; only what is not literally there goes to Python."""
-    segments = F.filter(F.transform(F.split(text, tx.SENTENCE_END), tx._key), lambda s: F.length(s) >= 8)
-    there = (key != "") & text_key.contains(key)
-    tried = (F.length(key) >= 12) & ~there
-    fuzzy = tx.alike(F.when(tried, key).otherwise(""), F.when(tried, segments).otherwise(F.array().cast("array<string>")))
-    return there | (tried & fuzzy)
+    Sentences are held against bounds in the JVM first; only those within reach Python.
+    """
+    key, normal = tx._key(tx.nfkc(evidence)), tx.nfkc(text)
+    there = (key != "") & tx._key(normal).contains(key)
+    tried = (F.length(key) >= LEAST_ALIKE) & ~there
+    within = let(F.struct(key.alias("key"), tx.segment_keys(normal).alias("segments")), lambda v: tx.near_segments(v["key"], v["segments"]))
+    near = F.when(tried, within).otherwise(F.array().cast("array<string>"))
+    return there | (tried & tx.alike(F.when(F.size(near) > 0, key).otherwise(""), near))
 
 
 def evidence_score(is_located: Column, evidence: Column, evidence_key: Column, text_key: Column, source_key: Column, target_key: Column) -> tuple[Column, Column]:
@@ -92,77 +94,128 @@ def _holds(text_key: Column, key: Column) -> Column:
     return (key != "") & text_key.contains(key)
 
 
-def candidate_nodes(extractions: DataFrame) -> DataFrame:
-    """(source, chunk, pos, name, label, canonical_key, description, aliases, reason): one row a candidate, the first reason counts."""
-    none = F.array().cast("array<string>")
-    rows = extractions.select(*ID, tx.match_key(F.col("text")).alias("text_key"), F.posexplode(F.coalesce(F.col("nodes"), F.array().cast(_RAW_NODES))).alias("pos", "n")).filter("n is not null")
-    rows = rows.select(*ID, "pos", "text_key", tx.nfkc(F.col("n.name")).alias("name"), tx.map_label(F.col("n.label")).alias("label"), F.substring(tx.normal_space(F.col("n.description")), 1, tx.MOST_DESCRIPTION).alias("description"), tx.nfkc_each(F.coalesce("n.aliases", none)).alias("aliases"))
-    rows = rows.withColumns({"name": tx._name(F.col("name")), "aliases": F.filter(F.transform("aliases", tx._name), lambda a: a != "")})
-    rows = rows.withColumn("canonical_key", tx._canonical(F.col("name"))).withColumn("bad", tx._bad(F.col("name")))
-    reason = F.when(F.col("label").isNull(), "unknown_label").when(F.col("bad"), "bad_name").when(~_holds(F.col("text_key"), F.col("canonical_key")), "name_not_found_in_chunk")
-    return rows.withColumn("reason", reason).drop("text_key", "bad")
-
-
-def merged_nodes(candidates: DataFrame) -> DataFrame:
-    """Accepted candidates by key: the first name and label, the first description that says anything, aliases, support."""
-    ok = candidates.filter("reason is null")
-    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat("aliases", F.array("name"))))))
-    whole = ok.groupBy(*ID, "canonical_key").agg(F.min("pos").alias("pos"), F.min_by(F.struct("name", "label", "aliases"), "pos").alias("f"), F.min_by("description", F.when(F.col("description") != "", F.col("pos"))).alias("told"), names.alias("names"), F.count(F.lit(1)).cast("int").alias("support_count"))
-    # aliases of the first only while it is alone; another's name is no alias of it
-    aliases = F.when(F.col("support_count") > 1, F.array_remove("names", F.col("f.name"))).otherwise(F.col("f.aliases"))
-    return whole.select(*ID, "pos", F.col("f.name").alias("name"), F.col("f.label").alias("label"), "canonical_key", F.coalesce("told", F.lit("")).alias("description"), aliases.alias("aliases"), "support_count")
-
-
-def candidate_edges(extractions: DataFrame) -> DataFrame:
-    """One row a candidate relationship, with its score but for the labels, and why it is dropped."""
-    texts = extractions.select(*ID, tx.nfkc(F.col("text")).alias("text"), F.coalesce(F.col("relationships"), F.array().cast(_RAW_EDGES)).alias("relationships")).withColumn("text_key", tx._key(F.col("text")))
-    rows = texts.select(*ID, "text", "text_key", F.posexplode("relationships").alias("pos", "r")).filter("r is not null")
-    rows = rows.select(*ID, "pos", "text", "text_key", tx.nfkc(F.col("r.source")).alias("from"), tx.nfkc(F.col("r.target")).alias("to"), tx.map_type(F.col("r.type")).alias("type"), tx.nfkc(F.col("r.evidence")).alias("evidence"))
-    rows = rows.withColumns({"from": tx._name(F.col("from")), "to": tx._name(F.col("to")), "evidence": tx._evidence(F.col("evidence"))})
-    rows = rows.withColumns({"from_key": tx._canonical(F.col("from")), "to_key": tx._canonical(F.col("to")), "evidence_key": tx._key(F.col("evidence")), "bad": tx._bad(F.col("from")) | tx._bad(F.col("to"))})
-    rows = rows.withColumn("located", _located(F.col("evidence_key"), F.col("text_key"), F.col("text")))
-    reason = (
-        F.when(F.col("type").isNull(), "unknown_type")
-        .when(F.col("bad"), "bad_endpoint")
-        .when(~_holds(F.col("text_key"), F.col("from_key")) | ~_holds(F.col("text_key"), F.col("to_key")), "endpoint_not_found_in_chunk")
-        .when(F.col("from_key") == F.col("to_key"), "self_loop")
-        .when(F.col("evidence") == "", "missing_evidence")
-        .when(~F.col("located"), "evidence_not_found")
-    )
-    base, flags = evidence_score(F.col("located"), F.col("evidence"), F.col("evidence_key"), F.col("text_key"), F.col("from_key"), F.col("to_key"))
-    return rows.withColumns({"reason": reason, "base": base, "flags": flags}).drop("text", "text_key", "evidence_key", "bad", "located")
-
-
-def candidate_rules(extractions: DataFrame) -> DataFrame:
-    """One row a relationship that the sentence rules find in the text as it is, in order."""
-    rows = extractions.select(*ID, F.posexplode(rule_candidates(F.col("text"))).alias("pos", "r"))
-    rows = rows.select(*ID, "pos", tx.clean_name(F.col("r.source")).alias("from"), F.col("r.type").alias("type"), tx.clean_name(F.col("r.target")).alias("to"), tx.clean_evidence(F.col("r.evidence")).alias("evidence"), F.col("r.target_label").alias("to_label"))
-    return rows.withColumns({"from_key": tx._canonical(F.col("from")), "to_key": tx._canonical(F.col("to")), "from_bad": tx._bad(F.col("from")), "to_bad": tx._bad(F.col("to"))})
+def _normal(rows: Column, *fields: str) -> Column:
+    """Fields of an array of structs, one after the other in one array of texts in normal form."""
+    return tx.nfkc_each(F.concat(*(rows[f] for f in fields)))
+
+
+def _unpacked(rows: str, texts: str, *fields: str) -> Column:
+    """Structs of ``fields`` again, from texts that ``_normal`` gave for ``rows``; places are from 0."""
+    n = F.size(rows)
+    at = lambda i, k: F.col(texts)[i + n * k]
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(i.alias("i"), *(at(i, k).alias(f) for k, f in enumerate(fields))))
+
+
+def _node(n: Column) -> Column:
+    """A candidate node, cleaned, and why it is dropped: the first reason counts."""
+
+    def judged(v):
+        reason = F.when(v["label"].isNull(), "unknown_label").when(tx._bad(v["name"]), "bad_name").when(~_holds(F.col("text_key"), v["key"]), "name_not_found_in_chunk")
+        aliases = F.filter(F.transform(F.coalesce(F.col("node_aliases")[n["i"]], F.array().cast("array<string>")), tx._name), lambda a: a != "")
+        told = F.substring(tx._space(n["description"]), 1, tx.MOST_DESCRIPTION)
+        return F.struct(v["name"].alias("name"), v["label"].alias("label"), v["key"].alias("canonical_key"), told.alias("description"), aliases.alias("aliases"), reason.alias("reason"))
+
+    return let(let(tx._name(n["name"]), lambda name: F.struct(name.alias("name"), tx._canonical(name).alias("key"), tx._label(n["label"]).alias("label"))), judged)
+
+
+def _edge(r: Column) -> Column:
+    """A candidate relationship, cleaned, with its score but for the labels, and why it is dropped.
+
+    ``near`` is null where the evidence needs no further look; else it holds the sentences that may
+    be alike, of which one must be.
+    """
+    text_key = F.col("text_key")
+
+    def named(v):
+        return F.struct(v["from"].alias("from"), v["to"].alias("to"), v["type"].alias("type"), v["evidence"].alias("evidence"), tx._canonical(v["from"]).alias("from_key"), tx._canonical(v["to"]).alias("to_key"), tx._key(v["evidence"]).alias("evidence_key"))
+
+    def judged(v):
+        reason = (
+            F.when(v["type"].isNull(), "unknown_type")
+            .when(tx._bad(v["from"]) | tx._bad(v["to"]), "bad_endpoint")
+            .when(~_holds(text_key, v["from_key"]) | ~_holds(text_key, v["to_key"]), "endpoint_not_found_in_chunk")
+            .when(v["from_key"] == v["to_key"], "self_loop")
+            .when(v["evidence"] == "", "missing_evidence")
+        )
+        return let(reason, lambda why: placed(v, why))
+
+    def placed(v, why):
+        there = _holds(text_key, v["evidence_key"])
+        near = F.when(why.isNull() & ~there, F.when(F.length(v["evidence_key"]) >= LEAST_ALIKE, tx.near_segments(v["evidence_key"], F.col("segments"))).otherwise(F.array().cast("array<string>")))
+        # evidence that is not found drops the relationship, so a score is of evidence that is
+        base, flags = evidence_score(F.lit(True), v["evidence"], v["evidence_key"], text_key, v["from_key"], v["to_key"])
+        return F.struct(*(v[c].alias(c) for c in ("from", "to", "type", "evidence", "from_key", "to_key", "evidence_key")), why.alias("reason"), base.alias("base"), flags.alias("flags"), near.alias("near"))
+
+    return let(let(F.struct(tx._name(r["source"]).alias("from"), tx._name(r["target"]).alias("to"), tx._type(r["type"]).alias("type"), tx._evidence(r["evidence"]).alias("evidence")), named), judged)
+
+
+def _rule(r: Column) -> Column:
+    """A relationship that the sentence rules find, cleaned."""
+    found = lambda v: F.struct(v["from"].alias("from"), v["to"].alias("to"), v["type"].alias("type"), v["evidence"].alias("evidence"), v["to_label"].alias("to_label"), tx._canonical(v["from"]).alias("from_key"), tx._canonical(v["to"]).alias("to_key"), tx._bad(v["from"]).alias("from_bad"), tx._bad(v["to"]).alias("to_bad"))
+    return let(F.struct(tx._name(r["source"]).alias("from"), tx._name(r["target"]).alias("to"), r["type"].alias("type"), tx._evidence(r["evidence"]).alias("evidence"), r["target_label"].alias("to_label")), found)
+
+
+def candidates(extractions: DataFrame) -> DataFrame:
+    """``extractions`` with their cleaned candidates as arrays ``tried_nodes``, ``tried_edges`` and ``tried_rules``.
+
+    A chunk stays a row: normal forms come from one Arrow node, all else is expressions over arrays.
+    """
+    present = lambda c, kind: F.filter(F.coalesce(F.col(c), F.array().cast(kind)), lambda x: x.isNotNull())
+    rows = extractions.withColumns({"raw_nodes": present("nodes", _RAW_NODES), "raw_edges": present("relationships", _RAW_EDGES), "raw_rules": F.coalesce(rule_candidates(F.col("text")), F.array().cast("array<struct<source:string,type:string,target:string,evidence:string,target_label:string>>"))})
+    rows = rows.withColumns({
+        "normal_text": tx.nfkc(F.col("text")),
+        "node_texts": _normal(F.col("raw_nodes"), "name", "label", "description"),
+        "node_aliases": tx.nfkc_nested(F.transform("raw_nodes", lambda n: n["aliases"])),
+        "edge_texts": _normal(F.col("raw_edges"), "source", "target", "type", "evidence"),
+        "rule_texts": _normal(F.col("raw_rules"), "source", "target", "type", "evidence", "target_label"),
+    })
+    rows = rows.withColumns({"text_key": tx._key(F.col("normal_text")), "segments": tx.segment_keys(F.col("normal_text"))})
+    return rows.withColumns({
+        "tried_nodes": F.transform(_unpacked("raw_nodes", "node_texts", "name", "label", "description"), _node),
+        "tried_edges": F.transform(_unpacked("raw_edges", "edge_texts", "source", "target", "type", "evidence"), _edge),
+        "tried_rules": F.transform(_unpacked("raw_rules", "rule_texts", "source", "target", "type", "evidence", "target_label"), _rule),
+    })
 
 
 class ChunkFold:
-    """The one part of the gate that depends on order: labels that accepted relationships give their ends.
+    """The part of the gate that depends on order: merges by key, and labels that accepted relationships give their ends.
 
-    Names, keys and scores come ready from the plan; this walks a chunk's relationships once.
+    Names, keys, scores and bounds come ready from the plan; this walks a chunk's candidates once.
     """
 
-    def __init__(self, nodes: list):
-        self.nodes = {n["canonical_key"]: n for n in nodes}
-        self.edges: list = []
-        self.rules: list = []
-        self.drops: list = []
+    def __init__(self):
+        self.nodes: dict[str, dict] = {}
+        self.edges: dict[tuple, dict] = {}
+        self.drops: list[dict] = []
+
+    def node(self, n) -> None:
+        if n["reason"]:
+            self.drops.append({"kind": "node", "name": n["name"], "reason": n["reason"]})
+            return
+        held = self.nodes.get(n["canonical_key"])
+        if held is None:
+            self._add(n["name"], n["label"], n["canonical_key"], n["description"], n["aliases"])
+            return
+        # a node that is met again has its aliases sorted, without its own name
+        held["aliases"] = sorted({*held["aliases"], *n["aliases"]} - {held["name"]})
+        held["description"] = held["description"] or n["description"]
+        held["support_count"] += 1
+
+    def _add(self, name: str, label: str, key: str, told: str = "", aliases: list | None = None) -> dict:
+        self.nodes[key] = {"name": name, "label": label, "canonical_key": key, "description": told, "aliases": aliases or [], "support_count": 1}
+        return self.nodes[key]
 
     def _label(self, key: str, kind: str, role: int) -> str:
         node = self.nodes.get(key)
         return node["label"] if node else INFERRED[kind][role]
 
-    def _node(self, name: str, label: str, key: str) -> dict:
-        return self.nodes.setdefault(key, {"name": name, "label": label, "canonical_key": key, "description": "", "aliases": [], "support_count": 1})
-
     def candidate(self, c) -> None:
         arrow = f"{c['from']}->{c['to']}"
         if c["reason"]:
             return self._drop(c["from"] if c["reason"] == "self_loop" else arrow, c["reason"])
+        if c["near"] is not None and not tx.is_alike(c["evidence_key"], c["near"]):
+            return self._drop(arrow, "evidence_not_found")
         labels = [self._label(c["from_key"], c["type"], 0), self._label(c["to_key"], c["type"], 1)]
         odd = [label not in allowed for label, allowed in zip(labels, TYPE_ENDS[c["type"]], strict=True)]
         confidence = max(0.0, min(c["base"] - 0.14 * sum(odd), 1.0))
@@ -172,85 +225,75 @@ class ChunkFold:
         if confidence < LEAST_CONFIDENCE:
             return self._drop(named, f"low_confidence:{confidence:.2f}")
         flags = [*c["flags"], *(f"{side}_schema_mismatch" for side, x in zip(("source", "target"), odd, strict=True) if x)]
-        ends = self._node(c["from"], labels[0], c["from_key"]), self._node(c["to"], labels[1], c["to_key"])
-        return self.edges.append(self._edge(c, *ends, round(confidence, 3), flags))
+        ends = [self.nodes.get(key) or self._add(name, label, key) for name, label, key in ((c["from"], labels[0], c["from_key"]), (c["to"], labels[1], c["to_key"]))]
+        new = self._edge(c, *ends, round(confidence, 3), flags)
+        held = self.edges.get(self._key(new))
+        if held is None or new["confidence"] > held["confidence"]:
+            self.edges[self._key(new)] = new  # support starts anew with a better one
+        else:
+            held["support_count"] += 1
+        return None
 
     def rule(self, r) -> None:
-        """A rule's ends become nodes even where its relationship falls."""
-        ends = [None if r[f"{e}_bad"] else self._node(r[e], label, r[f"{e}_key"]) for e, label in (("from", "Product"), ("to", r["to_label"]))]
+        """A rule's ends become nodes even where its relationship falls; it adds support to a relationship there is."""
+        ends = [None if r[f"{e}_bad"] else self.nodes.get(r[f"{e}_key"]) or self._add(r[e], label, r[f"{e}_key"]) for e, label in (("from", "Product"), ("to", r["to_label"]))]
         if all(ends) and ends[0] is not ends[1]:
-            self.rules.append(self._edge(r, *ends, RULE_CONFIDENCE, ["rule_based"]))
+            new = self._edge(r, *ends, RULE_CONFIDENCE, ["rule_based"])
+            held = self.edges.setdefault(self._key(new), new)
+            if held is not new:
+                held["support_count"] += 1
 
     def _drop(self, name: str, reason: str) -> None:
         self.drops.append({"kind": "relationship", "name": name, "reason": reason})
 
+    @staticmethod
+    def _key(edge: dict) -> tuple:
+        return edge["source_key"], edge["type"], edge["target_key"]
+
     @staticmethod
     def _edge(c, s, t, confidence, flags) -> dict:
         return {"source": s["name"], "source_key": s["canonical_key"], "source_label": s["label"], "type": c["type"], "target": t["name"], "target_key": t["canonical_key"], "target_label": t["label"], "evidence": c["evidence"], "confidence": confidence, "quality_flags": flags, "support_count": 1}
 
 
-FOLDED = f"source string, chunk int, nodes array<{NODE}>, edges array<{EDGE}>, rules array<{EDGE}>, dropped array<{DROP}>, dropped_count int, input_nodes int, input_relationships int, accepted_nodes int"
+INFERRED = {kind: tuple(min((x for x in ends if x in LABELS), default="Unit") for ends in both) for kind, both in TYPE_ENDS.items()}
+GATED = f"nodes array<{NODE}>, relationships array<{EDGE}>, dropped array<{DROP}>, dropped_count int, input_nodes int, input_relationships int, accepted_nodes int, accepted_relationships int"
 
 
-def _fold_part(batches):
-    import pyarrow as pa
+def _fold_part(kept: int):
+    """Columns of a batch: ``kept`` that go through, the two numbers of inputs, and the candidates."""
 
-    text, texts = pa.string(), pa.list_(pa.string())
-    node = pa.struct([("name", text), ("label", text), ("canonical_key", text), ("description", text), ("aliases", texts), ("support_count", pa.int32())])
-    edge = pa.struct([*((k, text) for k in ("source", "source_key", "source_label", "type", "target", "target_key", "target_label", "evidence")), ("confidence", pa.float64()), ("quality_flags", texts), ("support_count", pa.int32())])
-    drop = pa.struct([("kind", text), ("name", text), ("reason", text)])
-    schema = pa.schema([("source", text), ("chunk", pa.int32()), ("nodes", pa.list_(node)), ("edges", pa.list_(edge)), ("rules", pa.list_(edge)), ("dropped", pa.list_(drop)), *((k, pa.int32()) for k in ("dropped_count", "input_nodes", "input_relationships", "accepted_nodes"))])
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            fold = ChunkFold(row["nodes"] or [])
-            for c in row["edges"] or []:
-                fold.candidate(c)
-            for r in row["rules"] or []:
-                fold.rule(r)
-            drops, nodes = [*(row["lost"] or []), *fold.drops], sorted(fold.nodes.values(), key=lambda n: (n["label"], n["name"]))
-            nodes = [{k: n[k] for k in ("name", "label", "canonical_key", "description", "aliases", "support_count")} for n in nodes]
-            out.append({"source": row["source"], "chunk": row["chunk"], "nodes": nodes, "edges": fold.edges, "rules": fold.rules, "dropped": drops[:MOST_DROPS], "dropped_count": len(drops), "input_nodes": row["input_nodes"], "input_relationships": row["input_relationships"], "accepted_nodes": len(nodes)})
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
+    def run(batches):
+        import pyarrow as pa
 
+        text, texts, count = pa.string(), pa.list_(pa.string()), pa.int32()
+        node = pa.struct([("name", text), ("label", text), ("canonical_key", text), ("description", text), ("aliases", texts), ("support_count", count)])
+        edge = pa.struct([*((k, text) for k in ("source", "source_key", "source_label", "type", "target", "target_key", "target_label", "evidence")), ("confidence", pa.float64()), ("quality_flags", texts), ("support_count", count)])
+        drop = pa.struct([("kind", text), ("name", text), ("reason", text)])
+        kinds = [pa.list_(node), pa.list_(edge), pa.list_(drop), *[count] * 5]
+        names = ["nodes", "relationships", "dropped", "dropped_count", "input_nodes", "input_relationships", "accepted_nodes", "accepted_relationships"]
+        for batch in batches:
+            out: list[tuple] = []
+            for n_nodes, n_edges, nodes, edges, rules in zip(*(batch.column(kept + i).to_pylist() for i in range(5)), strict=True):
+                fold = ChunkFold()
+                for rows, step in ((nodes, fold.node), (edges, fold.candidate), (rules, fold.rule)):
+                    for row in rows:
+                        step(row)
+                whole = sorted(fold.nodes.values(), key=lambda n: (n["label"], n["name"]))
+                out.append((whole, list(fold.edges.values()), fold.drops[:MOST_DROPS], len(fold.drops), n_nodes, n_edges, len(whole), len(fold.edges)))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), *columns], names=[*batch.schema.names[:kept], *names])
 
-CHUNK = ("chunk_source", "chunk_chunk")
-_EDGE_FIELDS = ("source", "source_key", "source_label", "type", "target", "target_key", "target_label", "evidence", "confidence", "quality_flags", "support_count")
-INFERRED = {kind: tuple(min((x for x in ends if x in LABELS), default="Unit") for ends in both) for kind, both in TYPE_ENDS.items()}
+    return run
 
 
-def gate(extractions: DataFrame) -> DataFrame:
+def gate(extractions: DataFrame, *kept: str) -> DataFrame:
     """Per chunk (source, chunk, text, nodes, relationships): accepted nodes by label and name, relationships, drops and counters.
 
-    Text work is column expressions over one row a candidate; a chunk's candidates then meet in one
-    row for ``ChunkFold``.  (source, chunk) is the key, so the groupings share a partitioning.
+    Columns ``kept`` go through.  One pass: a chunk is cleaned, judged and folded in its own row, and
+    nothing is shuffled.
     """
-    listed = lambda rows, cols, name: rows.groupBy(*ID).agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias(name))
-    tried = candidate_nodes(extractions)
-    nodes = listed(merged_nodes(tried), ("name", "label", "canonical_key", "description", "aliases", "support_count"), "nodes")
-    lost = listed(tried.filter("reason is not null").withColumn("kind", F.lit("node")), ("kind", "name", "reason"), "lost").withColumn("lost", F.transform("lost", lambda d: d.dropFields("pos")))
-    edges = listed(candidate_edges(extractions), ("from", "to", "type", "evidence", "from_key", "to_key", "reason", "base", "flags"), "edges")
-    rules = listed(candidate_rules(extractions), ("from", "to", "type", "evidence", "from_key", "to_key", "from_bad", "to_bad", "to_label"), "rules")
     size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("int")
-    rows = extractions.select(*ID, size("nodes").alias("input_nodes"), size("relationships").alias("input_relationships"))
-    for part in (nodes, lost, edges, rules):
-        rows = rows.join(part, list(ID), "left")
-    return _merged(rows.mapInArrow(_fold_part, FOLDED))
-
-
-def _merged(folded: DataFrame) -> DataFrame:
-    """Chunks with their accepted relationships merged by key; a rule adds support to a key there is, and is else one more.
-
-    A chunk's edges leave its row, the first with the rest of the row, and meet again in it.
-    """
-    rest = ("nodes", "dropped", "dropped_count", "input_nodes", "input_relationships", "accepted_nodes")
-    tag = lambda c, ruled: F.transform(c, lambda e: F.struct(F.lit(ruled).alias("ruled"), e.alias("e")))
-    tagged = F.concat(tag("edges", 0), tag("rules", 1))
-    rows = folded.select(*(F.col(k).alias(c) for k, c in zip(ID, CHUNK, strict=True)), F.struct(*rest).alias("rest"), F.posexplode_outer(tagged).alias("pos", "x"))
-    rows = rows.select(*CHUNK, F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("rest")).alias("rest"), "pos", "x.ruled", "x.e.*")
-    own = Window.partitionBy(*CHUNK, "source_key", "type", "target_key")
-    rows = _merge_marked(rows, *CHUNK, "ruled").withColumns({"lead": F.min("ruled").over(own), "support_count": F.sum(F.when(F.col("kept"), F.col("support_count"))).over(own).cast("int")})
-    edge = F.when(F.col("kept") & (F.col("ruled") == F.col("lead")), F.struct("ruled", "first", F.struct(*_EDGE_FIELDS).alias("e")))
-    whole = rows.groupBy(*CHUNK).agg(F.first("rest", True).alias("rest"), F.sort_array(F.collect_list(edge)).alias("own"))
-    edges = F.transform("own", lambda x: x["e"]).cast(f"array<{EDGE}>")
-    return whole.select(*(F.col(c).alias(k) for k, c in zip(ID, CHUNK, strict=True)), "rest.nodes", edges.alias("relationships"), *(f"rest.{c}" for c in rest[1:]), F.size("own").alias("accepted_relationships"))
+    through = [*ID, *(c for c in kept if c not in ID)]
+    rows = candidates(extractions).select(*through, size("nodes").alias("n_nodes"), size("relationships").alias("n_edges"), "tried_nodes", "tried_edges", "tried_rules")
+    schema = ", ".join(f"`{c}` {extractions.schema[c].dataType.simpleString()}" for c in through)
+    return rows.mapInArrow(_fold_part(len(through)), f"{schema}, {GATED}")

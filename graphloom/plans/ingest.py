@@ -117,11 +117,10 @@ def not_yet(chunks: DataFrame, log: DataFrame) -> DataFrame:
 
 def log_of(extracted: DataFrame) -> DataFrame:
     """Extraction-log items: gated extractions with the chunk's document, pages, text and quality."""
-    gated = quality.gate(extracted)
-    quality_ = F.struct("input_nodes", "input_relationships", "accepted_nodes", "accepted_relationships", "dropped_count", "dropped").alias("quality")
-    items = gated.select("source", "chunk", F.struct("nodes", "relationships").alias("extraction"), quality_)
     kept = [c for c in ("document", "page_start", "page_end", "page", "source_ref", "text", "error", "preview") if c in extracted.columns]
-    return extracted.select("source", "chunk", *kept).join(items, ["source", "chunk"])
+    gated = quality.gate(extracted, *kept)
+    quality_ = F.struct("input_nodes", "input_relationships", "accepted_nodes", "accepted_relationships", "dropped_count", "dropped").alias("quality")
+    return gated.select("source", "chunk", *kept, F.struct("nodes", "relationships").alias("extraction"), quality_)
 
 
 # --- the graph

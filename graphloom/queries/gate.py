@@ -87,7 +87,7 @@ GATE = (
  rn AS (SELECT source, chunk, tk, unnest([{{'pos': 0, 'name': upper(ws[1]), 'label': 'Equipment', 'told': '', 'al': [ws[2]]}}, {{'pos': 1, 'name': ws[1], 'label': 'Equipment', 'told': 'about ' || ws[1], 'al': []}}, {{'pos': 2, 'name': ws[2], 'label': 'Unit', 'told': '', 'al': []}}, {{'pos': 3, 'name': ws[3], 'label': 'Product', 'told': 'made', 'al': []}}, {{'pos': 4, 'name': ws[4], 'label': NULL, 'told': '', 'al': []}}, {{'pos': 5, 'name': '12.5', 'label': 'Unit', 'told': '', 'al': []}}, {{'pos': 6, 'name': 'zz' || ws[5] || 'qq', 'label': 'Risk', 'told': '', 'al': []}}, {{'pos': 7, 'name': ws[6], 'label': 'Material', 'told': '', 'al': []}}], recursive := true) FROM t),
  kn AS (SELECT *, {_KEY.format('name')} AS key FROM rn),
  jn AS (SELECT *, CASE WHEN label IS NULL THEN 'unknown_label' WHEN {_BAD.format(n='name', k='key')} THEN 'bad_name' WHEN NOT contains(tk, key) THEN 'name_not_found_in_chunk' END AS reason FROM kn),
- mn AS (SELECT source, chunk, key, arg_min(name, pos) AS name, arg_min(label, pos) AS label, coalesce(arg_min(told, pos) FILTER (told <> ''), '') AS description, count(*)::INT AS support, arg_min(al, pos) AS first_al, list_sort(list_distinct(flatten(list(list_append(al, name))))) AS names FROM jn WHERE reason IS NULL GROUP BY ALL),
+ mn AS (SELECT source, chunk, key, arg_min(name, pos) AS name, arg_min(label, pos) AS label, coalesce(arg_min(told, pos) FILTER (told <> ''), '') AS description, count(*)::INT AS support, arg_min(al, pos) AS first_al, list_sort(list_distinct(flatten(list(al)))) AS names FROM jn WHERE reason IS NULL GROUP BY ALL),
  re AS (SELECT source, chunk, tk, unnest([{_edges()}], recursive := true) FROM t),
  ke AS (SELECT *, {_KEY.format('f')} AS fk, {_KEY.format('t')} AS ok, {_KEY.format('ev')} AS evk FROM re),
  je AS (SELECT *, CASE WHEN ty IS NULL THEN 'unknown_type' WHEN {_BAD.format(n='f', k='fk')} OR {_BAD.format(n='t', k='ok')} THEN 'bad_endpoint' WHEN NOT contains(tk, fk) OR NOT contains(tk, ok) THEN 'endpoint_not_found_in_chunk' WHEN fk = ok THEN 'self_loop' WHEN ev = '' THEN 'missing_evidence' WHEN evk = '' OR NOT contains(tk, evk) THEN 'evidence_not_found' END AS reason,
