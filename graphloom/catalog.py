@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
-from graphloom.operators import chunking, evaluation, graph, quality, retrieval
+from graphloom.operators import chunking, evaluation, facts, graph, quality, retrieval
 from graphloom.operators import pages as paging
 from graphloom.plans import answers, fixtures
 from graphloom.plans.fixtures import read
-from graphloom.queries import evaluating, gate, ingesting, texts  # noqa: F401 - they register their queries
+from graphloom.queries import evaluating, gate, ingesting, searching, texts  # noqa: F401 - they register their queries
 from graphloom.queries.sql import CHUNKS, CLEAN, KEY_CHARS
 from graphloom.registry import QUERIES, SQL, query
+from graphloom.sources.tables import spread
 from graphloom.streaming import ingest
 
 
@@ -27,13 +28,13 @@ def oracle_sql():
 
 @query(CHUNKS + "SELECT doc_id, idx AS \"index\", length(chunk)::BIGINT AS n_chars, md5(chunk) AS digest, source || '#page=unknown#chunk=' || idx AS source_ref FROM c")
 def chunk_documents(spark, sf):
-    rows = chunking.split_text(read(spark, sf, "documents").select("doc_id", "text", "source"))
+    rows = chunking.split_text(spread(read(spark, sf, "documents").select("doc_id", "text", "source")))
     return rows.select("doc_id", "index", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"), "source_ref")
 
 
 @query(CHUNKS + "SELECT lang, count(*)::BIGINT AS chunks, sum(length(chunk))::BIGINT AS chars FROM c GROUP BY lang")
 def chunk_counts_by_lang(spark, sf):
-    return chunking.split_text(read(spark, sf, "documents").select("lang", "text", "source")).groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+    return chunking.split_text(spread(read(spark, sf, "documents").select("lang", "text", "source"))).groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
 PAGES = "WITH p AS (SELECT conv_id AS doc, (turn + 1 + (conv_id % 5 + turn) // 3 * 2)::INT AS page, text FROM conversations), i AS (SELECT *, (page - row_number() OVER (PARTITION BY doc ORDER BY page))::INT AS island FROM p), s AS (SELECT *, row_number() OVER (PARTITION BY doc, island ORDER BY page) AS pos, count(*) OVER (PARTITION BY doc, island) AS n FROM i)"
@@ -275,7 +276,7 @@ FACTS = """WITH f AS (SELECT n_name AS s, r_name AS t, CASE WHEN n_nationkey % 3
 
 @query(FACTS + "SELECT qid::INT AS qid, s AS source_name, t AS target_name, score, rank::INT AS rank FROM r WHERE rank <= 12")
 def fact_topk(spark, sf):
-    return retrieval.top_facts(fixtures.questions(spark, sf), fixtures.facts(spark, sf)).select("qid", "source_name", "target_name", "score", "rank")
+    return facts.top_facts(fixtures.questions(spark, sf), fixtures.facts(spark, sf)).select("qid", "source_name", "target_name", "score", "rank")
 
 
 def _vectors(spark, sf):
@@ -314,14 +315,14 @@ def metric_summary(spark, sf):
 
 @query(FACTS + ", w AS (SELECT 'n' || n_nationkey AS sk, 'r' || (n_nationkey % 5) AS tk, n_nationkey AS qid FROM nation), h AS (SELECT r.*, (w.qid IS NOT NULL)::INT AS hit FROM r LEFT JOIN w ON w.qid = r.qid AND w.sk = r.sk AND w.tk = r.tk), m AS (SELECT qid, k, count(*) FILTER (rank <= k) AS n, sum(hit) FILTER (rank <= k) AS hits, sum((ev IS NOT NULL AND page IS NOT NULL)::INT) FILTER (rank <= k) AS covered FROM h, (SELECT unnest([3, 5, 10]) AS k) GROUP BY qid, k) SELECT qid::INT AS qid, k::INT AS k, unnest(['triple_recall', 'relation_precision', 'noise_edge_rate', 'relation_evidence_coverage']) AS metric, unnest([hits::DOUBLE, round(hits / n::DOUBLE, 6), round(1 - round(hits / n::DOUBLE, 6), 6), round(covered / n::DOUBLE, 6)]) AS value FROM m")
 def edge_metrics(spark, sf):
-    facts = retrieval.top_facts(fixtures.questions(spark, sf), fixtures.facts(spark, sf)).select("qid", "rank", F.col("src_key").alias("source"), "type", F.col("dst_key").alias("target"), "evidence", "page")
+    found = facts.top_facts(fixtures.questions(spark, sf), fixtures.facts(spark, sf)).select("qid", "rank", F.col("src_key").alias("source"), "type", F.col("dst_key").alias("target"), "evidence", "page")
     n = F.col("n_nationkey")
     want = read(spark, sf, "nation").select(n.cast("int").alias("qid"), F.concat(F.lit("n"), n.cast("string")).alias("source"), F.lit("LOCATED_IN").alias("type"), F.concat(F.lit("r"), (n % 5).cast("string")).alias("target"))
-    return evaluation.edge_metrics(facts, want)
+    return evaluation.edge_metrics(found, want)
 
 
 def _hits(spark, sf):
-    f = retrieval.top_facts(fixtures.questions(spark, sf), fixtures.facts(spark, sf))
+    f = facts.top_facts(fixtures.questions(spark, sf), fixtures.facts(spark, sf))
     return f.select("qid", F.lit(1).alias("kind"), "rank", F.col("document").alias("source"), "page")
 
 
@@ -332,7 +333,7 @@ def citations(spark, sf):
 
 @query(FACTS + "SELECT qid::INT AS qid, count(*)::INT AS n_parts, string_agg(s || ' --LOCATED_IN--> ' || t || CASE WHEN ev IS NOT NULL THEN '。证据：' || ev ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 12 GROUP BY qid")
 def context_build(spark, sf):
-    f = retrieval.top_facts(fixtures.questions(spark, sf), fixtures.facts(spark, sf))
+    f = facts.top_facts(fixtures.questions(spark, sf), fixtures.facts(spark, sf))
     return retrieval.context(f.select("qid", F.lit(1).alias("kind"), "rank", retrieval.fact_text(F.col("source_name"), F.col("type"), F.col("target_name"), F.col("evidence")).alias("text")))
 
 
@@ -398,7 +399,7 @@ def markdown_table(spark, sf):
 
 @query()
 def hash_embedding(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", retrieval.embedding(F.col("text")).alias("vector"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", retrieval.embedding(F.col("text")).alias("vector"))
 
 
 @query()
@@ -425,7 +426,7 @@ def stream_ingest(spark, sf):
 
 def entry(spark, sf):
     """Questions answered from the documents' chunks, by hashing embeddings, and the graph's facts."""
-    chunks = chunking.split_text(read(spark, sf, "documents").select("doc_id", "text", "source"))
+    chunks = chunking.split_text(spread(read(spark, sf, "documents").select("doc_id", "text", "source")))
     chunks = chunks.select(F.concat_ws("::", F.col("doc_id").cast("string"), F.col("index").cast("string")).alias("id"), retrieval.embedding(F.col("text")).alias("vector"), "text", "document", F.col("page"))
     questions = fixtures.questions(spark, sf).withColumn("vector", retrieval.embedding(F.col("question")))
     return answers.ask(questions, chunks, fixtures.facts(spark, sf))

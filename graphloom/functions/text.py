@@ -369,7 +369,7 @@ def triple_of(text: Column) -> Column:
 def question_tokens(text: Column) -> Column:
     """ASCII words of the lowered text and runs of two or more CJK characters, each once.
 
-    Names of the graph's nodes that the text holds are tokens too: ``retrieval.with_tokens`` adds them.
+    Names of the graph's nodes that the text holds are tokens too: ``facts.with_tokens`` adds them.
     """
     lowered = F.lower(text)
     return F.array_union(F.regexp_extract_all(lowered, F.lit("[a-z0-9_]+"), F.lit(0)), F.regexp_extract_all(lowered, F.lit("[一-鿿]{2,}"), F.lit(0)))

@@ -8,6 +8,8 @@ is not literally in the chunk and within the bounds of it.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -259,41 +261,37 @@ INFERRED = {kind: tuple(min((x for x in ends if x in LABELS), default="Unit") fo
 GATED = f"nodes array<{NODE}>, relationships array<{EDGE}>, dropped array<{DROP}>, dropped_count int, input_nodes int, input_relationships int, accepted_nodes int, accepted_relationships int"
 
 
-def _fold_part(kept: int):
-    """Columns of a batch: ``kept`` that go through, the two numbers of inputs, and the candidates."""
+def _folded(chunk: str) -> str:
+    """A chunk's candidates to what is accepted of them."""
+    c, fold = json.loads(chunk), ChunkFold()
+    for rows, step in ((c["nodes"], fold.node), (c["edges"], fold.candidate), (c["rules"], fold.rule)):
+        for row in rows:
+            step(row)
+    nodes = sorted(fold.nodes.values(), key=lambda n: (n["label"], n["name"]))
+    counts = {"dropped_count": len(fold.drops), "input_nodes": c["n_nodes"], "input_relationships": c["n_edges"], "accepted_nodes": len(nodes), "accepted_relationships": len(fold.edges)}
+    return json.dumps({"nodes": nodes, "relationships": list(fold.edges.values()), "dropped": fold.drops[:MOST_DROPS]} | counts, ensure_ascii=False)
 
-    def run(batches):
-        import pyarrow as pa
 
-        text, texts, count = pa.string(), pa.list_(pa.string()), pa.int32()
-        node = pa.struct([("name", text), ("label", text), ("canonical_key", text), ("description", text), ("aliases", texts), ("support_count", count)])
-        edge = pa.struct([*((k, text) for k in ("source", "source_key", "source_label", "type", "target", "target_key", "target_label", "evidence")), ("confidence", pa.float64()), ("quality_flags", texts), ("support_count", count)])
-        drop = pa.struct([("kind", text), ("name", text), ("reason", text)])
-        kinds = [pa.list_(node), pa.list_(edge), pa.list_(drop), *[count] * 5]
-        names = ["nodes", "relationships", "dropped", "dropped_count", "input_nodes", "input_relationships", "accepted_nodes", "accepted_relationships"]
-        for batch in batches:
-            out: list[tuple] = []
-            for n_nodes, n_edges, nodes, edges, rules in zip(*(batch.column(kept + i).to_pylist() for i in range(5)), strict=True):
-                fold = ChunkFold()
-                for rows, step in ((nodes, fold.node), (edges, fold.candidate), (rules, fold.rule)):
-                    for row in rows:
-                        step(row)
-                whole = sorted(fold.nodes.values(), key=lambda n: (n["label"], n["name"]))
-                out.append((whole, list(fold.edges.values()), fold.drops[:MOST_DROPS], len(fold.drops), n_nodes, n_edges, len(whole), len(fold.edges)))
-            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), *columns], names=[*batch.schema.names[:kept], *names])
+def _fold_part(batches):
+    """The last column is folded, the others go through."""
+    import pyarrow as pa
 
-    return run
+    for batch in batches:
+        folded = pa.array([_folded(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
+        yield batch.set_column(batch.num_columns - 1, "folded", folded)
 
 
 def gate(extractions: DataFrame, *kept: str) -> DataFrame:
     """Per chunk (source, chunk, text, nodes, relationships): accepted nodes by label and name, relationships, drops and counters.
 
     Columns ``kept`` go through.  One pass: a chunk is cleaned, judged and folded in its own row, and
-    nothing is shuffled.
+    nothing is shuffled.  Candidates cross to Python and back as JSON, which costs it far less than
+    Arrow's nested values.
     """
     size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("int")
     through = [*ID, *(c for c in kept if c not in ID)]
-    rows = candidates(extractions).select(*through, size("nodes").alias("n_nodes"), size("relationships").alias("n_edges"), "tried_nodes", "tried_edges", "tried_rules")
+    tried = F.struct(F.col("tried_nodes").alias("nodes"), F.col("tried_edges").alias("edges"), F.col("tried_rules").alias("rules"), size("nodes").alias("n_nodes"), size("relationships").alias("n_edges"))
+    rows = candidates(extractions).select(*through, F.to_json(tried, {"ignoreNullFields": "false"}).alias("folded"))
     schema = ", ".join(f"`{c}` {extractions.schema[c].dataType.simpleString()}" for c in through)
-    return rows.mapInArrow(_fold_part(len(through)), f"{schema}, {GATED}")
+    done = rows.mapInArrow(_fold_part, f"{schema}, folded string")
+    return done.select(*through, F.from_json("folded", GATED).alias("g")).select(*through, "g.*")

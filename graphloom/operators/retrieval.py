@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from graphloom.functions import text as tx
 
-CHUNKS, FACTS, CITATIONS, PARTS = 4, 12, 8, 16
+CHUNKS, CITATIONS, PARTS = 4, 8, 16
 DIMENSIONS = 384
 KEPT_TOKENS = 500_000  # tokens whose places a worker remembers
 HELD_GRAMS = 1_000_000  # n-grams of items that a broadcast may hold; beyond, a shuffle join
@@ -177,52 +177,6 @@ def containing(docs: DataFrame, items: DataFrame, n: int = 3) -> DataFrame:
     return near.unionByName(docs.crossJoin(F.broadcast(short)).filter(F.col("text").contains(F.col("item"))).select(*near.columns))
 
 
-def haystack() -> Column:
-    return F.lower(F.concat_ws(" ", "source_name", "target_name", "type", F.coalesce("evidence", F.lit(""))))
-
-
-def with_tokens(questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``questions`` (qid, question, any others) with ``tokens``: its words, and names of ``nodes`` (name) that it holds.
-
-    A name is looked up by its first character pair: questions are short, so their pairs are few.
-    """
-    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
-    q = questions.select("qid", "question", F.explode(F.array_distinct(F.array_union(pairs(F.col("question")), F.split("question", "")))).alias("head"))
-    n = nodes.filter(F.coalesce("name", F.lit("")) != "").select("name", F.substring("name", 1, 2).alias("head")).distinct()
-    held = q.join(n, "head").filter(F.col("question").contains(F.col("name"))).groupBy("qid").agg(F.collect_set("name").alias("names"))
-    none = F.array().cast("array<string>")
-    return questions.join(held, "qid", "left").withColumn("tokens", F.array_union(tx.question_tokens(F.col("question")), F.array_sort(F.coalesce("names", none)))).drop("names")
-
-
-def fact_score(question: Column, tokens: Column, hay: Column) -> Column:
-    """How well an edge (source_name, target_name, evidence, confidence, support_count) fits a question."""
-    named = question.contains(F.col("source_name")) | question.contains(F.col("target_name"))
-    words = F.aggregate(tokens, F.lit(0.0), lambda s, t: s + F.when(hay.contains(F.lower(t)), F.when(F.length(t) >= 3, 3.0).otherwise(1.0)).otherwise(0.0))
-    characters = F.array_distinct(F.regexp_extract_all(question, F.lit("[一-鿿]"), F.lit(0)))
-    # 0.2 is added one by one: multiplying rounds differently
-    total = F.aggregate(characters, F.when(named, 8.0).otherwise(0.0) + words, lambda s, c: s + F.when(hay.contains(c), 0.2).otherwise(0.0))
-    total = total + F.when(F.coalesce("evidence", F.lit("")) != "", 1.5).otherwise(0.0)
-    sure = F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(0.75))
-    return total * F.greatest(F.lit(0.1), F.least(sure, F.lit(1.0))) + F.least(F.coalesce(F.nullif(F.col("support_count"), F.lit(0)), F.lit(1)), F.lit(5)) * 0.4
-
-
-def top_facts(questions: DataFrame, edges: DataFrame, k: int = FACTS, nodes: DataFrame | None = None) -> DataFrame:
-    """(qid, the edge's columns, score, rank): each question's best edges.
-
-    ``questions`` (qid, question) are the stated query set: every task holds them, at most
-    ``HELD_QUESTIONS``, and each edge is scored for each, as every edge has some score.  ``nodes``
-    (name) are those whose names count as tokens; the edges' ends if not given.
-    """
-    names = nodes if nodes is not None else edges.select(F.col("source_name").alias("name")).union(edges.select("target_name"))
-    asked = with_tokens(questions.select("qid", "question"), names)
-    if asked.count() > HELD_QUESTIONS:
-        raise ValueError("score the questions in rounds")
-    pairs = edges.withColumn("hay", haystack()).crossJoin(F.broadcast(asked))
-    scored = pairs.withColumn("score", F.round(fact_score(F.col("question"), F.col("tokens"), F.col("hay")), 6)).drop("hay", "question", "tokens")
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("support_count"), F.desc(F.coalesce("confidence", F.lit(1.0))), "src_key", "type", "dst_key")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def fact_text(source: Column, kind: Column, target: Column, evidence: Column) -> Column:
     fact = F.concat(source, F.lit(" --"), kind, F.lit("--> "), target)
     return F.when(F.coalesce(evidence, F.lit("")) != "", F.concat(fact, F.lit("。证据："), evidence)).otherwise(fact)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions import text as tx
-from graphloom.operators import retrieval
+from graphloom.operators import facts, retrieval
 
 # What is said without a model.
 NOTHING_FOUND = "当前知识库没有检索到足够相关的资料。建议补充资料或换一种更具体的问法。"
@@ -63,7 +63,7 @@ def judged(record: Column, judge: Judge) -> Column:
     return run(record)
 
 
-def ask(questions: DataFrame, chunks: DataFrame, edges: DataFrame, k_chunks: int = retrieval.CHUNKS, k_facts: int = retrieval.FACTS, provider: AnswerProvider | None = None, nodes: DataFrame | None = None) -> DataFrame:
+def ask(questions: DataFrame, chunks: DataFrame, edges: DataFrame, k_chunks: int = retrieval.CHUNKS, k_facts: int = facts.K, provider: AnswerProvider | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(qid, context, n_parts, citations, and answer with a ``provider``) of questions (qid, question, vector).
 
     Chunks: id, vector, text, document, page, and source if there; edges: as a graph scan gives them,
@@ -72,11 +72,11 @@ def ask(questions: DataFrame, chunks: DataFrame, edges: DataFrame, k_chunks: int
     source = lambda df: F.col("source") if "source" in df.columns else F.lit(None).cast("string")
     cited = lambda df: df.withColumns({"cited": tx.document_of(F.col("document"), source(df)), "cited_page": tx.page_of(F.col("document"), F.col("page"), source(df))})
     near = cited(retrieval.top_chunks(questions, chunks, k_chunks).join(chunks.drop("vector"), "id"))
-    facts = cited(retrieval.top_facts(questions, edges, k_facts, nodes))
+    linked = cited(facts.top_facts(questions, edges, k_facts, nodes))
     hit = lambda df, kind: df.select("qid", F.lit(kind).alias("kind"), "rank", F.col("cited").alias("source"), F.col("cited_page").alias("page"))
-    hits = hit(near, 0).unionByName(hit(facts, 1))
+    hits = hit(near, 0).unionByName(hit(linked, 1))
     parts = near.select("qid", F.lit(0).alias("kind"), "rank", retrieval.chunk_part(F.col("cited"), F.col("cited_page"), F.col("text")).alias("text"))
-    parts = parts.unionByName(facts.select("qid", F.lit(1).alias("kind"), "rank", retrieval.fact_part(F.col("source_name"), F.col("type"), F.col("target_name"), F.col("evidence")).alias("text")))
+    parts = parts.unionByName(linked.select("qid", F.lit(1).alias("kind"), "rank", retrieval.fact_part(F.col("source_name"), F.col("type"), F.col("target_name"), F.col("evidence")).alias("text")))
     labels = retrieval.citations(hits).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda c: c["label"]).alias("citations"))
     out = retrieval.context(parts).join(labels, "qid", "left")
     if provider is None:

@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph
+from graphloom.sources.tables import scratch  # noqa: F401 - queries take their folders from here
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder of its own that the driver and all executors see."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = "file://" + tempfile.mkdtemp()
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def pages(spark: SparkSession, sf: str, gaps: bool = True) -> DataFrame:
     """Conversations as paged documents (doc, page, text); with ``gaps`` page numbers leap, so that documents have islands."""
     leap = F.floor((F.col("conv_id") % 5 + F.col("turn")) / 3) * 2 if gaps else F.lit(0)

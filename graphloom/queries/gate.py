@@ -14,6 +14,7 @@ from graphloom.plans import ingest
 from graphloom.plans.fixtures import read
 from graphloom.queries.sql import CHUNKS, KEY_CHARS
 from graphloom.registry import query
+from graphloom.sources.tables import spread
 
 WIDE = str.maketrans({chr(c): chr(c + 0xFEE0) for c in range(ord("a"), ord("z") + 1)})
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -21,7 +22,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 def extractions(spark, sf, source: str = "documents"):
     """(source, chunk, text, document, page, nodes, relationships): candidates of each chunk of the documents."""
-    docs = read(spark, sf, source).select(F.col("doc_id").cast("string").alias("source"), "text")
+    docs = spread(read(spark, sf, source).select(F.col("doc_id").cast("string").alias("source"), "text"))
     return candidates(chunking.split_text(docs)).withColumnRenamed("index", "chunk")
 
 
