@@ -21,8 +21,6 @@ from graphloom.sources.tables import written
 K = 12
 SEEDS = 2000  # postings of a question that are scored to find how good the best are
 MARGIN = 1e-5  # scores are rounded to six places
-HELD_CELLS = 500_000  # cells of questions that a broadcast may hold; beyond, a salted shuffle join
-SALTS = 16
 _WORD = r"(?U)[\p{L}\p{N}_]+"
 _NAMED = "\x00"  # before a name as a term: edges that have it as an end
 _ODD = "\x01"  # before a name without letters, looked for in the texts themselves
@@ -124,7 +122,7 @@ class FactIndex:
         tokens = wanted.select("token").distinct().filter(~F.col("token").startswith(_NAMED))
         pieces = F.regexp_extract_all("token", F.lit(_WORD), F.lit(0))
         longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("piece"))))["piece"]
-        tokens = written(tokens.withColumn("piece", longest), tag="tokens")
+        tokens = tokens.withColumn("piece", longest)
         words = self.counts.select("term").distinct().filter(~F.col("term").startswith(_NAMED)).select("term", F.col("term").alias("text"))
         held = matching.in_texts(words, matching.automata(tokens.select("piece"))).toDF("term", "piece")
         links = tokens.join(held, "piece").select("token", "term", (F.col("token") == F.col("piece")).alias("firm"))
@@ -167,11 +165,9 @@ class FactIndex:
     @staticmethod
     def _eids(asked: DataFrame, cells: DataFrame, postings: DataFrame) -> DataFrame:
         """(qid, eid) of cells (qid, token, level)."""
-        terms = written(asked.join(cells.select("token", "term", "level"), ["token", "level"]).select("qid", "term", "level").distinct(), tag="terms")
-        if terms.count() <= HELD_CELLS:
-            return postings.join(F.broadcast(terms), ["term", "level"]).select("qid", "eid").distinct()
-        salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return postings.withColumn("salt", F.pmod(F.col("eid"), F.lit(SALTS)).cast("int")).join(salted, ["term", "level", "salt"]).select("qid", "eid").distinct()
+        terms = asked.join(cells.select("token", "term", "level"), ["token", "level"]).select("qid", "term", "level").distinct()
+        # few cells are broadcast; else both sides are shuffled, and a term with many postings is split
+        return postings.join(terms, ["term", "level"]).select("qid", "eid").distinct()
 
     def _scored(self, pairs: DataFrame, asked: DataFrame) -> DataFrame:
         rows = pairs.join(self.facts, "eid").join(asked.select("qid", "question", "names", "tokens"), "qid")

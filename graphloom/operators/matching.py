@@ -43,14 +43,12 @@ def _build_part(batches):
 def automata(patterns: DataFrame, path: str | None = None) -> DataFrame:
     """(characters, automaton) of ``patterns``, one column of texts; stored, under ``path`` if given.
 
-    Null and empty patterns are none; repeated ones count once.  A task takes as many patterns as make
-    an automaton, whatever prefixes they share.
+    Null and empty patterns are none; repeated ones count once.  They are dealt by a hash, so those of
+    one prefix spread, and each task makes automata of as many as ``SHARD_CHARACTERS`` allow.
     """
     column = patterns.columns[0]
     rows = patterns.select(F.col(column).cast("string").alias("pattern")).filter("pattern <> ''").distinct()
-    size = rows.agg(F.sum(F.length("pattern"))).first()[0] or 0
-    dealt = rows.repartition(max(1, -(-size // SHARD_CHARACTERS)), F.xxhash64("pattern"))
-    return written(dealt.mapInArrow(_build_part, _BUILT), path, "automata")
+    return written(rows.mapInArrow(_build_part, _BUILT), path, "automata")
 
 
 def _rounds(rows: DataFrame, size: str, most: int):

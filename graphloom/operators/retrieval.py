@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions import text as tx
+from graphloom.functions.arrays import let
+from graphloom.operators import matching
+from graphloom.operators.vectors import unit
 
 CHUNKS, CITATIONS, PARTS = 4, 8, 16
 DIMENSIONS = 384
 KEPT_TOKENS = 500_000  # tokens whose places a worker remembers
 HELD_GRAMS = 1_000_000  # n-grams of items that a broadcast may hold; beyond, a shuffle join
-HELD_QUESTIONS = 100_000  # questions that are sent to all tasks; more are scored in rounds by the caller
+HELD_VALUES = 40_000_000  # numbers of questions' vectors that tasks hold at a time; more are scored in rounds
 
 
 def hash_tokens(text: str) -> list[str]:
@@ -93,27 +96,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _held(questions: DataFrame, columns: list[str]) -> Broadcast:
-    """The questions' columns, by ``qid``, as a broadcast; the query set is stated, and beyond a number it comes in rounds."""
-    rows = questions.select("qid", *columns).orderBy("qid").limit(HELD_QUESTIONS + 1).toPandas()
-    if len(rows) > HELD_QUESTIONS:
-        raise ValueError("score the questions in rounds")
-    return questions.sparkSession.sparkContext.broadcast(rows)
-
-
-def _unit(vectors) -> np.ndarray:
-    """Rows of unit length; zero vectors stay zero."""
-    x = np.asarray(vectors, np.float64)
-    n = np.sqrt((x * x).sum(1, keepdims=True))
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-
-
 def _near_part(held: Broadcast, k: int):
     def run(batches):
         asked = held.value
-        q, out = _unit(list(asked["vector"])), [[] for _ in range(len(asked))]
+        q, out = unit(list(asked["vector"])), [[] for _ in range(len(asked))]
         for frame in batches:
-            ids, x = frame["id"].to_numpy(), _unit(list(frame["vector"]))
+            if not len(frame):
+                continue
+            ids, x = frame["id"].to_numpy(), unit(list(frame["vector"]))
             for at in range(0, len(q), 1024):
                 scores = np.round(q[at : at + 1024] @ x.T, 6)
                 for i, row in enumerate(scores, at):
@@ -128,13 +118,22 @@ def _near_part(held: Broadcast, k: int):
 def top_chunks(questions: DataFrame, chunks: DataFrame, k: int = CHUNKS) -> DataFrame:
     """(qid, id, score, rank): each question's ``k`` nearest chunks by cosine to six places, ties by id.
 
-    ``questions`` (qid, vector) are the query set and are held by every task; chunks (id, vector)
-    stream past them as matrix products, and only each task's best move.
+    ``questions`` (qid, vector) are held by every task, in rounds of ``HELD_VALUES`` numbers; chunks
+    (id, vector) stream past them as matrix products, and only each task's best move.  ``vectors``
+    keeps an index for those that are asked often.
     """
     kind = lambda df, c: df.schema[c].dataType.simpleString()
-    if questions.isEmpty():
+    asked = questions.filter("vector is not null").select("qid", "vector")
+    values, found = asked.agg(F.sum(F.size("vector"))).first()[0] or 0, None
+    rounds = max(1, -(-values // HELD_VALUES))
+    for b in range(rounds):
+        rows = (asked if rounds == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == b)).toPandas()
+        if len(rows):
+            held = questions.sparkSession.sparkContext.broadcast(rows)
+            part = chunks.filter("vector is not null").select("id", "vector").mapInPandas(_near_part(held, k), f"qid {kind(questions, 'qid')}, id {kind(chunks, 'id')}, score double")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
         return questions.sparkSession.createDataFrame([], f"qid {kind(questions, 'qid')}, id {kind(chunks, 'id')}, score double, rank int")
-    found = chunks.filter("vector is not null").select("id", "vector").mapInPandas(_near_part(_held(questions, ["vector"]), k), f"qid {kind(questions, 'qid')}, id {kind(chunks, 'id')}, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -149,7 +148,8 @@ def _grams(words: Column, n: int) -> Column:
 
 def _met(docs: DataFrame, items: DataFrame, grams: DataFrame, n: int) -> DataFrame:
     """(doc_id, item_id): documents that hold one of the items' n-grams (gram, item_id); items are the smaller side."""
-    own = docs.select("doc_id", F.explode(F.when(F.size(_words(F.col("text"))) >= n, F.array_distinct(_grams(_words(F.col("text")), n))).otherwise(F.array().cast("array<bigint>"))).alias("gram"))
+    grams_of = let(_words(F.col("text")), lambda ws: F.when(F.size(ws) >= n, F.array_distinct(_grams(ws, n))).otherwise(F.array().cast("array<bigint>")))
+    own = docs.select("doc_id", F.explode(grams_of).alias("gram"))
     held = grams.count() <= HELD_GRAMS
     return own.join(F.broadcast(grams) if held else grams, "gram").select("doc_id", "item_id").distinct()
 
@@ -157,24 +157,17 @@ def _met(docs: DataFrame, items: DataFrame, grams: DataFrame, n: int) -> DataFra
 def sharing(docs: DataFrame, items: DataFrame, n: int = 5) -> DataFrame:
     """Pairs of documents (doc_id, text) and items (item_id, item) that share ``n`` words in a row."""
     words = _words(F.col("item"))
-    grams = items.filter(F.size(words) >= n).select("item_id", F.explode(F.array_distinct(_grams(words, n))).alias("gram"))
+    grams = items.filter(F.size(words) >= n).select("item_id", F.explode(let(words, lambda ws: F.array_distinct(_grams(ws, n)))).alias("gram"))
     return _met(docs, items, grams, n).join(docs, "doc_id").join(items, "item_id")
 
 
-def containing(docs: DataFrame, items: DataFrame, n: int = 3) -> DataFrame:
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs of documents (doc_id, text) and items (item_id, item) whose text holds the item's, letter by letter.
 
-    The words inside an item, without its first and last, which may be parts of longer words, are
-    whole words of the document: an item is looked for where its first ``n`` of them stand.  Items of
-    fewer words are looked for in every document; ``HELD_GRAMS`` bounds how many there may be.
+    Automata of the items read each text once.  Empty items, and nulls, are nowhere.
     """
-    words = _words(F.col("item"))
-    long = items.filter(F.size(words) >= n + 2).select("item_id", F.xxhash64(F.array_join(F.slice(words, 2, F.lit(n)), " ")).alias("gram"))
-    short = items.filter(F.size(words) < n + 2)
-    if short.count() > HELD_GRAMS:
-        raise ValueError("look for the short items in rounds")
-    near = _met(docs, items, long, n).join(docs, "doc_id").join(items, "item_id").filter(F.col("text").contains(F.col("item")))
-    return near.unionByName(docs.crossJoin(F.broadcast(short)).filter(F.col("text").contains(F.col("item"))).select(*near.columns))
+    found = matching.in_texts(docs.select("doc_id", "text"), matching.automata(items.select("item"))).toDF("doc_id", "item")
+    return found.join(items, "item").select("doc_id", "item_id")
 
 
 def fact_text(source: Column, kind: Column, target: Column, evidence: Column) -> Column:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import facts, matching
-from graphloom.plans.fixtures import read
+from graphloom.operators import facts, matching, vectors
+from graphloom.plans.fixtures import read, scratch
 from graphloom.registry import query
 
 SUPPLY = """WITH f AS (SELECT p_name AS s, s_name AS t, CASE WHEN p % 3 <> 0 THEN p_name || ' of type ' || p_type || ' by ' || s_name END AS ev, CASE WHEN p % 4 <> 0 THEN 0.6 + (p % 40) / 100.0 END::DOUBLE AS conf, n AS sup, 'p' || p AS sk, 's' || u AS tk FROM (SELECT l_partkey AS p, l_suppkey AS u, count(*) AS n FROM lineitem GROUP BY ALL) JOIN part ON p_partkey = p JOIN supplier ON s_suppkey = u),
@@ -47,3 +47,41 @@ def names_in_questions(spark, sf):
     both = orders.withColumn("other", F.col("o_orderkey") % 97 + 1).join(c.select(F.col("c_custkey").alias("other"), F.col("c_name").alias("b")), "other")
     asked = both.select("o_orderkey", F.concat(F.lit("Did "), "a", F.lit(" or "), "b", F.lit("1 order "), "o_orderpriority", F.lit("?")).alias("t"))
     return matching.in_few_texts(asked, matching.automata(c.select("c_name"))).toDF("o_orderkey", "name")
+
+
+def _asked(spark, sf):
+    return read(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+def _kept(spark, sf):
+    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+NEAR = "WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT qid, vec_id AS id, round(list_cosine_similarity(q, {vector}), 6) AS score FROM q, embeddings WHERE {where}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM d) SELECT qid, id, score, rank::INT AS rank FROM r WHERE rank <= 4"
+
+
+@query(NEAR.format(vector="embedding::DOUBLE[]", where="true"))
+def vector_index_topk(spark, sf):
+    """The stored index, made and asked."""
+    path = scratch(spark, "vector-index")
+    vectors.create(_kept(spark, sf), path)
+    return vectors.search(_asked(spark, sf), vectors.read(spark, path), 4)
+
+
+@query(NEAR.format(vector="CASE WHEN vec_id % 3 = 0 THEN list_transform(embedding, lambda x: -x::DOUBLE) ELSE embedding::DOUBLE[] END", where="vec_id % 7 <> 0"))
+def vector_index_refresh(spark, sf):
+    """A part is indexed first; then every third comes in, against its direction, and every seventh leaves."""
+    path, rows = scratch(spark, "vector-index"), _kept(spark, sf)
+    turned = rows.withColumn("vector", F.transform("vector", lambda x: -x.cast("double")))
+    vectors.create(rows.filter("id % 3 <> 0 or id % 2 = 0"), path)
+    vectors.refresh(turned.filter("id % 3 = 0 and id % 7 <> 0"), path, rows.filter("id % 7 = 0"))
+    return vectors.search(_asked(spark, sf), vectors.read(spark, path), 4)
+
+
+@query("SELECT vec_id AS qid, NULL::BIGINT AS id, NULL::DOUBLE AS score, NULL::INT AS rank, 'VectorRetriever 检索失败：' AS error FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_dropped(spark, sf):
+    """After the index is dropped each question gets an item that says so."""
+    path = scratch(spark, "vector-index")
+    vectors.create(_kept(spark, sf), path)
+    vectors.drop(spark, path)
+    return vectors.items(_asked(spark, sf), path, 4).withColumn("error", F.substring("error", 1, len(vectors.FAILED)))
