@@ -6,18 +6,19 @@ import json
 import re
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from graphloom.operators import chunking, graph, pages, quality, retrieval
-from graphloom.sources import files
+from graphloom.operators import chunking, graph, pages, quality, retrieval, vectors
+from graphloom.sources import files, tables
 
 WINDOW, OVERLAP = 20, 1
 ATTEMPTS, PREVIEW = 2, 1000
 NODES = "array<struct<name:string,label:string,description:string,aliases:array<string>>>"
 EDGES = "array<struct<source:string,type:string,target:string,evidence:string>>"
-EXTRACTED = f"source string, chunk int, nodes {NODES}, relationships {EDGES}, error string, preview string"
+FOUND = f"nodes {NODES}, relationships {EDGES}, error string, preview string"
+WORKERS, WAVE = 3, 10_000  # calls at a time in a task; chunks that are committed together
 
 
 # --- prepared texts
@@ -97,17 +98,63 @@ def extracted_one(text: str, provider: Extractor, repair: Repairer | None) -> tu
     return [], [], error, (content or "")[:PREVIEW]
 
 
-def extract(chunks: DataFrame, provider: Extractor, repair: Repairer | None = None) -> DataFrame:
-    """``chunks`` (source, index, text, any others) with nodes, relationships, and error and preview where no answer could be read."""
+def extract(chunks: DataFrame, provider: Extractor, repair: Repairer | None = None, workers: int = WORKERS) -> DataFrame:
+    """``chunks`` (source, index, text, any others) with nodes, relationships, and error and preview where no answer could be read.
 
-    def run(frames):
-        for frame in frames:
-            rows = [extracted_one(t or "", provider, repair) for t in frame["text"]]
-            yield pd.DataFrame({"source": frame["source"], "chunk": frame["chunk"], "text": frame["text"]} | {c: [r[i] for r in rows] for i, c in enumerate(("nodes", "relationships", "error", "preview"))})
+    The index is called chunk.  Each task asks ``workers`` at a time.  The provider is asked wherever
+    the result is read: to ask once, write it, as ``ExtractionLog`` does.
+    """
+    rows = chunks.withColumn("chunk", F.col("index").cast("int")).drop("index")
+    rows = rows.select("source", "chunk", "text", *(c for c in rows.columns if c not in ("source", "chunk", "text", "nodes", "relationships", "error", "preview")))
+    found = StructType.fromDDL(FOUND)
+    schema = StructType([*rows.schema.fields, *found.fields])
 
-    others = [c for c in chunks.columns if c not in ("source", "index", "text")]
-    found = chunks.select("source", F.col("index").alias("chunk"), "text").mapInPandas(run, EXTRACTED.replace("chunk int,", "chunk int, text string,"))
-    return found.join(chunks.select("source", F.col("index").alias("chunk"), *others), ["source", "chunk"]) if others else found
+    def run(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in found.fields]
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                answers = list(pool.map(lambda t: extracted_one(t or "", provider, repair), batch.column(2).to_pylist()))
+                columns = [pa.array([r[i] for r in answers], k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+class ExtractionLog:
+    """Extractions written before anything reads them: a model is asked once a chunk, whatever is made of its answers.
+
+    Chunks are asked in waves, each of which is committed whole; what a lost run has paid for is lost
+    with its last wave at most.  A chunk that is in the log, read or failed, is not asked again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame | None:
+        """(source, chunk, text, the chunks' other columns, nodes, relationships, error, preview), null before the first wave."""
+        return self.spark.read.parquet(self.path) if tables.exists(self.spark, self.path) else None
+
+    def add(self, chunks: DataFrame, provider: Extractor, repair: Repairer | None = None, wave: int = WAVE, workers: int = WORKERS) -> DataFrame:
+        """The log with all of ``chunks`` (source, index, text, any others), of which those it lacks are asked."""
+        held = self.read()
+        new = chunks if held is None else not_yet(chunks, held)
+        n = new.count()
+        waves = max(1, -(-n // wave))
+        for w in range(waves if n else 0):
+            # the log grows by each wave; a wave's chunks are told by a hash alone
+            part = chunks if waves == 1 else chunks.filter(F.pmod(F.xxhash64("source", "index"), F.lit(waves)) == w)
+            held = self.read()
+            part = part if held is None else not_yet(part, held)
+            extract(part.dropDuplicates(["source", "index"]), provider, repair, workers).write.mode("append").parquet(self.path)
+        if (done := self.read()) is None:
+            extract(chunks.limit(0), provider, repair, workers).write.parquet(self.path)
+            done = self.read()
+        return done
 
 
 def not_yet(chunks: DataFrame, log: DataFrame) -> DataFrame:
@@ -141,10 +188,14 @@ def graph_rows(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def build_graph(texts: DataFrame, provider: Extractor, repair: Repairer | None = None, log: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(log, nodes, edges) of texts (source, text): chunked, extracted unless the log has them, gated and folded with the log's."""
+def build_graph(texts: DataFrame, provider: Extractor, repair: Repairer | None = None, log: DataFrame | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(log, nodes, edges) of texts (source, text): chunked, extracted unless the log has them, gated and folded with the log's.
+
+    Extractions are written under ``path``, or a folder of their own, before they are read.
+    """
     chunks = chunking.split_text(texts)
-    new = log_of(extract(chunks if log is None else not_yet(chunks, log), provider, repair))
+    kept = ExtractionLog(texts.sparkSession, path or tables.scratch(texts.sparkSession, "extractions"))
+    new = log_of(kept.add(chunks if log is None else not_yet(chunks, log), provider, repair))
     whole = new if log is None else log.unionByName(new, allowMissingColumns=True)
     nodes, edges = graph_rows(whole)
     named = graph.upsert_nodes(nodes)
@@ -156,3 +207,25 @@ def build_vectors(texts: DataFrame, embedder: retrieval.Embedder | None = None)
     chunks = chunking.split_text(texts)
     kept, docs, links = graph.chunk_tables(chunks, "index")
     return kept.withColumn("vector", retrieval.embedding(F.col("text"), embedder)), docs, links
+
+
+def ingest_files(spark: SparkSession, path: str, out: str, provider: Extractor, repair: Repairer | None = None, embedder: retrieval.Embedder | None = None, wave: int = WAVE, workers: int = WORKERS, **reading) -> dict[str, str]:
+    """From the files under ``path`` to the graph and the vectors: where each of what ``out`` then holds stands.
+
+    ``texts``, ``extractions`` (paid once: a run that comes again asks for new chunks alone), ``log``,
+    ``nodes``, ``edges``, ``chunks``, ``documents``, ``links`` are tables, ``vectors`` is an index.
+    ``reading`` goes to ``prepare``.
+    """
+    at = {name: f"{out}/{name}" for name in ("texts", "extractions", "log", "nodes", "edges", "chunks", "documents", "links", "vectors")}
+    texts = tables.written(prepare(spark, path, **reading), at["texts"])
+    chunks = chunking.split_text(texts)
+    log = tables.written(log_of(ExtractionLog(spark, at["extractions"]).add(chunks, provider, repair, wave, workers)), at["log"])
+    nodes, edges = graph_rows(log)
+    named = tables.written(graph.upsert_nodes(nodes), at["nodes"])
+    tables.written(graph.attached(graph.upsert_edges(edges), named), at["edges"])
+    kept, documents, links = build_vectors(texts, embedder)
+    kept = tables.written(kept, at["chunks"])
+    tables.written(documents, at["documents"])
+    tables.written(links, at["links"])
+    vectors.refresh(kept.select("id", "vector"), at["vectors"])
+    return at
