@@ -69,5 +69,5 @@ def boundary_summary(audit: DataFrame) -> DataFrame:
     """Counts by status with bridge_rate and risk_rate, null without boundaries."""
     of = lambda s: F.coalesce(F.sum((F.col("status") == s).cast("int")), F.lit(0)).alias(s)
     sums = audit.agg(F.count(F.lit(1)).alias("boundaries"), of("ok"), of("warning"), of("fail"))
-    rate = lambda c: F.round(F.try_divide(c, F.col("boundaries")), 6)
+    rate = lambda c: F.bround(F.try_divide(c, F.col("boundaries")), 6)
     return sums.withColumn("bridge_rate", rate(F.col("ok"))).withColumn("risk_rate", rate(F.col("warning") + F.col("fail")))

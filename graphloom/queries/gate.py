@@ -202,3 +202,35 @@ def audit_merged_names(spark, sf):
 def evidence_rates(spark, sf):
     edges = audits.log_edges(_log(spark, sf))
     return evaluation.evidence_rates(edges.select("evidence", F.when(F.coalesce("text", F.lit("")) != "", quality.located(F.col("evidence"), F.col("text"))).alias("located")))
+
+
+_PAIRS = "list_transform(range(1, greatest(length({t}), 2)), lambda i: {t}[i:i + 1])"
+_NEAR = f"CASE WHEN 2 * least(length(e), length(s)) >= {tx.ALIKE}::DOUBLE * (length(e) + length(s)) THEN len(list_filter({_PAIRS.format(t='e')}, lambda p: list_contains({_PAIRS.format(t='s')}, p))) >= {1.5 * tx.ALIKE - 1!r}::DOUBLE * (length(e) + length(s)) - 1 ELSE false END"
+
+
+@query(f"WITH d AS (SELECT doc_id, {_KEY.format('left(text, 60)')} AS e, unnest(list_filter(list_transform(regexp_split_to_array(text, '[\n。！？!?；;]'), lambda x: {_KEY.format('x')}), lambda k: length(k) >= 8)) AS s FROM documents) SELECT doc_id, count(*)::BIGINT AS sentences, count(*) FILTER ({_NEAR})::BIGINT AS verified FROM d GROUP BY doc_id")
+def evidence_bounds(spark, sf):
+    """How many of a document's sentences may be like its first 60 characters: those alone are compared in Python."""
+    docs = spread(read(spark, sf, "documents").select("doc_id", "text"))
+    rows = docs.select("doc_id", tx._key(F.substring("text", 1, 60)).alias("key"), tx.segment_keys(F.col("text")).alias("segments")).filter(F.size("segments") > 0)
+    return rows.select("doc_id", F.size("segments").cast("long").alias("sentences"), F.size(tx.near_segments(F.col("key"), F.col("segments"))).cast("long").alias("verified"))
+
+
+@query(CHUNKS + ", x AS (SELECT doc_id::VARCHAR AS source, idx AS chunk, regexp_extract_all(lower(chunk), '[a-z]{4,}') AS ws FROM c) SELECT source, chunk, len(ws)::INT AS dropped_count, least(len(ws), 30)::INT AS kept, md5(array_to_string(list_transform(ws[1:30], lambda w: 'zz' || w || 'qq'), ',')) AS first_names FROM x")
+def gate_drop_cap(spark, sf):
+    """A candidate of no chunk for every word: all are counted, the first thirty are kept."""
+    docs = spread(read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
+    chunks = chunking.split_text(docs).withColumnRenamed("index", "chunk")
+    ws = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
+    none = F.lit(None).cast("array<string>").alias("aliases")
+    nodes = F.transform(ws, lambda w: F.struct(F.concat(F.lit("zz"), w, F.lit("qq")).alias("name"), F.lit("Risk").alias("label"), F.lit("").alias("description"), none))
+    rows = chunks.select("source", "chunk", "text", nodes.alias("nodes"), F.lit(None).cast(quality._RAW_EDGES).alias("relationships"))
+    found = quality.gate(rows)
+    return found.select("source", "chunk", "dropped_count", F.size("dropped").alias("kept"), F.md5(F.array_join(F.transform("dropped", lambda d: d["name"]), ",").cast("binary")).alias("first_names"))
+
+
+@query(GATE + "SELECT (SELECT count(*) FROM nodes)::BIGINT AS attempted, (SELECT count(*) FROM nodes WHERE support = 1)::BIGINT AS written")
+def write_refusals(spark, sf):
+    """As ``write_counts``, where nodes met more than once have lost their names."""
+    rows = ingest.graph_rows(_log(spark, sf))[0]
+    return graph.written(rows.withColumn("name", F.when(F.col("support_count") == 1, F.col("name"))), "label", "name")

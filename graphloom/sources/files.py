@@ -117,12 +117,12 @@ def read_documents(spark: SparkSession, path: str, extract: PageProvider | None
 
 def has_text(pages: DataFrame, key: str = "source", first: int = FIRST_PAGES, least: int = LEAST_TEXT) -> DataFrame:
     """(key, has_text): whether the first pages hold enough text."""
-    return pages.groupBy(key).agg((F.coalesce(F.sum(F.when(F.col("page") <= first, F.length(F.trim("text")))), F.lit(0)) >= least).alias("has_text"))
+    return pages.groupBy(key).agg((F.coalesce(F.sum(F.when(F.col("page") <= first, F.length(tx._strip(F.col("text"), r"\s")))), F.lit(0)) >= least).alias("has_text"))
 
 
 def joined_pages(pages: DataFrame, key: str = "source") -> DataFrame:
     """(key, text): the non-blank pages under ``[Page n]`` heads."""
-    own = F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("page", "text"))))
+    own = F.array_sort(F.collect_list(F.when(tx._strip(F.col("text"), r"\s") != "", F.struct("page", "text"))))
     parts = F.transform(own, lambda p: F.concat(F.lit("[Page "), p["page"].cast("string"), F.lit("]\n"), p["text"]))
     return pages.groupBy(key).agg(F.array_join(parts, "\n\n").alias("text"))
 
