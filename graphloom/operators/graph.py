@@ -50,14 +50,18 @@ def _in_order(state: State, key: Lists, columns: dict[str, str]) -> DataFrame:
     return state.rows.join(lists, list(key), "left").withColumns({n: F.coalesce(n, none) for n in columns.values()})
 
 
-def merged(a: State, b: State, key: Lists) -> State:
-    """Two states as one: least firsts, greatest bests, added support."""
+def merged_all(states: list[State], key: Lists) -> State:
+    """States as one: least firsts, greatest bests, added support."""
     how = lambda c: F.sum(c) if c == "support_count" else F.max(c) if c in ("best", "flags") else F.min(c)
-    rows = a.rows.unionByName(b.rows)
-    lists = a.lists.unionByName(b.lists).groupBy(*key, "which", "v").agg(F.min("at").alias("at"))
+    rows = reduce(DataFrame.unionByName, (s.rows for s in states))
+    lists = reduce(DataFrame.unionByName, (s.lists for s in states)).groupBy(*key, "which", "v").agg(F.min("at").alias("at"))
     return State(rows.groupBy(*key).agg(*(how(c).alias(c) for c in rows.columns if c not in key)), lists)
 
 
+def merged(a: State, b: State, key: Lists) -> State:
+    return merged_all([a, b], key)
+
+
 def node_state(rows: DataFrame) -> State:
     """Of rows (label, canonical_key, seq, name, description, aliases, support_count, source, document, page); those without label or name go."""
     rows = rows.filter((F.coalesce("label", F.lit("")) != "") & (F.coalesce("name", F.lit("")) != ""))
