@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,11 +46,14 @@ def list_files(spark: SparkSession, path: str, suffix: str | None = None) -> Dat
 
 
 def source_files(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
-    """``list_files`` of a folder, or of one file of it, by name; an error if there is none that is supported."""
+    """``list_files`` of a folder, or of one file of it, by name; an error if there is none that is supported.
+
+    In no order, as contents are not moved to sort them: ``source_names`` is sorted.
+    """
     if name and name.rsplit(".", 1)[-1].lower() not in SUFFIXES:
         raise ValueError(f"not supported: {name}")
     try:
-        rows = list_files(spark, f"{path.rstrip('/')}/{name}" if name else path).orderBy("path")
+        rows = list_files(spark, f"{path.rstrip('/')}/{name}" if name else path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -59,6 +63,11 @@ def source_files(spark: SparkSession, path: str, name: str | None = None) -> Dat
     return rows
 
 
+def source_names(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """(path, name, suffix) of ``source_files`` in the order of their paths; no contents are read."""
+    return source_files(spark, path, name).select("path", "name", "suffix").orderBy("path")
+
+
 def decoded(files: DataFrame) -> DataFrame:
     """(source, text) of text and markdown files; valid UTF-8 is decoded without Python."""
     rows = files.filter(F.col("suffix") != "pdf")
@@ -127,20 +136,32 @@ def joined_pages(pages: DataFrame, key: str = "source") -> DataFrame:
     return pages.groupBy(key).agg(F.array_join(parts, "\n\n").alias("text"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, number, line): the lines of text files with their numbers in them, as a reader from top to bottom counts.
+
+    Files are read in splits, so a file may be of any size.  A split's lines come in order in one task;
+    how many stand before it in its file is a sum over splits, of which there are few.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("spot"))
+    sizes = lines.groupBy("file", "block").agg(F.min("spot").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a split of a file: a broadcast of a row for each 128 MB that is read
+    starts = sizes.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    return lines.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("spot") + F.col("shift")).alias("number"), "line")
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str, numbered: str | None = None) -> DataFrame:
     """JSON lines; blank lines and those of ``#`` are skipped; a line that is no JSON is an error that says which.
 
-    ``numbered`` names an id column that defaults to q and the line's number in its file.  Only then,
-    and to name a bad line, is a file numbered, as one row.
+    ``numbered`` names an id column that defaults to q and the line's number in its file.
     """
-    lines = spark.read.format("text").option("wholetext", "true").load(path)
-    rows = lines.select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).filter((F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
-    bad = F.raise_error(F.concat(F.lit("invalid JSON at line "), (F.col("pos") + 1).cast("string")))
+    rows = numbered_lines(spark, path).filter((tx._strip(F.col("line"), r"\s") != "") & ~F.col("line").rlike(r"(?U)^\s*#"))
+    bad = F.raise_error(F.concat(F.lit("invalid JSON at line "), F.col("number").cast("string")))
     whole = F.when(F.try_parse_json("line").isNotNull(), F.from_json("line", schema)).otherwise(bad.cast(rows.select(F.from_json("line", schema).alias("r")).schema["r"].dataType))
-    parsed = rows.select("pos", whole.alias("r")).select("pos", "r.*")
+    parsed = rows.select("number", whole.alias("r")).select("number", "r.*")
     if numbered:
-        parsed = parsed.withColumn(numbered, F.coalesce(F.col(numbered), F.format_string("q%04d", F.col("pos") + 1)))
-    return parsed.drop("pos")
+        parsed = parsed.withColumn(numbered, F.coalesce(F.col(numbered), F.format_string("q%04d", F.col("number"))))
+    return parsed.drop("number")
 
 
 GOLD = "id string, source string, page string, entities string, expected_entities string, triples string, expected_triples string"
@@ -194,6 +215,16 @@ def load_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return spark.read.parquet(f"{path}/{run}/nodes"), spark.read.parquet(f"{path}/{run}/edges")
 
 
+def refreshed(spark: SparkSession, path: str, run: str, read: Callable[[], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame, str | None]:
+    """(nodes, edges, error): the graph that ``read`` gives, kept as a snapshot; where the source is down the latest one, and why."""
+    try:
+        snapshot(*read(), path, run)
+        error = None
+    except Exception as e:  # noqa: BLE001 - whatever fails at the source, the snapshot still serves
+        error = str(e).splitlines()[0] if str(e) else type(e).__name__
+    return *load_snapshot(spark, path), error
+
+
 def wide_metrics(metrics: DataFrame) -> DataFrame:
     """One row a question, one column a metric, for a CSV file."""
     return metrics.withColumn("name", F.concat_ws("@", "metric", F.col("k").cast("string"))).groupBy("qid").pivot("name").agg(F.first("value"))
