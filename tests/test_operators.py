@@ -214,7 +214,8 @@ def test_files(spark, tmp_path):
         files.source_files(spark, str(tmp_path), "missing.txt")
     with pytest.raises(ValueError, match="not supported"):
         files.source_files(spark, str(tmp_path), "c.csv")
-    assert [r["name"] for r in files.source_files(spark, str(tmp_path)).collect()] == ["a.TXT", "b.md"]
+    assert [r["name"] for r in files.source_names(spark, str(tmp_path)).collect()] == ["a.TXT", "b.md"]
+    assert {r["name"] for r in files.source_files(spark, str(tmp_path)).collect()} == {"a.TXT", "b.md"}
     (tmp_path / "only").mkdir()
     (tmp_path / "only" / "d.csv").write_text("no")
     with pytest.raises(FileNotFoundError):
