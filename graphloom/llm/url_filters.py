@@ -3,7 +3,8 @@
 Explicit rules judge the urls they fit; those verdicts are the labels.  FP-growth mines combinations
 of url tokens that imply ``block`` over all urls, of which those without a label count against a
 combination: its confidence is the share of all urls holding it that are labelled ``block``, so a
-combination that only says where the explicit rules look is none.  Rules of enough support (rows and
+combination that only says where the explicit rules look is none.  Tokens that the very same urls
+hold are mined as one.  Rules of enough support (rows and
 share) and confidence stay unless a shorter one does as well.  A url that no explicit rule fits is
 blocked if its tokens hold all those of a mined rule, found through an inverted index on each rule's
 rarest token.
@@ -78,18 +79,36 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(every)))
 
 
-def mine(urls: DataFrame) -> DataFrame:
-    """(items, key, confidence) that imply block, from rows (tokens, verdict or null); ``key`` is the rarest item."""
+def classes(urls: DataFrame, least: float) -> DataFrame:
+    """(item, rep, freq): items that at least ``least`` blocked urls hold; those that the very same urls hold are one class.
+
+    Items of a site's template always come together, and n of them make 2 to the n itemsets.  A class
+    is mined as its least item.  What urls hold an item is told by two sums of 64-bit hashes of their
+    token sets, on which membership depends alone.
+    """
+    digest = lambda seed: F.xxhash64(F.lit(seed), "tokens").cast("decimal(38,0)")
+    held = urls.select(F.explode("tokens").alias("item"), (F.coalesce("verdict", F.lit("")) == "block").cast("int").alias("b"), digest(1).alias("h1"), digest(2).alias("h2"))
+    often = held.groupBy("item").agg(F.count(F.lit(1)).alias("freq"), F.sum("b").alias("blocked"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).filter(F.col("blocked") >= least)
+    members = often.groupBy("freq", "blocked", "h1", "h2").agg(F.min("item").alias("rep"), F.collect_list("item").alias("items"))
+    return stored(members.select(F.explode("items").alias("item"), "rep", "freq"), "url-classes")
+
+
+def mine(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules (items, key, confidence) that imply block, from rows (tokens, verdict or null), and the classes that their items are.
+
+    ``key`` is the rarest item.
+    """
     n = urls.count()
     least = max(LEAST_ROWS, -(-MIN_SUPPORT * n // 1))
     # no rule of enough support holds an item that is blocked less often
-    often = stored(urls.select(F.explode("tokens").alias("item"), (F.coalesce("verdict", F.lit("")) == "block").cast("int").alias("b")).groupBy("item").agg(F.count(F.lit(1)).alias("freq"), F.sum("b").alias("blocked")).filter(F.col("blocked") >= least), "url-items")
+    alike = classes(urls, least)
     none = urls.sparkSession.createDataFrame([], "items array<string>, confidence double, key string")
-    if least > n or often.isEmpty():
-        return none
+    if least > n or alike.isEmpty():
+        return none, alike
+    often = alike.select(F.col("rep").alias("item"), "freq").distinct()
     known = often.agg(F.collect_set("item").alias("known"))  # at most 1 / MIN_SUPPORT times the items of a url
     marked = F.when(F.col("verdict") == "block", F.array(F.lit(VERDICT + "block"))).otherwise(F.array().cast("array<string>"))
-    items = urls.crossJoin(F.broadcast(known)).select(F.concat(F.array_intersect("tokens", "known"), marked).alias("items")).filter(F.size("items") > 0)
+    items = urls.join(F.broadcast(known), F.lit(True)).select(F.concat(F.array_intersect("tokens", "known"), marked).alias("items")).filter(F.size("items") > 0)
     partitions = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = items.count()
     model = FPGrowth(minSupport=min(1.0, (least - 0.5) / max(rows, 1)), minConfidence=MIN_CONFIDENCE, numPartitions=partitions).fit(items)
@@ -100,14 +119,19 @@ def mine(urls: DataFrame) -> DataFrame:
     beaten = shorter.join(found.select(F.col("items").alias("part"), F.col("confidence").alias("as_sure")), "part").filter("as_sure >= confidence").select("items").distinct()
     kept = found.join(beaten, "items", "left_anti")
     keyed = kept.select("items", "confidence", F.explode("items").alias("item")).join(often, "item")
-    return stored(keyed.groupBy("items", "confidence").agg(F.min(F.struct("freq", "item"))["item"].alias("key")), "url-kept")
+    return stored(keyed.groupBy("items", "confidence").agg(F.min(F.struct("freq", "item"))["item"].alias("key")), "url-kept"), alike
 
 
-def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct token sets (tokens) that hold all items of a rule."""
+def matched(sets: DataFrame, rules: DataFrame, alike: DataFrame) -> DataFrame:
+    """The distinct token sets (tokens) that hold an item of each class of a rule."""
+    if rules.isEmpty():
+        return sets.select("tokens").limit(0)
     held = F.broadcast(rules) if rules.count() <= HELD else rules
-    near = sets.select("tokens", F.explode("tokens").alias("key")).join(held, "key")
-    return near.filter(F.forall("items", lambda i: F.array_contains("tokens", i))).select("tokens").distinct()
+    links = alike.select(F.col("item").alias("token"), "rep")
+    links = F.broadcast(links) if links.count() <= HELD else links
+    reps = sets.select("tokens", F.explode("tokens").alias("token")).join(links, "token").groupBy("tokens").agg(F.collect_set("rep").alias("reps"))
+    near = reps.select("tokens", "reps", F.explode("reps").alias("key")).join(held, "key")
+    return near.filter(F.forall("items", lambda i: F.array_contains("reps", i))).select("tokens").distinct()
 
 
 def _judged(pages: DataFrame, rules) -> DataFrame:
@@ -129,7 +153,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """
     with scratch() as keep:
         judged = _judged(pages, rules)
-        blocked = stored(matched(judged.filter("verdict is null").select("tokens").distinct(), mine(judged)), "url-blocked").withColumn("mined", F.lit("block"))
+        blocked = stored(matched(judged.filter("verdict is null").select("tokens").distinct(), *mine(judged)), "url-blocked").withColumn("mined", F.lit("block"))
         blocked = F.broadcast(blocked) if blocked.count() <= HELD else blocked
         return keep(stored(judged.join(blocked, "tokens", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "mined", F.lit("allow")).alias("verdict")), "urls"))
 
@@ -139,7 +163,7 @@ def precision(pages: DataFrame, rules=RULES) -> tuple[int, int]:
     with scratch():
         judged = _judged(pages, rules)
         aside = F.pmod(F.xxhash64("tokens"), F.lit(5)) == 0
-        hits = matched(judged.filter(aside & F.col("verdict").isNotNull()).select("tokens").distinct(), mine(judged.filter(~aside)))
+        hits = matched(judged.filter(aside & F.col("verdict").isNotNull()).select("tokens").distinct(), *mine(judged.filter(~aside)))
         right = judged.filter(aside & F.col("verdict").isNotNull()).join(hits, "tokens", "left_semi").agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("verdict") == "block").cast("int")), F.lit(0))).first()
         return int(right[0]), int(right[1])
 

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -495,3 +496,18 @@ def test_the_pipeline_joins_pairs_of_four_fifths(spark):
     assert 0.80 <= len(one & two) / len(one | two) < 0.85
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, "").collect()] == [1]
+
+
+def test_urls_of_a_template_are_mined_in_bounded_time(spark):
+    """Thirty segments that always come together are one item; each would double the itemsets."""
+    template = "/".join(f"part{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(30))
+    urls = [(i, f"http://h{i}.net/es/{template}/{i}") for i in range(200)] + [(200 + i, f"http://h{i}.com/en/other/{i}") for i in range(200)] + [(400 + i, f"http://x{i}.org/{template}/q") for i in range(5)]
+    frame = spark.createDataFrame(urls, "page_id long, url string")
+    began = time.time()
+    got = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(frame).collect()}
+    assert time.time() - began < 60
+    assert {got[i] for i in range(200)} == {"block"} and {got[i] for i in range(200, 400)} == {"allow"}
+    # the template alone is blocked with 200 of 205, so it says the same of what no explicit rule fits
+    assert {got[i] for i in range(400, 405)} == {"block"}
+    hits, right = url_filters.precision(frame)
+    assert hits == right > 0
