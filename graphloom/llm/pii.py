@@ -3,14 +3,17 @@
 Every value that a base pattern finds is a protected entity.  All words of a text outside its base
 spans are context terms of the entities that the text holds.  With n(t, e) texts that hold term t
 and entity e, n(e) and n(t) texts that hold each and D texts, P(e | t) is taken as the lower
-confidence bound (Wilson) of n(t, e) / n(t), and a term's disclosure is its pointwise mutual
-information with e over the entity's own information content, over the whole corpus:
+confidence bound (Wilson) of n(t, e) / n(t).  A term discloses an entity if it leaves little to
+guess, and if the two do not meet by chance:
 
-    log2(P(e | t) * D / n(e)) / -log2(n(e) / D)
+    -log2 P(e | t)                         at most LEFT_BITS
+    n(t, e) * log2(P(e | t) * D / n(e))    at least CHANCE_BITS
 
-It nears 1 where the term names the entity for certain.  Terms that disclose any entity by
-``DISCLOSURE`` or more become spans of kind ``term`` wherever they stand, in any text: generalised
-when text is written out.  All counts are of distinct texts, so copied documents make no evidence.
+The first does not depend on the size of the corpus; the second is the evidence that all joint texts
+give together against independence, which only falls where an entity is everywhere.  A single joint
+text is none.  Disclosing terms become spans of kind ``term`` wherever they stand, in any text:
+generalised when text is written out.  All counts are of distinct texts, so copied documents make no
+evidence.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from graphloom.llm.common import scratch, stored, table
 KINDS = ("email", "ip", "card", "phone", "term")
 TAGS = {k: f"<{k.upper()}>" for k in KINDS}
 Z = 1.96  # of the confidence bound
-DISCLOSURE = 0.8
+LEFT_BITS = 1.6  # to guess an entity by a term: one of three
+CHANCE_BITS = 12  # of evidence that they belong together
+LEAST_JOINT = 2  # texts that hold both
 HELD_TERMS = 200_000  # terms, or copied texts, that a broadcast may hold; beyond, a shuffle join
 
 # The base patterns.  Possessive quantifiers and the looks behind change no match: they keep long
@@ -166,21 +171,21 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     members = stored(held.select("h", F.explode("spans.value").alias("entity")).distinct(), "pii-members")
     # entities of the same texts have the same counts with every term: one of them stands for all
     alike = members.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.expr("bit_xor(h)").alias("x"), F.expr("bit_xor(xxhash64(h, 1))").alias("y"))
-    alike = stored(members.join(alike, "entity").select("n_e", "x", "y", "h").distinct(), "pii-alike")
+    alike = stored(members.join(alike.filter(F.col("n_e") >= LEAST_JOINT), "entity").select("n_e", "x", "y", "h").distinct(), "pii-alike")
     largest = alike.agg(F.max("n_e")).first()[0]
     if largest is None:
         return found.sparkSession.createDataFrame([], "term string")
     # P(e | t) is at most n(e) / n(t), so a term in more texts than this discloses nothing
-    most = lambda n: F.pow(n, F.lit(DISCLOSURE)) * total ** (1 - DISCLOSURE) * (1 + 1e-9)
+    most = lambda n: n * 2**LEFT_BITS * (1 + 1e-9)
     copied = texts.filter("copies > 1").select("h", F.col("h").alias("copy"))
     words = found.join(_bounded(copied), "h", "left").select("copy", F.explode(_terms(F.col("text"), F.col("spans"))).alias("term"))
     n_t = words.groupBy("term", "copy").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
     near = held.select("h", F.explode(_terms(F.col("text"), F.col("spans"))).alias("term")).distinct()
-    near = near.join(n_t.filter(F.col("n_t") <= most(F.lit(float(largest)))), "term")
+    near = near.join(n_t.filter(F.col("n_t").between(LEAST_JOINT, most(F.lit(float(largest))))), "term")
     pairs = near.join(alike, "h").filter(F.col("n_t") <= most(F.col("n_e"))).groupBy("n_e", "x", "y", "term", "n_t").agg(F.count(F.lit(1)).alias("n_te"))
-    own = F.log2(F.lit(total) / F.col("n_e"))
-    pairs = pairs.withColumn("disclosure", F.when(own > 0, 1 + F.log2(surely("n_te", "n_t")) / own).otherwise(0.0))
-    return pairs.filter(F.col("disclosure") >= DISCLOSURE).select("term").distinct()
+    sure = surely("n_te", "n_t")
+    chance = F.col("n_te") * F.log2(sure * F.lit(total) / F.col("n_e"))
+    return pairs.filter((F.col("n_te") >= LEAST_JOINT) & (-F.log2(sure) <= LEFT_BITS) & (chance >= CHANCE_BITS)).select("term").distinct()
 
 
 def surely(k: str, n: str) -> Column:

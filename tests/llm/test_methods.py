@@ -8,11 +8,12 @@ import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
-from math import log10
+from math import log2, log10
 
 import duckdb
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -408,12 +409,42 @@ def test_terms_go_wherever_they_stand(spark):
     assert got[50] == "term:5:13" and got[3] == f"email:7:22,term:{at}:{at + 8}" and not got[103]
 
 
-def test_an_entity_met_once_is_scored_and_copies_are_no_evidence(spark):
+def test_one_joint_text_and_copies_are_no_evidence(spark):
     docs = [(i, f"plain common text item {i}") for i in range(4000)]
     docs += [(9000, "plain Zorblatt wrote a@b.org")] + [(10_000 + i, "common vexilla c@d.org text") for i in range(300)]
+    docs += [(9100 + i, f"plain quandor wrote e@f.org item {i}") for i in range(2)]
     got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert "term:6:14" in got[9000].split(",") and "term:0:5" not in got[9000].split(",")
-    assert "term:7:14" in got[10_007].split(",") and not got[7]
+    assert got[9000] == "email:21:28" and got[10_007] == "email:15:22" and not got[7]
+    assert got[9101].startswith("term:6:13,email:20:27")
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_term_spans_are_the_formula_over_all_pairs(spark, sf):
+    """At either size: counts over all distinct texts, by loops.  Words only met beside one entity by chance stay."""
+    rows = duckdb.connect().execute(f"select doc_id, text from '/root/testdata/{sf}/documents.parquet'").fetchall()
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("term")] for r in pii.find(table(spark, f"/root/testdata/{sf}", "documents")).collect()}
+    n_t, n_e, n_te, words_of = Counter(), Counter(), Counter(), {}
+    for text in {t for _, t in rows}:
+        spans = [s.split(":") for s in base_spans(text).split(",") if s]
+        blank = list(text)
+        for _, a, b in spans:
+            blank[int(a) : int(b)] = " " * (int(b) - int(a))
+        words_of[text] = [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(r"\p{L}+", "".join(blank))]
+        terms, entities = {w for _, _, w in words_of[text]}, {text[int(a) : int(b)] for _, a, b in spans}
+        n_t.update(terms)
+        n_e.update(entities)
+        n_te.update((t, e) for t in terms for e in entities)
+    chosen = set()
+    for (t, e), k in n_te.items():
+        n, z = n_t[t], 1.96
+        p = (k + z * z / 2 - z * (k * (n - k) / n + z * z / 4) ** 0.5) / (n + z * z)
+        if k >= 2 and -log2(p) <= pii.LEFT_BITS and k * log2(p * len(words_of) / n_e[e]) >= pii.CHANCE_BITS:
+            chosen.add(t)
+    for i, text in rows:
+        assert got[i] == [f"term:{a}:{b}" for a, b, w in words_of[text] if w in chosen]
+    share = sum(map(len, got.values())) / sum(len(words_of[t]) for _, t in rows)
+    print(f"{sf}: {len(chosen)} terms, {share:.4%} of words")
+    assert share < 0.02
 
 
 def test_planted_terms_are_found_and_little_else(spark):
