@@ -9,7 +9,7 @@ from graphloom.operators import chunking, evaluation, facts, graph, quality, ret
 from graphloom.operators import pages as paging
 from graphloom.plans import answers, fixtures
 from graphloom.plans.fixtures import read
-from graphloom.queries import evaluating, gate, ingesting, searching, texts  # noqa: F401 - they register their queries
+from graphloom.queries import evaluating, gate, ingesting, reading, searching, texts  # noqa: F401 - they register their queries
 from graphloom.queries.sql import CHUNKS, CLEAN, KEY_CHARS
 from graphloom.registry import QUERIES, SQL, query
 from graphloom.sources.tables import spread
@@ -238,6 +238,18 @@ def node_upsert(spark, sf):
     return nodes.select("canonical_key", "name", F.coalesce("description", F.lit("")).alias("description"), "source", "first_page", "support_count", F.array_join("aliases", ",").alias("aliases"))
 
 
+@query("SELECT 'nodes' AS kind, count(*)::BIGINT AS attempted, count(*) FILTER (o_orderkey % 4 = 0)::BIGINT AS refused, (count(*) FILTER (o_orderkey % 4 <> 0) - count(DISTINCT o_custkey) FILTER (o_orderkey % 4 <> 0))::BIGINT AS merged, (count(DISTINCT o_custkey) FILTER (o_orderkey % 4 <> 0))::BIGINT AS written FROM orders UNION ALL SELECT 'edges', count(*), count(*) FILTER (l_quantity > 40), count(*) FILTER (l_quantity <= 40) - count(DISTINCT (l_suppkey, l_partkey)) FILTER (l_quantity <= 40), count(DISTINCT (l_suppkey, l_partkey)) FILTER (l_quantity <= 40) FROM lineitem")
+def counted_writes(spark, sf):
+    """Mentions written once, of which some lack a name or an end: what the writing jobs saw."""
+    nodes = fixtures.customer_rows(spark, sf).withColumn("name", F.when(F.col("seq") % 4 != 0, F.col("name")))
+    edges = fixtures.edge_rows(spark, sf)
+    lines = read(spark, sf, "lineitem").filter("l_quantity > 40").select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("seq"), F.lit(True).alias("gone")).distinct()
+    edges = edges.join(lines, "seq", "left").withColumn("dst_key", F.when(F.col("gone").isNull(), F.col("dst_key"))).drop("gone")
+    out = fixtures.scratch(spark, "counted")
+    rows = [{"kind": kind} | graph.write_counted(mentions, f"{out}/{kind}", kind) for kind, mentions in (("nodes", nodes), ("edges", edges))]
+    return spark.createDataFrame(rows, "kind string, attempted long, refused long, merged long, written long")
+
+
 @query(EDGE_ROWS + ", g AS (SELECT src_key, dst_key, max(confidence) AS confidence, count(*) AS support_count FROM e GROUP BY ALL) SELECT s_name AS source_name, p_name AS target_name, confidence, support_count::BIGINT AS support_count FROM g JOIN supplier ON src_key = 's' || s_suppkey JOIN part ON dst_key = 'p' || p_partkey WHERE coalesce(confidence, 1.0) >= 0.9")
 def edge_scan(spark, sf):
     return graph.scan(fixtures.edges(spark, sf), graph.upsert_nodes(fixtures.node_rows(spark, sf)), 0.9).select("source_name", "target_name", "confidence", "support_count")

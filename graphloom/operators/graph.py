@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 NODE_KEY = ("label", "canonical_key")
@@ -125,6 +125,30 @@ def written(rows: DataFrame, *ends: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("attempted"), F.coalesce(F.sum(given.cast("long")), F.lit(0)).alias("written"))
 
 
+def write_counted(mentions: DataFrame, path: str, kind: str) -> dict[str, int]:
+    """Nodes or edges of their mentions, written to ``path``, and what one job saw of them.
+
+    ``attempted`` mentions came, ``refused`` lacked what they need, ``merged`` met one that was there,
+    ``written`` rows stand.  The counts are observed while the rows pass: nothing is read twice.
+    """
+    needs, upsert = {"nodes": (("label", "name"), upsert_nodes), "edges": (EDGE_KEY, upsert_edges)}[kind]
+    given = reduce(lambda a, c: a & (F.coalesce(c, F.lit("")) != ""), needs, F.lit(True))
+    came, stand = Observation(), Observation()
+    seen = mentions.observe(came, F.count(F.lit(1)).alias("attempted"), F.count(F.when(given, 1)).alias("given"))
+    upsert(seen.filter(given)).observe(stand, F.count(F.lit(1)).alias("written")).write.mode("overwrite").parquet(path)
+    attempted, kept, written_ = came.get["attempted"], came.get["given"], stand.get["written"]
+    return {"attempted": attempted, "refused": attempted - kept, "merged": kept - written_, "written": written_}
+
+
+def write_unique(rows: DataFrame, path: str, *key: str) -> None:
+    """Writes ``rows`` unless two have the same ``key``: then the job fails, names one, and nothing is there."""
+    rest = [c for c in rows.columns if c not in key]
+    name = F.concat_ws(", ", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in key))
+    one = rows.groupBy(*key).agg(F.first(F.struct(*rest)).alias("r"), F.count(F.lit(1)).alias("n"))
+    kept = F.when(F.col("n") == 1, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("key is there more than once: "), name)).cast(one.schema["r"].dataType))
+    one.select(*key, kept.alias("r")).select(*key, *(f"r.{c}" for c in rest)).write.mode("errorifexists").parquet(path)
+
+
 def chunk_tables(chunks: DataFrame, *order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, documents, links): chunk rows by id (``source::index``), the last by ``order`` counts; documents by id; which chunk is of which."""
     rows = chunks.withColumn("id", F.concat_ws("::", "source", F.col("index").cast("string"))).withColumn("seq", F.struct(*order))

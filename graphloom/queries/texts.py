@@ -41,18 +41,32 @@ def work_items(spark, sf):
     return ingest.work_items(rows, 3, 1)
 
 
-@query("SELECT conv_id::VARCHAR AS document, (turn + 1)::INT AS page, (turn + 2)::INT AS next_page FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1)")
+_COMPACT = r"regexp_replace(regexp_replace({}, '(?m)^\s*===== PAGE \s*\d+\s*(=====\s*)?$', '', 'g'), '\s+', '', 'g')"
+# pages joined under their markers, cut into chunks, each of which knows its pages
+AUDITED = rf"""WITH t AS (SELECT conv_id::VARCHAR AS document, (turn + 1)::INT AS page, text, '===== PAGE ' || (turn + 1) || ' =====' || chr(10) || text AS part FROM conversations),
+ s AS (SELECT document, page, sum(length(part) + 2) OVER (PARTITION BY document ORDER BY page) - length(part) - 2 AS start, length(part) AS len, max(page) OVER (PARTITION BY document) AS last FROM t),
+ e AS (SELECT document, page, CASE WHEN page = 1 THEN start ELSE start - 1 END AS a, start + len + (page < last)::INT AS z FROM s),
+ d AS (SELECT document, string_agg(part, chr(10) || chr(10) ORDER BY page) AS body FROM t GROUP BY document),
+ c AS (SELECT document, i, (i - 1) * 2350 AS a, least((i - 1) * 2350 + 2600, length(body)) AS z, {_COMPACT.format('substring(body, ((i - 1) * 2350 + 1)::BIGINT, 2600)')} AS held FROM (SELECT *, unnest(generate_series(1, CASE WHEN length(body) <= 2600 THEN 1 ELSE CAST(ceil((length(body) - 2600) / 2350.0) AS INT) + 1 END)) AS i FROM d)),
+ r AS (SELECT c.document, c.i, any_value(held) AS held, min(page) AS page_start, max(page) AS page_end FROM c JOIN e ON e.document = c.document AND e.a < c.z AND e.z > c.a GROUP BY c.document, c.i),
+ b AS (SELECT t.document, t.page, n.page AS next_page, right({_COMPACT.format('t.text')}, 24) AS tail, left({_COMPACT.format('n.text')}, 24) AS head FROM t JOIN t n ON n.document = t.document AND n.page = t.page + 1),
+ f AS (SELECT b.document, b.page, b.next_page, count(held)::BIGINT AS covering, coalesce(sum((contains(held, tail) AND contains(held, head))::INT), 0)::BIGINT AS holding FROM b LEFT JOIN r ON r.document = b.document AND page_start <= b.page AND page_end >= b.next_page GROUP BY ALL)
+SELECT *, CASE WHEN holding > 0 THEN 'ok' WHEN covering > 0 THEN 'warning' ELSE 'fail' END AS status FROM f"""
+_AUDIT = ("document", "page", "next_page", "covering", "holding", "status")
+
+
+@query(AUDITED)
 def page_file_boundaries(spark, sf):
-    """Page files ``name_page_N.txt`` of a document are joined again; all their boundaries are audited."""
+    """Page files ``name_page_N.txt`` of a document are joined again; their boundaries are held against its chunks."""
     rows = fixtures.pages(spark, sf, False).select(F.format_string("%d_page_%d.txt", "doc", "page").alias("source"), "text")
-    return audits.audit_page_files(rows).select("document", "page", "next_page")
+    return audits.audit_page_files(rows).select(*_AUDIT)
 
 
-@query("SELECT conv_id::VARCHAR AS document, (turn + 1)::INT AS page FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1)")
+@query(AUDITED)
 def marked_boundaries(spark, sf):
-    """Marked pages inside documents: the boundaries that the audit looks at."""
+    """Marked pages inside documents: their boundaries against the documents' chunks."""
     rows = fixtures.paged_text(spark, sf).select(F.col("doc").cast("string").alias("source"), "text")
-    return audits.audit_documents(rows).select("document", "page")
+    return audits.audit_documents(rows).select(*_AUDIT)
 
 
 # --- records: JSON of several shapes made of each row, and what it stands for
