@@ -290,3 +290,16 @@ def test_stream_windows(spark, tmp_path):
     query.awaitTermination()
     got = sorted((r["first"], r["last"]) for r in spark.table("w").collect())
     assert got == [(1, 2), (2, 3), (3, 3), (5, 6), (6, 6)]
+
+
+def test_writes_count_what_they_see_and_refuse_equal_keys(spark, tmp_path):
+    schema = "label string, canonical_key string, seq long, name string, description string, aliases array<string>, support_count int, source string, document string, page string"
+    rows = [("A", f"k{i % 3}", i, "n" if i % 5 else None, "", None, 1, "s", "d", None) for i in range(20)] + [("", "x", 99, "n", "", None, 1, "s", "d", None)]
+    got = graph.write_counted(spark.createDataFrame(rows, schema).repartition(4), str(tmp_path / "n"), "nodes")
+    assert got == {"attempted": 21, "refused": 5, "merged": 13, "written": 3} and spark.read.parquet(str(tmp_path / "n")).count() == 3
+    pairs = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), (None, 1, "z")], "k string, n int, v string")
+    graph.write_unique(pairs, str(tmp_path / "u"), "k", "n")
+    assert spark.read.parquet(str(tmp_path / "u")).count() == 3
+    with pytest.raises(Exception, match="more than once: a, 1"):
+        graph.write_unique(pairs.unionByName(pairs.limit(1)), str(tmp_path / "v"), "k", "n")
+    assert not (tmp_path / "v" / "_SUCCESS").exists()
