@@ -203,13 +203,13 @@ def json_salvage(spark, sf):
 
 @query("SELECT lang, count(*)::BIGINT AS tokens, count(DISTINCT t)::BIGINT AS vocabulary FROM (SELECT lang, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS t FROM documents) GROUP BY lang")
 def token_bag(spark, sf):
-    rows = read(spark, sf, "documents").select("lang", F.explode(tx.question_tokens(F.col("text"))).alias("t"))
+    rows = spread(read(spark, sf, "documents").select("lang", "text")).select("lang", F.explode(tx.question_tokens(F.col("text"))).alias("t"))
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("t").alias("vocabulary"))
 
 
 @query(r"SELECT doc_id, count(*)::BIGINT AS sentences, max(length(s))::INT AS longest FROM (SELECT doc_id, regexp_replace(unnest(regexp_split_to_array(text, '[\n。！？!?；;]')), '^\s+|\s+$', '', 'g') AS s FROM documents) WHERE s <> '' GROUP BY doc_id")
 def sentence_split(spark, sf):
-    rows = read(spark, sf, "documents").select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("s"))
+    rows = spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("s"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.max(F.length("s")).alias("longest"))
 
 
@@ -273,7 +273,7 @@ MERGE = "WITH e AS (SELECT l_orderkey % 500 AS chunk, l_suppkey % 5 AS source_ke
 
 @query(MERGE + "SELECT f.chunk, f.source_key::VARCHAR AS source_key, f.target_key::VARCHAR AS target_key, f.best AS confidence, (f.n - f.at + 1)::INT AS support_count, 'order ' || e.l_orderkey AS evidence FROM f JOIN e ON e.chunk = f.chunk AND e.source_key = f.source_key AND e.target_key = f.target_key AND e.pos = f.at")
 def edge_merge_chunk(spark, sf):
-    rows = read(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("chunk"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("pos"), (F.col("l_suppkey") % 5).cast("string").alias("source_key"), F.lit("PRODUCES").alias("type"), (F.col("l_partkey") % 5).cast("string").alias("target_key"), F.round(1 - F.col("l_discount") * 3, 3).alias("confidence"), F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("evidence"))
+    rows = spread(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_discount")).select((F.col("l_orderkey") % 500).alias("chunk"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("pos"), (F.col("l_suppkey") % 5).cast("string").alias("source_key"), F.lit("PRODUCES").alias("type"), (F.col("l_partkey") % 5).cast("string").alias("target_key"), F.round(1 - F.col("l_discount") * 3, 3).alias("confidence"), F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("evidence"))
     return quality.merged_edges(rows, "chunk").select("chunk", "source_key", "target_key", "confidence", "support_count", "evidence")
 
 
@@ -426,7 +426,7 @@ def pdf_has_text(spark, sf):
 @query("SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)")
 def benchmark_containment(spark, sf):
     b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    return retrieval.containing(read(spark, sf, "documents").select("doc_id", "text"), b).select("item_id", "doc_id")
+    return retrieval.containing(spread(read(spark, sf, "documents").select("doc_id", "text")), b).select("item_id", "doc_id")
 
 
 @query("SELECT '| ' || r_regionkey || ' | ' || r_name || ' | ' || printf('%.4f', r_regionkey / 3.0) || ' | - |' AS line FROM region")
@@ -445,7 +445,7 @@ def hash_embedding(spark, sf):
 def fuzzy_evidence(spark, sf):
     """Which documents hold each benchmark item as evidence, literally or alike, of those that share five words in a row with it."""
     b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    pairs = retrieval.sharing(read(spark, sf, "documents").select("doc_id", "text"), b)
+    pairs = retrieval.sharing(spread(read(spark, sf, "documents").select("doc_id", "text")), b)
     return pairs.select("doc_id", "item_id", quality.located(tx.clean_evidence(F.col("item")), F.col("text")).alias("located"))
 
 

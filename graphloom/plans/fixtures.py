@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph
-from graphloom.sources.tables import scratch  # noqa: F401 - queries take their folders from here
+from graphloom.sources.tables import scratch, spread  # noqa: F401 - queries take their folders from here
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,7 +16,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def pages(spark: SparkSession, sf: str, gaps: bool = True) -> DataFrame:
     """Conversations as paged documents (doc, page, text); with ``gaps`` page numbers leap, so that documents have islands."""
     leap = F.floor((F.col("conv_id") % 5 + F.col("turn")) / 3) * 2 if gaps else F.lit(0)
-    return read(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), (F.col("turn") + 1 + leap).cast("int").alias("page"), "text")
+    return spread(read(spark, sf, "conversations").select("conv_id", "turn", "text")).select(F.col("conv_id").alias("doc"), (F.col("turn") + 1 + leap).cast("int").alias("page"), "text")
 
 
 def paged_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,7 +29,8 @@ def paged_text(spark: SparkSession, sf: str) -> DataFrame:
 def edge_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as mentions that a supplier produces a part, with ``seq`` as their order."""
     seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return read(spark, sf, "lineitem").select(
+    lines = spread(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_discount", "l_returnflag"))
+    return lines.select(
         F.lit("Unit").alias("src_label"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src_key"), F.lit("PRODUCES").alias("type"), F.lit("Product").alias("dst_label"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst_key"), seq.alias("seq"),
         F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("evidence"), F.round(1 - F.col("l_discount") * 3, 3).alias("confidence"), F.concat(F.lit("doc"), (F.col("l_orderkey") % 7).cast("string")).alias("document"), (F.col("l_orderkey") % 50 + 1).cast("int").alias("page_start"), (F.col("l_orderkey") % 50 + 1).cast("int").alias("page_end"), (F.col("l_orderkey") % 50 + 1).cast("string").alias("page"), F.col("l_linenumber").cast("int").alias("chunk_index"), F.concat_ws("#", (F.col("l_orderkey") % 7).cast("string"), F.col("l_linenumber").cast("string")).alias("source_ref"),
         F.array(F.col("l_returnflag")).alias("quality_flags"), F.lit(1).alias("support_count"), F.concat(F.lit("src"), (F.col("l_orderkey") % 7).cast("string")).alias("source"),
@@ -50,7 +51,7 @@ def node_rows(spark: SparkSession, sf: str) -> DataFrame:
 def customer_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as mentions of their customers."""
     key = F.col("o_orderkey")
-    return read(spark, sf, "orders").select(
+    return spread(read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")).select(
         F.lit("Company").alias("label"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("canonical_key"), key.alias("seq"), F.concat(F.lit("Customer "), F.col("o_orderpriority")).alias("name"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).otherwise("").alias("description"), F.array("o_orderpriority").alias("aliases"), F.lit(1).alias("support_count"),
         F.concat(F.lit("src"), (key % 7).cast("string")).alias("source"), F.lit("orders").alias("document"), F.when(key % 3 != 0, (key % 50).cast("string")).alias("page"),
     )
