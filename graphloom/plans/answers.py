@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions import text as tx
-from graphloom.operators import facts, retrieval
+from graphloom.operators import facts, retrieval, vectors
 
 # What is said without a model.
 NOTHING_FOUND = "当前知识库没有检索到足够相关的资料。建议补充资料或换一种更具体的问法。"
@@ -63,15 +63,19 @@ def judged(record: Column, judge: Judge) -> Column:
     return run(record)
 
 
-def ask(questions: DataFrame, chunks: DataFrame, edges: DataFrame, k_chunks: int = retrieval.CHUNKS, k_facts: int = facts.K, provider: AnswerProvider | None = None, nodes: DataFrame | None = None) -> DataFrame:
+def ask(questions: DataFrame, chunks: DataFrame, edges: DataFrame, k_chunks: int = retrieval.CHUNKS, k_facts: int = facts.K, provider: AnswerProvider | None = None, nodes: DataFrame | None = None, index: str | None = None) -> DataFrame:
     """(qid, context, n_parts, citations, and answer with a ``provider``) of questions (qid, question, vector).
 
     Chunks: id, vector, text, document, page, and source if there; edges: as a graph scan gives them,
-    with document and page, and source.  A hit without document is cited by its source.
+    with document and page, and source.  A hit without document is cited by its source.  ``index`` is
+    where the chunks' stored vectors are; without it their own are compared.  If it cannot be read,
+    answers go on with facts alone, and ``error`` says why.
     """
     source = lambda df: F.col("source") if "source" in df.columns else F.lit(None).cast("string")
     cited = lambda df: df.withColumns({"cited": tx.document_of(F.col("document"), source(df)), "cited_page": tx.page_of(F.col("document"), F.col("page"), source(df))})
-    near = cited(retrieval.top_chunks(questions, chunks, k_chunks).join(chunks.drop("vector"), "id"))
+    found = retrieval.top_chunks(questions, chunks, k_chunks) if index is None else vectors.items(questions, index, k_chunks)
+    hits_ = found if index is None else found.filter("error is null").drop("error")
+    near = cited(hits_.join(chunks.drop("vector"), "id"))
     linked = cited(facts.top_facts(questions, edges, k_facts, nodes))
     hit = lambda df, kind: df.select("qid", F.lit(kind).alias("kind"), "rank", F.col("cited").alias("source"), F.col("cited_page").alias("page"))
     hits = hit(near, 0).unionByName(hit(linked, 1))
@@ -79,6 +83,8 @@ def ask(questions: DataFrame, chunks: DataFrame, edges: DataFrame, k_chunks: int
     parts = parts.unionByName(linked.select("qid", F.lit(1).alias("kind"), "rank", retrieval.fact_part(F.col("source_name"), F.col("type"), F.col("target_name"), F.col("evidence")).alias("text")))
     labels = retrieval.citations(hits).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda c: c["label"]).alias("citations"))
     out = retrieval.context(parts).join(labels, "qid", "left")
+    if index is not None:
+        out = out.join(found.filter("error is not null").groupBy("qid").agg(F.first("error").alias("error")), "qid", "left")
     if provider is None:
         return out
     return out.join(questions.select("qid", "question"), "qid").withColumn("answer", answered(F.col("question"), F.col("context"), provider)).drop("question")
