@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from graphloom.operators import retrieval, vectors
+from graphloom.plans import answers
 
 
 def rows(seed, n, dim=24, ties=False):
@@ -76,3 +77,19 @@ def test_bytes_are_as_near_as_they_say():
     x = vectors.unit(np.random.default_rng(3).normal(size=(500, 64)))
     code, scale, off = vectors.encode(x)
     assert (np.linalg.norm(x - code * scale[:, None].astype(float), axis=1) <= off).all() and off.max() < 0.03
+
+
+def test_answers_read_the_index_and_go_on_without_it(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    data = [(f"d::{i}", [float(v) for v in x], f"text {i}", "doc", str(i), "doc.txt") for i, (_, x) in enumerate(rows(4, 40))]
+    chunks = spark.createDataFrame(data, "id string, vector array<double>, text string, document string, page string, source string")
+    edges = spark.createDataFrame([("gas", "oil", "T", "gas is no oil", 0.9, 1, "a", "b", "doc", "3")], "source_name string, target_name string, type string, evidence string, confidence double, support_count int, src_key string, dst_key string, document string, page string")
+    asked = spark.createDataFrame([(i, f"what of gas {i}", x) for i, x in rows(5, 3)], "qid long, question string, vector array<double>")
+    vectors.create(chunks, path)
+    with_index = {r["qid"]: r for r in answers.ask(asked, chunks, edges, index=path).collect()}
+    without = {r["qid"]: r for r in answers.ask(asked, chunks, edges).collect()}
+    assert {q: (r["context"], r["citations"]) for q, r in with_index.items()} == {q: (r["context"], r["citations"]) for q, r in without.items()}
+    assert all(r["error"] is None for r in with_index.values())
+    vectors.drop(spark, path)
+    left = answers.ask(asked, chunks, edges, index=path).collect()
+    assert len(left) == 3 and all(r["error"].startswith(vectors.FAILED) and r["n_parts"] == 1 for r in left)
