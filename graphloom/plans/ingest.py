@@ -202,28 +202,33 @@ def build_graph(texts: DataFrame, provider: Extractor, repair: Repairer | None =
     return whole, named, graph.attached(graph.upsert_edges(edges), named)
 
 
-def build_vectors(texts: DataFrame, embedder: retrieval.Embedder | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_vectors(texts: DataFrame, embedder: retrieval.Embedder | None = None, **sizes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks with vectors, documents, links) of texts (source, text)."""
-    chunks = chunking.split_text(texts)
+    chunks = chunking.split_text(texts, **sizes)
     kept, docs, links = graph.chunk_tables(chunks, "index")
     return kept.withColumn("vector", retrieval.embedding(F.col("text"), embedder)), docs, links
 
 
-def ingest_files(spark: SparkSession, path: str, out: str, provider: Extractor, repair: Repairer | None = None, embedder: retrieval.Embedder | None = None, wave: int = WAVE, workers: int = WORKERS, **reading) -> dict[str, str]:
+def ingest_files(spark: SparkSession, path: str, out: str, provider: Extractor, repair: Repairer | None = None, embedder: retrieval.Embedder | None = None, **reading) -> dict[str, str]:
     """From the files under ``path`` to the graph and the vectors: where each of what ``out`` then holds stands.
 
     ``texts``, ``extractions`` (paid once: a run that comes again asks for new chunks alone), ``log``,
     ``nodes``, ``edges``, ``chunks``, ``documents``, ``links`` are tables, ``vectors`` is an index.
-    ``reading`` goes to ``prepare``.
+    Sizes of chunks and windows, workers and waves are the session's settings; ``reading`` goes to
+    ``prepare``.
     """
+    from graphloom.plans.settings import setting
+
+    sizes = {"size": setting(spark, "chunk_size"), "overlap": setting(spark, "chunk_overlap")}
+    reading = {"window": setting(spark, "window"), "overlap": setting(spark, "window_overlap")} | reading
     at = {name: f"{out}/{name}" for name in ("texts", "extractions", "log", "nodes", "edges", "chunks", "documents", "links", "vectors")}
     texts = tables.written(prepare(spark, path, **reading), at["texts"])
-    chunks = chunking.split_text(texts)
-    log = tables.written(log_of(ExtractionLog(spark, at["extractions"]).add(chunks, provider, repair, wave, workers)), at["log"])
+    chunks = chunking.split_text(texts, **sizes)
+    log = tables.written(log_of(ExtractionLog(spark, at["extractions"]).add(chunks, provider, repair, setting(spark, "wave"), setting(spark, "workers"))), at["log"])
     nodes, edges = graph_rows(log)
     named = tables.written(graph.upsert_nodes(nodes), at["nodes"])
     tables.written(graph.attached(graph.upsert_edges(edges), named), at["edges"])
-    kept, documents, links = build_vectors(texts, embedder)
+    kept, documents, links = build_vectors(texts, embedder, **sizes)
     kept = tables.written(kept, at["chunks"])
     tables.written(documents, at["documents"])
     tables.written(links, at["links"])

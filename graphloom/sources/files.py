@@ -85,6 +85,11 @@ class PageProvider(Protocol):
     def __call__(self, content: bytes) -> list[str]: ...
 
 
+def by_ocr(render: Callable[[bytes, float], list], recognise: Callable[[object], str], zoom: float = 2.0) -> PageProvider:
+    """A provider that renders pages, ``zoom`` times their size, and reads the images."""
+    return lambda content: [recognise(image) for image in render(content, zoom)]
+
+
 def pdf_pages(files: DataFrame, extract: PageProvider, ocr: PageProvider | None = None, force_ocr: bool = False) -> DataFrame:
     """(source, page, text) of PDF files: their text layer, or OCR where the first pages hold too little text or it is forced."""
 
