@@ -89,6 +89,14 @@ def test_files_become_a_graph_and_vectors(spark, tmp_path):
     (files / "3.txt").write_text("valve makes naphtha number 3")
     run()
     assert calls(folder) == 4 and spark.read.parquet(at["edges"]).first()["support_count"] == 4
+    spark.conf.set("spark.graphloom.chunk_size", "20")
+    spark.conf.set("spark.graphloom.chunk_overlap", "0")
+    try:
+        small = ingest.ingest_files(spark, f"file://{files}", f"file://{tmp_path}/small", paid(folder))
+    finally:
+        spark.conf.unset("spark.graphloom.chunk_size")
+        spark.conf.unset("spark.graphloom.chunk_overlap")
+    assert spark.read.parquet(small["chunks"]).count() == 8 == spark.read.parquet(small["extractions"]).count()
     index = vectors.read(spark, at["vectors"])
     assert index.count() == 4 == spark.read.parquet(at["chunks"]).count()
     asked = index.selectExpr("id qid", "vector")

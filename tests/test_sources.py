@@ -61,3 +61,8 @@ def test_health(spark):
     ok = lambda: spark.range(3)
     got = {r["need"]: (r["ok"], r["detail"]) for r in settings.health(spark, {"a": ok, "b": lambda: spark.range(0), "c": lambda: spark.read.parquet("/nowhere")}).collect()}
     assert got["a"] == (True, "") and got["b"] == (True, "empty") and not got["c"][0] and "/nowhere" in got["c"][1]
+
+
+def test_pages_are_rendered_and_read():
+    provider = files.by_ocr(lambda raw, zoom: [(raw[:1], zoom), (raw[1:], zoom)], lambda image: f"{image[0].decode()}x{image[1]}", 3.0)
+    assert provider(b"ab") == ["ax3.0", "bx3.0"]
