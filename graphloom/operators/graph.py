@@ -144,9 +144,9 @@ def write_unique(rows: DataFrame, path: str, *key: str) -> None:
     """Writes ``rows`` unless two have the same ``key``: then the job fails, names one, and nothing is there."""
     rest = [c for c in rows.columns if c not in key]
     name = F.concat_ws(", ", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in key))
-    one = rows.groupBy(*key).agg(F.first(F.struct(*rest)).alias("r"), F.count(F.lit(1)).alias("n"))
-    kept = F.when(F.col("n") == 1, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("key is there more than once: "), name)).cast(one.schema["r"].dataType))
-    one.select(*key, kept.alias("r")).select(*key, *(f"r.{c}" for c in rest)).write.mode("errorifexists").parquet(path)
+    one = rows.groupBy(*key).agg(F.first(F.struct(*rest)).alias("__rest"), F.count(F.lit(1)).alias("__rows"))
+    kept = F.when(F.col("__rows") == 1, F.col("__rest")).otherwise(F.raise_error(F.concat(F.lit("key is there more than once: "), name)).cast(one.schema["__rest"].dataType))
+    one.select(*key, kept.alias("__rest")).select(*key, *(f"__rest.{c}" for c in rest)).write.mode("errorifexists").parquet(path)
 
 
 def chunk_tables(chunks: DataFrame, *order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
