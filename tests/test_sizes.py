@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from graphloom import catalog
+from graphloom.operators import quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,3 +15,11 @@ def test_stream_of_a_table_of_many_files(spark, tmp_path):
     docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     rows = lambda sf: sorted(map(tuple, catalog.queries()["stream_ingest"](spark, sf).collect()))
     assert rows(str(tmp_path)) == rows(SF)
+
+
+def test_evidence_that_is_alike_is_located(spark):
+    said = "the quick brown fox jumps over a lazy dog"
+    texts = ["x. " + said, "x\nthe quick brown fox jumped over a lazy dog\ny", "nothing of it", "ﬁne。" + said.replace("fox", "box"), None]
+    rows = spark.createDataFrame([(i, said, t) for i, t in enumerate(texts)], "i int, e string, t string")
+    got = {r["i"]: r["located"] for r in quality.with_located(rows, F.col("e"), F.col("t"), "i").collect()}
+    assert got == {0: True, 1: True, 2: False, 3: True, 4: False}
