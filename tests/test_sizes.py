@@ -40,3 +40,14 @@ def test_questions_of_one_wording_are_asked_once(spark):
     assert seen == [3] and len(rows) == 300
     best = {q: [(r["src_key"], r["score"], r["rank"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["qid"] == q] for q in range(60)}
     assert all(best[q] == best[q % 3] for q in range(60)) and best[0] != best[1]
+
+
+def test_counted_ideals_are_those_of_all_gains(spark):
+    from graphloom.operators import evaluation
+
+    gains = spark.range(40).select((F.col("id") % 3).alias("qid"), F.col("id").alias("item"), F.lit(1.0).alias("gain"))
+    hits = spark.range(45).select((F.col("id") % 3).alias("qid"), (F.col("id") / 3 + 1).cast("int").alias("rank"), (F.col("id") * 2).alias("item"))
+    own = evaluation.even_ideals(gains.groupBy("qid").agg(F.count("item").alias("wanted")))
+    few = gains.join(hits.select("qid", "item"), ["qid", "item"], "left_semi")
+    rows = lambda df: sorted(map(tuple, df.select("qid", "k", "metric", "value").collect()))
+    assert rows(evaluation.ranked_metrics(hits, few, own=own)) == rows(evaluation.ranked_metrics(hits, gains))
