@@ -51,3 +51,14 @@ def test_counted_ideals_are_those_of_all_gains(spark):
     few = gains.join(hits.select("qid", "item"), ["qid", "item"], "left_semi")
     rows = lambda df: sorted(map(tuple, df.select("qid", "k", "metric", "value").collect()))
     assert rows(evaluation.ranked_metrics(hits, few, own=own)) == rows(evaluation.ranked_metrics(hits, gains))
+
+
+def test_the_gate_folds_a_few_chunks_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality, "_folded", str.upper)
+    n = 2 * quality.FOLDED + 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([f"c{i}" for i in range(n)])], names=["source", "folded"])
+    got = list(quality._fold_part([batch, batch.slice(0, 0)]))
+    assert [b.num_rows for b in got] == [quality.FOLDED, quality.FOLDED, 5]
+    assert [r for b in got for r in b.to_pylist()] == [{"source": i, "folded": f"C{i}"} for i in range(n)]
