@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom import catalog
+from graphloom.functions import text as tx
 from graphloom.operators import quality
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +63,42 @@ def test_the_gate_folds_a_few_chunks_at_a_time(monkeypatch):
     got = list(quality._fold_part([batch, batch.slice(0, 0)]))
     assert [b.num_rows for b in got] == [quality.FOLDED, quality.FOLDED, 5]
     assert [r for b in got for r in b.to_pylist()] == [{"source": i, "folded": f"C{i}"} for i in range(n)]
+
+
+def test_plain_texts_need_no_python():
+    import unicodedata
+
+    stable = [chr(c) for a, z in ((0, 0x7F), (0x2018, 0x201D), (0x3001, 0x3002), (0x300A, 0x3011), (0x4E00, 0x9FFF)) for c in range(a, z + 1)]
+    assert all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in stable)
+    assert unicodedata.normalize("NFKC", tx.WIDE) == tx.NARROW
+
+
+def test_keys_and_names_of_any_text_are_those_of_the_patterns(spark):
+    import re
+    import unicodedata
+
+    blanks = [chr(c) for c in range(0x10000) if chr(c).isspace() and not 0x1C <= c <= 0x1F]
+    assert set(tx.KEY_DROPPED) == {*blanks, *"-_./\\:：,，.;；()（）[]【】{}<>《》\"'“”‘’"}
+    said = ["the Pump", " a  b", "a\tb\n", "Pump\n", "Ｐ１　ｘ", "H₂O", "é", "中文，。Ａ", "x" + "".join(blanks) + "y", "`a b`", "", None, "A1"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", tx.nfkc(F.col("s")).alias("n"), tx.nfkc_each(F.array("s")).alias("e"), tx.match_key(F.col("s")).alias("k"), tx.normal_space(F.col("s")).alias("p"), tx.clean_evidence(F.col("s")).alias("v")).collect()
+    for i, n, each, key, space, evidence in rows:
+        normal = said[i] and unicodedata.normalize("NFKC", said[i])
+        flat = re.sub(r"\s+", " ", normal or "").strip()
+        assert (n, each, key, space, evidence) == (normal, [normal], re.sub(tx.KEY_DROPS, "", (normal or "").lower()), flat, flat.strip("` "))
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    from graphloom.queries import gate
+
+    spark.read.parquet(f"{SF}/documents.parquet").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:  # the table has parts enough, of which one holds all rows
+        sizes = gate.extractions(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(sizes) >= 4
+
+
+def test_the_graph_is_made_of_a_written_log(spark):
+    plan = catalog.queries()["build_graph"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "EvalPython" not in plan
