@@ -118,3 +118,30 @@ def test_metrics_of_all_ks_are_of_one_pass(spark):
     assert [got[1, "triple_recall", k] for k in (3, 5, 10)] == [0.5, 0.5, 1.0] and got[2, "triple_recall", 3] == 0.0
     assert [got[1, "relation_precision", k] for k in (3, 5, 10)] == [1.0, 1.0, 1.0]
     assert [got[1, "relation_evidence_coverage", k] for k in (3, 5, 10)] == [0.5, 0.666667, 0.75]
+
+
+def _mentions(spark):
+    given = lambda c, n: F.when(F.col("id") % n != 0, F.concat(F.lit(c), (F.col("id") % n).cast("string")))
+    return spark.range(600).select(
+        F.lit("A").alias("src_label"), F.concat(F.lit("s"), (F.col("id") % 11).cast("string")).alias("src_key"), F.when(F.col("id") % 2 == 0, "T").otherwise("U").alias("type"), F.lit("B").alias("dst_label"), F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("dst_key"), (F.col("id") * 7 % 97).alias("seq"),
+        F.concat(F.lit("e"), F.col("id").cast("string")).alias("evidence"), F.when(F.col("id") % 5 != 0, F.col("id") % 4 / 4).alias("confidence"), given("d", 7).alias("document"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), given("", 13).alias("page"), F.lit(1).alias("chunk_index"), given("r", 4).alias("source_ref"),
+        F.array(F.concat(F.lit("f"), F.col("id").cast("string"))).alias("quality_flags"), F.when(F.col("id") % 3 != 0, 2).alias("support_count"), given("src", 5).alias("source"),
+    )
+
+
+def test_edges_of_mentions_are_those_of_their_state(spark):
+    from graphloom.operators import graph
+
+    once = _mentions(spark).filter("seq < 40").withColumn("dst_key", F.col("evidence"))
+    rows = _mentions(spark).unionByName(once)
+    got, want = (sorted(map(repr, df.collect())) for df in (graph.upsert_edges(rows), graph.edges_of(graph.edge_state(rows))))
+    assert got == want and len(got) > 60
+
+
+def test_mentions_of_edges_are_moved_once(spark):
+    from graphloom.operators import graph
+    from graphloom.plans import fixtures
+
+    for rows in (_mentions(spark), fixtures.edge_rows(spark, SF)):
+        moved = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        assert moved(graph.upsert_edges(rows)) == moved(rows) + 1
