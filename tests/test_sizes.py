@@ -145,3 +145,12 @@ def test_mentions_of_edges_are_moved_once(spark):
     for rows in (_mentions(spark), fixtures.edge_rows(spark, SF)):
         moved = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
         assert moved(graph.upsert_edges(rows)) == moved(rows) + 1
+
+
+def test_lines_alike_but_in_quantity_are_counted_apart(spark, tmp_path):
+    lines, orders = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("lineitem", "orders"))
+    one = lines.limit(1).localCheckpoint()
+    one.withColumn("l_quantity", F.lit(10.0)).unionByName(one.withColumn("l_quantity", F.lit(50.0))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["kind"]: tuple(r)[1:] for r in catalog.queries()["counted_writes"](spark, str(tmp_path)).collect()}
+    assert got["edges"] == (2, 1, 0, 1)
