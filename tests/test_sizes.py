@@ -154,3 +154,45 @@ def test_lines_alike_but_in_quantity_are_counted_apart(spark, tmp_path):
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     got = {r["kind"]: tuple(r)[1:] for r in catalog.queries()["counted_writes"](spark, str(tmp_path)).collect()}
     assert got["edges"] == (2, 1, 0, 1)
+
+
+def test_no_side_of_an_evaluation_is_sent_whole(spark):
+    for name in ("evaluate_modes", "mode_summary"):
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        # hits of chunks and of facts, and questions, are dealt by question once each; a summary is dealt once more
+        assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning(qid") == 3
+
+
+def test_hits_of_no_question_are_not_measured(spark, tmp_path):
+    customers, orders = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("customer", "orders"))
+    customers.filter("c_custkey < 5").write.parquet(f"{tmp_path}/customer.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    rows = lambda sf: sorted(tuple(r) for r in catalog.queries()["evaluate_modes"](spark, sf).collect() if r["qid"] in {"c0", "c1", "c2", "c3", "c4"})
+    got = rows(str(tmp_path))
+    assert got == rows(SF) and len(got) == catalog.queries()["evaluate_modes"](spark, str(tmp_path)).count()
+
+
+def test_metrics_in_a_row_are_those_of_rows(spark):
+    """Ranks with several hits, gains that are null or of what is not expected, repeated triples and hits beyond the largest k."""
+    from graphloom.functions import records
+    from graphloom.operators import evaluation
+    from graphloom.plans import evaluate
+
+    asked = [("a", '["1-3", "9"]', '{"2": 2.0, "7": 0.5, "9": null}', '["s->T->o", "x->T->o"]'), ("b", None, None, None), ("c", '"4"', None, '"s->T->o"')]
+    none = F.lit(None).cast("string")
+    rows = spark.createDataFrame(asked, "qid string, expected_pages string, relevant_pages string, expected_triples string")
+    questions = evaluate.samples(rows.select("*", F.lit("q").alias("question"), *(none.alias(c) for c in ("expected_chunks", "expected_source_refs", "relevant_chunks", "expected_entities", "expected_answer_keywords", "forbidden_answer_keywords"))))
+    paged = [("a", 1, "7"), ("a", 1, "2, 3"), ("a", 4, "2"), ("a", 5, "9"), ("a", 8, "1"), ("a", 12, "3"), ("b", 1, "1")]
+    hit = spark.createDataFrame(paged, "qid string, rank int, page string")
+    hits = hit.select("*", *(none.alias(c) for c in ("id", "source", "document", "source_ref", "text")), *(F.lit(None).cast("int").alias(c) for c in ("index", "page_start", "page_end")))
+    edges = [("a", 1, "s", "T", "o", "e", "1"), ("a", 2, "s", "T", "o", "", "2"), ("a", 4, "s", "", "o", "e", None), ("a", 9, "X", "t", "o", "e", "8"), ("b", 2, "s", "T", "o", "e", "1")]
+    facts = spark.createDataFrame(edges, "qid string, rank int, source_name string, type string, target_name string, evidence string, page string").select("*", none.alias("document"), none.alias("source_ref"))
+    got = {(r["qid"], r["metric"], r["k"]): r["value"] for r in evaluate.evaluate(questions, hits, facts).filter("mode = 'hybrid' and value is not null").collect()}
+    gains = questions.select("qid", F.explode("page_gains").alias("item", "gain"), F.col("pages").alias("w")).select("qid", "item", "gain", F.array_contains("w", F.col("item")).alias("expected"))
+    by_page = hits.select("qid", "rank", F.explode(records.item_pages(F.col("page"), F.col("page_start"), F.col("page_end"))).alias("item"))
+    told = facts.withColumn("t", records.edge_triple(F.col("source_name"), F.col("type"), F.col("target_name"))).select("qid", "rank", "t.*", "evidence", "page")
+    want = evaluation.ranked_metrics(by_page, gains).unionByName(evaluation.edge_metrics(told, questions.select("qid", F.explode("triples").alias("t")).select("qid", "t.*")))
+    for r in want.filter("value is not null").collect():
+        assert got.pop((r["qid"], r["metric"], r["k"])) == r["value"]
+    assert {m for _, m, _ in got} == {"citation_hit", "citation_accuracy"}
+    assert [got["a", "citation_accuracy", k] for k in (3, 5, 10)] == [0.75, 0.8, 0.666667]
