@@ -8,6 +8,8 @@ from graphloom.operators import facts, matching, vectors
 from graphloom.plans.fixtures import read, scratch
 from graphloom.registry import query
 
+HELD_SUPPLIERS = 500_000  # that a broadcast may hold
+
 SUPPLY = """WITH f AS (SELECT p_name AS s, s_name AS t, CASE WHEN p % 3 <> 0 THEN p_name || ' of type ' || p_type || ' by ' || s_name END AS ev, CASE WHEN p % 4 <> 0 THEN 0.6 + (p % 40) / 100.0 END::DOUBLE AS conf, n AS sup, 'p' || p AS sk, 's' || u AS tk FROM (SELECT l_partkey AS p, l_suppkey AS u, count(*) AS n FROM lineitem GROUP BY ALL) JOIN part ON p_partkey = p JOIN supplier ON s_suppkey = u),
  names AS (SELECT s AS name FROM f UNION SELECT t FROM f),
  q AS (SELECT p_partkey AS qid, 'Who delivers ' || p_name || ' or other things ' || lower(p_type) || '?' AS question FROM part WHERE p_partkey % 50 = 0) """
@@ -15,8 +17,11 @@ SUPPLY = """WITH f AS (SELECT p_name AS s, s_name AS t, CASE WHEN p % 3 <> 0 THE
 
 def supply(spark, sf):
     """Parts and those who supply them, as scanned edges."""
-    lines = read(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("support_count"))
-    rows = lines.join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).join(read(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    # lines are dealt by part once, for their count and for the part; few suppliers are broadcast
+    lines = read(spark, sf, "lineitem").select("l_partkey", "l_suppkey").repartition("l_partkey").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("support_count"))
+    suppliers = read(spark, sf, "supplier").select("s_suppkey", "s_name")
+    suppliers = F.broadcast(suppliers) if suppliers.count() <= HELD_SUPPLIERS else suppliers.hint("merge")
+    rows = lines.join(read(spark, sf, "part").hint("merge"), F.col("l_partkey") == F.col("p_partkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     p = F.col("l_partkey")
     said = F.concat("p_name", F.lit(" of type "), "p_type", F.lit(" by "), "s_name")
     return rows.select(F.col("p_name").alias("source_name"), F.lit("SUPPLIED_BY").alias("type"), F.col("s_name").alias("target_name"), F.when(p % 3 != 0, said).alias("evidence"), F.when(p % 4 != 0, F.lit(0.6) + (p % 40) / 100).alias("confidence"), "support_count", F.concat(F.lit("p"), p.cast("string")).alias("src_key"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst_key"))

@@ -196,3 +196,23 @@ def test_metrics_in_a_row_are_those_of_rows(spark):
         assert got.pop((r["qid"], r["metric"], r["k"])) == r["value"]
     assert {m for _, m, _ in got} == {"citation_hit", "citation_accuracy"}
     assert [got["a", "citation_accuracy", k] for k in (3, 5, 10)] == [0.75, 0.8, 0.666667]
+
+
+def test_large_cells_have_seeds_and_no_edge_is_moved_whole(spark, monkeypatch):
+    """Each cell of a name is beyond what is scored to find the best; a part of it still tells how good they are."""
+    from graphloom.operators import facts
+
+    monkeypatch.setattr(facts, "SEEDS", 100)
+    monkeypatch.setattr(facts, "SAMPLED", 20)
+    edges = spark.range(6000).select(
+        F.concat(F.lit("pump p"), (F.col("id") % 2).cast("string")).alias("source_name"), F.lit("FEEDS").alias("type"), F.lit("tank").alias("target_name"), F.when(F.col("id") % 3 != 0, F.lit("said so")).alias("evidence"),
+        (F.lit(0.6) + (F.col("id") % 20) / 50).alias("confidence"), F.lit(1).alias("support_count"), F.format_string("%05d", "id").alias("src_key"), F.lit("t").alias("dst_key"),
+    )
+    asked = spark.createDataFrame([(1, "what does pump p1 feed?")], "qid int, question string")
+    index, scored = facts.FactIndex.build(edges), []
+    assert not {"hay", "term", "level"} & set(index.facts.sparkSession.read.parquet(index.facts.inputFiles()[0]).columns)
+    alone = index._scored
+    index._scored = lambda pairs, of: scored.append(pairs.count()) or alone(pairs, of)
+    got = [r["src_key"] for r in index.top(asked, 3).orderBy("rank").collect()]
+    best = [r["src_key"] for r in edges.filter("source_name = 'pump p1' and evidence is not null").orderBy(F.desc("confidence"), "src_key").limit(3).collect()]
+    assert got == best and 0 < scored[0] <= 6 * 100 and scored[1] <= 1500
