@@ -216,3 +216,8 @@ def test_large_cells_have_seeds_and_no_edge_is_moved_whole(spark, monkeypatch):
     got = [r["src_key"] for r in index.top(asked, 3).orderBy("rank").collect()]
     best = [r["src_key"] for r in edges.filter("source_name = 'pump p1' and evidence is not null").orderBy(F.desc("confidence"), "src_key").limit(3).collect()]
     assert got == best and 0 < scored[0] <= 6 * 100 and scored[1] <= 1500
+
+
+def test_nodes_are_made_of_written_rows(spark):
+    plan = catalog.queries()["graph_nodes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "EvalPython" not in plan
